@@ -133,18 +133,18 @@ def extract_sources(articles: DataFrame) -> DataFrame:
         closes.alias("closes"))
     w = Window.partitionBy("slug").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     # the list is open on a line when the last header-or-closing line before it opened a block
-    lines = lines.withColumn(
-        "state", F.max_by(F.col("opens"), F.when(F.col("is_head") | (F.col("closes") & ~F.col("is_item")),
-                                                   F.col("pos"))).over(w))
+    anchor = F.col("is_head") | (F.col("closes") & ~F.col("is_item"))
+    lines = lines.withColumn("state", F.last(F.when(anchor, F.col("opens")), ignorenulls=True).over(w))
     inline = lines.where(F.col("is_head") & F.col("after").startswith("[")).select(
         "slug", "pos",
         F.posexplode(F.regexp_extract_all("after", F.lit("['\"]?([^,\\[\\]'\"]+)['\"]?"), 1)).alias("k", "s"))
-    inline = inline.select("slug", (F.col("pos") * 1000 + F.col("k")).alias("pos"), py_strip("s").alias("source"))
+    inline = inline.select("slug", "pos", "k", py_strip("s").alias("source"))
     block = lines.where(F.coalesce("state", F.lit(False)) & ~F.col("is_head") & F.col("is_item")).select(
-        "slug", (F.col("pos") * 1000).alias("pos"),
+        "slug", "pos", F.lit(0).alias("k"),
         strip_quotes(py_strip(F.substring(py_strip("line"), 3, 1 << 30))).alias("source"))
     out = inline.unionByName(block).where(F.col("source") != "")
-    return out.select("slug", F.col("pos").cast("bigint").alias("pos"), "source")
+    return out.select("slug", F.col("pos").cast("bigint").alias("line"), F.col("k").cast("bigint").alias("k"),
+                      "source")
 
 
 # ── Articles ──────────────────────────────────────────────────────────

@@ -159,33 +159,34 @@ def _order_col(c: str, values: list[str]) -> F.Column:
 
 def lint_report(issues: DataFrame, as_of: str) -> DataFrame:
     """The markdown report as ordered rows (block, sev_ord, check_ord, file, pos, line):
-    title, totals, then one block per non-empty severity. The writer sorts and
-    concatenates; a large vault never becomes one string on one task."""
+    title and totals (block 0), a heading per non-empty severity (block 1), then
+    the issue lines (block 2). A writer sorts and concatenates; a large vault never
+    becomes one string on one task."""
     spark = issues.sparkSession
     i = issues.select("*", _order_col("severity", SEVERITY_ORDER).alias("sev_ord"),
                       _order_col("check", CHECK_ORDER).alias("check_ord"))
     items = i.select(
         F.lit(2).alias("block"), "sev_ord", "check_ord", "file", "pos",
-        F.concat(F.lit("- **"), F.col("check"), F.lit("** · `"), F.col("file"), F.lit("` — "), F.col("detail")).alias("line"))
+        F.concat(F.lit("- **"), F.col("check"), F.lit("** · `"), F.col("file"), F.lit("` — "),
+                 F.col("detail")).alias("line"))
     counts = issues.agg(
         F.count(F.when(F.col("severity") == "error", 1)).alias("e"),
         F.count(F.when(F.col("severity") == "warning", 1)).alias("w"),
         F.count(F.when(F.col("severity") == "suggestion", 1)).alias("s"),
         F.count(F.lit(1)).alias("t"))
-    head = counts.select(F.explode(F.when(F.col("t") == 0, F.array(
+    totals = F.concat(F.lit("**"), F.col("e").cast("string"), F.lit(" errors, "), F.col("w").cast("string"),
+                      F.lit(" warnings, "), F.col("s").cast("string"), F.lit(" suggestions.**"))
+    head_lines = F.when(F.col("t") == 0, F.array(
         F.lit("# Lint Report"), F.lit(""), F.lit("**0 issues.** Knowledge base is healthy."))).otherwise(
-        F.array(F.lit(f"# Lint Report — {as_of}"), F.lit(""),
-                F.concat(F.lit("**"), F.col("e").cast("string"), F.lit(" errors, "), F.col("w").cast("string"),
-                         F.lit(" warnings, "), F.col("s").cast("string"), F.lit(" suggestions.**")),
-                F.lit("")))).alias("line"))
-    head = head.select(F.lit(0).alias("block"), F.lit(0).alias("sev_ord"), F.lit(0).alias("check_ord"),
-                       F.lit("").alias("file"), F.monotonically_increasing_id().cast("int").alias("pos"), "line")
-    present = i.select("severity", "sev_ord").distinct()
-    labels = spark.createDataFrame([("error", "## Errors"), ("warning", "## Warnings"), ("suggestion", "## Suggestions")],
-                                   "severity string, label string")
-    blocks = present.join(labels, "severity")
-    sec_head = blocks.select(F.lit(1).alias("block"), "sev_ord", F.lit(0).alias("check_ord"), F.lit("").alias("file"),
-                             F.lit(0).alias("pos"), F.col("label").alias("line"))
+        F.array(F.lit(f"# Lint Report — {as_of}"), F.lit(""), totals, F.lit("")))
+    head = counts.select(F.posexplode(head_lines).alias("pos", "line")).select(
+        F.lit(0).alias("block"), F.lit(0).alias("sev_ord"), F.lit(0).alias("check_ord"),
+        F.lit("").alias("file"), F.col("pos").cast("int").alias("pos"), "line")
+    labels = spark.createDataFrame([(1, "## Errors"), (2, "## Warnings"), (3, "## Suggestions")],
+                                   "sev_ord int, label string")
+    present = i.select("sev_ord").distinct().join(labels, "sev_ord")
+    sec_head = present.select(F.lit(1).alias("block"), "sev_ord", F.lit(0).alias("check_ord"),
+                              F.lit("").alias("file"), F.lit(0).alias("pos"), F.col("label").alias("line"))
     return head.unionByName(sec_head).unionByName(items)
 
 

@@ -40,3 +40,110 @@ def q_extract_links(spark, sf):
 def q_lint_broken_links(spark, sf):
     v = Vault(spark, sf)
     return _issues(lint.lint_broken_links(v["links"], v["knowledge_slugs"], v["dailies"]))
+
+
+def _list_cols(c: str, name: str | None = None):
+    """Arrays leave a query as (joined text, size) so both engines hash them alike."""
+    name = name or c
+    return [F.array_join(F.col(c), " | ").alias(f"{name}_list"), F.size(c).cast("bigint").alias(f"n_{name}")]
+
+
+@query("extract_frontmatter")
+def q_extract_frontmatter(spark, sf):
+    v = Vault(spark, sf)
+    return v["frontmatter"].select("slug", "key", F.col("pos").cast("bigint").alias("pos"), "is_list",
+                                   *_list_cols("vals"))
+
+
+@query("extract_projects")
+def q_extract_projects(spark, sf):
+    v = Vault(spark, sf)
+    a = v["articles"]
+    return a.select("slug", F.col("projects").isNotNull().alias("has_field"),
+                    F.array_join("projects", " | ").alias("projects_list"),
+                    F.size("projects").cast("bigint").alias("n_projects"))
+
+
+@query("extract_sources")
+def q_extract_sources(spark, sf):
+    from lorekit.operators.extract import extract_sources
+    v = Vault(spark, sf)
+    return extract_sources(v["articles"])
+
+
+@query("lint_orphan_pages")
+def q_lint_orphan_pages(spark, sf):
+    v = Vault(spark, sf)
+    return _issues(lint.lint_orphan_pages(v["articles"], v["links"]))
+
+
+@query("lint_orphan_sources")
+def q_lint_orphan_sources(spark, sf):
+    v = Vault(spark, sf)
+    return _issues(lint.lint_orphan_sources(v["dailies"], v["state"]))
+
+
+@query("lint_stale_articles")
+def q_lint_stale_articles(spark, sf):
+    v = Vault(spark, sf)
+    return _issues(lint.lint_stale_articles(v["frontmatter"], v["dailies"], v["state"]))
+
+
+@query("lint_missing_backlinks")
+def q_lint_missing_backlinks(spark, sf):
+    v = Vault(spark, sf)
+    return _issues(lint.lint_missing_backlinks(v["articles"], v["links"]))
+
+
+@query("lint_sparse_articles")
+def q_lint_sparse_articles(spark, sf):
+    v = Vault(spark, sf)
+    return _issues(lint.lint_sparse_articles(v["articles"]))
+
+
+@query("lint_projects_missing")
+def q_lint_projects_missing(spark, sf):
+    v = Vault(spark, sf)
+    return _issues(lint.lint_projects_missing(v["articles"]))
+
+
+@query("lint_unknown_aliases")
+def q_lint_unknown_aliases(spark, sf):
+    v = Vault(spark, sf)
+    return _issues(lint.lint_unknown_aliases(v["articles"], v["registry"]))
+
+
+@query("lint_all")
+def q_lint_all(spark, sf):
+    return _issues(lint.lint_all(Vault(spark, sf)))
+
+
+@query("lint_summary")
+def q_lint_summary(spark, sf):
+    return lint.lint_summary(lint.lint_all(Vault(spark, sf)))
+
+
+LINT_AS_OF = "2024-02-01T00:00:00"
+
+
+@query("lint_report")
+def q_lint_report(spark, sf):
+    return lint.lint_report(lint.lint_all(Vault(spark, sf)), LINT_AS_OF)
+
+
+@query("inbound_links")
+def q_inbound_links(spark, sf):
+    v = Vault(spark, sf)
+    return lint.inbound_links(v["articles"], v["links"])
+
+
+@query("hub_concepts")
+def q_hub_concepts(spark, sf):
+    v = Vault(spark, sf)
+    return lint.hub_concepts(v["articles"], v["links"])
+
+
+@query("wanted_concepts")
+def q_wanted_concepts(spark, sf):
+    v = Vault(spark, sf)
+    return lint.wanted_concepts(v["links"], v["knowledge_slugs"])

@@ -89,7 +89,8 @@ files AS (
     || 'updated: 2024-02-01' || {NL} || '---' || {NL} || {NL} || text
     || {NL} || {NL} || '## Related Concepts' || {NL} || {NL}
     || '- [[' || {slug('((i * 7 + 3) % (n + n // 20))')} || ']]' || {NL}
-    || '- [[' || {slug('((i + 1) % n)')} || '|Doc ' || CAST((i + 1) % n AS VARCHAR) || ']]' || {NL}
+    || CASE WHEN i % 8 <> 0 THEN '- [[' || {slug('((i + 1) % n)')} || '|Doc ' || CAST((i + 1) % n AS VARCHAR) || ']]' || {NL}
+            ELSE '' END
     || CASE WHEN i % 23 = 0 THEN '- [[' || {slug('i')} || ']]' || {NL} ELSE '' END
     || '- [[daily/2024-01-' || {dd('i % 31 + 1')} || CASE WHEN i % 29 = 0 THEN ']]' ELSE '.md]]' END || {NL}
     AS content
@@ -194,3 +195,193 @@ UNION ALL
 SELECT 'error', 'broken_link', src || '.md', 'Wikilink [[' || target || ']] points to a non-existent article'
 FROM links WHERE NOT is_daily AND target NOT IN (SELECT slug FROM files)
 """)
+
+
+def in_list(x: str) -> str:
+    return x
+
+
+KEY = rx(FM_KEY_LINE)
+INLINE = rx(r"(?s)^\[.*\]$")
+INLINE_G = rx(r"(?s)^\[(.*)\]$")
+
+FRONTMATTER_CTE = f"""
+fm_lines AS (
+  SELECT slug, CAST(pos - 1 AS BIGINT) AS pos, line
+  FROM (SELECT slug, {lines(f"regexp_extract(content, {rx(FM_BLOCK)}, 1)")} AS arr FROM articles
+        WHERE regexp_matches(content, {rx(FM_BLOCK)})) a,
+       unnest(a.arr) WITH ORDINALITY AS u(line, pos)
+),
+fl AS (
+  SELECT slug, pos, line, starts_with({lstrip('line')}, '- ') AS is_item, regexp_matches(line, {KEY}) AS is_kv,
+         regexp_extract(line, {KEY}, 1) AS key, {strip(f"regexp_extract(line, {KEY}, 2)")} AS value
+  FROM fm_lines WHERE NOT ({strip('line')} = '' OR starts_with({lstrip('line')}, '#'))
+),
+fa AS (
+  SELECT *, max(CASE WHEN NOT is_item THEN pos END) OVER (PARTITION BY slug ORDER BY pos
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS anchor FROM fl
+),
+fkeys AS (SELECT slug, pos, key, value, value = '' AS is_list FROM fa WHERE NOT is_item AND is_kv),
+fitems AS (
+  SELECT slug, anchor AS pos, pos AS item_pos, {strip_quotes(strip(f"substr({lstrip('line')}, 3)"))} AS item
+  FROM fa WHERE is_item
+),
+flist AS (
+  SELECT k.slug, k.pos, k.key, true AS is_list,
+         coalesce(list(i.item ORDER BY i.item_pos) FILTER (WHERE i.item_pos IS NOT NULL), []::VARCHAR[]) AS vals
+  FROM fkeys k LEFT JOIN fitems i ON k.slug = i.slug AND k.pos = i.pos
+  WHERE k.is_list GROUP BY k.slug, k.pos, k.key
+),
+fscalar AS (
+  SELECT slug, pos, key, regexp_matches(value, {INLINE}) AS is_list,
+    CASE WHEN regexp_matches(value, {INLINE}) THEN
+           CASE WHEN {strip(f"regexp_extract(value, {INLINE_G}, 1)")} = '' THEN []::VARCHAR[]
+                ELSE list_transform(string_split({strip(f"regexp_extract(value, {INLINE_G}, 1)")}, ','),
+                                    lambda s: {strip_quotes(strip('s'))}) END
+         WHEN (starts_with(value, '"') AND ends_with(value, '"')) OR (starts_with(value, '''') AND ends_with(value, ''''))
+           THEN [substr(value, 2, greatest(length(value) - 2, 0))]
+         ELSE [value] END AS vals
+  FROM fkeys WHERE NOT is_list
+),
+frontmatter AS (
+  SELECT slug, key, pos, is_list, vals FROM (
+    SELECT *, row_number() OVER (PARTITION BY slug, key ORDER BY pos DESC) AS rn
+    FROM (SELECT * FROM fscalar UNION ALL SELECT * FROM flist))
+  WHERE rn = 1
+)"""
+
+SOURCES_CTE = f"""
+src_lines AS (
+  SELECT slug, CAST(pos - 1 AS BIGINT) AS pos, line
+  FROM (SELECT slug, {lines(f"substr(content, 4, strpos(substr(content, 4), {NL} || '---') - 1)")} AS arr
+        FROM articles WHERE starts_with(content, '---') AND strpos(substr(content, 4), {NL} || '---') > 0) a,
+       unnest(a.arr) WITH ORDINALITY AS u(line, pos)
+),
+sl AS (
+  SELECT slug, pos, line, starts_with(line, 'sources:') AS is_head, {strip('substr(line, 9)')} AS after,
+         starts_with({strip('line')}, '- ') AS is_item,
+         line <> '' AND NOT starts_with(line, ' ') AND NOT starts_with(line, chr(9)) AS closes
+  FROM src_lines
+),
+sl2 AS (
+  SELECT *, last_value(CASE WHEN is_head OR (closes AND NOT is_item) THEN is_head AND NOT starts_with(after, '[') END
+                       IGNORE NULLS) OVER (PARTITION BY slug ORDER BY pos
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state
+  FROM sl
+),
+sources AS (
+  SELECT slug, line, k, source FROM (
+    SELECT slug, pos AS line, CAST(k - 1 AS BIGINT) AS k, {strip('s')} AS source
+    FROM sl2, unnest(regexp_extract_all(after, {rx("['" + '"' + "]?([^,\\[\\]'" + '"' + "]+)['" + '"' + "]?")}, 1))
+         WITH ORDINALITY AS u(s, k)
+    WHERE is_head AND starts_with(after, '[')
+    UNION ALL
+    SELECT slug, pos, 0, {strip_quotes(strip(f"substr({strip('line')}, 3)"))}
+    FROM sl2 WHERE coalesce(state, false) AND NOT is_head AND is_item)
+  WHERE source <> ''
+)"""
+
+KNOWN_CTE = """
+known AS (
+  SELECT DISTINCT lower(a) AS alias_lc FROM (
+    SELECT unnest(list_concat(
+      CASE WHEN canonical IS NOT NULL AND canonical <> '' THEN [canonical] ELSE []::VARCHAR[] END,
+      CASE WHEN name IS NOT NULL AND name <> '' THEN [name] ELSE []::VARCHAR[] END,
+      coalesce(aliases, []::VARCHAR[]))) AS a FROM registry
+    UNION ALL SELECT 'shared' UNION ALL SELECT 'all')
+)"""
+
+FULL = with_(FILES, ARTICLES, LINKS, DAILIES, STATE, REGISTRY, FRONTMATTER_CTE, SOURCES_CTE, KNOWN_CTE)
+
+LINT_PARTS = {
+    "broken_link": """
+SELECT 'error' AS severity, 'broken_link' AS "check", src || '.md' AS file,
+       'Daily source [[' || target || ']] does not exist' AS detail, pos
+FROM links WHERE is_daily AND substr(target, 7) NOT IN (SELECT name FROM dailies)
+UNION ALL
+SELECT 'error', 'broken_link', src || '.md', 'Wikilink [[' || target || ']] points to a non-existent article', pos
+FROM links WHERE NOT is_daily AND target NOT IN (SELECT slug FROM files)""",
+    "orphan_page": """
+SELECT 'warning' AS severity, 'orphan_page' AS "check", slug || '.md' AS file,
+       'No other article links to this one' AS detail, 0 AS pos
+FROM articles WHERE slug NOT IN (SELECT target FROM links)""",
+    "orphan_source": """
+SELECT 'suggestion' AS severity, 'orphan_source' AS "check", 'daily/' || name AS file,
+       'Daily log has not been compiled into knowledge yet' AS detail, 0 AS pos
+FROM dailies WHERE name NOT IN (SELECT name FROM state)""",
+    "stale_article": f"""
+SELECT 'warning' AS severity, 'stale_article' AS "check", slug || '.md' AS file,
+       'Source ' || arg_min(source, k) || ' changed since last compile' AS detail, 0 AS pos
+FROM (SELECT f.slug, u.k, u.source FROM frontmatter f, unnest(f.vals) WITH ORDINALITY AS u(source, k)
+      WHERE f.key = 'sources' AND starts_with(u.source, 'daily/')) s
+JOIN dailies d ON regexp_replace(substr(s.source, 7), '\\.md$', '') || '.md' = d.name
+JOIN state st ON st.name = d.name
+WHERE st.hash IS NOT NULL AND st.hash <> '' AND st.hash <> {sha16('d.content')}
+GROUP BY slug""",
+    "missing_backlink": """
+SELECT 'suggestion' AS severity, 'missing_backlink' AS "check", e.target || '.md' AS file,
+       'Target linked from [[' || e.src || ']] but does not link back' AS detail, 0 AS pos
+FROM (SELECT DISTINCT src, target FROM links WHERE NOT is_daily AND target IN (SELECT slug FROM articles)) e
+WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.src = e.target AND l.target = e.src)""",
+    "sparse_article": """
+SELECT 'suggestion' AS severity, 'sparse_article' AS "check", slug || '.md' AS file,
+       'Body has only ' || CAST(n_words AS VARCHAR) || ' words (threshold 200)' AS detail, 0 AS pos
+FROM articles WHERE n_words < 200""",
+    "projects_missing": """
+SELECT 'warning' AS severity, 'projects_missing' AS "check", slug || '.md' AS file,
+       'Missing `projects:` frontmatter — treated as unscoped' AS detail, 0 AS pos
+FROM articles WHERE projects IS NULL""",
+    "unknown_project_alias": """
+SELECT 'suggestion' AS severity, 'unknown_project_alias' AS "check", slug || '.md' AS file,
+       'Unknown project alias(es): [' || string_agg('''' || p || '''', ', ' ORDER BY k) || ']' AS detail, 0 AS pos
+FROM (SELECT a.slug, u.k, u.p FROM articles a, unnest(a.projects) WITH ORDINALITY AS u(p, k)
+      WHERE len(a.projects) > 0) x
+WHERE lower(p) NOT IN (SELECT alias_lc FROM known)
+GROUP BY slug""",
+}
+
+ISSUE_SELECT = 'SELECT severity, "check", file, detail FROM ({}) q'
+LINT_ALL = " UNION ALL ".join(f"({v})" for v in LINT_PARTS.values())
+
+oracle("extract_frontmatter", FULL + """
+SELECT slug, key, CAST(pos AS BIGINT) AS pos, is_list, array_to_string(vals, ' | ') AS vals_list,
+       CAST(len(vals) AS BIGINT) AS n_vals FROM frontmatter""")
+oracle("extract_projects", FULL + """
+SELECT slug, projects IS NOT NULL AS has_field, array_to_string(projects, ' | ') AS projects_list,
+       CAST(len(projects) AS BIGINT) AS n_projects FROM articles""")
+oracle("extract_sources", FULL + "SELECT slug, line, k, source FROM sources")
+for _check, _name in [("orphan_page", "lint_orphan_pages"), ("orphan_source", "lint_orphan_sources"),
+                      ("stale_article", "lint_stale_articles"), ("missing_backlink", "lint_missing_backlinks"),
+                      ("sparse_article", "lint_sparse_articles"), ("projects_missing", "lint_projects_missing"),
+                      ("unknown_project_alias", "lint_unknown_aliases")]:
+    oracle(_name, FULL + ISSUE_SELECT.format(LINT_PARTS[_check]))
+oracle("lint_all", FULL + ISSUE_SELECT.format(LINT_ALL))
+oracle("lint_summary", FULL + f"""
+SELECT severity, "check", count(*) AS n FROM ({LINT_ALL}) q GROUP BY ROLLUP (severity, "check")""")
+oracle("lint_report", FULL + f""",
+i AS (SELECT *, CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 WHEN 'suggestion' THEN 3 END AS sev_ord,
+          CASE "check" WHEN 'broken_link' THEN 1 WHEN 'orphan_page' THEN 2 WHEN 'orphan_source' THEN 3
+            WHEN 'stale_article' THEN 4 WHEN 'missing_backlink' THEN 5 WHEN 'sparse_article' THEN 6
+            WHEN 'projects_missing' THEN 7 WHEN 'unknown_project_alias' THEN 8 END AS check_ord
+      FROM ({LINT_ALL}) q),
+c AS (SELECT count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w,
+             count(*) FILTER (WHERE severity = 'suggestion') AS s, count(*) AS t FROM i)
+SELECT 0 AS block, 0 AS sev_ord, 0 AS check_ord, '' AS file, CAST(p - 1 AS INTEGER) AS pos, line
+FROM c, unnest(CASE WHEN t = 0 THEN ['# Lint Report', '', '**0 issues.** Knowledge base is healthy.']
+  ELSE ['# Lint Report — 2024-02-01T00:00:00', '', '**' || e || ' errors, ' || w || ' warnings, ' || s
+        || ' suggestions.**', ''] END) WITH ORDINALITY AS u(line, p)
+UNION ALL
+SELECT DISTINCT 1, sev_ord, 0, '', 0, CASE sev_ord WHEN 1 THEN '## Errors' WHEN 2 THEN '## Warnings'
+  ELSE '## Suggestions' END FROM i
+UNION ALL
+SELECT 2, sev_ord, check_ord, file, CAST(pos AS INTEGER), '- **' || "check" || '** · `' || file || '` — ' || detail
+FROM i""".replace("WITH files AS", "WITH files AS", 1))
+oracle("inbound_links", FULL + """
+SELECT target, count(DISTINCT src) AS n_inbound FROM links WHERE raw = target AND src <> target GROUP BY target""")
+oracle("hub_concepts", FULL + """
+SELECT target AS slug, count(DISTINCT src) AS n_inbound FROM links
+WHERE NOT is_daily AND src <> target AND target IN (SELECT slug FROM articles)
+GROUP BY target HAVING count(DISTINCT src) >= 4""")
+oracle("wanted_concepts", FULL + """
+SELECT target, count(*) AS n_mentions, count(DISTINCT src) AS n_articles FROM links
+WHERE NOT is_daily AND target NOT IN (SELECT slug FROM files) GROUP BY target""")

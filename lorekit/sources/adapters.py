@@ -50,7 +50,7 @@ def vault_from_documents(documents: DataFrame) -> DataFrame:
     ``[]`` every 19th, two values every 7th), ``sources`` (block list every 4th,
     a second source without ``.md`` every 3rd); the body is the document text
     followed by wikilinks to (7·id+3) mod (n + n div 20) (some do not exist),
-    (id+1) mod n with a label, itself every 23rd, and a daily log (day 31 is missing,
+    (id+1) mod n with a label (not every 8th), itself every 23rd, and a daily log (day 31 is missing,
     every 29th without ``.md``).
     """
     n = documents.agg(F.count(F.lit(1)).alias("n_docs"))
@@ -81,8 +81,9 @@ def vault_from_documents(documents: DataFrame) -> DataFrame:
             F.when(i % 3 == 0, F.concat(F.lit(", "), src2)).otherwise(F.lit("")), F.lit("]\n")))
     )
     links = F.concat(
-        F.lit("\n\n## Related Concepts\n\n- [["), _slug(t1), F.lit("]]\n- [["), _slug(t2),
-        F.lit("|Doc "), t2.cast("string"), F.lit("]]\n"),
+        F.lit("\n\n## Related Concepts\n\n- [["), _slug(t1), F.lit("]]\n"),
+        F.when(i % 8 != 0, F.concat(F.lit("- [["), _slug(t2), F.lit("|Doc "), t2.cast("string"), F.lit("]]\n")))
+        .otherwise(F.lit("")),
         F.when(i % 23 == 0, F.concat(F.lit("- [["), _slug(i), F.lit("]]\n"))).otherwise(F.lit("")),
         F.lit(f"- [[daily/{MONTH}-"), day_link,
         F.when(i % 29 == 0, F.lit("]]\n")).otherwise(F.lit(".md]]\n")),
