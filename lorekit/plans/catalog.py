@@ -147,3 +147,64 @@ def q_hub_concepts(spark, sf):
 def q_wanted_concepts(spark, sf):
     v = Vault(spark, sf)
     return lint.wanted_concepts(v["links"], v["knowledge_slugs"])
+
+
+# ── Registry and scope ────────────────────────────────────────────────
+
+SCOPE_PROJECT = "project-3"      # an alias, resolved through the registry
+CURRENT_PROJECT = "Src3"
+REGISTER_AS_OF = "2024-02-01"
+
+
+def _idents(v: Vault) -> DataFrame:
+    p = v["articles"].select(F.explode("projects").alias("ident"))
+    t = v["sections"].select(F.col("tag").alias("ident"))
+    return p.unionByName(t).distinct()
+
+
+@query("extract_sections")
+def q_extract_sections(spark, sf):
+    v = Vault(spark, sf)
+    return v["sections"].select("name", "header", "tag", "project", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("resolve_aliases")
+def q_resolve_aliases(spark, sf):
+    from lorekit.operators.scope import resolve_aliases
+    v = Vault(spark, sf)
+    return resolve_aliases(_idents(v), v["registry"])
+
+
+def _aliases_of(spark, v: Vault, ident: str) -> DataFrame:
+    from lorekit.operators.scope import resolve_aliases
+    return resolve_aliases(spark.createDataFrame([(ident,)], "ident string"), v["registry"])
+
+
+@query("filter_articles_by_project")
+def q_filter_articles_by_project(spark, sf):
+    from lorekit.operators.scope import filter_articles_by_project
+    v = Vault(spark, sf)
+    return filter_articles_by_project(v["articles"], _aliases_of(spark, v, SCOPE_PROJECT))
+
+
+@query("classify_scope")
+def q_classify_scope(spark, sf):
+    from lorekit.operators.scope import classify_scope
+    v = Vault(spark, sf)
+    return classify_scope(v["index_rows"], v["articles"], _aliases_of(spark, v, CURRENT_PROJECT)).select("slug", "scope")
+
+
+@query("stamp_project")
+def q_stamp_project(spark, sf):
+    from lorekit.operators.scope import stamp_project
+    v = Vault(spark, sf)
+    return stamp_project(v["sessions"], v["registry"]).select("session_id", "id", "name", "canonical")
+
+
+@query("register_projects")
+def q_register_projects(spark, sf):
+    from lorekit.operators.scope import register_projects, stamp_project
+    v = Vault(spark, sf)
+    r = register_projects(v["registry"], stamp_project(v["sessions"], v["registry"]), REGISTER_AS_OF)
+    return r.select(F.col("ord").cast("bigint").alias("ord"), "id", "name", "canonical",
+                    *_list_cols("aliases"), "root", "remote", "auto_registered", "notes")

@@ -28,6 +28,11 @@ class Vault(dict):
             "registry": lambda: A.registry_from_sources(self["documents"]),
             "sections": lambda: extract.extract_sections(self["dailies"], self["registry"]),
             "index_rows": lambda: extract.build_index(self["articles"]),
+            "sessions": lambda: A.sessions_from_conversations(self["conversations"]),
+            "turns": lambda: A.turns_from_conversations(self["conversations"]),
+            "observations": lambda: A.observations_from_events(self["events"]),
+            "candidates": lambda: A.candidates_from_events(self["events"]),
+            "findings": lambda: A.findings_from_documents(self["documents"]),
         }
 
     def __missing__(self, key: str) -> DataFrame:
