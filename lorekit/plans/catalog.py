@@ -208,3 +208,115 @@ def q_register_projects(spark, sf):
     r = register_projects(v["registry"], stamp_project(v["sessions"], v["registry"]), REGISTER_AS_OF)
     return r.select(F.col("ord").cast("bigint").alias("ord"), "id", "name", "canonical",
                     *_list_cols("aliases"), "root", "remote", "auto_registered", "notes")
+
+
+# ── Transcripts ───────────────────────────────────────────────────────
+
+CTX_TURNS, CTX_BUDGET = 4, 800
+
+
+@query("last_turns")
+def q_last_turns(spark, sf):
+    from lorekit.operators.transcripts import last_turns
+    return last_turns(Vault(spark, sf)["turns"], CTX_TURNS)
+
+
+@query("session_context")
+def q_session_context(spark, sf):
+    from lorekit.operators.transcripts import session_context
+    return session_context(Vault(spark, sf)["turns"], CTX_TURNS, CTX_BUDGET)
+
+
+@query("gate_sessions")
+def q_gate_sessions(spark, sf):
+    from lorekit.operators.transcripts import MIN_TURNS_COMPACT, gate_sessions, session_context
+    ctx = session_context(Vault(spark, sf)["turns"])
+    return gate_sessions(ctx, MIN_TURNS_COMPACT).select("session_id", "n_turns")
+
+
+# ── Secrets and findings ──────────────────────────────────────────────
+
+FINDING_GLOBS = ("docs/src1/*", "docs/src1?/*")
+
+
+@query("redact")
+def q_redact(spark, sf):
+    from lorekit.functions.text import redact
+    d = Vault(spark, sf)["documents"]
+    r = d.select("doc_id", "text", redact("text").alias("redacted"))
+    return r.where(F.col("redacted") != F.col("text")).select("doc_id", "redacted")
+
+
+@query("secret_findings")
+def q_secret_findings(spark, sf):
+    from lorekit.operators.secrets import secret_findings
+    return secret_findings(Vault(spark, sf)["documents"])
+
+
+def _findings(v: Vault) -> DataFrame:
+    return v["findings"].select("file", "line", "title", "category", "severity", "hit_pos")
+
+
+@query("findings_from_documents")
+def q_findings(spark, sf):
+    return _findings(Vault(spark, sf))
+
+
+@query("severity_counts")
+def q_severity_counts(spark, sf):
+    from lorekit.operators.secrets import severity_counts
+    return severity_counts(_findings(Vault(spark, sf)))
+
+
+@query("ignore_findings")
+def q_ignore_findings(spark, sf):
+    from lorekit.operators.secrets import ignore_findings
+    return ignore_findings(_findings(Vault(spark, sf)), FINDING_GLOBS)
+
+
+@query("critical_alerts")
+def q_critical_alerts(spark, sf):
+    from lorekit.operators.secrets import critical_alerts
+    f = _findings(Vault(spark, sf)).withColumn("scan", F.regexp_extract("file", r"^(docs/[^/]+)/", 1))
+    return critical_alerts(f, "scan")
+
+
+# ── Observations ──────────────────────────────────────────────────────
+
+OBS_AS_OF = "2024-01-30 12:00:00"
+HINT_THRESHOLD, HINT_INTERVAL = 20, 10
+THROTTLE_SECONDS = 6 * 3600
+
+
+@query("running_tool_calls")
+def q_running_tool_calls(spark, sf):
+    from lorekit.operators.observations import running_tool_calls
+    return running_tool_calls(Vault(spark, sf)["observations"]).select("session_id", "seq", "tool_call_num")
+
+
+@query("compact_hints")
+def q_compact_hints(spark, sf):
+    from lorekit.operators.observations import compact_hints, running_tool_calls
+    c = running_tool_calls(Vault(spark, sf)["observations"])
+    return compact_hints(c, HINT_THRESHOLD, HINT_INTERVAL).select("session_id", "seq", "tool_call_num")
+
+
+@query("filter_recent")
+def q_filter_recent(spark, sf):
+    from lorekit.operators.observations import filter_recent, gate_min_count
+    r = filter_recent(Vault(spark, sf)["observations"], OBS_AS_OF)
+    return gate_min_count(r).select("session_id", "seq", "event", "tool")
+
+
+@query("observation_tail")
+def q_observation_tail(spark, sf):
+    from lorekit.operators.observations import filter_recent, gate_min_count, observation_tail
+    r = gate_min_count(filter_recent(Vault(spark, sf)["observations"], OBS_AS_OF))
+    return observation_tail(r).select("seq", "line")
+
+
+@query("throttle")
+def q_throttle(spark, sf):
+    from lorekit.operators.observations import throttle
+    t = throttle(Vault(spark, sf)["observations"], "session_id", THROTTLE_SECONDS)
+    return t.select("session_id", "seq")

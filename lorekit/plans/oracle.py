@@ -486,3 +486,120 @@ SELECT (SELECT max(ord) FROM registry) + 1, id, coalesce(name, 'unknown'),
 FROM (SELECT id, arg_min(name, session_id) AS name, arg_min(root, session_id) AS root,
              arg_min(remote, session_id) AS remote
       FROM stamped WHERE id IS NOT NULL AND id <> 'shared' AND id NOT IN (SELECT id FROM registry) GROUP BY id)""")
+
+
+# ── Transcripts ───────────────────────────────────────────────────────
+
+TURNS_CTE = f"""
+turns AS (
+  SELECT conv_id AS session_id, turn AS seq, role, {strip('text')} AS text FROM conversations
+  WHERE role IN ('user', 'assistant') AND {strip('text')} <> ''
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS rk FROM turns)"""
+
+
+def context_sql(n: int, budget: int) -> str:
+    tail = f"right(ctx_all, {budget})"
+    b = f"strpos({tail}, {NL} || '**')"
+    return f"""
+SELECT session_id, n_turns,
+  CASE WHEN length(ctx_all) > {budget} THEN (CASE WHEN {b} > 1 THEN substr({tail}, {b} + 1) ELSE {tail} END)
+       ELSE ctx_all END AS context
+FROM (SELECT session_id, count(*) AS n_turns,
+        string_agg('**' || CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ':** ' || text || {NL},
+                   {NL} ORDER BY seq) AS ctx_all
+      FROM ranked WHERE rk <= {n} GROUP BY session_id)"""
+
+
+oracle("last_turns", with_(TURNS_CTE) + "SELECT session_id, seq, role, text FROM ranked WHERE rk <= 4")
+oracle("session_context", with_(TURNS_CTE) + context_sql(4, 800))
+oracle("gate_sessions", with_(TURNS_CTE) + f"""
+SELECT session_id, n_turns FROM ({context_sql(30, 15000)}) c
+WHERE {strip('context')} <> '' AND n_turns >= 5""")
+
+# ── Secrets and findings ──────────────────────────────────────────────
+
+FINDINGS_CTE = f"""
+dl AS (
+  SELECT doc_id, source, CAST(pos - 1 AS BIGINT) AS pos, line
+  FROM (SELECT doc_id, source, {lines('text')} AS arr FROM documents WHERE regexp_matches(text, {rx(SECRET)})) d,
+       unnest(d.arr) WITH ORDINALITY AS u(line, pos)
+  WHERE regexp_matches(line, {rx(SECRET)})
+),
+findings AS (
+  SELECT 'docs/' || source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS file, CAST(pos + 1 AS BIGINT) AS line,
+         'Secret: ' || lower(kw) AS title, 'secrets' AS category,
+         CASE doc_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' END AS severity,
+         CAST(hp - 1 AS BIGINT) AS hit_pos
+  FROM dl, unnest(regexp_extract_all(line, {rx(SECRET)}, 1)) WITH ORDINALITY AS u(kw, hp)
+)"""
+
+oracle("redact", f"""
+SELECT doc_id, redacted FROM (
+  SELECT doc_id, text, regexp_replace(text, {rx(SECRET)}, '\\1\\2\\3[REDACTED]', 'g') AS redacted FROM documents)
+WHERE redacted <> text""")
+oracle("secret_findings", f"""
+SELECT doc_id, CAST(o - 1 AS BIGINT) AS ordinal, kws[o] AS keyword, ms[o] AS match
+FROM (SELECT doc_id, regexp_extract_all(text, {rx(SECRET)}, 1) AS kws, regexp_extract_all(text, {rx(SECRET)}, 0) AS ms
+      FROM documents WHERE regexp_matches(text, {rx(SECRET)})) d,
+     range(1, len(d.kws) + 1) AS r(o)""")
+oracle("findings_from_documents", with_(FINDINGS_CTE) + "SELECT * FROM findings")
+oracle("severity_counts", with_(FINDINGS_CTE) + """
+SELECT coalesce(severity, 'unknown') AS severity, count(*) AS n FROM findings GROUP BY 1""")
+oracle("ignore_findings", with_(FINDINGS_CTE) + """
+SELECT * FROM findings WHERE coalesce(file, '') = ''
+   OR NOT (regexp_matches(ltrim(file, '/'), '^docs/src1/.*$') OR regexp_matches(ltrim(file, '/'), '^docs/src1./.*$'))""")
+oracle("critical_alerts", with_(FINDINGS_CTE) + """,
+c AS (SELECT *, regexp_extract(file, '^(docs/[^/]+)/', 1) AS scan,
+             row_number() OVER (PARTITION BY regexp_extract(file, '^(docs/[^/]+)/', 1) ORDER BY file, line, hit_pos) AS rank,
+             count(*) OVER (PARTITION BY regexp_extract(file, '^(docs/[^/]+)/', 1)) AS n_critical
+      FROM findings WHERE severity = 'critical')
+SELECT scan, CAST(rank AS BIGINT) AS rank,
+       '- **' || coalesce(title, 'untitled') || '** (' || coalesce(category, '-') || ') — '
+       || CASE WHEN line IS NOT NULL AND line <> 0 THEN coalesce(file, '?') || ':' || CAST(line AS VARCHAR)
+               ELSE coalesce(file, '?') END AS line
+FROM c WHERE rank <= 10
+UNION ALL
+SELECT scan, 11, '- … and ' || CAST(n_critical - 10 AS VARCHAR) || ' more critical findings' FROM c
+WHERE rank = 1 AND n_critical > 10""")
+
+# ── Observations ──────────────────────────────────────────────────────
+
+OBS_CTE = """
+obs AS (
+  SELECT ts, event_id AS seq, 'u' || CAST(user_id AS VARCHAR) AS session_id,
+         'Src' || CAST(user_id % 20 AS VARCHAR) AS project,
+         CASE WHEN event_type = 'error' THEN 'post' ELSE 'pre' END AS event, event_type AS tool,
+         CASE WHEN event_type <> 'error' THEN 'k=' || json_extract_string(props, '$.k') END AS input_summary,
+         CASE WHEN event_type = 'error' THEN false END AS success,
+         CASE WHEN event_type = 'error' THEN 'error k=' || json_extract_string(props, '$.k') END AS error
+  FROM events
+),
+calls AS (
+  SELECT session_id, seq, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS BIGINT) AS tool_call_num
+  FROM obs WHERE event = 'pre'
+),
+recent AS (
+  SELECT * FROM obs WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 24 HOUR
+     AND (SELECT count(*) FROM obs WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 24 HOUR) >= 20
+)"""
+
+oracle("running_tool_calls", with_(OBS_CTE) + "SELECT * FROM calls")
+oracle("compact_hints", with_(OBS_CTE) + """
+SELECT * FROM calls WHERE tool_call_num = 20 OR (tool_call_num > 20 AND (tool_call_num - 20) % 10 = 0)""")
+oracle("filter_recent", with_(OBS_CTE) + "SELECT session_id, seq, event, tool FROM recent")
+oracle("observation_tail", with_(OBS_CTE) + """
+SELECT seq, '[' || substr(coalesce(session_id, '?'), 1, 8) || '/' || coalesce(nullif(project, ''), '-') || '] '
+  || CASE WHEN event = 'pre' THEN 'PRE ' || coalesce(tool, '-') || ': ' || substr(coalesce(input_summary, ''), 1, 140)
+          ELSE 'POST ' || coalesce(tool, '-') || ': ERR ' || substr(coalesce(nullif(error, ''), 'error'), 1, 80) END AS line
+FROM (SELECT * FROM recent ORDER BY ts DESC, seq DESC LIMIT 200)
+WHERE event = 'pre' OR (event = 'post' AND NOT coalesce(success, true))""")
+oracle("throttle", "WITH RECURSIVE " + with_(OBS_CTE)[len("WITH "):] + """,
+e AS (SELECT session_id, ts, seq, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS rn FROM obs),
+nx AS (SELECT a.session_id, a.rn, min(b.rn) AS nrn FROM e a JOIN e b
+       ON a.session_id = b.session_id AND b.ts >= a.ts + INTERVAL 6 HOUR GROUP BY a.session_id, a.rn),
+acc(session_id, rn) AS (
+  SELECT session_id, 1 FROM e GROUP BY session_id
+  UNION ALL
+  SELECT nx.session_id, nx.nrn FROM acc JOIN nx ON acc.session_id = nx.session_id AND acc.rn = nx.rn)
+SELECT e.session_id, e.seq FROM acc JOIN e ON acc.session_id = e.session_id AND acc.rn = e.rn""")
