@@ -320,3 +320,116 @@ def q_throttle(spark, sf):
     from lorekit.operators.observations import throttle
     t = throttle(Vault(spark, sf)["observations"], "session_id", THROTTLE_SECONDS)
     return t.select("session_id", "seq")
+
+
+# ── Instincts ─────────────────────────────────────────────────────────
+
+SPLIT_DATE = "2024-01-11"
+PRUNE_AS_OF = "2024-02-09 00:00:00"
+
+
+def _instincts(v: Vault):
+    """Two upsert passes: proposals before SPLIT_DATE build the existing table,
+    the rest are applied to it."""
+    from lorekit.operators.instincts import merge_evidence, upsert_instincts
+    c = v["candidates"]
+    first, ev1 = upsert_instincts(None, c.where(F.col("date") < SPLIT_DATE))
+    final, ev2 = upsert_instincts(first, c.where(F.col("date") >= SPLIT_DATE))
+    return final, merge_evidence(ev1, ev2)
+
+
+def _fmt_dates(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, F.date_format(c, "yyyy-MM-dd"))
+    return df
+
+
+@query("parse_yaml_blocks")
+def q_parse_yaml_blocks(spark, sf):
+    from lorekit.operators.instincts import parse_yaml_blocks
+    from lorekit.sources.adapters import proposals_from_candidates
+    p = parse_yaml_blocks(proposals_from_candidates(Vault(spark, sf)["candidates"]))
+    return p.withColumn("confidence", F.col("confidence").cast("decimal(6,2)"))
+
+
+@query("upsert_instincts")
+def q_upsert_instincts(spark, sf):
+    inst, ev = _instincts(Vault(spark, sf))
+    n_ev = ev.groupBy("key").agg(F.count(F.lit(1)).alias("n_evidence"))
+    out = inst.join(n_ev, "key", "left").select(
+        "key", "trigger", "action", "domain", "confidence", "source", "evidence_count", "created", "last_seen",
+        "updated", F.coalesce("n_evidence", F.lit(0)).cast("bigint").alias("n_evidence"))
+    return _fmt_dates(out, "created", "last_seen", "updated")
+
+
+@query("list_instincts")
+def q_list_instincts(spark, sf):
+    from lorekit.operators.instincts import list_instincts
+    inst, _ = _instincts(Vault(spark, sf))
+    return list_instincts(inst, "src3", "view", 0.5).select("key", "confidence")
+
+
+@query("top_instincts")
+def q_top_instincts(spark, sf):
+    from lorekit.operators.instincts import top_instincts
+    inst, _ = _instincts(Vault(spark, sf))
+    return top_instincts(inst).select("key", "line")
+
+
+@query("prune_instincts")
+def q_prune_instincts(spark, sf):
+    """Prune the table as it stood after the first pass."""
+    from lorekit.operators.instincts import prune_instincts, upsert_instincts
+    c = Vault(spark, sf)["candidates"]
+    first, _ = upsert_instincts(None, c.where(F.col("date") < SPLIT_DATE))
+    return prune_instincts(first, PRUNE_AS_OF)
+
+
+@query("resolve_instinct")
+def q_resolve_instinct(spark, sf):
+    from lorekit.operators.instincts import resolve_instinct
+    v = Vault(spark, sf)
+    inst, _ = _instincts(v)
+    t = v["events"].select("event_type").distinct()
+    prefixes = t.select(F.col("event_type").alias("prefix")).unionByName(
+        t.select(F.concat("event_type", F.lit("-1")).alias("prefix")))
+    return resolve_instinct(inst, prefixes)
+
+
+@query("render_instincts")
+def q_render_instincts(spark, sf):
+    from lorekit.operators.instincts import render_instincts
+    inst, _ = _instincts(Vault(spark, sf))
+    return render_instincts(inst)
+
+
+def _clusters(v: Vault):
+    from lorekit.operators.instincts import parse_cluster_json
+    from lorekit.sources.adapters import cluster_proposals_from_instincts
+    inst, ev = _instincts(v)
+    return inst, ev, parse_cluster_json(cluster_proposals_from_instincts(inst))
+
+
+@query("parse_cluster_json")
+def q_parse_cluster_json(spark, sf):
+    _, _, c = _clusters(Vault(spark, sf))
+    return c.select("response_id", "cluster", "canonical_id", *_list_cols("duplicate_ids"),
+                    "merged_trigger", "merged_action", "merged_domain")
+
+
+@query("merge_clusters")
+def q_merge_clusters(spark, sf):
+    from lorekit.operators.instincts import merge_clusters
+    inst, ev, c = _clusters(Vault(spark, sf))
+    merged, _ = merge_clusters(inst, ev, c)
+    out = merged.select("key", F.col("n_members").cast("bigint").alias("n_members"), "trigger", "action", "domain",
+                        "confidence", "evidence_count", *_list_cols("projects"), "created", "last_seen")
+    return _fmt_dates(out, "created", "last_seen")
+
+
+@query("merge_clusters_deleted")
+def q_merge_clusters_deleted(spark, sf):
+    from lorekit.operators.instincts import merge_clusters
+    inst, ev, c = _clusters(Vault(spark, sf))
+    _, deleted = merge_clusters(inst, ev, c)
+    return deleted.select("key")

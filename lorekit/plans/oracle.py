@@ -603,3 +603,141 @@ acc(session_id, rn) AS (
   UNION ALL
   SELECT nx.session_id, nx.nrn FROM acc JOIN nx ON acc.session_id = nx.session_id AND acc.rn = nx.rn)
 SELECT e.session_id, e.seq FROM acc JOIN e ON acc.session_id = e.session_id AND acc.rn = e.rn""")
+
+
+# ── Instincts ─────────────────────────────────────────────────────────
+
+def slugify(x: str) -> str:
+    s = f"lower({x})"
+    s = strip(s)
+    s = f"regexp_replace({s}, '[^\\w\\s-]', '', 'g')"
+    s = f"regexp_replace({s}, '[\\s_]+', '-', 'g')"
+    s = f"regexp_replace({s}, '-+', '-', 'g')"
+    return f"regexp_replace({s}, '^-+|-+$', '', 'g')"
+
+
+def initcap(x: str) -> str:
+    return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
+
+
+INSTINCT_CTE = f"""
+cand AS (
+  SELECT event_type || '-' || CAST(b AS VARCHAR) AS id,
+         'when ' || event_type || ' in bucket ' || CAST(b AS VARCHAR) AS trigger,
+         'review ' || event_type || ' ' || CAST(day(date) AS VARCHAR) AS action,
+         CASE WHEN b % 4 = 0 THEN NULL ELSE event_type END AS domain,
+         CASE WHEN (b + day(date)) % 3 = 0 THEN NULL
+              ELSE CAST(((b * 13 + day(date) * 7) % 100) / 100 AS DECIMAL(4,2)) END AS confidence,
+         'seen ' || CAST(n AS VARCHAR) || ' events' AS evidence, ts, date
+  FROM (SELECT event_type, user_id % 20 AS b, CAST(ts AS DATE) AS date, min(ts) AS ts, count(*) AS n
+        FROM events GROUP BY 1, 2, 3)
+),
+ck AS (
+  SELECT CASE WHEN substr({slugify('id')}, 1, 60) <> '' THEN substr({slugify('id')}, 1, 60)
+              WHEN substr({slugify('trigger')}, 1, 60) <> '' THEN substr({slugify('trigger')}, 1, 60)
+              ELSE 'unnamed' END AS key,
+         trigger, action, domain, CAST(round(coalesce(CAST(confidence AS DOUBLE), 0.3), 2) AS DECIMAL(6,2)) AS conf,
+         coalesce(evidence, 'observed in session') AS note, ts, CAST(ts AS DATE) AS date
+  FROM cand
+),
+ig AS (
+  SELECT key, count(*) AS n, arg_min(conf, ts) AS c1, arg_max(trigger, ts) AS trigger, arg_max(action, ts) AS action,
+         arg_max(domain, ts) FILTER (WHERE domain IS NOT NULL) AS domain_new, min(date) AS created,
+         max(date) AS last_seen,
+         count(DISTINCT '- ' || strftime(date, '%Y-%m-%d') || ': ' || note) AS n_evidence
+  FROM ck GROUP BY key
+),
+inst AS (
+  SELECT key, trigger, action, coalesce(domain_new, 'general') AS domain,
+         CAST(CASE WHEN n = 1 THEN c1 ELSE least(CAST(0.90 AS DECIMAL(6,2)), c1 + CAST(0.10 AS DECIMAL(6,2)) * (n - 1)) END
+              AS DECIMAL(6,2)) AS confidence,
+         'session-observation' AS source, CAST(n AS BIGINT) AS evidence_count, created, last_seen,
+         last_seen AS updated, CAST(n_evidence AS BIGINT) AS n_evidence
+  FROM ig
+),
+cgroups AS (
+  SELECT domain, g3, list(key ORDER BY key) AS keys,
+         row_number() OVER (PARTITION BY domain ORDER BY g3) - 1 AS cluster
+  FROM (SELECT key, domain, CAST(regexp_extract(key, '-(\\d+)$', 1) AS INTEGER) % 3 AS g3 FROM inst)
+  GROUP BY domain, g3
+),
+clusters AS (
+  SELECT domain AS response_id, CAST(cluster AS BIGINT) AS cluster, keys[1] AS canonical_id,
+         list_concat(CASE WHEN g3 = 1 THEN [keys[1]] ELSE []::VARCHAR[] END, keys[2:],
+                     CASE WHEN g3 = 2 THEN ['ghost-' || domain] ELSE []::VARCHAR[] END) AS duplicate_ids,
+         CASE WHEN g3 = 0 THEN 'merged ' || domain END AS merged_trigger, NULL::VARCHAR AS merged_action,
+         CASE WHEN g3 = 0 THEN 'merged' END AS merged_domain
+  FROM cgroups
+),
+valid AS (SELECT * FROM clusters WHERE len(duplicate_ids) >= 2),
+members AS (
+  SELECT v.response_id, v.cluster, v.canonical_id, u.m - 1 AS m, u.key
+  FROM valid v, unnest(list_concat([v.canonical_id], list_filter(v.duplicate_ids, lambda d: d <> v.canonical_id)))
+       WITH ORDINALITY AS u(key, m)
+),
+okc AS (
+  SELECT response_id, cluster, count(*) AS n_members FROM members m
+  GROUP BY response_id, cluster
+  HAVING count(*) FILTER (WHERE m.key NOT IN (SELECT key FROM inst)) = 0 AND count(*) >= 2
+)"""
+
+INST = with_(INSTINCT_CTE)
+
+oracle("parse_yaml_blocks", INST + """
+SELECT strftime(date, '%Y-%m-%d') AS response_id,
+       CAST(row_number() OVER (PARTITION BY date ORDER BY id) - 1 AS BIGINT) AS block,
+       id, trigger, action, domain, CAST(confidence AS DECIMAL(6,2)) AS confidence, evidence
+FROM cand""")
+oracle("upsert_instincts", INST + """
+SELECT key, trigger, action, domain, confidence, source, evidence_count, strftime(created, '%Y-%m-%d') AS created,
+       strftime(last_seen, '%Y-%m-%d') AS last_seen, strftime(updated, '%Y-%m-%d') AS updated, n_evidence
+FROM inst""")
+oracle("list_instincts", INST + "SELECT key, confidence FROM inst WHERE lower(domain) = 'view' AND confidence >= 0.5")
+oracle("top_instincts", INST + """
+SELECT key, '| ' || substr(coalesce(nullif(trigger, ''), '-'), 1, 60) || ' | ' || substr(coalesce(nullif(action, ''), '-'), 1, 60)
+  || ' | ' || substr(coalesce(nullif(domain, ''), '-'), 1, 18) || ' | '
+  || regexp_replace(CAST(confidence AS VARCHAR), '(\\.\\d)0$', '\\1') || ' | ' || strftime(last_seen, '%Y-%m-%d') || ' |' AS line
+FROM inst WHERE confidence >= 0.5""")
+INST_PASS1 = with_(INSTINCT_CTE.replace("  FROM cand\n),\nig AS", "  FROM cand WHERE date < DATE '2024-01-11'\n),\nig AS"))
+assert INST_PASS1 != INST
+oracle("prune_instincts", INST_PASS1 + """
+SELECT key, reason FROM (
+  SELECT key, CASE WHEN confidence < 0.3 THEN 'confidence=' || printf('%.2f', confidence) || '<0.3'
+                   WHEN CAST(last_seen AS TIMESTAMP) < TIMESTAMP '2024-02-09 00:00:00' - INTERVAL 30 DAY
+                   THEN 'last_seen=' || strftime(last_seen, '%Y-%m-%d') || ' >30d ago' END AS reason
+  FROM inst) WHERE reason IS NOT NULL""")
+oracle("resolve_instinct", INST + """,
+p AS (SELECT DISTINCT event_type AS prefix FROM events UNION SELECT DISTINCT event_type || '-1' FROM events)
+SELECT prefix, coalesce(max(key) FILTER (WHERE key = prefix), min(key)) AS key
+FROM p JOIN inst ON starts_with(inst.key, p.prefix) GROUP BY prefix""")
+
+
+def _scalar(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, '[:#\\[\\]]') THEN '\"' || {x} || '\"' ELSE {x} END"
+
+
+oracle("render_instincts", INST + f"""
+SELECT key, concat_ws(chr(10), '---', 'id: ' || {_scalar('key')}, 'type: instinct', 'trigger: ' || {_scalar('trigger')},
+  'action: ' || {_scalar('action')}, 'domain: ' || {_scalar('domain')},
+  'confidence: ' || regexp_replace(CAST(confidence AS VARCHAR), '(\\.\\d)0$', '\\1'), 'projects: [shared]',
+  'source: ' || {_scalar('source')}, 'evidence_count: ' || CAST(evidence_count AS VARCHAR),
+  'created: ' || strftime(created, '%Y-%m-%d'), 'last_seen: ' || strftime(last_seen, '%Y-%m-%d'),
+  'updated: ' || strftime(updated, '%Y-%m-%d'), '---', '# ' || {initcap("replace(key, '-', ' ')")}) AS text
+FROM inst""")
+oracle("parse_cluster_json", INST + """
+SELECT response_id, cluster, canonical_id, array_to_string(duplicate_ids, ' | ') AS duplicate_ids_list,
+       CAST(len(duplicate_ids) AS BIGINT) AS n_duplicate_ids, merged_trigger, merged_action, merged_domain
+FROM valid""")
+oracle("merge_clusters", INST + """
+SELECT v.canonical_id AS key, CAST(o.n_members AS BIGINT) AS n_members,
+       coalesce(nullif(v.merged_trigger, ''), c.trigger) AS trigger, coalesce(nullif(v.merged_action, ''), c.action) AS action,
+       coalesce(nullif(v.merged_domain, ''), c.domain, 'general') AS domain,
+       agg.confidence, agg.evidence_count, 'shared' AS projects_list, CAST(1 AS BIGINT) AS n_projects,
+       strftime(agg.created, '%Y-%m-%d') AS created, strftime(agg.last_seen, '%Y-%m-%d') AS last_seen
+FROM valid v JOIN okc o USING (response_id, cluster)
+JOIN inst c ON c.key = v.canonical_id
+JOIN (SELECT m.response_id, m.cluster, max(i.confidence) AS confidence, CAST(sum(i.evidence_count) AS BIGINT) AS evidence_count,
+             min(i.created) AS created, max(i.last_seen) AS last_seen
+      FROM members m JOIN inst i ON i.key = m.key GROUP BY m.response_id, m.cluster) agg USING (response_id, cluster)""")
+oracle("merge_clusters_deleted", INST + """
+SELECT m.key FROM members m JOIN okc o USING (response_id, cluster) WHERE m.m > 0""")
