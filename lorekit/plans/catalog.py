@@ -433,3 +433,86 @@ def q_merge_clusters_deleted(spark, sf):
     inst, ev, c = _clusters(Vault(spark, sf))
     _, deleted = merge_clusters(inst, ev, c)
     return deleted.select("key")
+
+
+# ── Daily logs ────────────────────────────────────────────────────────
+
+POINTER_AS_OF = "2024-01-31 10:00:00"
+
+
+@query("section_counts")
+def q_section_counts(spark, sf):
+    from lorekit.operators.dailies import scoped_headers, section_counts
+    v = Vault(spark, sf)
+    return section_counts(scoped_headers(v["dailies"], v["registry"]))
+
+
+@query("daily_projects")
+def q_daily_projects(spark, sf):
+    from lorekit.operators.dailies import daily_projects
+    return daily_projects(Vault(spark, sf)["sections"]).select("name", *_list_cols("projects"))
+
+
+@query("pending_dailies")
+def q_pending_dailies(spark, sf):
+    from lorekit.operators.dailies import pending_dailies
+    v = Vault(spark, sf)
+    return pending_dailies(v["dailies"], v["state"])
+
+
+@query("autocompile_due")
+def q_autocompile_due(spark, sf):
+    """Check at each session's last event: is that day's daily due?"""
+    from lorekit.operators.dailies import autocompile_due
+    v = Vault(spark, sf)
+    checks = v["events"].groupBy("user_id", F.to_date("ts").alias("d")).agg(F.max("ts").alias("at"))
+    return autocompile_due(checks, v["dailies"], v["state"]).select("user_id", "name")
+
+
+@query("render_daily")
+def q_render_daily(spark, sf):
+    from lorekit.operators.dailies import render_daily
+    v = Vault(spark, sf)
+    f = v["events"].groupBy("user_id", F.to_date("ts").alias("d")).agg(
+        F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
+    f = f.select("ts", F.concat(F.lit("Src"), (F.col("user_id") % 20).cast("string")).alias("canonical"),
+                 F.concat(F.col("n").cast("string"), F.lit(" tool events")).alias("body"))
+    r = render_daily(f)
+    return r.select("name", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "text")
+
+
+@query("latest_daily_pointer")
+def q_latest_daily_pointer(spark, sf):
+    from lorekit.operators.dailies import latest_daily_pointer
+    v = Vault(spark, sf)
+    return latest_daily_pointer(v["dailies"], v["registry"], POINTER_AS_OF)
+
+
+# ── Attribution ───────────────────────────────────────────────────────
+
+def _attribution(v: Vault):
+    from lorekit.operators.attribution import attribute_articles, narrow_by_mention
+    from lorekit.operators.extract import extract_sources
+    derived = attribute_articles(v["articles"], extract_sources(v["articles"]), v["sections"])
+    return derived, narrow_by_mention(v["articles"], derived, v["registry"])
+
+
+@query("attribute_articles")
+def q_attribute_articles(spark, sf):
+    d, _ = _attribution(Vault(spark, sf))
+    return d.select("slug", *_list_cols("derived"))
+
+
+@query("narrow_by_mention")
+def q_narrow_by_mention(spark, sf):
+    _, n = _attribution(Vault(spark, sf))
+    return n.select("slug", *_list_cols("narrowed"))
+
+
+@query("backfill_projects")
+def q_backfill_projects(spark, sf):
+    from lorekit.operators.attribution import backfill_projects
+    v = Vault(spark, sf)
+    d, n = _attribution(v)
+    b = backfill_projects(v["articles"], d, n, v["links"])
+    return b.select("slug", "kind", *_list_cols("existing"), *_list_cols("projects"))

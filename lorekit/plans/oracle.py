@@ -87,6 +87,7 @@ files AS (
             ELSE 'sources: [daily/2024-01-' || {dd('i % 30 + 1')} || '.md'
               || CASE WHEN i % 3 = 0 THEN ', daily/2024-01-' || {dd('(i + 7) % 31 + 1')} ELSE '' END || ']' || {NL} END
     || 'updated: 2024-02-01' || {NL} || '---' || {NL} || {NL} || text
+    || CASE WHEN i % 6 = 0 THEN {NL} || {NL} || 'See also ' || source || ' notes.' ELSE '' END
     || {NL} || {NL} || '## Related Concepts' || {NL} || {NL}
     || '- [[' || {slug('((i * 7 + 3) % (n + n // 20))')} || ']]' || {NL}
     || CASE WHEN i % 8 <> 0 THEN '- [[' || {slug('((i + 1) % n)')} || '|Doc ' || CAST((i + 1) % n AS VARCHAR) || ']]' || {NL}
@@ -741,3 +742,161 @@ JOIN (SELECT m.response_id, m.cluster, max(i.confidence) AS confidence, CAST(sum
       FROM members m JOIN inst i ON i.key = m.key GROUP BY m.response_id, m.cluster) agg USING (response_id, cluster)""")
 oracle("merge_clusters_deleted", INST + """
 SELECT m.key FROM members m JOIN okc o USING (response_id, cluster) WHERE m.m > 0""")
+
+
+# ── Daily logs ────────────────────────────────────────────────────────
+
+SCOPED_CTE = f"""
+hs AS (
+  SELECT name, pos, {strip('substr(line, 5)')} AS header,
+         lower(CASE WHEN regexp_extract(rtrim_ws, {rx(TAG_AT_END)}, 1) <> '' THEN regexp_extract(rtrim_ws, {rx(TAG_AT_END)}, 1)
+                    WHEN regexp_extract(rtrim_ws, {rx(TAG_BEFORE_PAREN)}, 1) <> ''
+                      THEN regexp_extract(rtrim_ws, {rx(TAG_BEFORE_PAREN)}, 1) END) AS tag
+  FROM (SELECT *, regexp_replace(line, '\\s+$', '') AS rtrim_ws FROM dlines WHERE starts_with(line, '### '))
+),
+rn2 AS (SELECT n.alias_lc, r.canonical FROM rnames n JOIN registry r ON r.ord = n.ord),
+scoped AS (
+  SELECT name, pos, header, NULL::VARCHAR AS project FROM hs WHERE tag IS NULL OR tag IN ('shared', 'all')
+  UNION ALL
+  SELECT DISTINCT h.name, h.pos, h.header, r.canonical FROM hs h JOIN rn2 r ON r.alias_lc = h.tag
+  WHERE h.tag IS NOT NULL AND h.tag NOT IN ('shared', 'all')
+  UNION ALL
+  SELECT name, pos, header, tag FROM hs
+  WHERE tag IS NOT NULL AND tag NOT IN ('shared', 'all') AND tag NOT IN (SELECT alias_lc FROM rn2)
+)"""
+
+FULL3 = with_(FILES, ARTICLES, LINKS, DAILIES, STATE, REGISTRY, FRONTMATTER_CTE, SOURCES_CTE, KNOWN_CTE,
+              SECTIONS_CTE, SCOPED_CTE)
+
+oracle("section_counts", FULL3 + """
+SELECT name, project, count(*) AS n_sessions, arg_max(header, pos) AS last_header FROM scoped GROUP BY name, project""")
+oracle("daily_projects", FULL3 + """
+SELECT name, array_to_string(list(DISTINCT project ORDER BY project), ' | ') AS projects_list,
+       CAST(count(DISTINCT project) AS BIGINT) AS n_projects FROM sections GROUP BY name""")
+PENDING = f"""(SELECT d.name FROM dailies d LEFT JOIN state s ON s.name = d.name
+   WHERE s.hash IS DISTINCT FROM {sha16('d.content')})"""
+oracle("pending_dailies", FULL3 + "SELECT name FROM " + PENDING + " p")
+oracle("autocompile_due", FULL3 + f"""
+SELECT user_id, name FROM (
+  SELECT user_id, strftime(max(ts), '%Y-%m-%d') || '.md' AS name, hour(max(ts)) AS h
+  FROM events GROUP BY user_id, CAST(ts AS DATE))
+WHERE h >= 18 AND name IN {PENDING}""")
+oracle("render_daily", """
+WITH f AS (SELECT max(ts) AS ts, 'Src' || CAST(user_id % 20 AS VARCHAR) AS canonical,
+                  CAST(count(*) AS VARCHAR) || ' tool events' AS body
+           FROM events GROUP BY user_id, CAST(ts AS DATE))
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') || '.md' AS name, NULL::VARCHAR AS ts,
+       '# Daily Log: ' || strftime(CAST(ts AS DATE), '%d.%m.%Y') || chr(10) || chr(10) || '## Sessions' || chr(10) AS text
+FROM f GROUP BY CAST(ts AS DATE)
+UNION ALL
+SELECT strftime(ts, '%Y-%m-%d') || '.md', strftime(ts, '%Y-%m-%d %H:%M:%S.%f'),
+       chr(10) || '### Session (' || strftime(ts, '%H:%M') || ') — ' || canonical || chr(10) || chr(10) || body || chr(10)
+FROM f""")
+oracle("latest_daily_pointer", FULL3.replace("dlines AS (\n  SELECT name,", "dlines AS (\n  SELECT name,") + """,
+pick AS (SELECT arg_max(name, date) AS name, max(date) AS date FROM dailies
+         WHERE date IN (DATE '2024-01-31', DATE '2024-01-30')),
+sc AS (SELECT * FROM scoped WHERE name = (SELECT name FROM pick)),
+per AS (SELECT project, count(*) AS n, arg_max(header, pos) AS lh, max(pos) AS lp FROM sc WHERE project IS NOT NULL GROUP BY project),
+uni AS (SELECT count(*) AS n_u, arg_max(header, pos) AS uh, max(pos) AS up FROM sc WHERE project IS NULL)
+SELECT r.canonical AS project, (SELECT name FROM pick) AS name,
+       CASE WHEN (SELECT date FROM pick) = DATE '2024-01-31' THEN 'today' ELSE 'yesterday' END AS label,
+       CAST(coalesce(per.n, 0) + coalesce(uni.n_u, 0) AS BIGINT) AS n_sessions,
+       CASE WHEN coalesce(per.n, 0) + coalesce(uni.n_u, 0) = 0 THEN NULL
+            WHEN per.lh IS NULL THEN uni.uh WHEN uni.uh IS NULL THEN per.lh
+            WHEN per.lp > uni.up THEN per.lh ELSE uni.uh END AS last_header
+FROM (SELECT DISTINCT canonical FROM registry WHERE canonical <> 'Shared') r
+LEFT JOIN per ON per.project = r.canonical CROSS JOIN uni
+WHERE (SELECT name FROM pick) IS NOT NULL""")
+
+# ── Attribution ───────────────────────────────────────────────────────
+
+ATTR_CTE = f"""
+derived AS (
+  SELECT a.slug, coalesce(d.derived, []::VARCHAR[]) AS derived FROM articles a LEFT JOIN (
+    SELECT slug, list(DISTINCT project ORDER BY project) AS derived FROM (
+      SELECT s.slug, x.project FROM sources s
+      JOIN (SELECT DISTINCT name, project FROM sections) x ON x.name = split_part(s.source, '/', -1)
+      WHERE starts_with(s.source, 'daily/'))
+    GROUP BY slug) d USING (slug)
+),
+look AS (
+  SELECT alias_lc, arg_max(canonical, ord * 1000 + k) AS canonical FROM (
+    SELECT ord, canonical, lower(a) AS alias_lc, k
+    FROM registry, unnest(list_concat([canonical], coalesce(aliases, []::VARCHAR[]),
+                          CASE WHEN name IS NOT NULL AND name <> '' THEN [name] ELSE []::VARCHAR[] END))
+         WITH ORDINALITY AS u(a, k)
+    WHERE canonical IS NOT NULL AND canonical <> '' AND canonical <> 'Shared')
+  GROUP BY alias_lc
+),
+hit AS (
+  SELECT DISTINCT p.slug, p.canonical FROM (
+    SELECT d.slug, lower(a.body) AS body_lc, u.c AS canonical
+    FROM derived d JOIN articles a USING (slug), unnest(d.derived) AS u(c) WHERE len(d.derived) > 1) p
+  JOIN look l ON l.canonical = p.canonical
+  WHERE regexp_matches(p.body_lc, '\\b\\Q' || l.alias_lc || '\\E\\b')
+),
+narrowed AS (
+  SELECT d.slug, CASE WHEN len(d.derived) > 1 THEN coalesce(m.mentioned, d.derived) ELSE d.derived END AS narrowed
+  FROM derived d LEFT JOIN (SELECT slug, list(canonical ORDER BY canonical) AS mentioned FROM hit GROUP BY slug) m USING (slug)
+),
+bbase AS (
+  SELECT a.slug, a.kind, a.projects, n.narrowed, a.body FROM articles a LEFT JOIN narrowed n USING (slug)
+  WHERE starts_with(a.content, '---') AND strpos(substr(a.content, 4), {NL} || '---') > 0
+),
+cu AS (
+  SELECT slug, list(p ORDER BY o) AS u FROM (
+    SELECT slug, p, o, row_number() OVER (PARTITION BY slug, lower(p) ORDER BY o) AS rn FROM (
+      SELECT b.slug, u.p, u.o FROM bbase b,
+        unnest(list_concat(coalesce(b.projects, []::VARCHAR[]), coalesce(b.narrowed, []::VARCHAR[]))) WITH ORDINALITY AS u(p, o)
+      WHERE b.kind = 'concepts'))
+  WHERE rn = 1 GROUP BY slug
+),
+cchg AS (
+  SELECT b.slug, b.kind, b.projects, CASE WHEN cu.u IS NULL OR len(cu.u) = 0 THEN ['shared'] ELSE cu.u END AS u
+  FROM bbase b LEFT JOIN cu USING (slug) WHERE b.kind = 'concepts'
+),
+donors AS (
+  SELECT slug, u AS projects FROM cchg
+  WHERE projects IS NULL OR list_sort(list_transform(projects, lambda x: lower(x))) <> list_sort(list_transform(u, lambda x: lower(x)))
+),
+inh AS (
+  SELECT slug, list(p ORDER BY pos, k) AS inherited FROM (
+    SELECT slug, p, pos, k, row_number() OVER (PARTITION BY slug, lower(p) ORDER BY pos, k) AS rn FROM (
+      SELECT bl.slug, bl.pos, d.k, d.p FROM (
+        SELECT b.slug, u.pos, split_part(u.raw, '|', 1) AS target FROM bbase b,
+               unnest(regexp_extract_all(b.body, {rx(WIKILINK)}, 1)) WITH ORDINALITY AS u(raw, pos)
+        WHERE b.kind <> 'concepts') bl
+      JOIN (SELECT dn.slug AS target, u.p, u.k FROM donors dn, unnest(dn.projects) WITH ORDINALITY AS u(p, k)) d
+        ON d.target = bl.target
+      WHERE NOT starts_with({strip('bl.target')}, 'daily/') AND lower(d.p) <> 'shared'))
+  WHERE rn = 1 GROUP BY slug
+),
+ou AS (
+  SELECT slug, list(p ORDER BY o) AS u FROM (
+    SELECT slug, p, o, row_number() OVER (PARTITION BY slug, lower(p) ORDER BY o) AS rn FROM (
+      SELECT b.slug, u.p, u.o FROM bbase b LEFT JOIN inh USING (slug),
+        unnest(list_concat(coalesce(b.projects, []::VARCHAR[]),
+               CASE WHEN len(coalesce(inh.inherited, []::VARCHAR[])) > 0 THEN inh.inherited
+                    ELSE coalesce(b.narrowed, []::VARCHAR[]) END)) WITH ORDINALITY AS u(p, o)
+      WHERE b.kind <> 'concepts'))
+  WHERE rn = 1 GROUP BY slug
+),
+ochg AS (
+  SELECT b.slug, b.kind, b.projects, CASE WHEN ou.u IS NULL OR len(ou.u) = 0 THEN ['shared'] ELSE ou.u END AS u
+  FROM bbase b LEFT JOIN ou USING (slug) WHERE b.kind <> 'concepts'
+),
+backfill AS (
+  SELECT * FROM (SELECT * FROM cchg UNION ALL SELECT * FROM ochg)
+  WHERE projects IS NULL OR list_sort(list_transform(projects, lambda x: lower(x))) <> list_sort(list_transform(u, lambda x: lower(x)))
+)"""
+
+FULL4 = with_(FILES, ARTICLES, LINKS, DAILIES, STATE, REGISTRY, FRONTMATTER_CTE, SOURCES_CTE, KNOWN_CTE,
+              SECTIONS_CTE, SCOPED_CTE, ATTR_CTE)
+
+oracle("attribute_articles", FULL4 + """
+SELECT slug, array_to_string(derived, ' | ') AS derived_list, CAST(len(derived) AS BIGINT) AS n_derived FROM derived""")
+oracle("narrow_by_mention", FULL4 + """
+SELECT slug, array_to_string(narrowed, ' | ') AS narrowed_list, CAST(len(narrowed) AS BIGINT) AS n_narrowed FROM narrowed""")
+oracle("backfill_projects", FULL4 + """
+SELECT slug, kind, array_to_string(projects, ' | ') AS existing_list, CAST(len(projects) AS BIGINT) AS n_existing,
+       array_to_string(u, ' | ') AS projects_list, CAST(len(u) AS BIGINT) AS n_projects FROM backfill""")

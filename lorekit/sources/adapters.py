@@ -49,7 +49,7 @@ def vault_from_documents(documents: DataFrame) -> DataFrame:
     Frontmatter carries ``projects`` (missing every 11th, ``[shared]`` every 13th,
     ``[]`` every 19th, two values every 7th), ``sources`` (block list every 4th,
     a second source without ``.md`` every 3rd); the body is the document text
-    followed by wikilinks to (7·id+3) mod (n + n div 20) (some do not exist),
+    followed (every 6th) by a mention of its source and by wikilinks to (7·id+3) mod (n + n div 20) (some do not exist),
     (id+1) mod n with a label (not every 8th), itself every 23rd, and a daily log (day 31 is missing,
     every 29th without ``.md``).
     """
@@ -90,7 +90,9 @@ def vault_from_documents(documents: DataFrame) -> DataFrame:
     )
     content = F.concat(
         F.lit("---\ntitle: Doc "), i.cast("string"), F.lit("\n"), projects_line, sources_line,
-        F.lit("updated: 2024-02-01\n---\n\n"), F.col("text"), links,
+        F.lit("updated: 2024-02-01\n---\n\n"), F.col("text"),
+        F.when(i % 6 == 0, F.concat(F.lit("\n\nSee also "), F.col("source"), F.lit(" notes."))).otherwise(F.lit("")),
+        links,
     )
     return d.select(_slug(i).alias("slug"), _kind(i).alias("kind"), content.alias("content"))
 
