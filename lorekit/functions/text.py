@@ -40,6 +40,9 @@ DAILY_HEADER = r"^###\s+(.+?)\s*$"
 TAG_SUFFIX = r"—\s*([A-Za-z0-9_\-.]+)\s*(?:\(|$)"
 TAG_AT_END = r"—\s*([A-Za-z0-9_\-.]+)\s*$"
 TAG_BEFORE_PAREN = r"—\s*([A-Za-z0-9_\-.]+)\s*\("
+# slugify classes: keep letters, digits, _, whitespace and -; whitespace/_ runs become -.
+SLUG_DROP = r"[^\p{L}\p{N}_" + WS_CLASS[1:-1] + r"\-]"
+SLUG_DASH = r"(?:" + WS_CLASS + r"|_)+"
 # Credentials inside a remote URL.
 URL_CREDENTIALS = r"://[^@/]+@"
 
@@ -85,10 +88,13 @@ def sha_hex(c, n: int) -> Column:
 
 
 def slugify(c) -> Column:
-    """lower + strip; drop [^\\w\\s-]; [\\s_]+ → '-'; -+ → '-'; strip '-'."""
+    """lower + strip; drop what is not a letter, digit, ``_``, space or ``-``;
+    runs of spaces/underscores → ``-``; ``-+`` → ``-``; strip ``-``. Letters and
+    digits are the Unicode classes, as Python's ``\\w`` has them (combining marks
+    excluded), so Cyrillic survives."""
     x = py_strip(F.lower(col_(c)))
-    x = F.regexp_replace(x, r"(?U)[^\w\s-]", "")
-    x = F.regexp_replace(x, r"(?U)[\s_]+", "-")
+    x = F.regexp_replace(x, SLUG_DROP, "")
+    x = F.regexp_replace(x, SLUG_DASH, "-")
     x = F.regexp_replace(x, r"-+", "-")
     return F.regexp_replace(x, r"^-+|-+$", "")
 

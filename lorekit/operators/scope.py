@@ -57,9 +57,10 @@ def classify_scope(index_rows: DataFrame, articles: DataFrame, aliases: DataFram
     dropping '' or shared/all among them → shared; overlap with the alias set →
     current; else other. Without a current project every row is shared."""
     link = F.regexp_extract("raw", r"\[\[([^\]]+)\]\]", 1)
-    rows = index_rows.select("raw", F.substring_index(link, "|", 1).alias("slug"))
+    keep = [c for c in index_rows.columns if c not in ("raw", "slug")]
+    rows = index_rows.select(*keep, "raw", F.substring_index(link, "|", 1).alias("slug"))
     if aliases is None:
-        return rows.select("slug", "raw", F.lit("shared").alias("scope"))
+        return rows.select(*keep, "slug", "raw", F.lit("shared").alias("scope"))
     j = (rows.join(articles.select("slug", "projects"), "slug", "left")
          .crossJoin(F.broadcast(alias_set(aliases))))
     vals = F.filter(F.transform(F.coalesce("projects", F.array().cast("array<string>")), F.lower),
@@ -67,7 +68,7 @@ def classify_scope(index_rows: DataFrame, articles: DataFrame, aliases: DataFram
     is_shared = (F.col("projects").isNull() | (F.size(vals) == 0) | F.exists(vals, lambda v: v.isin(*SHARED_VALUES)))
     scope = (F.when(is_shared, "shared").when(F.arrays_overlap(vals, F.col("alias_set")), "current")
              .otherwise("other"))
-    return j.select("slug", "raw", scope.alias("scope"))
+    return j.select(*keep, "slug", "raw", scope.alias("scope"))
 
 
 def stamp_project(sessions: DataFrame, registry: DataFrame) -> DataFrame:

@@ -516,3 +516,71 @@ def q_backfill_projects(spark, sf):
     d, n = _attribution(v)
     b = backfill_projects(v["articles"], d, n, v["links"])
     return b.select("slug", "kind", *_list_cols("existing"), *_list_cols("projects"))
+
+
+# ── Digest, bundle, file-back ─────────────────────────────────────────
+
+DIGEST_AS_OF = "2024-01-31 10:00:00"
+DIGEST_PROJECT = "Src3"
+
+
+@query("session_digest")
+def q_session_digest(spark, sf):
+    from lorekit.operators.dailies import latest_daily_pointer
+    from lorekit.operators.digest import DAILY_LABELS, session_digest
+    from lorekit.operators.scope import classify_scope
+    from lorekit.sources.adapters import load, wiki_lines_from_pages
+    v = Vault(spark, sf)
+    scoped = classify_scope(v["index_rows"], v["articles"], _aliases_of(spark, v, DIGEST_PROJECT))
+    inst, _ = _instincts(v)
+    labels = F.create_map(*[F.lit(x) for kv in DAILY_LABELS.items() for x in kv])
+    ptr = (latest_daily_pointer(v["dailies"], v["registry"], DIGEST_AS_OF)
+           .where(F.col("project") == DIGEST_PROJECT).withColumn("label_text", labels[F.col("label")]))
+    project = v["registry"].where(F.col("canonical") == DIGEST_PROJECT).select("canonical", "id")
+    d = session_digest(scoped, project, inst, wiki_lines_from_pages(load(spark, sf, "pages")), ptr, DIGEST_AS_OF)
+    return d.select(F.col("part").cast("bigint").alias("part"), "pos", "text")
+
+
+@query("other_rows_capped")
+def q_other_rows_capped(spark, sf):
+    from lorekit.operators.digest import other_rows_capped
+    from lorekit.operators.scope import classify_scope
+    v = Vault(spark, sf)
+    scoped = classify_scope(v["index_rows"], v["articles"], _aliases_of(spark, v, DIGEST_PROJECT))
+    return other_rows_capped(scoped.where(F.col("scope") == "other"))
+
+
+@query("knowledge_bundle")
+def q_knowledge_bundle(spark, sf):
+    from lorekit.operators.digest import knowledge_bundle
+    from lorekit.operators.scope import filter_articles_by_project
+    v = Vault(spark, sf)
+    kept = filter_articles_by_project(v["articles"], _aliases_of(spark, v, SCOPE_PROJECT))
+    arts = v["articles"].join(kept.select("slug"), "slug", "left_semi")
+    return knowledge_bundle(v["index_rows"], arts).select(
+        F.col("kind_ord").cast("bigint").alias("kind_ord"), "slug", "n_chars", "cum_chars")
+
+
+def _file_back(spark, sf):
+    from lorekit.operators.digest import file_back_qa
+    from lorekit.sources.adapters import qa_from_conversations
+    return file_back_qa(qa_from_conversations(Vault(spark, sf)["conversations"]))
+
+
+@query("file_back_qa")
+def q_file_back_qa(spark, sf):
+    arts, _ = _file_back(spark, sf)
+    return arts
+
+
+@query("file_back_log")
+def q_file_back_log(spark, sf):
+    _, log = _file_back(spark, sf)
+    return log.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "entry")
+
+
+@query("wiki_page_count")
+def q_wiki_page_count(spark, sf):
+    from lorekit.operators.digest import wiki_page_count
+    from lorekit.sources.adapters import load, wiki_lines_from_pages
+    return wiki_page_count(wiki_lines_from_pages(load(spark, sf, "pages")))

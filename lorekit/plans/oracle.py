@@ -8,7 +8,7 @@ because it is written to be valid in both Java regex and RE2.
 from __future__ import annotations
 
 from lorekit.functions.text import (
-    DAILY_HEADER, FM_KEY_LINE, LINE_BREAK, NON_WS_CLASS, PROJECTS_FIELD, SECRET, TAG_AT_END, TAG_BEFORE_PAREN,
+    SLUG_DASH, SLUG_DROP, DAILY_HEADER, FM_KEY_LINE, LINE_BREAK, NON_WS_CLASS, PROJECTS_FIELD, SECRET, TAG_AT_END, TAG_BEFORE_PAREN,
     TAG_SUFFIX, WIKILINK, WS_CLASS,
 )
 
@@ -609,10 +609,9 @@ SELECT e.session_id, e.seq FROM acc JOIN e ON acc.session_id = e.session_id AND
 # ── Instincts ─────────────────────────────────────────────────────────
 
 def slugify(x: str) -> str:
-    s = f"lower({x})"
-    s = strip(s)
-    s = f"regexp_replace({s}, '[^\\w\\s-]', '', 'g')"
-    s = f"regexp_replace({s}, '[\\s_]+', '-', 'g')"
+    s = strip(f"lower({x})")
+    s = f"regexp_replace({s}, {rx(SLUG_DROP)}, '', 'g')"
+    s = f"regexp_replace({s}, {rx(SLUG_DASH)}, '-', 'g')"
     s = f"regexp_replace({s}, '-+', '-', 'g')"
     return f"regexp_replace({s}, '^-+|-+$', '', 'g')"
 
@@ -900,3 +899,161 @@ SELECT slug, array_to_string(narrowed, ' | ') AS narrowed_list, CAST(len(narrowe
 oracle("backfill_projects", FULL4 + """
 SELECT slug, kind, array_to_string(projects, ' | ') AS existing_list, CAST(len(projects) AS BIGINT) AS n_existing,
        array_to_string(u, ' | ') AS projects_list, CAST(len(u) AS BIGINT) AS n_projects FROM backfill""")
+
+
+# ── Digest, bundle, file-back ─────────────────────────────────────────
+
+from lorekit.operators import digest as _D  # noqa: E402  (fixed layout strings shared with the Spark side)
+
+
+def compact(raw: str) -> str:
+    cells = (f"list_transform(string_split(regexp_replace({strip(raw)}, '^\\|+|\\|+$', '', 'g'), '|'), "
+             f"lambda x: {strip('x')})")
+    return (f"(CASE WHEN len({cells}) < 2 THEN {raw} ELSE '- ' || {cells}[1] || ' — ' || {cells}[2] || "
+            f"CASE WHEN len({cells}) > 2 AND {cells}[3] <> '' AND {cells}[3] NOT IN ('-', 'shared') "
+            f"THEN ' _(' || {cells}[3] || ')_' ELSE '' END END)")
+
+
+DIGEST_CTE = f"""
+idx AS (
+  SELECT CAST(regexp_extract(slug, '(\\d+)$', 1) AS BIGINT) AS pos, slug,
+         '| [[' || slug || ']] | ' || {strip("substr(regexp_replace(body, '\\s+', ' ', 'g'), 1, 60)")} || ' | '
+         || coalesce(array_to_string(projects, ', '), '-') || ' | daily | 2024-02-01 |' AS raw
+  FROM articles
+),
+dal AS (SELECT list(alias_lc) AS al FROM {resolved("'Src3'")}),
+dsc AS (
+  SELECT i.pos, i.raw,
+    CASE WHEN a.projects IS NULL OR len(v) = 0 OR len(list_filter(v, lambda p: p IN ('shared', 'all'))) > 0 THEN 'shared'
+         WHEN list_has_any(v, (SELECT al FROM dal)) THEN 'current' ELSE 'other' END AS scope
+  FROM idx i LEFT JOIN (SELECT slug, projects, list_filter(list_transform(coalesce(projects, []::VARCHAR[]),
+                          lambda p: lower(p)), lambda p: p <> '') AS v FROM articles) a USING (slug)
+),
+oth AS (
+  SELECT pos, line FROM (SELECT pos, '  ' || {compact('raw')} AS line FROM dsc WHERE scope = 'other' ORDER BY pos LIMIT 40)
+  UNION ALL
+  SELECT 4611686018427387904, '  _(+ ещё ' || CAST(count(*) - 40 AS VARCHAR) || ' — см. `knowledge/index.md`)_'
+  FROM dsc WHERE scope = 'other' HAVING count(*) > 40
+),
+pick AS (SELECT arg_max(name, date) AS name, max(date) AS date FROM dailies
+         WHERE date IN (DATE '2024-01-31', DATE '2024-01-30')),
+psc AS (SELECT * FROM scoped WHERE name = (SELECT name FROM pick)),
+pper AS (SELECT project, count(*) AS n, arg_max(header, pos) AS lh, max(pos) AS lp FROM psc WHERE project IS NOT NULL GROUP BY project),
+puni AS (SELECT count(*) AS n_u, arg_max(header, pos) AS uh, max(pos) AS up FROM psc WHERE project IS NULL),
+ptr AS (
+  SELECT r.canonical AS project, (SELECT name FROM pick) AS name,
+         CASE WHEN (SELECT date FROM pick) = DATE '2024-01-31' THEN 'today' ELSE 'yesterday' END AS label,
+         CAST(coalesce(pper.n, 0) + coalesce(puni.n_u, 0) AS BIGINT) AS n_sessions,
+         CASE WHEN coalesce(pper.n, 0) + coalesce(puni.n_u, 0) = 0 THEN NULL
+              WHEN pper.lh IS NULL THEN puni.uh WHEN puni.uh IS NULL THEN pper.lh
+              WHEN pper.lp > puni.up THEN pper.lh ELSE puni.uh END AS last_header
+  FROM (SELECT DISTINCT canonical FROM registry WHERE canonical <> 'Shared') r
+  LEFT JOIN pper ON pper.project = r.canonical CROSS JOIN puni
+  WHERE (SELECT name FROM pick) IS NOT NULL
+),
+itop AS (
+  SELECT key, '| ' || substr(coalesce(nullif(trigger, ''), '-'), 1, 60) || ' | ' || substr(coalesce(nullif(action, ''), '-'), 1, 60)
+    || ' | ' || substr(coalesce(nullif(domain, ''), '-'), 1, 18) || ' | '
+    || regexp_replace(CAST(confidence AS VARCHAR), '(\\.\\d)0$', '\\1') || ' | ' || strftime(last_seen, '%Y-%m-%d') || ' |' AS line,
+    row_number() OVER (ORDER BY confidence DESC, last_seen ASC, key) AS pos
+  FROM inst WHERE confidence >= 0.5
+),
+drows AS (
+  SELECT 0 AS part, CAST(0 AS BIGINT) AS pos, {lit(_D.H_TODAY)} || strftime(TIMESTAMP '2024-01-31 10:00:00', '%d.%m.%Y (%A)') AS text
+  UNION ALL
+  SELECT 1, 0, {lit(_D.SEPARATOR + _D.H_PROJECT + '**')} || canonical || '** (id: `' || id || '`)' FROM registry WHERE canonical = 'Src3'
+  UNION ALL SELECT 2, 0, {lit(_D.SEPARATOR + _D.H_CURRENT)}
+  UNION ALL
+  SELECT 2, r, CASE WHEN r = 1 THEN line ELSE chr(10) || line END FROM (
+    SELECT line, row_number() OVER (ORDER BY pos) AS r FROM (
+      SELECT pos, {compact('raw')} AS line FROM dsc WHERE scope IN ('current', 'shared') ORDER BY pos LIMIT 2001))
+  UNION ALL SELECT 3, 0, {lit(_D.SEPARATOR + _D.H_OTHER)} WHERE (SELECT count(*) FROM oth) > 0
+  UNION ALL
+  SELECT 3, r, CASE WHEN r = 1 THEN line ELSE chr(10) || line END FROM (
+    SELECT line, row_number() OVER (ORDER BY pos) AS r FROM oth)
+  UNION ALL SELECT 4, 0, {lit(_D.SEPARATOR + _D.H_INSTINCTS + _D.INSTINCTS_HEAD)} WHERE (SELECT count(*) FROM itop) > 0
+  UNION ALL SELECT 4, pos, chr(10) || line FROM itop WHERE pos <= 2001
+  UNION ALL
+  SELECT 4, 0, {lit(_D.SEPARATOR + _D.H_INSTINCTS)} || CASE WHEN (SELECT count(*) FROM inst) = 0 THEN {lit(_D.INSTINCTS_EMPTY)}
+                                                          ELSE {lit(_D.INSTINCTS_NONE)} END
+  WHERE (SELECT count(*) FROM itop) = 0
+  UNION ALL
+  SELECT 5, 0, {lit(_D.SEPARATOR + _D.H_WIKI)} || '_(' || CAST(count(*) AS VARCHAR)
+         || ' страниц во `data/index.md` — открой через `Read` при необходимости)_'
+  FROM pages WHERE page_id % 7 <> 0
+  UNION ALL
+  SELECT 6, 0, {lit(_D.SEPARATOR + _D.H_DAILY)} ||
+    CASE WHEN n_sessions > 0 THEN (CASE label WHEN 'today' THEN 'сегодня' ELSE 'вчера' END) || ': `daily/' || name || '` ('
+              || CAST(n_sessions AS VARCHAR) || ' сессий по проекту, последняя — ' || last_header
+              || '). Открой через `Read` для полного контекста.'
+         ELSE (CASE label WHEN 'today' THEN 'сегодня' ELSE 'вчера' END) || ': `daily/' || name
+              || '` — нет сессий по текущему проекту.' END
+  FROM ptr WHERE project = 'Src3'
+  UNION ALL
+  SELECT 6, 0, {lit(_D.SEPARATOR + _D.H_DAILY + _D.DAILY_MISSING)} WHERE (SELECT count(*) FROM ptr WHERE project = 'Src3') = 0
+),
+dcut AS (
+  SELECT part, pos, text, sum(length(text)) OVER (ORDER BY part, pos ROWS UNBOUNDED PRECEDING) AS e FROM drows
+)"""
+
+FULL5 = with_(FILES, ARTICLES, LINKS, DAILIES, STATE, REGISTRY, FRONTMATTER_CTE, SOURCES_CTE, KNOWN_CTE,
+              SECTIONS_CTE, SCOPED_CTE, INSTINCT_CTE, DIGEST_CTE)
+
+oracle("session_digest", FULL5 + """
+SELECT CAST(part AS BIGINT) AS part, pos,
+       CASE WHEN e > 20000 THEN substr(text, 1, CAST(20000 - (e - length(text)) AS BIGINT)) ELSE text END AS text
+FROM dcut WHERE e - length(text) < 20000
+UNION ALL
+SELECT 9, 0, chr(10) || chr(10) || '...(truncated)' FROM (SELECT sum(length(text)) AS t FROM drows) WHERE t > 20000""")
+oracle("other_rows_capped", FULL5 + "SELECT pos, line FROM oth")
+oracle("knowledge_bundle", FULL5 + f""",
+kept AS (
+  SELECT slug FROM articles
+  WHERE projects IS NULL OR len(projects) = 0
+     OR len(list_filter(projects, lambda p: lower(p) IN ('shared', 'all'))) > 0
+     OR slug IN (SELECT a.slug FROM articles a, unnest(a.projects) AS u(p) WHERE lower(u.p) IN {resolved("'project-3'")})
+),
+parts AS (
+  SELECT 0 AS kind_ord, '' AS slug,
+         CAST(coalesce(sum(length(raw) + 1), 0) + {len(_D.BUNDLE_HEAD) + len(_D.INDEX_HEADER)} AS BIGINT) AS n_chars FROM idx
+  UNION ALL
+  SELECT CASE kind WHEN 'concepts' THEN 1 WHEN 'connections' THEN 2 ELSE 3 END, slug,
+         CAST(length('## ' || slug || '.md' || chr(10) || chr(10) || content) + 7 AS BIGINT)
+  FROM articles WHERE slug IN (SELECT slug FROM kept)
+)
+SELECT CAST(kind_ord AS BIGINT) AS kind_ord, slug, n_chars,
+       CAST(sum(n_chars) OVER (ORDER BY kind_ord, slug ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_chars FROM parts""")
+
+QA_CTE = f"""
+qa AS (
+  SELECT q.conv_id, q.question, arg_min(a.text, a.turn) AS answer,
+         TIMESTAMP '2024-02-01 00:00:00' + to_seconds(q.conv_id) AS ts
+  FROM (SELECT conv_id, arg_min(text, turn) AS question, min(turn) AS qt FROM conversations WHERE role = 'user'
+        GROUP BY conv_id) q
+  JOIN conversations a ON a.conv_id = q.conv_id AND a.role = 'assistant' AND a.turn > q.qt
+  GROUP BY q.conv_id, q.question
+),
+qs AS (
+  SELECT *, CASE WHEN substr({slugify('question')}, 1, 80) <> '' THEN substr({slugify('question')}, 1, 80)
+                 ELSE 'q-' || strftime(ts, '%H%M%S') END AS slug FROM qa
+)"""
+
+oracle("file_back_qa", with_(QA_CTE) + """
+SELECT 'qa/' || slug AS slug,
+  '---' || chr(10) || 'title: "Q: ' || question || '"' || chr(10) || 'question: "' || replace(question, '"', '''') || '"'
+  || chr(10) || 'filed: ' || d || chr(10) || 'created: ' || d || chr(10) || 'updated: ' || d || chr(10)
+  || 'projects: [shared]' || chr(10) || '---' || chr(10) || chr(10) || '# Q: ' || question || chr(10) || chr(10)
+  || '## Answer' || chr(10) || chr(10) || answer || chr(10) AS content
+FROM (SELECT slug, arg_max(question, ts) AS question, arg_max(answer, ts) AS answer,
+             strftime(max(ts), '%Y-%m-%d') AS d FROM qs GROUP BY slug)""")
+oracle("file_back_log", with_(QA_CTE) + """
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
+       chr(10) || '## [' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] query | ' || question || chr(10)
+       || '- Filed to: [[qa/' || slug || ']]' || chr(10) AS entry
+FROM qs""")
+oracle("wiki_page_count", f"""
+SELECT count(*) AS n_pages FROM (
+  SELECT CASE WHEN page_id % 7 = 0 THEN '* [[wiki/page-' || CAST(page_id AS VARCHAR) || ']]'
+              WHEN page_id % 5 = 0 THEN '  - [[wiki/page-' || CAST(page_id AS VARCHAR) || ']] ' || url
+              ELSE '- [[wiki/page-' || CAST(page_id AS VARCHAR) || ']] ' || url END AS line FROM pages)
+WHERE starts_with({strip('line')}, '- [[')""")

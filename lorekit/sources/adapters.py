@@ -304,3 +304,27 @@ def cluster_proposals_from_instincts(instincts: DataFrame) -> DataFrame:
     body = F.to_json(F.struct(F.transform("cs", lambda s: s["c"]).alias("clusters")))
     return r.select(F.col("domain").alias("response_id"),
                     F.concat(F.lit("Clusters:\n```json\n"), body, F.lit("\n```\nDone.")).alias("text"))
+
+
+def wiki_lines_from_pages(pages: DataFrame) -> DataFrame:
+    """Lines of the external wiki index: one link line per page (every 5th
+    indented, every 7th a ``*`` bullet that does not count)."""
+    pid = F.col("page_id")
+    link = F.concat(F.lit("[[wiki/page-"), pid.cast("string"), F.lit("]]"))
+    line = (F.when(pid % 7 == 0, F.concat(F.lit("* "), link))
+            .when(pid % 5 == 0, F.concat(F.lit("  - "), link, F.lit(" "), F.col("url")))
+            .otherwise(F.concat(F.lit("- "), link, F.lit(" "), F.col("url"))))
+    return pages.select(pid.alias("pos"), line.alias("line"))
+
+
+def qa_from_conversations(conversations: DataFrame) -> DataFrame:
+    """Questions for file-back: the first user turn of each conversation and the
+    first assistant turn after it; filed at 2024-02-01 + conv_id seconds."""
+    c = conversations
+    q = c.where(F.col("role") == "user").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"),
+                                                               F.min("turn").alias("qt"))
+    a = c.where(F.col("role") == "assistant").select("conv_id", F.col("turn").alias("at"), F.col("text").alias("atext"))
+    j = q.join(a, "conv_id").where(F.col("at") > F.col("qt"))
+    j = j.groupBy("conv_id", "question").agg(F.min_by("atext", "at").alias("answer"))
+    ts = F.expr("timestamp'2024-02-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, conv_id)")
+    return j.select("conv_id", "question", "answer", ts.alias("ts"))
