@@ -584,3 +584,25 @@ def q_wiki_page_count(spark, sf):
     from lorekit.operators.digest import wiki_page_count
     from lorekit.sources.adapters import load, wiki_lines_from_pages
     return wiki_page_count(wiki_lines_from_pages(load(spark, sf, "pages")))
+
+
+# ── Duplicates ────────────────────────────────────────────────────────
+
+@query("exact_duplicates")
+def q_exact_duplicates(spark, sf):
+    from lorekit.operators.duplicates import exact_duplicates
+    return exact_duplicates(Vault(spark, sf)["documents"])
+
+
+@query("near_duplicate_documents")
+def q_near_duplicate_documents(spark, sf):
+    """Approximate (MinHash LSH) clusters: checked rows-only and by a brute-force test."""
+    from lorekit.operators.duplicates import near_duplicates
+    return near_duplicates(Vault(spark, sf)["documents"])
+
+
+@query("near_duplicate_instincts")
+def q_near_duplicate_instincts(spark, sf):
+    from lorekit.operators.duplicates import near_duplicates
+    inst, _ = _instincts(Vault(spark, sf))
+    return near_duplicates(inst.select("key", "trigger"), key="key", text="trigger", shingle=2)

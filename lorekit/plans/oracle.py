@@ -1057,3 +1057,8 @@ SELECT count(*) AS n_pages FROM (
               WHEN page_id % 5 = 0 THEN '  - [[wiki/page-' || CAST(page_id AS VARCHAR) || ']] ' || url
               ELSE '- [[wiki/page-' || CAST(page_id AS VARCHAR) || ']] ' || url END AS line FROM pages)
 WHERE starts_with({strip('line')}, '- [[')""")
+
+
+oracle("exact_duplicates", """
+SELECT substr(sha256(text), 1, 16) AS sha16, count(*) AS n, min(doc_id) AS first FROM documents
+GROUP BY 1 HAVING count(*) >= 2""")
