@@ -32,7 +32,8 @@ def read_events_stream(spark: SparkSession, path: str, max_files: int | None = N
 
 def stream_observations(events: DataFrame) -> DataFrame:
     """Redacted observation rows with a watermark on ``ts`` and a ``date`` partition column."""
-    obs = observations_from_events(events).withColumn("input_summary", redact("input_summary"))
+    obs = (observations_from_events(events).withColumn("input_summary", redact("input_summary"))
+           .withColumn("ts", F.col("ts").cast("timestamp")))      # event time must be TIMESTAMP (UTC session)
     return obs.withWatermark("ts", WATERMARK).withColumn("date", F.to_date("ts"))
 
 
@@ -131,8 +132,7 @@ def incremental_compile_batch(state_path: str):
     from lorekit.functions.text import sha_hex
 
     def fn(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        cur = spark.read.parquet(state_path)
+        cur = latest_state(batch.sparkSession, state_path)
         d = batch.select("name", sha_hex("content", 16).alias("hash"))
         changed = d.join(cur.select("name", F.col("hash").alias("recorded")), "name", "left").where(
             ~F.col("recorded").eqNullSafe(F.col("hash"))).select("name", "hash")
