@@ -333,9 +333,12 @@ def _instincts(v: Vault):
     the rest are applied to it."""
     from lorekit.operators.instincts import merge_evidence, upsert_instincts
     c = v["candidates"]
-    first, ev1 = upsert_instincts(None, c.where(F.col("date") < SPLIT_DATE))
-    final, ev2 = upsert_instincts(first, c.where(F.col("date") >= SPLIT_DATE))
-    return final, merge_evidence(ev1, ev2)
+
+    def passes():
+        first, ev1 = upsert_instincts(None, c.where(F.col("date") < SPLIT_DATE))
+        final, ev2 = upsert_instincts(first, c.where(F.col("date") >= SPLIT_DATE))
+        return final, merge_evidence(ev1, ev2)
+    return v.cached("instincts", lambda: passes()[0]), v.cached("instinct_evidence", lambda: passes()[1])
 
 
 def _fmt_dates(df: DataFrame, *cols: str) -> DataFrame:

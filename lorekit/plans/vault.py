@@ -1,12 +1,39 @@
-"""Assemble the vault tables once from the driver tables (lazy DataFrames)."""
+"""Assemble the vault tables once from the driver tables.
+
+Tables that several jobs share (articles, links, frontmatter, dailies, state,
+registry, sections, index rows, instincts) are extracted once per run and kept
+as parquet under the session's ``spark.checkpoint.dir`` (the shared folder on a
+cluster): lineage is cut, a lost executor costs a re-read instead of a re-parse,
+and every later plan starts from a scan with column pruning and pushdown
+instead of re-deriving the whole vault."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekit.operators import extract
+from lorekit.session import ensure_checkpoint_dir
 from lorekit.sources import adapters as A
 
+RUN_ID = uuid.uuid4().hex[:12]
+MATERIALIZED_KEYS = {"articles", "links", "frontmatter", "dailies", "state", "registry", "sections", "index_rows"}
+_TABLES: dict[tuple, DataFrame] = {}
+
+
+def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under the checkpoint folder and read it back."""
+    base = ensure_checkpoint_dir(spark)
+    path = os.path.join(base, "lorekit-tables", RUN_ID, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _enabled() -> bool:
+    return os.environ.get("LOREKIT_MATERIALIZE", "1") != "0"
+
 
 class Vault(dict):
     """Lazy dict of the vault tables; each entry is built on first use."""
@@ -20,7 +47,7 @@ class Vault(dict):
             "conversations": lambda: A.load(spark, sf_dir, "conversations"),
             "files": lambda: A.vault_from_documents(self["documents"]),
             "articles": lambda: extract.build_articles(self["files"]),
-            "knowledge_slugs": lambda: self["files"].select("slug"),
+            "knowledge_slugs": lambda: self["articles"].select("slug"),
             "links": lambda: extract.extract_links(self["articles"]),
             "frontmatter": lambda: extract.extract_frontmatter(self["articles"]),
             "dailies": lambda: A.dailies_from_events(self["events"]),
@@ -35,14 +62,26 @@ class Vault(dict):
             "findings": lambda: A.findings_from_documents(self["documents"]),
         }
 
+    def _memo_key(self, key: str) -> tuple:
+        return (self.spark.sparkContext.applicationId, os.path.abspath(self.sf_dir), key)
+
+    def cached(self, key: str, build) -> DataFrame:
+        """A shared table: built once per run, written, and read back afterwards."""
+        if key in self:
+            return self[key]
+        mk = self._memo_key(key)
+        if _enabled():
+            if mk not in _TABLES:
+                _TABLES[mk] = materialize(self.spark, build(), f"{abs(hash(mk[1])):x}-{key}")
+            df = _TABLES[mk]
+        else:
+            df = build()
+        self[key] = df
+        return df
+
     def __missing__(self, key: str) -> DataFrame:
+        if key in MATERIALIZED_KEYS:
+            return self.cached(key, self._builders[key])
         df = self._builders[key]()
         self[key] = df
         return df
-
-    def persist(self, *keys: str) -> "Vault":
-        """Keep the tables several checks reuse (articles, links) instead of
-        re-parsing every file per check."""
-        for k in keys:
-            self[k] = self[k].persist()
-        return self
