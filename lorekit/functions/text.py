@@ -64,9 +64,16 @@ def py_rstrip(c) -> Column:
     return F.regexp_replace(col_(c), f"{WS_CLASS}+$", "")
 
 
+# Whitespace Python has beyond Java's ASCII \s, mapped to a space before counting.
+PY_EXTRA_WS = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def word_count(c) -> Column:
-    """``len(text.split())`` without materialising the word array."""
-    return F.regexp_count(col_(c), F.lit(NON_WS_CLASS + "+")).cast("bigint")
+    """``len(text.split())``: the extra Unicode whitespace is mapped to spaces with
+    a per-character ``translate``, then ``\\S+`` runs are counted (ASCII \\s is
+    exactly the rest of Python's set). No word array is materialised."""
+    x = F.translate(col_(c), PY_EXTRA_WS, " " * len(PY_EXTRA_WS))
+    return F.regexp_count(x, F.lit(r"\S+")).cast("bigint")
 
 
 def py_lines(c) -> Column:

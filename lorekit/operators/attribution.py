@@ -34,7 +34,8 @@ def narrow_by_mention(articles: DataFrame, derived: DataFrame, registry: DataFra
     pairs = (many.select("slug", "body_lc", F.explode("derived").alias("canonical"))
              .join(look, "canonical"))
     pat = F.concat(F.lit(r"(?U)\b\Q"), F.col("alias_lc"), F.lit(r"\E\b"))
-    hit = pairs.where(F.regexp_like(F.col("body_lc"), pat))
+    # cheap substring test first; the word-boundary regex only runs where the alias occurs at all
+    hit = pairs.where((F.instr("body_lc", F.col("alias_lc")) > 0) & F.regexp_like(F.col("body_lc"), pat))
     mentioned = hit.groupBy("slug").agg(F.array_sort(F.collect_set("canonical")).alias("mentioned"))
     out = derived.join(mentioned, "slug", "left")
     return out.select("slug", F.when(F.size("derived") > 1, F.coalesce("mentioned", "derived"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekit.functions.text import NON_WS_CLASS, sha_hex
+from lorekit.functions.text import sha_hex
 from lorekit.session import ensure_checkpoint_dir
 
 PRIME = 2147483647          # 2^31 - 1
@@ -34,20 +34,21 @@ def minhash_bands(docs: DataFrame, key: str, text: str, bands: int = NUM_BANDS,
                   shingle: int = SHINGLE, seed: int = 7) -> DataFrame:
     """(key, band) edges: one LSH band key per band of the MinHash signature of
     the lower-cased word ``shingle``-grams (whole text; texts shorter than a
-    shingle use their whole word list)."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(NON_WS_CLASS + "+"), 0)
-    d = docs.select(F.col(key).alias("k"), words.alias("w"))
+    shingle use their whole word list).
+
+    Shingle hashes are exploded to rows and the signature is ``bands × rows``
+    ``min`` aggregates: codegen'd arithmetic with partial aggregation, and a
+    document's rows stay in its partition (explode does not shuffle)."""
+    words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda x: x != "")
+    d = docs.select(F.col(key).alias("k"), words.alias("w")).where(F.size("w") > 0)
     n = F.greatest(F.size("w") - shingle + 1, F.lit(1))
-    hashes = F.transform(F.sequence(F.lit(1), n),
-                         lambda i: F.pmod(F.xxhash64(F.concat_ws(" ", F.slice("w", i, shingle))), F.lit(PRIME)))
-    d = d.where(F.size("w") > 0).select("k", hashes.alias("h"))
+    sh = d.select("k", F.explode(F.sequence(F.lit(1), n)).alias("i"), "w")
+    sh = sh.select("k", F.pmod(F.xxhash64(F.concat_ws(" ", F.slice("w", F.col("i"), shingle))), F.lit(PRIME)).alias("h"))
     coeffs = _coeffs(bands * rows, seed)
-    def perm(a: int, b: int):
-        return lambda h: F.pmod(h * a + b, F.lit(PRIME))
-    sig = F.array(*[F.array_min(F.transform("h", perm(a, b))) for a, b in coeffs])
-    s = d.select("k", sig.alias("sig"))
-    band_keys = F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)) for b in range(bands)])
-    return s.select("k", F.explode(band_keys).alias("band"))
+    sig = sh.groupBy("k").agg(*[F.min(F.pmod(F.col("h") * a + b, F.lit(PRIME))).alias(f"m{j}")
+                                for j, (a, b) in enumerate(coeffs)])
+    band_keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
+    return sig.select("k", F.explode(band_keys).alias("band"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
