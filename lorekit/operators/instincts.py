@@ -274,3 +274,11 @@ def merged_evidence(evidence: DataFrame, merged: DataFrame, deleted: DataFrame)
 def near_duplicate_groups(*args, **kwargs):  # pragma: no cover - kept for API symmetry
     from lorekit.operators.duplicates import near_duplicates
     return near_duplicates(*args, **kwargs)
+
+
+def extract_evidence(files: DataFrame, key: str = "key", content: str = "content") -> DataFrame:
+    """Evidence lines of instinct files: trimmed lines starting ``- ``, each kept at
+    its first position: (key, pos, line)."""
+    ln = files.select(F.col(key).alias("key"), F.posexplode(py_lines(content)).alias("pos", "raw"))
+    ln = ln.select("key", "pos", py_strip("raw").alias("line")).where(F.col("line").startswith("- "))
+    return ln.groupBy("key", "line").agg(F.min("pos").alias("pos")).select("key", "pos", "line")

@@ -210,3 +210,27 @@ def wanted_concepts(links: DataFrame, knowledge_slugs: DataFrame) -> DataFrame:
          .join(knowledge_slugs.select(F.col("slug").alias("target")), "target", "left_anti"))
     return m.groupBy("target").agg(F.count(F.lit(1)).alias("n_mentions"),
                                    F.countDistinct("src").alias("n_articles"))
+
+
+# ── Model-judged contradictions (the response is an input column) ─────
+
+CONTRADICTION_DEFAULTS = ("?", "conflicting claim")
+
+
+def parse_issue_json(responses: DataFrame, text_col: str = "text") -> DataFrame:
+    """Issues from a model response: the text from the first ``[`` to the last
+    ``]`` parsed as JSON; non-object items are dropped; missing file/detail become
+    ``?`` / ``conflicting claim``. Severity warning, check ``contradiction``."""
+    t = F.col(text_col)
+    start = F.locate("[", t)
+    end = F.length(t) - F.locate("]", F.reverse(t)) + 1
+    body = F.when((start > 0) & (F.locate("]", F.reverse(t)) > 0) & (end >= start),
+                  F.expr(f"substring({text_col}, locate('[', {text_col}), "
+                         f"length({text_col}) - locate(']', reverse({text_col})) + 2 - locate('[', {text_col}))"))
+    items = F.try_variant_get(F.try_parse_json(body), "$", "array<variant>")
+    x = responses.select(F.posexplode(F.filter(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))).alias("pos", "v"))
+    f, d = CONTRADICTION_DEFAULTS
+    return x.select(F.lit("warning").alias("severity"), F.lit("contradiction").alias("check"),
+                    F.coalesce(F.try_variant_get("v", "$.file", "string"), F.lit(f)).alias("file"),
+                    F.coalesce(F.try_variant_get("v", "$.detail", "string"), F.lit(d)).alias("detail"),
+                    F.col("pos").cast("int").alias("pos"))

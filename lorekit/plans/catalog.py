@@ -609,3 +609,58 @@ def q_near_duplicate_instincts(spark, sf):
     from lorekit.operators.duplicates import near_duplicates
     inst, _ = _instincts(Vault(spark, sf))
     return near_duplicates(inst.select("key", "trigger"), key="key", text="trigger", shingle=2)
+
+
+# ── Raw records derived from the tables ───────────────────────────────
+
+@query("flatten_turns")
+def q_flatten_turns(spark, sf):
+    from lorekit.operators.transcripts import flatten_turns
+    from lorekit.sources.adapters import transcript_lines_from_conversations
+    return flatten_turns(transcript_lines_from_conversations(Vault(spark, sf)["conversations"]))
+
+
+@query("summarize_tool_events")
+def q_summarize_tool_events(spark, sf):
+    from lorekit.operators.observations import classify_tool_results, summarize_tool_events
+    from lorekit.sources.adapters import hook_events_from_events
+    h = classify_tool_results(summarize_tool_events(hook_events_from_events(Vault(spark, sf)["events"])))
+    return h.select("event_id", "input_summary", "success", "error")
+
+
+@query("parse_index_rows")
+def q_parse_index_rows(spark, sf):
+    from lorekit.operators.extract import parse_index_rows
+    p = parse_index_rows(Vault(spark, sf)["index_rows"])
+    return p.select("pos", F.size("cells").cast("bigint").alias("n_cells"), F.element_at("cells", 1).alias("cell1"),
+                    F.element_at("cells", 2).alias("cell2"), F.element_at("cells", 3).alias("cell3"), "slug")
+
+
+@query("extract_headers_scoped")
+def q_extract_headers_scoped(spark, sf):
+    from lorekit.operators.extract import extract_headers_scoped
+    return extract_headers_scoped(Vault(spark, sf)["dailies"]).select(
+        "name", F.col("pos").cast("bigint").alias("pos"), "header_project")
+
+
+@query("inherit_projects")
+def q_inherit_projects(spark, sf):
+    """Projects connections/qa inherit from changed concepts (the donors of backfill)."""
+    from lorekit.operators.attribution import backfill_projects, inherit_projects
+    v = Vault(spark, sf)
+    d, n = _attribution(v)
+    b = backfill_projects(v["articles"], d, n, v["links"])
+    donors = b.where(F.col("kind") == "concepts").select("slug", "projects")
+    arts = v["articles"].where(F.col("kind") != "concepts")
+    return inherit_projects(arts, v["links"], donors).select("slug", *_list_cols("inherited"))
+
+
+@query("parse_issue_json")
+def q_parse_issue_json(spark, sf):
+    """Model responses per thin article: a JSON list with an object, a number and an object without file."""
+    from lorekit.operators.lint import parse_issue_json
+    a = Vault(spark, sf)["articles"].where(F.col("n_words") < 200)
+    txt = F.concat(F.lit('Found: [{"file": "'), F.col("slug"), F.lit('.md", "detail": "only '),
+                   F.col("n_words").cast("string"), F.lit(' words"}, 7, {"detail": "see '), F.col("slug"), F.lit('"}] ok'))
+    r = a.select("slug", txt.alias("text"))
+    return parse_issue_json(r).select("severity", "check", "file", "detail")

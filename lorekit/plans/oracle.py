@@ -1062,3 +1062,38 @@ WHERE starts_with({strip('line')}, '- [[')""")
 oracle("exact_duplicates", """
 SELECT substr(sha256(text), 1, 16) AS sha16, count(*) AS n, min(doc_id) AS first FROM documents
 GROUP BY 1 HAVING count(*) >= 2""")
+
+
+# ── Raw records derived from the tables ───────────────────────────────
+
+oracle("flatten_turns", f"""
+SELECT conv_id AS session_id, turn AS seq, role, {strip('text')} AS text FROM conversations
+WHERE role IN ('user', 'assistant') AND turn % 7 <> 6 AND {strip('text')} <> ''""")
+oracle("summarize_tool_events", f"""
+SELECT event_id,
+  regexp_replace(substr('path=/work/u' || CAST(user_id AS VARCHAR) || ' command='
+    || substr(CASE WHEN event_id % 11 = 0 THEN 'export token=abcdefghij'
+                   ELSE event_type || ' ' || json_extract_string(props, '$.k') END, 1, 120)
+    || ' pattern=[2 items] flag=' || CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END
+    || ' k=' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS VARCHAR), 1, 500),
+    {rx(SECRET)}, '\\1\\2\\3[REDACTED]', 'g') AS input_summary,
+  event_type <> 'error' AS success,
+  CASE WHEN event_type = 'error' THEN substr('failed k=' || json_extract_string(props, '$.k'), 1, 160) END AS error
+FROM events""")
+oracle("parse_index_rows", FULL5 + """
+SELECT pos, CAST(len(c) AS BIGINT) AS n_cells, c[1] AS cell1, c[2] AS cell2, c[3] AS cell3,
+       split_part(regexp_extract(raw, '\\[\\[([^\\]]+)\\]\\]', 1), '|', 1) AS slug
+FROM (SELECT pos, raw, list_transform(string_split(regexp_replace(""" + strip('raw') + """, '^\\|+|\\|+$', '', 'g'), '|'),
+                                      lambda x: """ + strip('x') + """) AS c FROM idx)""")
+oracle("extract_headers_scoped", FULL5 + f"""
+SELECT name, pos, CASE WHEN regexp_extract(r, {rx(TAG_AT_END)}, 1) <> '' THEN regexp_extract(r, {rx(TAG_AT_END)}, 1)
+                       WHEN regexp_extract(r, {rx(TAG_BEFORE_PAREN)}, 1) <> '' THEN regexp_extract(r, {rx(TAG_BEFORE_PAREN)}, 1)
+                  END AS header_project
+FROM (SELECT name, pos, regexp_replace(line, '\\s+$', '') AS r FROM dlines WHERE starts_with(line, '### '))""")
+oracle("inherit_projects", FULL4 + """
+SELECT slug, array_to_string(inherited, ' | ') AS inherited_list, CAST(len(inherited) AS BIGINT) AS n_inherited FROM inh""")
+oracle("parse_issue_json", FULL + """
+SELECT 'warning' AS severity, 'contradiction' AS "check", slug || '.md' AS file,
+       'only ' || CAST(n_words AS VARCHAR) || ' words' AS detail FROM articles WHERE n_words < 200
+UNION ALL
+SELECT 'warning', 'contradiction', '?', 'see ' || slug FROM articles WHERE n_words < 200""")

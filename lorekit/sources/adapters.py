@@ -328,3 +328,33 @@ def qa_from_conversations(conversations: DataFrame) -> DataFrame:
     j = j.groupBy("conv_id", "question").agg(F.min_by("atext", "at").alias("answer"))
     ts = F.expr("timestamp'2024-02-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, conv_id)")
     return j.select("conv_id", "question", "answer", ts.alias("ts"))
+
+
+def transcript_lines_from_conversations(conversations: DataFrame) -> DataFrame:
+    """Raw transcript JSONL lines: content as a string, or (every 3rd turn) as a
+    block list with a tool-use block after the text; every 7th line is corrupt."""
+    c = conversations
+    as_str = F.to_json(F.struct(F.col("role").alias("role"), F.col("text").alias("content")))
+    blocks = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")),
+                     F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text")))
+    as_list = F.to_json(F.struct(F.col("role").alias("role"), blocks.alias("content")))
+    msg = F.when(F.col("turn") % 3 == 1, as_list).otherwise(as_str)
+    line = F.when(F.col("turn") % 7 == 6, F.concat(F.lit("not json "), F.col("text"))).otherwise(
+        F.concat(F.lit('{"type":"'), F.col("role"), F.lit('","message":'), msg, F.lit("}")))
+    return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), line.alias("line"))
+
+
+def hook_events_from_events(events: DataFrame) -> DataFrame:
+    """Raw tool hook payloads: tool_input object (listed and unlisted keys, a list,
+    a boolean, a secret every 11th event) and tool_response (error events fail,
+    every 13th other event answers with a bare string)."""
+    k = F.get_json_object("props", "$.k")
+    cmd = F.when(F.col("event_id") % 11 == 0, F.lit("export token=abcdefghij")).otherwise(
+        F.concat(F.col("event_type"), F.lit(" "), k))
+    tin = F.to_json(F.struct(cmd.alias("command"), F.concat(F.lit("/work/u"), F.col("user_id").cast("string")).alias("path"),
+                             F.array(F.lit("a"), F.lit("b")).alias("pattern"), (F.col("event_id") % 2 == 0).alias("flag"),
+                             k.cast("int").alias("k")))
+    err = F.col("event_type") == "error"
+    tout = F.when(~err & (F.col("event_id") % 13 == 0), F.lit('"ok"')).otherwise(F.to_json(F.struct(
+        err.alias("isError"), F.when(err, F.concat(F.lit("failed k="), k)).alias("error"))))
+    return events.select("event_id", F.parse_json(tin).alias("tool_input"), F.parse_json(tout).alias("tool_response"))
