@@ -58,7 +58,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     e = edges.select("k", "band").distinct().checkpoint()
-    labels = e.select("k").distinct().withColumn("label", F.col("k")).checkpoint()
+    # round one needs no join: a band's smallest member, then each key's smallest band minimum
+    bmin0 = e.groupBy("band").agg(F.min("k").alias("bl"))
+    labels = e.join(bmin0, "band").groupBy("k").agg(F.min("bl").alias("label")).checkpoint()
     while True:
         bmin = e.join(labels, "k").groupBy("band").agg(F.min("label").alias("bl"))
         new = (e.join(bmin, "band").groupBy("k").agg(F.min("bl").alias("nl"))

@@ -496,8 +496,14 @@ def q_latest_daily_pointer(spark, sf):
 def _attribution(v: Vault):
     from lorekit.operators.attribution import attribute_articles, narrow_by_mention
     from lorekit.operators.extract import extract_sources
-    derived = attribute_articles(v["articles"], extract_sources(v["articles"]), v["sections"])
-    return derived, narrow_by_mention(v["articles"], derived, v["registry"])
+    derived = v.cached("derived", lambda: attribute_articles(v["articles"], extract_sources(v["articles"]), v["sections"]))
+    return derived, v.cached("narrowed", lambda: narrow_by_mention(v["articles"], derived, v["registry"]))
+
+
+def _backfill(v: Vault) -> DataFrame:
+    from lorekit.operators.attribution import backfill_projects
+    d, n = _attribution(v)
+    return v.cached("backfill", lambda: backfill_projects(v["articles"], d, n, v["links"]))
 
 
 @query("attribute_articles")
@@ -514,10 +520,7 @@ def q_narrow_by_mention(spark, sf):
 
 @query("backfill_projects")
 def q_backfill_projects(spark, sf):
-    from lorekit.operators.attribution import backfill_projects
-    v = Vault(spark, sf)
-    d, n = _attribution(v)
-    b = backfill_projects(v["articles"], d, n, v["links"])
+    b = _backfill(Vault(spark, sf))
     return b.select("slug", "kind", *_list_cols("existing"), *_list_cols("projects"))
 
 
@@ -646,11 +649,9 @@ def q_extract_headers_scoped(spark, sf):
 @query("inherit_projects")
 def q_inherit_projects(spark, sf):
     """Projects connections/qa inherit from changed concepts (the donors of backfill)."""
-    from lorekit.operators.attribution import backfill_projects, inherit_projects
+    from lorekit.operators.attribution import inherit_projects
     v = Vault(spark, sf)
-    d, n = _attribution(v)
-    b = backfill_projects(v["articles"], d, n, v["links"])
-    donors = b.where(F.col("kind") == "concepts").select("slug", "projects")
+    donors = _backfill(v).where(F.col("kind") == "concepts").select("slug", "projects")
     arts = v["articles"].where(F.col("kind") != "concepts")
     return inherit_projects(arts, v["links"], donors).select("slug", *_list_cols("inherited"))
 
