@@ -86,16 +86,18 @@ def latest_daily_pointer(dailies: DataFrame, registry: DataFrame, as_of: str) ->
     today = F.to_date(F.lit(as_of))
     names = dailies.select("name", F.col("date")).where(
         (F.col("date") == today) | (F.col("date") == F.date_sub(today, 1)))
-    pick = names.agg(F.max_by("name", "date").alias("name"), F.max("date").alias("date"))
-    chosen = dailies.join(pick.select("name"), "name", "left_semi")
+    pick_name = names.agg(F.max_by("name", "date")).scalar()
+    pick_date = names.agg(F.max("date")).scalar()
+    chosen = dailies.where(F.col("name") == pick_name)
     scoped = scoped_headers(chosen, registry)
     projects = registry.select("canonical").where(F.col("canonical") != "Shared").distinct()
     per = scoped.where(F.col("project").isNotNull()).groupBy("project").agg(
         F.count(F.lit(1)).alias("n"), F.max_by(F.struct("header", "pos"), "pos").alias("last"))
-    uni = scoped.where(F.col("project").isNull()).agg(
-        F.count(F.lit(1)).alias("n_u"), F.max_by(F.struct("header", "pos"), "pos").alias("last_u"))
+    universal = scoped.where(F.col("project").isNull())
     j = (projects.join(per, projects["canonical"] == per["project"], "left")
-         .crossJoin(F.broadcast(uni)).crossJoin(F.broadcast(pick)))
+         .withColumn("n_u", universal.agg(F.count(F.lit(1))).scalar())
+         .withColumn("last_u", universal.agg(F.max_by(F.struct("header", "pos"), "pos")).scalar())
+         .withColumn("name", pick_name).withColumn("date", pick_date))
     n = F.coalesce("n", F.lit(0)) + F.coalesce("n_u", F.lit(0))
     last = F.when(F.col("last").isNull(), F.col("last_u.header")).when(F.col("last_u").isNull(), F.col("last.header")).otherwise(
         F.when(F.col("last.pos") > F.col("last_u.pos"), F.col("last.header")).otherwise(F.col("last_u.header")))

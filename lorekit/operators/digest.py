@@ -98,8 +98,8 @@ def session_digest(scoped: DataFrame, project: DataFrame,
     top = top_instincts(instincts).limit(max_rows)
     inst = top.withColumn("pos", F.row_number().over(
         Window.orderBy(F.col("confidence").desc(), F.col("last_seen").asc(), F.col("key")))).select("pos", "line")
-    inst_n = top.agg(F.count(F.lit(1)).alias("n"))
-    n_all = instincts.agg(F.count(F.lit(1)).alias("n_all"))
+    n_top = top.agg(F.count(F.lit(1))).scalar()
+    n_all = instincts.agg(F.count(F.lit(1))).scalar()
 
     def lines_part(part: int, df: DataFrame, head: str) -> DataFrame:
         w = Window.orderBy("pos")
@@ -114,17 +114,14 @@ def session_digest(scoped: DataFrame, project: DataFrame,
     proj = project.select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("pos"), F.concat(
         F.lit(SEPARATOR + H_PROJECT + "**"), F.col("canonical"), F.lit("** (id: `"), F.col("id"), F.lit("`)")).alias("text"))
     parts = [today, proj, lines_part(2, cur, H_CURRENT)]
-    has_other = oth.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
-    parts.append(lines_part(3, oth, H_OTHER).crossJoin(F.broadcast(has_other)).drop("n"))
+    parts.append(lines_part(3, oth, H_OTHER).where(oth.agg(F.count(F.lit(1))).scalar() > 0))
     inst_rows = inst.select("pos", "line")
     inst_block = spark.createDataFrame([(4, 0, SEPARATOR + H_INSTINCTS + INSTINCTS_HEAD)], "part int, pos long, text string")
     inst_lines = inst_rows.select(F.lit(4).alias("part"), F.col("pos").cast("long"), F.concat(F.lit("\n"), "line").alias("text"))
-    empty = inst_n.crossJoin(n_all).where("n = 0").select(
-        F.lit(4).alias("part"), F.lit(0).cast("long").alias("pos"),
-        F.concat(F.lit(SEPARATOR + H_INSTINCTS), F.when(F.col("n_all") == 0, F.lit(INSTINCTS_EMPTY))
-                 .otherwise(F.lit(INSTINCTS_NONE))).alias("text"))
-    nonempty = inst_n.where("n > 0").select()  # zero columns: a row gate
-    parts += [inst_block.crossJoin(nonempty), inst_lines, empty]
+    empty = spark.createDataFrame([(4, 0)], "part int, pos long").select(
+        "part", "pos", F.concat(F.lit(SEPARATOR + H_INSTINCTS), F.when(n_all == 0, F.lit(INSTINCTS_EMPTY))
+                                .otherwise(F.lit(INSTINCTS_NONE))).alias("text")).where(n_top == 0)
+    parts += [inst_block.where(n_top > 0), inst_lines, empty]
     wiki_n = wiki_lines.where(py_strip("line").startswith("- [[")).agg(F.count(F.lit(1)).alias("n"))
     parts.append(wiki_n.select(F.lit(5).alias("part"), F.lit(0).cast("long").alias("pos"),
                                F.concat(F.lit(SEPARATOR + H_WIKI), _fmt(WIKI_LINE, F.col("n").cast("string"), WIKI_REL)).alias("text")))

@@ -181,8 +181,9 @@ def prune_instincts(instincts: DataFrame, as_of: str, stale_days: int = STALE_DA
 
 def resolve_instinct(instincts: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(prefix, key): the exact id, else the smallest id starting with the prefix."""
-    k = instincts.select("key")
-    j = prefixes.join(k, F.col("key").startswith(F.col("prefix")))
+    k = instincts.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")),
+                                                     lambda i: F.substring("key", 1, i))).alias("prefix"))
+    j = prefixes.join(k, "prefix")    # equi-join on every prefix of a key (keys are at most 60 chars)
     return j.groupBy("prefix").agg(F.min_by("key", F.struct((F.col("key") != F.col("prefix")).alias("x"),
                                                             F.col("key"))).alias("key"))
 

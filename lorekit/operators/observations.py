@@ -108,10 +108,10 @@ def filter_recent(obs: DataFrame, as_of: str, hours: int = SYNTH_WINDOW_HOURS) -
 
 
 def gate_min_count(df: DataFrame, n: int = SYNTH_MIN_OBS) -> DataFrame:
-    """All rows if there are at least ``n``, else none: a one-row count is broadcast
-    and joined, so nothing is pulled into a single partition."""
-    c = df.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n)
-    return df.crossJoin(F.broadcast(c)).drop("_n")
+    """All rows if there are at least ``n``, else none: the count is a scalar
+    subquery (computed once, partially aggregated), so nothing is pulled into a
+    single partition."""
+    return df.where(df.agg(F.count(F.lit(1))).scalar() >= n)
 
 
 def observation_tail(obs: DataFrame, k: int = TAIL_K) -> DataFrame:

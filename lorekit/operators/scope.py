@@ -35,19 +35,19 @@ def resolve_aliases(idents: DataFrame, registry: DataFrame, col: str = "ident")
     return members.unionByName(itself).distinct()
 
 
-def alias_set(aliases: DataFrame) -> DataFrame:
-    """One row holding the alias set of one project (bounded by one registry entry)."""
-    return aliases.agg(F.collect_set(F.col("alias_lc")).alias("alias_set"))
+def alias_set(aliases: DataFrame) -> F.Column:
+    """The alias set of one project as a scalar subquery (bounded by one registry entry)."""
+    return aliases.agg(F.collect_set(F.col("alias_lc"))).scalar()
 
 
 def filter_articles_by_project(articles: DataFrame, aliases: DataFrame) -> DataFrame:
     """Articles visible to a project given its alias set (alias_lc rows): field
     missing, list empty, ``shared``/``all`` present, or any value in the set.
     A list holding only ``""`` is not empty here."""
-    a = articles.select("slug", "kind", "projects").crossJoin(F.broadcast(alias_set(aliases)))
+    a = articles.select("slug", "kind", "projects")
     low = F.transform("projects", F.lower)
     keep = (F.col("projects").isNull() | (F.size("projects") == 0)
-            | F.exists(low, lambda p: p.isin(*SHARED_VALUES)) | F.arrays_overlap(low, F.col("alias_set")))
+            | F.exists(low, lambda p: p.isin(*SHARED_VALUES)) | F.arrays_overlap(low, alias_set(aliases)))
     return a.where(keep).select("slug", "kind")
 
 
@@ -61,12 +61,11 @@ def classify_scope(index_rows: DataFrame, articles: DataFrame, aliases: DataFram
     rows = index_rows.select(*keep, "raw", F.substring_index(link, "|", 1).alias("slug"))
     if aliases is None:
         return rows.select(*keep, "slug", "raw", F.lit("shared").alias("scope"))
-    j = (rows.join(articles.select("slug", "projects"), "slug", "left")
-         .crossJoin(F.broadcast(alias_set(aliases))))
+    j = rows.join(articles.select("slug", "projects"), "slug", "left")
     vals = F.filter(F.transform(F.coalesce("projects", F.array().cast("array<string>")), F.lower),
                     lambda v: v != "")
     is_shared = (F.col("projects").isNull() | (F.size(vals) == 0) | F.exists(vals, lambda v: v.isin(*SHARED_VALUES)))
-    scope = (F.when(is_shared, "shared").when(F.arrays_overlap(vals, F.col("alias_set")), "current")
+    scope = (F.when(is_shared, "shared").when(F.arrays_overlap(vals, alias_set(aliases)), "current")
              .otherwise("other"))
     return j.select(*keep, "slug", "raw", scope.alias("scope"))
 
@@ -95,10 +94,10 @@ def register_projects(registry: DataFrame, detected: DataFrame, as_of_date: str)
            .join(registry.select("id"), "id", "left_anti")
            .groupBy("id").agg(F.min_by(F.struct("name", "root", "remote"), "session_id").alias("s")))
     name = F.coalesce(F.col("s.name"), F.lit("unknown"))
-    base = registry.agg(F.max("ord").alias("max_ord"))
+    max_ord = registry.agg(F.max("ord")).scalar()
     # stubs follow the existing entries; among themselves they are ordered by id
-    stubs = new.crossJoin(F.broadcast(base)).select(
-        (F.col("max_ord") + 1).cast("int").alias("ord"),
+    stubs = new.select(
+        (max_ord + 1).cast("int").alias("ord"),
         "id", name.alias("name"), capitalize_first(name).alias("canonical"),
         F.array(F.lower(name)).alias("aliases"), F.col("s.root").alias("root"), F.col("s.remote").alias("remote"))
     out = registry.select("ord", "id", "name", "canonical", "aliases", "root", "remote").withColumn(

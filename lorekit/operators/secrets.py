@@ -80,12 +80,13 @@ def critical_alerts(findings: DataFrame, scan_col: str = "scan", k: int = CRITIC
     ``row_number <= k`` filter as a per-partition group limit."""
     c = findings.where(F.col("severity") == "critical")
     w = Window.partitionBy(scan_col).orderBy("file", "line", "hit_pos")
-    c = c.withColumn("rank", F.row_number().over(w)).withColumn(
-        "n_critical", F.count(F.lit(1)).over(Window.partitionBy(scan_col)))
+    counts = c.groupBy(scan_col).agg(F.count(F.lit(1)).alias("n_critical"))
+    # row_number <= k directly on the window lets Spark plan a per-partition group limit
+    c = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(counts, scan_col)
     loc = F.when(F.col("line").isNotNull() & (F.col("line") != 0),
                  F.concat(F.coalesce("file", F.lit("?")), F.lit(":"), F.col("line").cast("string"))
                  ).otherwise(F.coalesce("file", F.lit("?")))
-    shown = c.where(F.col("rank") <= k).select(
+    shown = c.select(
         scan_col, F.col("rank").cast("bigint").alias("rank"),
         F.concat(F.lit("- **"), F.coalesce("title", F.lit("untitled")), F.lit("** ("),
                  F.coalesce("category", F.lit("-")), F.lit(") — "), loc).alias("line"))

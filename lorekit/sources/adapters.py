@@ -53,8 +53,8 @@ def vault_from_documents(documents: DataFrame) -> DataFrame:
     (id+1) mod n with a label (not every 8th), itself every 23rd, and a daily log (day 31 is missing,
     every 29th without ``.md``).
     """
-    n = documents.agg(F.count(F.lit(1)).alias("n_docs"))
-    d = documents.select("doc_id", "text", "source").crossJoin(F.broadcast(n))
+    n_docs = documents.agg(F.count(F.lit(1))).scalar()
+    d = documents.select("doc_id", "text", "source").withColumn("n_docs", n_docs)
     i = F.col("doc_id")
     m = F.col("n_docs") + F.expr("n_docs div 20")
     t1 = (i * 7 + 3) % m
