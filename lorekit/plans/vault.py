@@ -19,7 +19,8 @@ from lorekit.session import ensure_checkpoint_dir
 from lorekit.sources import adapters as A
 
 RUN_ID = uuid.uuid4().hex[:12]
-MATERIALIZED_KEYS = {"articles", "links", "frontmatter", "dailies", "state", "registry", "sections", "index_rows"}
+MATERIALIZED_KEYS = {"articles", "links", "frontmatter", "dailies", "state", "registry", "sections", "index_rows",
+                     "findings"}
 _TABLES: dict[tuple, DataFrame] = {}
 
 

@@ -104,9 +104,10 @@ def stream_throttle(events: DataFrame, key: str, interval_seconds: int, ts: str
 
 def stream_recent_window(obs: DataFrame, hours: int = 24, slide: str = "1 hour", min_count: int = 20) -> DataFrame:
     """Observation counts in sliding ``hours`` windows (hourly grain), kept when the
-    synthesis gate would open. Late rows beyond the watermark are dropped."""
+    synthesis gate would open. Expects the watermarked stream of
+    ``stream_observations``; late rows beyond the watermark are dropped."""
     w = F.window("ts", f"{hours} hours", slide)
-    return (obs.withWatermark("ts", WATERMARK).groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return (obs.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"))
             .where(F.col("n") >= min_count)
             .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"))
 

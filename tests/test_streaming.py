@@ -69,3 +69,44 @@ def test_incremental_compile_batches(spark, tmp_dir):
     assert pending_dailies(d, st).count() == 0
     fn(d, 1)                                  # idempotent: nothing changes the second time
     assert spark.read.parquet(state_path).where("epoch = 1").count() == 0
+
+
+def test_recent_window_stream_equals_batch_counts(spark, tmp_dir):
+    ev = twins.read_events_stream(spark, _events_dir(spark, tmp_dir), max_files=1)
+    s = _run_to_memory(twins.stream_recent_window(twins.stream_observations(ev), min_count=1), "rw",
+                       os.path.join(tmp_dir, "c4"))
+    got = {(r["start"], r["n"]) for r in s.collect()}
+    # batch twin: the same sliding windows over the whole table; the stream emits only closed windows
+    b = observations_from_events(load(spark, SF_SMALL, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    w = b.groupBy(F.window("ts", "24 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    want = {(r["w"]["start"], r["n"]) for r in w.collect()}
+    assert got and got <= want
+
+
+def test_register_projects_batch_is_idempotent(spark, tmp_dir):
+    from lorekit.operators.scope import stamp_project
+    from lorekit.plans.vault import Vault
+    v = Vault(spark, SF_SMALL)
+    reg_path = os.path.join(tmp_dir, "registry")
+    v["registry"].withColumn("auto_registered", F.lit(None).cast("string")).withColumn(
+        "notes", F.lit(None).cast("string")).write.parquet(reg_path)
+    detected = stamp_project(v["sessions"], v["registry"])
+    fn = twins.register_projects_batch(reg_path, "2024-02-01")
+    fn(detected, 0)
+    n1 = spark.read.parquet(reg_path).count()
+    fn(detected, 1)
+    assert spark.read.parquet(reg_path).count() == n1 > v["registry"].count()
+
+
+def test_scan_transcripts(spark, tmp_dir):
+    from lorekit.operators.transcripts import flatten_turns, scan_transcripts
+    d = os.path.join(tmp_dir, "t")
+    os.makedirs(d)
+    with open(os.path.join(d, "s1.jsonl"), "w") as f:
+        f.write('{"type": "user", "message": {"role": "user", "content": "Hello"}}\n'
+                '{"type": "assistant", "message": {"role": "assistant", "content": "Hi"}}\n'
+                '{"type": "user", "message": {"role": "user", "content": "Q"}}\n'
+                '{"type": "assistant", "message": {"role": "assistant", "content": "A"}}\n')
+    t = flatten_turns(scan_transcripts(spark, d)).orderBy("seq").collect()
+    assert [(r["session_id"], r["role"], r["text"]) for r in t] == [
+        ("s1", "user", "Hello"), ("s1", "assistant", "Hi"), ("s1", "user", "Q"), ("s1", "assistant", "A")]
