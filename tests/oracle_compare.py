@@ -50,6 +50,20 @@ def rows_digest(cols, rows):
     return [cols[i] for i in order], normed, h
 
 
+def spark_type(dt) -> str:
+    """Spark type in DuckDB's spelling, for the schema comparison."""
+    from pyspark.sql import types as T
+    simple = [(T.LongType, "BIGINT"), (T.IntegerType, "INTEGER"), (T.StringType, "VARCHAR"),
+              (T.BooleanType, "BOOLEAN"), (T.DoubleType, "DOUBLE"), (T.DateType, "DATE"),
+              (T.TimestampType, "TIMESTAMP"), (T.TimestampNTZType, "TIMESTAMP"), (T.ShortType, "SMALLINT")]
+    for k, v in simple:
+        if isinstance(dt, k):
+            return v
+    if isinstance(dt, T.DecimalType):
+        return f"DECIMAL({dt.precision},{dt.scale})"
+    return str(dt)
+
+
 def duck_connect(sf_dir):
     import duckdb
     con = duckdb.connect()
@@ -86,6 +100,7 @@ def compare(spark, sf_dir, names=None, verbose=True):
         try:
             rel = con.sql(os_[name])
             dcols = list(rel.columns)
+            dtypes = dict(zip(dcols, map(str, rel.types)))
             drows = rel.fetchall()
         except Exception as e:  # noqa: BLE001
             results[name] = ("DUCK_ERROR", str(e)[:2000])
@@ -94,13 +109,17 @@ def compare(spark, sf_dir, names=None, verbose=True):
             continue
         sc, sn, sh = rows_digest(scols, srows)
         dc, dn, dh = rows_digest(dcols, drows)
-        ok = sc == dc and len(sn) == len(dn) and sh == dh
+        stypes = {f.name: spark_type(f.dataType) for f in sdf.schema.fields}
+        type_diff = {c: (stypes.get(c), dtypes.get(c)) for c in set(stypes) | set(dtypes) if stypes.get(c) != dtypes.get(c)}
+        ok = sc == dc and len(sn) == len(dn) and sh == dh and not type_diff
         results[name] = ("OK" if ok else "MISMATCH", len(srows), len(drows))
         if verbose:
             print(f"{name}: {'OK' if ok else 'MISMATCH'} spark={len(srows)} duck={len(drows)} ({ts:.1f}s)")
             if not ok:
                 if sc != dc:
                     print("   cols spark", sc, "\n   cols duck ", dc)
+                if type_diff:
+                    print("   types (spark, duck):", type_diff)
                 ss, ds = set(sn), set(dn)
                 for r in sorted(ss - ds)[:3]:
                     print("   only spark:", r[:600])
