@@ -93,3 +93,57 @@ def backfill_projects(articles: DataFrame, derived: DataFrame, narrowed: DataFra
     others = others.withColumn("u", union(F.col("inherited"))).where(changed(F.col("u"))).drop("inherited")
     return concepts.unionByName(others).select("slug", "kind", F.col("projects").alias("existing"),
                                                F.col("u").alias("projects"))
+
+
+KIND_ORDER = {"concepts": 0, "connections": 1, "qa": 2}
+
+
+def backfill_projects_ordered(articles: DataFrame, narrowed: DataFrame, default: str = DEFAULT_PROJECT) -> DataFrame:
+    """``backfill_projects`` with the reference's full order semantics.
+
+    Articles are processed concepts, then connections, then qa, each in name
+    order; an article that changed becomes a donor for every later article that
+    links to it, so inheritance follows chains. The links to earlier articles form
+    a DAG, which is solved by rounds: each round recomputes every union from the
+    previous round's donors (one join and one aggregate, checkpointed) until no
+    union changes; after round r every article at depth ≤ r is final."""
+    from lorekit.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(articles.sparkSession)
+    kind_ord = F.create_map(*[F.lit(x) for kv in KIND_ORDER.items() for x in kv])
+    a = articles.where(F.col("content").startswith("---") & (F.locate("\n---", F.col("content"), 4) > 0))
+    a = a.select("slug", "kind", kind_ord[F.col("kind")].alias("ko"), "projects", "body")
+    base = a.select("slug", "kind", "ko", "projects").join(narrowed, "slug", "left").checkpoint()
+    links = (a.select("slug", "ko", F.posexplode(F.regexp_extract_all("body", F.lit(r"\[\[([^\]]+)\]\]"), 1)).alias("pos", "raw"))
+             .select("slug", "ko", "pos", F.substring_index("raw", "|", 1).alias("target"))
+             .where(~py_strip("target").startswith("daily/")))
+    tgt = base.select(F.col("slug").alias("target"), F.col("ko").alias("tko"))
+    # only links to articles processed earlier can donate
+    edges = (links.join(tgt, "target")
+             .where((F.col("tko") < F.col("ko")) | ((F.col("tko") == F.col("ko")) & (F.col("target") < F.col("slug"))))
+             .select("slug", "pos", "target").checkpoint())
+
+    empty = F.array().cast("array<string>")
+
+    def unions(inherited: DataFrame | None) -> DataFrame:
+        b = base if inherited is None else base.join(inherited, "slug", "left")
+        inh = F.coalesce(F.col("inherited"), empty) if inherited is not None else empty
+        cand = F.when(F.size(inh) > 0, inh).otherwise(F.coalesce("narrowed", empty))
+        u = _ordered_distinct_ci(F.concat(F.coalesce("projects", empty), cand))
+        u = F.when(F.size(u) > 0, u).otherwise(F.array(F.lit(default)))
+        old = F.array_sort(F.transform(F.coalesce("projects", empty), F.lower))
+        changed = F.col("projects").isNull() | (old != F.array_sort(F.transform(u, F.lower)))
+        return b.select("slug", "kind", "projects", u.alias("u"), changed.alias("changed"))
+
+    cur = unions(None).checkpoint()
+    while True:
+        donors = cur.where("changed").select(F.col("slug").alias("target"), F.posexplode("u").alias("k", "p"))
+        j = edges.join(donors, "target").where(F.lower("p") != "shared")
+        inh = j.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "p"))).alias("s")).select(
+            "slug", _ordered_distinct_ci(F.transform("s", lambda x: x["p"])).alias("inherited"))
+        nxt = unions(inh).checkpoint()
+        diff = nxt.alias("n").join(cur.alias("c"), "slug").where(
+            (F.col("n.u") != F.col("c.u")) | (F.col("n.changed") != F.col("c.changed")))
+        if diff.isEmpty():
+            break
+        cur = nxt
+    return nxt.where("changed").select("slug", "kind", F.col("projects").alias("existing"), F.col("u").alias("projects"))

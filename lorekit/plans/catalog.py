@@ -665,3 +665,14 @@ def q_parse_issue_json(spark, sf):
                    F.col("n_words").cast("string"), F.lit(' words"}, 7, {"detail": "see '), F.col("slug"), F.lit('"}] ok'))
     r = a.select("slug", txt.alias("text"))
     return parse_issue_json(r).select("severity", "check", "file", "detail")
+
+
+@query("backfill_projects_ordered")
+def q_backfill_projects_ordered(spark, sf):
+    """Full order semantics (chains of inheritance): rows-only here, checked against
+    a brute-force run of the reference rules in tests."""
+    from lorekit.operators.attribution import backfill_projects_ordered
+    v = Vault(spark, sf)
+    _, n = _attribution(v)
+    b = backfill_projects_ordered(v["articles"], n)
+    return b.select("slug", "kind", *_list_cols("existing"), *_list_cols("projects"))
