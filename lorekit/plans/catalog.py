@@ -518,8 +518,9 @@ def q_narrow_by_mention(spark, sf):
     return n.select("slug", *_list_cols("narrowed"))
 
 
-@query("backfill_projects")
-def q_backfill_projects(spark, sf):
+@query("backfill_projects_one_hop")
+def q_backfill_projects_one_hop(spark, sf):
+    """First slice of SURVEY §2.13-D: connections/qa inherit from changed concepts only."""
     b = _backfill(Vault(spark, sf))
     return b.select("slug", "kind", *_list_cols("existing"), *_list_cols("projects"))
 
@@ -667,10 +668,10 @@ def q_parse_issue_json(spark, sf):
     return parse_issue_json(r).select("severity", "check", "file", "detail")
 
 
-@query("backfill_projects_ordered")
-def q_backfill_projects_ordered(spark, sf):
-    """Full order semantics (chains of inheritance): rows-only here, checked against
-    a brute-force run of the reference rules in tests."""
+@query("backfill_projects")
+def q_backfill_projects(spark, sf):
+    """The reference's order-dependent rule (chains of inheritance), solved by DAG rounds;
+    the oracle is a recursive CTE, and a test runs the rules by brute force."""
     from lorekit.operators.attribution import backfill_projects_ordered
     v = Vault(spark, sf)
     _, n = _attribution(v)

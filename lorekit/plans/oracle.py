@@ -896,7 +896,7 @@ oracle("attribute_articles", FULL4 + """
 SELECT slug, array_to_string(derived, ' | ') AS derived_list, CAST(len(derived) AS BIGINT) AS n_derived FROM derived""")
 oracle("narrow_by_mention", FULL4 + """
 SELECT slug, array_to_string(narrowed, ' | ') AS narrowed_list, CAST(len(narrowed) AS BIGINT) AS n_narrowed FROM narrowed""")
-oracle("backfill_projects", FULL4 + """
+oracle("backfill_projects_one_hop", FULL4 + """
 SELECT slug, kind, array_to_string(projects, ' | ') AS existing_list, CAST(len(projects) AS BIGINT) AS n_existing,
        array_to_string(u, ' | ') AS projects_list, CAST(len(u) AS BIGINT) AS n_projects FROM backfill""")
 
@@ -1097,3 +1097,51 @@ SELECT 'warning' AS severity, 'contradiction' AS "check", slug || '.md' AS file,
        'only ' || CAST(n_words AS VARCHAR) || ' words' AS detail FROM articles WHERE n_words < 200
 UNION ALL
 SELECT 'warning', 'contradiction', '?', 'see ' || slug FROM articles WHERE n_words < 200""")
+
+
+# ── Order-dependent backfill: rounds of a recursive CTE until nothing changes ──
+
+def _ci_distinct(lst: str) -> str:
+    """First spelling of each case-insensitive value, in order."""
+    return f"list_filter({lst}, lambda x, i: NOT list_contains(list_transform({lst}[1:i-1], lambda y: lower(y)), lower(x)))"
+
+
+def _union(inh: str) -> str:
+    cand = f"CASE WHEN len({inh}) > 0 THEN {inh} ELSE coalesce(b.narrowed, []::VARCHAR[]) END"
+    d = _ci_distinct(f"list_concat(coalesce(b.projects, []::VARCHAR[]), {cand})")
+    return f"CASE WHEN len({d}) = 0 THEN ['shared'] ELSE {d} END"
+
+
+_CHANGED = ("(projects IS NULL OR list_sort(list_transform(projects, lambda x: lower(x)))"
+            " <> list_sort(list_transform(nu, lambda x: lower(x))))")
+
+oracle("backfill_projects", "WITH RECURSIVE " + FULL4[len("WITH "):] + f""",
+ob AS (SELECT slug, kind, CASE kind WHEN 'concepts' THEN 0 WHEN 'connections' THEN 1 ELSE 2 END AS ko,
+              projects, narrowed, body FROM bbase),
+oe AS (
+  SELECT l.slug, l.pos, l.target FROM (
+    SELECT b.slug, b.ko, u.pos, split_part(u.raw, '|', 1) AS target
+    FROM ob b, unnest(regexp_extract_all(b.body, {rx(WIKILINK)}, 1)) WITH ORDINALITY AS u(raw, pos)) l
+  JOIN ob t ON t.slug = l.target
+  WHERE NOT starts_with({strip('l.target')}, 'daily/') AND (t.ko < l.ko OR (t.ko = l.ko AND t.slug < l.slug))
+),
+rounds(r, slug, u, changed, done) AS (
+  SELECT 0, slug, nu, {_CHANGED}, false
+  FROM (SELECT b.slug, b.projects, {_union('[]::VARCHAR[]')} AS nu FROM ob b)
+  UNION ALL
+  SELECT w.r + 1, x.slug, x.nu, x.nch, bool_and(x.nu = w.u AND x.nch = w.changed) OVER ()
+  FROM rounds w JOIN (
+    SELECT slug, nu, {_CHANGED} AS nch FROM (
+      SELECT b.slug, b.projects, {_union('coalesce(i.inherited, []::VARCHAR[])')} AS nu
+      FROM ob b LEFT JOIN (
+        SELECT slug, {_ci_distinct('l')} AS inherited FROM (
+          SELECT e.slug, list(u.p ORDER BY e.pos, u.k) AS l
+          FROM oe e JOIN rounds d ON d.slug = e.target AND d.changed,
+               unnest(d.u) WITH ORDINALITY AS u(p, k)
+          WHERE lower(u.p) <> 'shared' GROUP BY e.slug)) i USING (slug))) x ON x.slug = w.slug
+  WHERE NOT w.done
+)
+SELECT o.slug, o.kind, array_to_string(o.projects, ' | ') AS existing_list, CAST(len(o.projects) AS BIGINT) AS n_existing,
+       array_to_string(f.u, ' | ') AS projects_list, CAST(len(f.u) AS BIGINT) AS n_projects
+FROM rounds f JOIN ob o USING (slug)
+WHERE f.r = (SELECT max(r) FROM rounds) AND f.changed""")
