@@ -107,20 +107,19 @@ def backfill_projects_ordered(articles: DataFrame, narrowed: DataFrame, default:
     a DAG, which is solved by rounds: each round recomputes every union from the
     previous round's donors (one join and one aggregate, checkpointed) until no
     union changes; after round r every article at depth ≤ r is final."""
-    from lorekit.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(articles.sparkSession)
+    from lorekit.session import cut_lineage
     kind_ord = F.create_map(*[F.lit(x) for kv in KIND_ORDER.items() for x in kv])
     a = articles.where(F.col("content").startswith("---") & (F.locate("\n---", F.col("content"), 4) > 0))
     a = a.select("slug", "kind", kind_ord[F.col("kind")].alias("ko"), "projects", "body")
-    base = a.select("slug", "kind", "ko", "projects").join(narrowed, "slug", "left").checkpoint()
+    base = cut_lineage(a.select("slug", "kind", "ko", "projects").join(narrowed, "slug", "left"))
     links = (a.select("slug", "ko", F.posexplode(F.regexp_extract_all("body", F.lit(r"\[\[([^\]]+)\]\]"), 1)).alias("pos", "raw"))
              .select("slug", "ko", "pos", F.substring_index("raw", "|", 1).alias("target"))
              .where(~py_strip("target").startswith("daily/")))
     tgt = base.select(F.col("slug").alias("target"), F.col("ko").alias("tko"))
     # only links to articles processed earlier can donate
-    edges = (links.join(tgt, "target")
+    edges = cut_lineage(links.join(tgt, "target")
              .where((F.col("tko") < F.col("ko")) | ((F.col("tko") == F.col("ko")) & (F.col("target") < F.col("slug"))))
-             .select("slug", "pos", "target").checkpoint())
+             .select("slug", "pos", "target"))
 
     empty = F.array().cast("array<string>")
 
@@ -134,16 +133,22 @@ def backfill_projects_ordered(articles: DataFrame, narrowed: DataFrame, default:
         changed = F.col("projects").isNull() | (old != F.array_sort(F.transform(u, F.lower)))
         return b.select("slug", "kind", "projects", u.alias("u"), changed.alias("changed"))
 
-    cur = unions(None).checkpoint()
+    cur = cut_lineage(unions(None))
+    delta = cur.where("changed").select(F.col("slug").alias("target"))
     while True:
+        # semi-naive round: only articles linking to something that changed last round are recomputed
+        affected = edges.join(delta, "target", "left_semi").select("slug").distinct()
         donors = cur.where("changed").select(F.col("slug").alias("target"), F.posexplode("u").alias("k", "p"))
-        j = edges.join(donors, "target").where(F.lower("p") != "shared")
+        j = (edges.join(affected, "slug", "left_semi").join(donors, "target")
+             .where(F.lower("p") != "shared"))
         inh = j.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "p"))).alias("s")).select(
             "slug", _ordered_distinct_ci(F.transform("s", lambda x: x["p"])).alias("inherited"))
-        nxt = unions(inh).checkpoint()
-        diff = nxt.alias("n").join(cur.alias("c"), "slug").where(
-            (F.col("n.u") != F.col("c.u")) | (F.col("n.changed") != F.col("c.changed")))
-        if diff.isEmpty():
+        new = unions(inh).join(affected, "slug", "left_semi")
+        prev = cur.select("slug", F.col("u").alias("pu"), F.col("changed").alias("pc"))
+        chg = cut_lineage(new.join(prev, "slug").where((F.col("u") != F.col("pu")) | (F.col("changed") != F.col("pc")))
+               .select("slug", "kind", "projects", "u", "changed"))
+        if chg.isEmpty():
             break
-        cur = nxt
-    return nxt.where("changed").select("slug", "kind", F.col("projects").alias("existing"), F.col("u").alias("projects"))
+        cur = cut_lineage(cur.join(chg.select("slug"), "slug", "left_anti").unionByName(chg))
+        delta = chg.select(F.col("slug").alias("target"))
+    return cur.where("changed").select("slug", "kind", F.col("projects").alias("existing"), F.col("u").alias("projects"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekit.functions.text import sha_hex
-from lorekit.session import ensure_checkpoint_dir
+from lorekit.session import cut_lineage, ensure_checkpoint_dir
 
 PRIME = 2147483647          # 2^31 - 1
 NUM_BANDS, ROWS_PER_BAND = 16, 4
@@ -57,15 +57,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     run until no label changes (at most the component diameter)."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = edges.select("k", "band").distinct().checkpoint()
+    e = cut_lineage(edges.select("k", "band").distinct())
     # round one needs no join: a band's smallest member, then each key's smallest band minimum
     bmin0 = e.groupBy("band").agg(F.min("k").alias("bl"))
-    labels = e.join(bmin0, "band").groupBy("k").agg(F.min("bl").alias("label")).checkpoint()
+    labels = cut_lineage(e.join(bmin0, "band").groupBy("k").agg(F.min("bl").alias("label")))
     while True:
         bmin = e.join(labels, "k").groupBy("band").agg(F.min("label").alias("bl"))
         new = (e.join(bmin, "band").groupBy("k").agg(F.min("bl").alias("nl"))
                .join(labels, "k").select("k", F.least("label", "nl").alias("label"), (F.col("nl") < F.col("label")).alias("ch")))
-        new = new.checkpoint()
+        new = cut_lineage(new)
         if new.where("ch").isEmpty():
             return new.select("k", "label")
         labels = new.select("k", "label")

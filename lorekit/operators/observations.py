@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekit.functions.text import redact
-from lorekit.session import ensure_checkpoint_dir
+from lorekit.session import cut_lineage, ensure_checkpoint_dir
 
 # ── Fixed values ──────────────────────────────────────────────────────
 KEY_ORDER = ["file_path", "path", "command", "pattern", "url", "query",
@@ -159,15 +159,15 @@ def throttle(events: DataFrame, key: str, interval_seconds: int, ts: str = "ts",
     spark = events.sparkSession
     ensure_checkpoint_dir(spark)
     e = events.select(F.col(key).alias("k"), F.col(ts).alias("ts"), F.col(seq).cast("long").alias("seq"))
-    jumps = [_next_allowed(e, interval_seconds).checkpoint()]
+    jumps = [cut_lineage(_next_allowed(e, interval_seconds))]
     while not jumps[-1].where(F.col("j").isNotNull()).isEmpty():
         a, b = jumps[-1].alias("a"), jumps[-1].select(F.col("seq").alias("bs"), F.col("j").alias("bj"))
         nxt = a.join(b, F.col("a.j") == F.col("bs"), "left").select(F.col("a.seq").alias("seq"), F.col("bj").alias("j"))
-        jumps.append(nxt.where(F.col("j").isNotNull()).checkpoint())
+        jumps.append(cut_lineage(nxt.where(F.col("j").isNotNull())))
     jumps = jumps[:-1] if len(jumps) > 1 else jumps
     firsts = e.groupBy("k").agg(F.min_by("seq", F.struct("ts", "seq")).alias("seq")).select("seq")
-    acc = firsts.checkpoint()
+    acc = cut_lineage(firsts)
     for j in reversed(jumps):
         step = acc.join(j, "seq").where(F.col("j").isNotNull()).select(F.col("j").alias("seq"))
-        acc = acc.unionByName(step).distinct().checkpoint()
+        acc = cut_lineage(acc.unionByName(step).distinct())
     return events.join(acc.withColumnRenamed("seq", "_acc"), F.col(seq).cast("long") == F.col("_acc"), "left_semi")

@@ -50,3 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+def cut_lineage(df):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it
+    back: lineage is cut (a lost executor re-reads instead of recomputing) and the
+    plan is computed once, where ``DataFrame.checkpoint()`` on an uncached plan
+    computes it twice (the action, then the checkpoint write)."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/lorekit-stages/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
