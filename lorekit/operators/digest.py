@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekit.functions.text import WS_CLASS, py_strip, slugify
+from lorekit.functions.text import py_strip, slugify
 
 # ── Fixed values (digest layout and messages of the reference) ────────
 DIGEST_BUDGET = 20_000
@@ -196,5 +196,3 @@ def file_back_qa(qa: DataFrame) -> tuple[DataFrame, DataFrame]:
 def wiki_page_count(lines: DataFrame) -> DataFrame:
     return lines.where(py_strip("line").startswith("- [[")).agg(F.count(F.lit(1)).alias("n_pages"))
 
-
-WS = WS_CLASS

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lorekit.functions.text import (
     DAILY_HEADER, FM_KEY_LINE, FRONTMATTER, FRONTMATTER_WITH_GAP, PROJECTS_FIELD, TAG_AT_END,
-    TAG_BEFORE_PAREN, TAG_SUFFIX, WIKILINK, py_lines, py_lstrip, py_strip, strip_quotes, word_count,
+    TAG_BEFORE_PAREN, TAG_SUFFIX, WIKILINK, py_lines, py_lstrip, py_rstrip, py_strip, strip_quotes, word_count,
 )
 
 FM_KEY_LINE_U = "(?U)" + FM_KEY_LINE
@@ -208,15 +208,10 @@ def extract_headers_scoped(dailies: DataFrame) -> DataFrame:
 def scan_index(index_files: DataFrame) -> DataFrame:
     """Rows of an index file: lines starting ``|`` that contain ``[[``."""
     lines = index_files.select("name", F.posexplode(py_lines("content")).alias("pos", "raw"))
-    lines = lines.select("name", "pos", py_rstrip_col("raw").alias("raw"))
+    lines = lines.select("name", "pos", py_rstrip("raw").alias("raw"))
     return lines.where(F.col("raw").startswith("|") & F.col("raw").contains("[["))
 
 
-def py_rstrip_col(c):
-    from lorekit.functions.text import py_rstrip
-    return py_rstrip(c)
-
-
 def parse_index_rows(index_rows: DataFrame) -> DataFrame:
     """Cells of each row: strip the outer pipes, split on ``|``, trim; first link's slug."""
     body = F.regexp_replace(py_strip("raw"), r"^\|+|\|+$", "")

@@ -272,10 +272,6 @@ def merged_evidence(evidence: DataFrame, merged: DataFrame, deleted: DataFrame)
             .agg(F.min("ts").alias("ts")))
 
 
-def near_duplicate_groups(*args, **kwargs):  # pragma: no cover - kept for API symmetry
-    from lorekit.operators.duplicates import near_duplicates
-    return near_duplicates(*args, **kwargs)
-
 
 def extract_evidence(files: DataFrame, key: str = "key", content: str = "content") -> DataFrame:
     """Evidence lines of instinct files: trimmed lines starting ``- ``, each kept at

@@ -199,10 +199,6 @@ FROM links WHERE NOT is_daily AND target NOT IN (SELECT slug FROM files)
 """)
 
 
-def in_list(x: str) -> str:
-    return x
-
-
 KEY = rx(FM_KEY_LINE)
 INLINE = rx(r"(?s)^\[.*\]$")
 INLINE_G = rx(r"(?s)^\[(.*)\]$")

@@ -215,3 +215,18 @@ def test_summarize_and_classify(spark):
     assert (c[0]["success"], c[0]["error"]) == (False, "boom")
     assert (c[1]["success"], c[1]["error"]) == (True, None)
     assert (c[2]["success"], c[2]["error"]) == (True, None)
+
+
+def test_scan_and_parse_index(spark):
+    from lorekit.operators.extract import parse_index_rows, scan_index
+    idx = ("# Knowledge Base Index\n\n| Article | Summary | Projects | Compiled From | Updated |\n"
+           "|---------|---------|----------|---------------|---------|\n"
+           "| [[concepts/a]] | About A | alpha | daily/x.md | 2024-01-01 |   \n"
+           "| [[concepts/b|B]] | About B |\n| no link here |\n")
+    f = spark.createDataFrame([("index.md", idx)], "name string, content string")
+    rows = parse_index_rows(scan_index(f)).orderBy("pos").collect()
+    assert [r["slug"] for r in rows] == ["concepts/a", "concepts/b"]
+    assert list(rows[0]["cells"]) == ["[[concepts/a]]", "About A", "alpha", "daily/x.md", "2024-01-01"]
+    assert rows[0]["raw"].endswith("|")          # trailing whitespace stripped
+    # a '|' inside a link shifts the cells, as in the reference
+    assert list(rows[1]["cells"]) == ["[[concepts/b", "B]]", "About B"]
