@@ -19,35 +19,34 @@ SYNTH_MIN_OBS, SYNTH_WINDOW_HOURS, TAIL_K = 20, 24, 200
 
 # ── Raw hook events (VARIANT) ─────────────────────────────────────────
 
-def _scalar_text(v, cut: int | None) -> F.Column:
-    """Python str() of a JSON scalar: strings as is, booleans True/False, numbers verbatim."""
-    t = F.schema_of_variant(v)
-    s = (F.when(t == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), "True").otherwise("False"))
-         .otherwise(F.try_variant_get(v, "$", "string")))
-    return F.substring(s, 1, cut) if cut else s
-
-
 def summarize_tool_events(raw: DataFrame, input_col: str = "tool_input") -> DataFrame:
     """input_summary: listed keys first in fixed order (strings cut to 120, numbers
     and booleans verbatim, lists ``[n items]``), then the other scalar keys in key
     order cut to 60; joined by spaces, cut to 500, then redacted. A non-object input
     becomes its text, redacted, cut to 500."""
     m = F.try_variant_get(F.col(input_col), "$", "map<string,variant>")
-    entries = F.map_entries(m)
+    # type each entry once; the formatting below only reads the cached type string
+    entries = F.transform(F.map_entries(m), lambda e: F.struct(
+        e["key"].alias("key"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("t")))
     order = F.array(*[F.lit(k) for k in KEY_ORDER])
 
+    def scalar_text(v, t, cut):
+        x = (F.when(t == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), "True").otherwise("False"))
+             .otherwise(F.try_variant_get(v, "$", "string")))
+        return F.substring(x, 1, cut) if cut else x
+
     def part(e):
-        k, v = e["key"], e["value"]
-        t = F.schema_of_variant(v)
-        listed = F.array_position(order, k) > 0
-        is_scalar = t.isin("STRING", "BOOLEAN") | t.startswith("DECIMAL") | t.isin("BIGINT", "DOUBLE", "FLOAT", "INT")
-        text = (F.when(listed & (t == "STRING"), F.concat(k, F.lit("="), _scalar_text(v, LISTED_CUT)))
-                .when(listed & is_scalar, F.concat(k, F.lit("="), _scalar_text(v, None)))
+        k, v, t = e["key"], e["value"], e["t"]
+        pos = F.array_position(order, k)
+        listed = pos > 0
+        is_scalar = t.isin("STRING", "BOOLEAN", "BIGINT", "DOUBLE", "FLOAT", "INT") | t.startswith("DECIMAL")
+        text = (F.when(listed & (t == "STRING"), F.concat(k, F.lit("="), scalar_text(v, t, LISTED_CUT)))
+                .when(listed & is_scalar, F.concat(k, F.lit("="), scalar_text(v, t, None)))
                 .when(listed & t.startswith("ARRAY"),
                       F.concat(k, F.lit("=["), F.size(F.try_variant_get(v, "$", "array<variant>")).cast("string"),
                                F.lit(" items]")))
-                .when(~listed & is_scalar, F.concat(k, F.lit("="), _scalar_text(v, OTHER_CUT))))
-        rank = F.when(listed, F.array_position(order, k)).otherwise(F.lit(len(KEY_ORDER) + 1))
+                .when(~listed & is_scalar, F.concat(k, F.lit("="), scalar_text(v, t, OTHER_CUT))))
+        rank = F.when(listed, pos).otherwise(F.lit(len(KEY_ORDER) + 1))
         return F.struct(rank.alias("r"), k.alias("k"), text.alias("t"))
 
     parts = F.filter(F.transform(entries, part), lambda p: p["t"].isNotNull())
