@@ -158,10 +158,11 @@ def _order_col(c: str, values: list[str]) -> F.Column:
 
 
 def lint_report(issues: DataFrame, as_of: str) -> DataFrame:
-    """The markdown report as ordered rows (block, sev_ord, check_ord, file, pos, line):
-    title and totals (block 0), a heading per non-empty severity (block 1), then
-    the issue lines (block 2). A writer sorts and concatenates; a large vault never
-    becomes one string on one task."""
+    """The markdown report as rows (block, sev_ord, check_ord, file, pos, line), in
+    report order when sorted by (sev_ord, block, check_ord, file, pos): title and
+    totals (sev_ord 0), then per non-empty severity its heading and a blank line
+    (block 1), the issue lines (block 2) and a blank line (block 3). A writer sorts
+    and concatenates; a large vault never becomes one string on one task."""
     spark = issues.sparkSession
     i = issues.select("*", _order_col("severity", SEVERITY_ORDER).alias("sev_ord"),
                       _order_col("check", CHECK_ORDER).alias("check_ord"))
@@ -185,9 +186,13 @@ def lint_report(issues: DataFrame, as_of: str) -> DataFrame:
     labels = spark.createDataFrame([(1, "## Errors"), (2, "## Warnings"), (3, "## Suggestions")],
                                    "sev_ord int, label string")
     present = i.select("sev_ord").distinct().join(labels, "sev_ord")
-    sec_head = present.select(F.lit(1).alias("block"), "sev_ord", F.lit(0).alias("check_ord"),
-                              F.lit("").alias("file"), F.lit(0).alias("pos"), F.col("label").alias("line"))
-    return head.unionByName(sec_head).unionByName(items)
+    # per severity: heading and a blank line (block 1), the items (block 2), a closing blank line (block 3)
+    sec = present.select("sev_ord", F.posexplode(F.array(F.col("label"), F.lit(""))).alias("pos", "line"))
+    sec_head = sec.select(F.lit(1).alias("block"), "sev_ord", F.lit(0).alias("check_ord"), F.lit("").alias("file"),
+                          F.col("pos").cast("int").alias("pos"), "line")
+    trailer = present.select(F.lit(3).alias("block"), "sev_ord", F.lit(0).alias("check_ord"), F.lit("").alias("file"),
+                             F.lit(0).alias("pos"), F.lit("").alias("line"))
+    return head.unionByName(sec_head).unionByName(items).unionByName(trailer)
 
 
 def inbound_links(articles: DataFrame, links: DataFrame) -> DataFrame:

@@ -372,6 +372,10 @@ UNION ALL
 SELECT DISTINCT 1, sev_ord, 0, '', 0, CASE sev_ord WHEN 1 THEN '## Errors' WHEN 2 THEN '## Warnings'
   ELSE '## Suggestions' END FROM i
 UNION ALL
+SELECT DISTINCT 1, sev_ord, 0, '', 1, '' FROM i
+UNION ALL
+SELECT DISTINCT 3, sev_ord, 0, '', 0, '' FROM i
+UNION ALL
 SELECT 2, sev_ord, check_ord, file, CAST(pos AS INTEGER), '- **' || "check" || '** · `' || file || '` — ' || detail
 FROM i""".replace("WITH files AS", "WITH files AS", 1))
 oracle("inbound_links", FULL + """

@@ -93,3 +93,22 @@ def test_parse_issue_json_and_evidence(spark):
                               "key string, content string")
     ev = [x["line"] for x in extract_evidence(f).orderBy("pos").collect()]
     assert ev == ["- 2024-01-01: a", "- 2024-01-02: b"]
+
+
+def test_markdown_report_parts_concatenate_in_order(spark, tmp_dir):
+    import glob
+    from lorekit.operators.lint import lint_report
+    iss = spark.createDataFrame(
+        [("suggestion", "sparse_article", f"concepts/{i:03d}.md", "d", 0) for i in range(50)]
+        + [("error", "broken_link", "concepts/z.md", "Wikilink [[x]] points to a non-existent article", 1)],
+        "severity string, check string, file string, detail string, pos int")
+    out = os.path.join(tmp_dir, "report")
+    scan.write_issues(lint_report(iss, "2024-02-01T00:00:00").repartition(7), out, fmt="markdown")
+    text = "".join(open(p).read() for p in sorted(glob.glob(os.path.join(out, "part-*"))))
+    lines = text.splitlines()
+    assert lines[:4] == ["# Lint Report — 2024-02-01T00:00:00", "", "**1 errors, 0 warnings, 50 suggestions.**", ""]
+    assert lines[4:8] == ["## Errors", "", "- **broken_link** · `concepts/z.md` — Wikilink [[x]] points to a "
+                          "non-existent article", ""]
+    assert lines[8:10] == ["## Suggestions", ""]
+    assert lines[10] == "- **sparse_article** · `concepts/000.md` — d"
+    assert lines[-2].startswith("- **sparse_article** · `concepts/049.md`") and lines[-1] == ""
