@@ -112,3 +112,18 @@ def test_markdown_report_parts_concatenate_in_order(spark, tmp_dir):
     assert lines[8:10] == ["## Suggestions", ""]
     assert lines[10] == "- **sparse_article** · `concepts/000.md` — d"
     assert lines[-2].startswith("- **sparse_article** · `concepts/049.md`") and lines[-1] == ""
+
+
+def test_write_daily_appends_by_name(spark, tmp_dir):
+    from lorekit.operators.dailies import render_daily, write_daily
+    f = spark.createDataFrame([("2024-01-01 10:05:00", "Alpha", "did x"), ("2024-01-01 12:00:00", "Beta", "did y"),
+                               ("2024-01-02 09:00:00", "Alpha", "did z")], "ts string, canonical string, body string")
+    f = f.withColumn("ts", F.to_timestamp("ts"))
+    out = os.path.join(tmp_dir, "daily")
+    write_daily(render_daily(f.where("body <> 'did z'")), out)
+    write_daily(render_daily(f.where("body = 'did z'")), out)      # a later flush appends
+    d = spark.read.parquet(out)
+    assert sorted(r["name"] for r in d.select("name").distinct().collect()) == ["2024-01-01.md", "2024-01-02.md"]
+    day1 = [r["text"] for r in d.where("name = '2024-01-01.md'").orderBy(F.col("ts").asc_nulls_first()).collect()]
+    assert day1 == ["# Daily Log: 01.01.2024\n\n## Sessions\n", "\n### Session (10:05) — Alpha\n\ndid x\n",
+                    "\n### Session (12:00) — Beta\n\ndid y\n"]
