@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorekit.llm import line_dedup, source_mix
 from lorekit.llm.substring_dedup import substring_dedup
 from lorekit.llm.suffix_dedup import suffix_dedup
 
@@ -20,7 +21,15 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_suffix_dedup)}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op4_suffix_dedup, op7_source_mix)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_line_dedup": line_dedup.ORACLE, "op7_source_mix": source_mix.ORACLE}
