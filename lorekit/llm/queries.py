@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekit.llm import line_dedup, source_mix
+from lorekit.llm import line_dedup, ngram_join, source_mix
+from lorekit.llm.embedding_dedup import embedding_links
 from lorekit.llm.substring_dedup import substring_dedup
 from lorekit.llm.suffix_dedup import suffix_dedup
 
@@ -29,7 +30,15 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op4_suffix_dedup, op7_source_mix)}
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op4_suffix_dedup, op7_source_mix, op8_ngram_join, op10_embedding_dedup)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 ORACLE = {"op2_line_dedup": line_dedup.ORACLE, "op7_source_mix": source_mix.ORACLE}
