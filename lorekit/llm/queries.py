@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekit.llm import line_dedup, ngram_join, source_mix
+from lorekit.llm import line_dedup, ngram_join, quality_classifier, quality_rules, source_mix
 from lorekit.llm.embedding_dedup import embedding_links
 from lorekit.llm.substring_dedup import substring_dedup
 from lorekit.llm.suffix_dedup import suffix_dedup
@@ -18,6 +18,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.quality_rules(docs, quality_rules.train_field(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.quality_scores(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_report(table(spark, sf_dir, "documents"))
 
@@ -38,7 +48,9 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op4_suffix_dedup, op7_source_mix, op8_ngram_join, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_substring_dedup, op2_line_dedup, op3_quality_rules, op4_suffix_dedup, op6_quality_classifier, op7_source_mix,
+    op8_ngram_join, op10_embedding_dedup)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 ORACLE = {"op2_line_dedup": line_dedup.ORACLE, "op7_source_mix": source_mix.ORACLE}

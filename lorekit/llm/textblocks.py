@@ -113,3 +113,9 @@ def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
     back = np.minimum.accumulate(k[:, ::-1], axis=1)[:, ::-1].ravel()
     m = n - width + 1
     return (np.minimum(back[:m], ahead[width - 1:width - 1 + m]) & low).astype(np.int64)
+
+
+def by_row_and_hash(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """Order by row, then hash."""
+    order = np.argsort(h)
+    return order[np.argsort(row[order].astype(np.uint16 if rows < 1 << 16 else np.uint32), kind="stable")]
