@@ -211,3 +211,10 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     out = sets.drop("prefix").join(classes, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("n") == F.col("cn"))
                                    & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, and rows without id, with all columns."""
+    found = near_components(docs, key, text, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_later_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(found, F.col("row")[key] == F.col("_later_id"), "left_anti").select("row.*")

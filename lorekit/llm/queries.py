@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekit.llm import line_dedup, ngram_join, quality_classifier, quality_rules, source_mix
+from lorekit.llm import (line_dedup, ngram_join, quality_classifier, quality_rules, sentencepiece_viterbi, source_mix,
+                         token_counts)
 from lorekit.llm.embedding_dedup import embedding_links
 from lorekit.llm.substring_dedup import substring_dedup
 from lorekit.llm.suffix_dedup import suffix_dedup
@@ -31,6 +32,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.quality_scores(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
@@ -44,13 +49,17 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_components(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_line_dedup, op3_quality_rules, op4_suffix_dedup, op6_quality_classifier, op7_source_mix,
-    op8_ngram_join, op10_embedding_dedup)}
+    op1_substring_dedup, op2_line_dedup, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_quality_classifier,
+    op7_source_mix, op8_ngram_join, op9_sentencepiece_viterbi, op10_embedding_dedup)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 ORACLE = {"op2_line_dedup": line_dedup.ORACLE, "op7_source_mix": source_mix.ORACLE}
