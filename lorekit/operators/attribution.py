@@ -55,8 +55,8 @@ def inherit_projects(articles: DataFrame, links: DataFrame, donors: DataFrame) -
     (after the frontmatter); daily links are ignored."""
     body_links = (articles.select("slug", F.posexplode(F.regexp_extract_all("body", F.lit(r"\[\[([^\]]+)\]\]"), 1))
                                   .alias("pos", "raw"))
-                  .select("slug", "pos", F.substring_index("raw", "|", 1).alias("target"))
-                  .where(~py_strip("target").startswith("daily/")))
+                  .select("slug", "pos", py_strip(F.substring_index("raw", "|", 1)).alias("target"))
+                  .where(~F.col("target").startswith("daily/")))
     d = donors.select(F.col("slug").alias("target"), F.posexplode("projects").alias("k", "p"))
     j = body_links.join(d, "target").where(F.lower("p") != "shared")
     g = j.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "p"))).alias("s"))
@@ -113,8 +113,8 @@ def backfill_projects_ordered(articles: DataFrame, narrowed: DataFrame, default:
     a = a.select("slug", "kind", kind_ord[F.col("kind")].alias("ko"), "projects", "body")
     base = cut_lineage(a.select("slug", "kind", "ko", "projects").join(narrowed, "slug", "left"))
     links = (a.select("slug", "ko", F.posexplode(F.regexp_extract_all("body", F.lit(r"\[\[([^\]]+)\]\]"), 1)).alias("pos", "raw"))
-             .select("slug", "ko", "pos", F.substring_index("raw", "|", 1).alias("target"))
-             .where(~py_strip("target").startswith("daily/")))
+             .select("slug", "ko", "pos", py_strip(F.substring_index("raw", "|", 1)).alias("target"))
+             .where(~F.col("target").startswith("daily/")))
     tgt = base.select(F.col("slug").alias("target"), F.col("ko").alias("tko"))
     # only links to articles processed earlier can donate
     edges = cut_lineage(links.join(tgt, "target")

@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekit.functions.text import py_strip, sha_hex
+from lorekit.functions.text import py_strip
 from lorekit.operators.extract import extract_headers_scoped
 from lorekit.operators.scope import registry_names
+from lorekit.session import path_exists
 
 # ── Fixed values ──────────────────────────────────────────────────────
 COMPILE_AFTER_HOUR = 18
@@ -47,8 +48,9 @@ def daily_projects(sections: DataFrame) -> DataFrame:
 
 
 def pending_dailies(dailies: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:
-    """Dailies with no record, a record without a hash, or a hash that differs."""
-    d = dailies.select("name", sha_hex("content", 16).alias("current"))
+    """Dailies with no record, a record without a hash, or a hash that differs.
+    ``sha16`` is the hash of the file's raw bytes, as ``scan_vault`` gives it."""
+    d = dailies.select("name", F.col("sha16").alias("current"))
     if force:
         return d.select("name")
     j = d.join(state.select("name", F.col("hash").alias("recorded")), "name", "left")
@@ -65,9 +67,10 @@ def autocompile_due(checks: DataFrame, dailies: DataFrame, state: DataFrame, tz:
     return c.join(pending_dailies(dailies, state), "name", "left_semi")
 
 
-def render_daily(flushes: DataFrame, tz: str = "UTC") -> DataFrame:
+def render_daily(flushes: DataFrame, tz: str = "UTC", existing: DataFrame | None = None) -> DataFrame:
     """Daily files as rows (name, ts, text): a title row per date, then one
-    ``### Session (HH:MM) — project`` block per flush in time order."""
+    ``### Session (HH:MM) — project`` block per flush in time order. A date whose
+    file is in ``existing`` (name) has its title already."""
     local = F.from_utc_timestamp(F.col("ts"), tz) if tz != "UTC" else F.col("ts")
     f = flushes.select("*", local.alias("lts"))
     blocks = f.select(F.concat(F.date_format("lts", "yyyy-MM-dd"), F.lit(".md")).alias("name"), "ts",
@@ -77,6 +80,8 @@ def render_daily(flushes: DataFrame, tz: str = "UTC") -> DataFrame:
         F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit(".md")).alias("name"),
         F.lit(None).cast(flushes.schema["ts"].dataType).alias("ts"),
         F.concat(F.lit("# Daily Log: "), F.date_format("d", "dd.MM.yyyy"), F.lit("\n\n## Sessions\n")).alias("text"))
+    if existing is not None:
+        titles = titles.join(existing.select("name"), "name", "left_anti")
     return titles.unionByName(blocks)
 
 
@@ -109,5 +114,10 @@ def latest_daily_pointer(dailies: DataFrame, registry: DataFrame, as_of: str) ->
 
 def write_daily(rows: DataFrame, path: str) -> None:
     """Append rendered daily rows, partitioned by daily name (the commit protocol
-    replaces the reference's append-under-lock)."""
+    replaces the reference's append-under-lock); a title that is there already is
+    not written again."""
+    spark = rows.sparkSession
+    if path_exists(spark, f"{path.rstrip('/')}/name=*"):
+        there = spark.read.schema(rows.schema).parquet(path).where("ts IS NULL").select("name").distinct()
+        rows = rows.where("ts IS NOT NULL").unionByName(rows.where("ts IS NULL").join(there, "name", "left_anti").select(*rows.columns))
     rows.write.mode("append").partitionBy("name").parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekit.functions.text import py_strip, slugify
+from lorekit.session import cut_lineage
 
 # ── Fixed values (digest layout and messages of the reference) ────────
 DIGEST_BUDGET = 20_000
@@ -36,7 +37,8 @@ DAILY_LABELS = {"today": "сегодня", "yesterday": "вчера"}
 BUNDLE_HEAD = "## INDEX\n\n"
 KIND_ORDER = ("concepts", "connections", "qa")
 QA_SLUG_CAP = 80
-MIN_ROW_CHARS = 10   # "- [[x]] — " : no more than budget / 10 rows can ever be shown
+INDEX_HEADER = ("# Knowledge Base Index\n\n| Article | Summary | Projects | Compiled From | Updated |\n"
+                "|---------|---------|----------|---------------|---------|\n")
 
 
 def _fmt(template: str, *cols) -> F.Column:
@@ -91,7 +93,9 @@ def session_digest(scoped: DataFrame, project: DataFrame,
     ``project`` is its one registry row (canonical, id)."""
     from lorekit.operators.instincts import top_instincts
     spark = scoped.sparkSession
-    max_rows = budget // MIN_ROW_CHARS + 1
+    # every row but a list's first begins with a line break, so budget + 2 rows of a list always hold more than
+    # the budget: no later row can be shown, and the size of these alone tells that the digest is cut
+    max_rows = budget + 2
     cur = (scoped.where(F.col("scope").isin("current", "shared")).orderBy("pos").limit(max_rows)
            .select("pos", compact_row("raw").alias("line")))
     oth = other_rows_capped(scoped.where(F.col("scope") == "other"))
@@ -136,6 +140,7 @@ def session_digest(scoped: DataFrame, project: DataFrame,
     rows = parts[0]
     for q in parts[1:]:
         rows = rows.unionByName(q)
+    rows = cut_lineage(rows)
     total = rows.agg(F.sum(F.length("text")).alias("t"))
     cut = char_budget(rows, ["part", "pos"], budget)
     marker = total.where(F.col("t") > budget).select(F.lit(9).alias("part"), F.lit(0).cast("long").alias("pos"),
@@ -143,15 +148,11 @@ def session_digest(scoped: DataFrame, project: DataFrame,
     return cut.unionByName(marker)
 
 
-INDEX_HEADER = ("# Knowledge Base Index\n\n| Article | Summary | Projects | Compiled From | Updated |\n"
-                "|---------|---------|----------|---------------|---------|\n")
-
-
 def knowledge_bundle(index_rows: DataFrame, articles: DataFrame) -> DataFrame:
     """The Q&A context as rows (kind_ord, slug, n_chars, cum_chars): the index part,
     then each kept article ``## <slug>.md\\n\\n<content>`` in kind then name order,
-    parts separated by ``\\n\\n---\\n\\n``. The running size is computed per
-    ordered bucket of names plus the totals of the earlier buckets, so no global
+    parts separated by ``\\n\\n---\\n\\n``. The running size is computed within
+    range partitions of the names plus the totals of the earlier partitions, so no
     window pulls the bundle into one task."""
     idx = index_rows.agg((F.coalesce(F.sum(F.length("raw") + 1), F.lit(0)) + len(BUNDLE_HEAD) + len(INDEX_HEADER))
                          .cast("long").alias("n_chars")).select(F.lit(0).alias("kind_ord"), F.lit("").alias("slug"), "n_chars")
@@ -159,13 +160,13 @@ def knowledge_bundle(index_rows: DataFrame, articles: DataFrame) -> DataFrame:
     a = articles.select(kind_ord.alias("kind_ord"), "slug",
                         (F.length(F.concat(F.lit("## "), F.col("slug"), F.lit(".md\n\n"), F.col("content")))
                          + len(SEPARATOR)).cast("long").alias("n_chars"))
-    parts = idx.unionByName(a).withColumn("bucket", F.struct("kind_ord", F.substring("slug", 1, len("connections/doc-") + 2)))
+    parts = cut_lineage(idx.unionByName(a).repartitionByRange("kind_ord", "slug").withColumn("bucket", F.spark_partition_id()))
     inb = parts.withColumn("c", F.sum("n_chars").over(
-        Window.partitionBy("bucket").orderBy("slug").rowsBetween(Window.unboundedPreceding, 0)))
+        Window.partitionBy("bucket").orderBy("kind_ord", "slug").rowsBetween(Window.unboundedPreceding, 0)))
     tot = parts.groupBy("bucket").agg(F.sum("n_chars").alias("bt"))
     offs = tot.withColumn("off", F.coalesce(F.sum("bt").over(
         Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("bucket", "off")
-    return (inb.join(F.broadcast(offs), "bucket")
+    return (inb.join(F.broadcast(offs), "bucket")      # one row a partition
             .select("kind_ord", "slug", "n_chars", (F.col("off") + F.col("c")).cast("long").alias("cum_chars")))
 
 
@@ -180,7 +181,7 @@ def file_back_qa(qa: DataFrame) -> tuple[DataFrame, DataFrame]:
     q = qa.select("question", "answer", "ts", qa_slug(F.col("question")).alias("slug"))
     q = q.withColumn("slug", F.when(F.col("slug") != "", F.col("slug")).otherwise(
         F.concat(F.lit("q-"), F.date_format("ts", "HHmmss"))))
-    last = q.groupBy("slug").agg(F.max_by(F.struct("question", "answer", "ts"), "ts").alias("w"))
+    last = q.groupBy("slug").agg(F.max(F.struct("ts", "question", "answer")).alias("w"))
     d = F.date_format("w.ts", "yyyy-MM-dd")
     text = F.concat(
         F.lit("---\ntitle: \"Q: "), F.col("w.question"), F.lit("\"\nquestion: \""),

@@ -228,5 +228,5 @@ def build_index(articles: DataFrame) -> DataFrame:
     projects = F.coalesce(F.array_join("projects", ", "), F.lit("-"))
     raw = F.concat(F.lit("| [["), F.col("slug"), F.lit("]] | "), py_strip(summary), F.lit(" | "),
                    projects, F.lit(" | daily | 2024-02-01 |"))
-    pos = F.regexp_extract("slug", r"(\d+)$", 1).cast("long")
+    pos = F.coalesce(F.regexp_extract("slug", r"(\d+)$", 1).try_cast("long"), F.lit(0).cast("long"))
     return articles.select(F.lit("index.md").alias("name"), pos.alias("pos"), F.col("slug"), raw.alias("raw"))

@@ -82,30 +82,32 @@ def upsert_instincts(existing: DataFrame | None, candidates: DataFrame) -> tuple
     → min(0.9, conf + 0.1), count + 1. Closed form with n proposals: n = 1 → c₁,
     else min(0.9, c₁ + 0.1·(n−1)); on an existing row e with m repeats →
     min(0.9, e + 0.1·m). Trigger/action from the latest proposal, domain from the
-    latest proposal that has one (else existing, else ``general``); projects are
-    ``[shared]``; created = first, last_seen = updated = latest proposal date.
+    latest proposal that has one (else existing, else ``general``); projects become
+    ``[shared]`` on the rows that a proposal touches; created = first, last_seen = updated = latest proposal date.
     Evidence lines ``- date: note`` are kept once each (exact-line distinct)."""
     c = candidates.select(
         instinct_key(F.col("id"), F.col("trigger")).alias("key"), "trigger", "action", "domain",
         F.round(F.coalesce(F.col("confidence").cast("double"), F.lit(0.3)), 2).cast(CONF).alias("conf"),
         F.coalesce(F.col("evidence"), F.lit(DEFAULT_NOTE)).alias("note"), "ts",
         F.to_date("ts").alias("date"))
+    order = F.struct("ts", "trigger", "action", "conf", "domain", "note")     # total, whatever the partitioning
     g = c.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min_by("conf", "ts").alias("c1"),
-        F.max_by(F.struct("trigger", "action"), "ts").alias("last"),
-        F.max_by("domain", F.when(F.col("domain").isNotNull(), F.col("ts"))).alias("domain_new"),
+        F.min_by("conf", order).alias("c1"),
+        F.max_by(F.struct("trigger", "action"), order).alias("last"),
+        F.max_by("domain", F.when(F.col("domain").isNotNull(), order)).alias("domain_new"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"))
     cap, step = F.lit(CONFIDENCE_CAP).cast(CONF), F.lit(CONFIDENCE_STEP).cast(CONF)
     ev_new = c.select("key", F.concat(F.lit("- "), F.date_format("date", "yyyy-MM-dd"), F.lit(": "), F.col("note")).alias("line"),
                       "ts")
+    keep_projects = existing is not None and "projects" in existing.columns
     if existing is None:
         e = None
     else:
         e = existing.select(F.col("key").alias("key"), F.col("domain").alias("e_domain"),
                             F.col("confidence").cast(CONF).alias("e_conf"), F.col("source").alias("e_source"),
                             F.col("evidence_count").alias("e_count"), F.col("created").alias("e_created"),
-                            *[F.col(x).alias(f"e_{x}") for x in ("trigger", "action", "last_seen", "updated")])
+                            *[F.col(x).alias(f"e_{x}") for x in ("trigger", "action", "last_seen", "updated", *["projects"] * keep_projects)])
     j = g if e is None else g.join(e, "key", "full_outer")
     has_e = F.lit(False) if e is None else F.col("e_conf").isNotNull() | F.col("e_count").isNotNull()
     has_n = F.col("n").isNotNull()
@@ -124,7 +126,8 @@ def upsert_instincts(existing: DataFrame | None, candidates: DataFrame) -> tuple
         (F.coalesce(F.col("e_created"), F.col("first_date")) if e is not None else F.col("first_date")).alias("created"),
         F.when(has_n, F.col("last_date")).otherwise(F.col("e_last_seen") if e is not None else F.lit(None)).alias("last_seen"),
         F.when(has_n, F.col("last_date")).otherwise(F.col("e_updated") if e is not None else F.lit(None)).alias("updated"),
-        F.array(F.lit("shared")).alias("projects"),
+        (F.when(has_n, F.array(F.lit("shared"))).otherwise(F.col("e_projects")) if keep_projects
+         else F.array(F.lit("shared"))).alias("projects"),
     )
     return out, ev_new
 
@@ -195,13 +198,15 @@ def render_instincts(instincts: DataFrame) -> DataFrame:
         s = F.coalesce(c.cast("string"), F.lit(""))
         return F.when(s.rlike(r"[:#\[\]]"), F.concat(F.lit('"'), s, F.lit('"'))).otherwise(s)
     d = lambda c: F.date_format(c, "yyyy-MM-dd")
+    listed = F.col("projects") if "projects" in instincts.columns else F.array(F.lit("shared"))
+    items = F.transform(listed, lambda x: F.when(x.contains(","), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x))
     text = F.concat_ws("\n",
                        F.lit("---"), F.concat(F.lit("id: "), scalar(F.col("key"))), F.lit("type: instinct"),
                        F.concat(F.lit("trigger: "), scalar(F.col("trigger"))),
                        F.concat(F.lit("action: "), scalar(F.col("action"))),
                        F.concat(F.lit("domain: "), scalar(F.col("domain"))),
                        F.concat(F.lit("confidence: "), py_float_text(F.col("confidence"))),
-                       F.lit("projects: [shared]"),
+                       F.concat(F.lit("projects: ["), F.array_join(items, ", "), F.lit("]")),
                        F.concat(F.lit("source: "), scalar(F.col("source"))),
                        F.concat(F.lit("evidence_count: "), F.col("evidence_count").cast("string")),
                        F.concat(F.lit("created: "), d("created")), F.concat(F.lit("last_seen: "), d("last_seen")),

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekit.functions.text import sha_hex
 
 # ── Fixed values: check names, severities and messages of the reference ──
 SPARSE_MIN_WORDS = 200
@@ -75,7 +74,7 @@ def lint_stale_articles(frontmatter: DataFrame, dailies: DataFrame, state: DataF
            .where(F.col("source").startswith("daily/")))
     dname = F.concat(F.regexp_replace(F.expr("substr(source, 7)"), r"\.md$", ""), F.lit(".md"))
     src = src.withColumn("name", dname)
-    cur = dailies.select("name", sha_hex("content", 16).alias("current"))
+    cur = dailies.select("name", F.col("sha16").alias("current"))
     st = state.select("name", F.col("hash").alias("recorded"))
     j = (src.join(cur, "name").join(st, "name")
          .where(F.col("recorded").isNotNull() & (F.col("recorded") != "") & (F.col("recorded") != F.col("current"))))

@@ -4,7 +4,7 @@ registry side is small and AQE turns those joins into broadcasts at run time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekit.functions.text import basename, capitalize_first, sha_hex, strip_credentials
@@ -89,15 +89,24 @@ def stamp_project(sessions: DataFrame, registry: DataFrame) -> DataFrame:
 
 def register_projects(registry: DataFrame, detected: DataFrame, as_of_date: str) -> DataFrame:
     """Insert-if-absent: one stub per new id (not null, not shared); existing entries
-    are never changed; concurrent detections of one id collapse deterministically."""
+    are never changed; concurrent detections of one id collapse deterministically.
+
+    Stubs follow the existing entries in the order of their ids, each with its own
+    ``ord``: a rank within the ids of one two-character prefix plus the number of
+    stubs with a smaller prefix (one row a prefix, so no window holds all stubs)."""
     new = (detected.where(F.col("id").isNotNull() & (F.col("id") != "shared"))
            .join(registry.select("id"), "id", "left_anti")
            .groupBy("id").agg(F.min_by(F.struct("name", "root", "remote"), "session_id").alias("s")))
     name = F.coalesce(F.col("s.name"), F.lit("unknown"))
-    max_ord = registry.agg(F.max("ord")).scalar()
-    # stubs follow the existing entries; among themselves they are ordered by id
+    max_ord = F.coalesce(registry.agg(F.max("ord")).scalar(), F.lit(-1))
+    new = new.withColumn("prefix", F.substring("id", 1, 2))
+    before = new.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("prefix").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("prefix").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    new = new.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy("id"))).join(
+        before, F.col("prefix") == F.col("p"))
     stubs = new.select(
-        (max_ord + 1).cast("int").alias("ord"),
+        (max_ord + F.col("before") + F.col("rank")).cast("int").alias("ord"),
         "id", name.alias("name"), capitalize_first(name).alias("canonical"),
         F.array(F.lower(name)).alias("aliases"), F.col("s.root").alias("root"), F.col("s.remote").alias("remote"))
     out = registry.select("ord", "id", "name", "canonical", "aliases", "root", "remote").withColumn(

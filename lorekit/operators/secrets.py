@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekit.functions.text import SECRET, redact
+from lorekit.functions.text import SECRET
 
 # ── Fixed values ──────────────────────────────────────────────────────
 IGNORE_GLOBS = ("plugins/marketplaces/*",)
@@ -15,10 +15,6 @@ CRITICAL_SHOWN = 10
 SEVERITY_MISSING = "unknown"
 
 
-def redact_column(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    return df.withColumn(out or col, redact(col))
-
-
 def secret_findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per secret match: (key, ordinal, keyword, match). Documents without
     a key word are dropped by a cheap predicate before the extraction."""

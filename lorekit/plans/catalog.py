@@ -325,7 +325,7 @@ def q_throttle(spark, sf):
 # ── Instincts ─────────────────────────────────────────────────────────
 
 SPLIT_DATE = "2024-01-11"
-PRUNE_AS_OF = "2024-02-09 00:00:00"
+PRUNE_AS_OF = "2024-02-28 12:00:00"
 
 
 def _instincts(v: Vault):
@@ -381,11 +381,9 @@ def q_top_instincts(spark, sf):
 
 @query("prune_instincts")
 def q_prune_instincts(spark, sf):
-    """Prune the table as it stood after the first pass."""
-    from lorekit.operators.instincts import prune_instincts, upsert_instincts
-    c = Vault(spark, sf)["candidates"]
-    first, _ = upsert_instincts(None, c.where(F.col("date") < SPLIT_DATE))
-    return prune_instincts(first, PRUNE_AS_OF)
+    from lorekit.operators.instincts import prune_instincts
+    inst, _ = _instincts(Vault(spark, sf))
+    return prune_instincts(inst, PRUNE_AS_OF)
 
 
 @query("resolve_instinct")
@@ -659,9 +657,9 @@ def q_inherit_projects(spark, sf):
 
 @query("parse_issue_json")
 def q_parse_issue_json(spark, sf):
-    """Model responses per thin article: a JSON list with an object, a number and an object without file."""
+    """A model response per article: a JSON list with an object, a number and an object without file."""
     from lorekit.operators.lint import parse_issue_json
-    a = Vault(spark, sf)["articles"].where(F.col("n_words") < 200)
+    a = Vault(spark, sf)["articles"]
     txt = F.concat(F.lit('Found: [{"file": "'), F.col("slug"), F.lit('.md", "detail": "only '),
                    F.col("n_words").cast("string"), F.lit(' words"}, 7, {"detail": "see '), F.col("slug"), F.lit('"}] ok'))
     r = a.select("slug", txt.alias("text"))

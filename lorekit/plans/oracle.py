@@ -150,14 +150,15 @@ dailies AS (
     '# Daily Log: ' || strftime(date, '%d.%m.%Y') || {NL} || {NL} || '## Sessions' || {NL}
     || string_agg(section, '' ORDER BY first_ts, user_id)
     || CASE WHEN day(date) % 10 = 0 THEN {NL} || '### AgentShield Alert (23:59)' || {NL} || {NL}
-         || '- **Secret in config** (secrets) — settings.json:3' || {NL} ELSE '' END AS content
+         || '- **Secret in config** (secrets) — settings.json:3' || {NL} ELSE '' END AS content,
+    substr(sha256(CASE WHEN day(date) % 6 = 0 THEN replace(content, chr(10), chr(13) || chr(10)) ELSE content END), 1, 16) AS file_sha16
   FROM sec2 GROUP BY date
 )"""
 
 STATE = """
 state AS (
   SELECT name, CASE WHEN day(date) IN (7, 14, 21) THEN '0000000000000000'
-                    WHEN day(date) = 28 THEN NULL ELSE substr(sha256(content), 1, 16) END AS hash
+                    WHEN day(date) = 28 THEN NULL ELSE file_sha16 END AS hash
   FROM dailies WHERE day(date) <> 5
 )"""
 
@@ -314,7 +315,7 @@ FROM (SELECT f.slug, u.k, u.source FROM frontmatter f, unnest(f.vals) WITH ORDIN
       WHERE f.key = 'sources' AND starts_with(u.source, 'daily/')) s
 JOIN dailies d ON regexp_replace(substr(s.source, 7), '\\.md$', '') || '.md' = d.name
 JOIN state st ON st.name = d.name
-WHERE st.hash IS NOT NULL AND st.hash <> '' AND st.hash <> {sha16('d.content')}
+WHERE st.hash IS NOT NULL AND st.hash <> '' AND st.hash <> d.file_sha16
 GROUP BY slug""",
     "missing_backlink": """
 SELECT 'suggestion' AS severity, 'missing_backlink' AS "check", e.target || '.md' AS file,
@@ -480,7 +481,7 @@ SELECT CAST(ord AS BIGINT) AS ord, id, name, canonical, array_to_string(aliases,
        CAST(len(aliases) AS BIGINT) AS n_aliases, root, remote, NULL::VARCHAR AS auto_registered, NULL::VARCHAR AS notes
 FROM registry
 UNION ALL
-SELECT (SELECT max(ord) FROM registry) + 1, id, coalesce(name, 'unknown'),
+SELECT (SELECT max(ord) FROM registry) + row_number() OVER (ORDER BY id), id, coalesce(name, 'unknown'),
        upper(substr(coalesce(name, 'unknown'), 1, 1)) || substr(coalesce(name, 'unknown'), 2),
        lower(coalesce(name, 'unknown')), 1, root, remote, '2024-02-01',
        'Auto-registered on first detection — edit canonical/aliases/notes to customize.'
@@ -521,18 +522,23 @@ WHERE {strip('context')} <> '' AND n_turns >= 5""")
 # ── Secrets and findings ──────────────────────────────────────────────
 
 FINDINGS_CTE = f"""
+dm AS (
+  SELECT doc_id, source, text, regexp_extract_all(text, {rx(SECRET)}, 1) AS kws, regexp_extract_all(text, {rx(SECRET)}, 0) AS ms,
+         string_split_regex(text, {rx(SECRET)}) AS between
+  FROM documents WHERE regexp_matches(text, {rx(SECRET)})
+),
 dl AS (
-  SELECT doc_id, source, CAST(pos - 1 AS BIGINT) AS pos, line
-  FROM (SELECT doc_id, source, {lines('text')} AS arr FROM documents WHERE regexp_matches(text, {rx(SECRET)})) d,
-       unnest(d.arr) WITH ORDINALITY AS u(line, pos)
-  WHERE regexp_matches(line, {rx(SECRET)})
+  SELECT doc_id, source, kws[o] AS kw, o AS hp,
+         substr(text, 1, CAST(list_sum(list_transform(between[1:o], lambda x: length(x)))
+                + coalesce(list_sum(list_transform(ms[1:o-1], lambda x: length(x))), 0) AS BIGINT)) || 'x' AS upto
+  FROM dm, range(1, len(dm.kws) + 1) AS r(o)
 ),
 findings AS (
-  SELECT 'docs/' || source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS file, CAST(pos + 1 AS BIGINT) AS line,
+  SELECT 'docs/' || source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS file, CAST(len({lines('upto')}) AS BIGINT) AS line,
          'Secret: ' || lower(kw) AS title, 'secrets' AS category,
          CASE doc_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' END AS severity,
          CAST(hp - 1 AS BIGINT) AS hit_pos
-  FROM dl, unnest(regexp_extract_all(line, {rx(SECRET)}, 1)) WITH ORDINALITY AS u(kw, hp)
+  FROM dl
 )"""
 
 oracle("redact", f"""
@@ -698,12 +704,10 @@ SELECT key, '| ' || substr(coalesce(nullif(trigger, ''), '-'), 1, 60) || ' | ' |
   || ' | ' || substr(coalesce(nullif(domain, ''), '-'), 1, 18) || ' | '
   || regexp_replace(CAST(confidence AS VARCHAR), '(\\.\\d)0$', '\\1') || ' | ' || strftime(last_seen, '%Y-%m-%d') || ' |' AS line
 FROM inst WHERE confidence >= 0.5""")
-INST_PASS1 = with_(INSTINCT_CTE.replace("  FROM cand\n),\nig AS", "  FROM cand WHERE date < DATE '2024-01-11'\n),\nig AS"))
-assert INST_PASS1 != INST
-oracle("prune_instincts", INST_PASS1 + """
+oracle("prune_instincts", INST + """
 SELECT key, reason FROM (
   SELECT key, CASE WHEN confidence < 0.3 THEN 'confidence=' || printf('%.2f', confidence) || '<0.3'
-                   WHEN CAST(last_seen AS TIMESTAMP) < TIMESTAMP '2024-02-09 00:00:00' - INTERVAL 30 DAY
+                   WHEN CAST(last_seen AS TIMESTAMP) < TIMESTAMP '2024-02-28 12:00:00' - INTERVAL 30 DAY
                    THEN 'last_seen=' || strftime(last_seen, '%Y-%m-%d') || ' >30d ago' END AS reason
   FROM inst) WHERE reason IS NOT NULL""")
 oracle("resolve_instinct", INST + """,
@@ -773,7 +777,7 @@ oracle("daily_projects", FULL3 + """
 SELECT name, array_to_string(list(DISTINCT project ORDER BY project), ' | ') AS projects_list,
        CAST(count(DISTINCT project) AS BIGINT) AS n_projects FROM sections GROUP BY name""")
 PENDING = f"""(SELECT d.name FROM dailies d LEFT JOIN state s ON s.name = d.name
-   WHERE s.hash IS DISTINCT FROM {sha16('d.content')})"""
+   WHERE s.hash IS DISTINCT FROM d.file_sha16)"""
 oracle("pending_dailies", FULL3 + "SELECT name FROM " + PENDING + " p")
 oracle("autocompile_due", FULL3 + f"""
 SELECT user_id, name FROM (
@@ -966,13 +970,13 @@ drows AS (
   UNION ALL
   SELECT 2, r, CASE WHEN r = 1 THEN line ELSE chr(10) || line END FROM (
     SELECT line, row_number() OVER (ORDER BY pos) AS r FROM (
-      SELECT pos, {compact('raw')} AS line FROM dsc WHERE scope IN ('current', 'shared') ORDER BY pos LIMIT 2001))
+      SELECT pos, {compact('raw')} AS line FROM dsc WHERE scope IN ('current', 'shared')))
   UNION ALL SELECT 3, 0, {lit(_D.SEPARATOR + _D.H_OTHER)} WHERE (SELECT count(*) FROM oth) > 0
   UNION ALL
   SELECT 3, r, CASE WHEN r = 1 THEN line ELSE chr(10) || line END FROM (
     SELECT line, row_number() OVER (ORDER BY pos) AS r FROM oth)
   UNION ALL SELECT 4, 0, {lit(_D.SEPARATOR + _D.H_INSTINCTS + _D.INSTINCTS_HEAD)} WHERE (SELECT count(*) FROM itop) > 0
-  UNION ALL SELECT 4, pos, chr(10) || line FROM itop WHERE pos <= 2001
+  UNION ALL SELECT 4, pos, chr(10) || line FROM itop
   UNION ALL
   SELECT 4, 0, {lit(_D.SEPARATOR + _D.H_INSTINCTS)} || CASE WHEN (SELECT count(*) FROM inst) = 0 THEN {lit(_D.INSTINCTS_EMPTY)}
                                                           ELSE {lit(_D.INSTINCTS_NONE)} END
@@ -1026,12 +1030,10 @@ SELECT CAST(kind_ord AS BIGINT) AS kind_ord, slug, n_chars,
 
 QA_CTE = f"""
 qa AS (
-  SELECT q.conv_id, q.question, arg_min(a.text, a.turn) AS answer,
-         TIMESTAMP '2024-02-01 00:00:00' + to_seconds(q.conv_id) AS ts
-  FROM (SELECT conv_id, arg_min(text, turn) AS question, min(turn) AS qt FROM conversations WHERE role = 'user'
-        GROUP BY conv_id) q
-  JOIN conversations a ON a.conv_id = q.conv_id AND a.role = 'assistant' AND a.turn > q.qt
-  GROUP BY q.conv_id, q.question
+  SELECT q.conv_id, q.text AS question, a.text AS answer,
+         TIMESTAMP '2024-02-01 00:00:00' + to_minutes(q.conv_id) + to_seconds(q.turn) AS ts
+  FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
+  WHERE q.role = 'user' AND a.role = 'assistant'
 ),
 qs AS (
   SELECT *, CASE WHEN substr({slugify('question')}, 1, 80) <> '' THEN substr({slugify('question')}, 1, 80)
@@ -1044,8 +1046,8 @@ SELECT 'qa/' || slug AS slug,
   || chr(10) || 'filed: ' || d || chr(10) || 'created: ' || d || chr(10) || 'updated: ' || d || chr(10)
   || 'projects: [shared]' || chr(10) || '---' || chr(10) || chr(10) || '# Q: ' || question || chr(10) || chr(10)
   || '## Answer' || chr(10) || chr(10) || answer || chr(10) AS content
-FROM (SELECT slug, arg_max(question, ts) AS question, arg_max(answer, ts) AS answer,
-             strftime(max(ts), '%Y-%m-%d') AS d FROM qs GROUP BY slug)""")
+FROM (SELECT slug, w.question AS question, w.answer AS answer, strftime(w.ts, '%Y-%m-%d') AS d
+      FROM (SELECT slug, max({'ts': ts, 'question': question, 'answer': answer}) AS w FROM qs GROUP BY slug))""")
 oracle("file_back_log", with_(QA_CTE) + """
 SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
        chr(10) || '## [' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] query | ' || question || chr(10)
@@ -1094,9 +1096,9 @@ oracle("inherit_projects", FULL4 + """
 SELECT slug, array_to_string(inherited, ' | ') AS inherited_list, CAST(len(inherited) AS BIGINT) AS n_inherited FROM inh""")
 oracle("parse_issue_json", FULL + """
 SELECT 'warning' AS severity, 'contradiction' AS "check", slug || '.md' AS file,
-       'only ' || CAST(n_words AS VARCHAR) || ' words' AS detail FROM articles WHERE n_words < 200
+       'only ' || CAST(n_words AS VARCHAR) || ' words' AS detail FROM articles
 UNION ALL
-SELECT 'warning', 'contradiction', '?', 'see ' || slug FROM articles WHERE n_words < 200""")
+SELECT 'warning', 'contradiction', '?', 'see ' || slug FROM articles""")
 
 
 # ── Order-dependent backfill: rounds of a recursive CTE until nothing changes ──

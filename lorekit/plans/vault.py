@@ -10,15 +10,14 @@ instead of re-deriving the whole vault."""
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorekit.operators import extract
-from lorekit.session import ensure_checkpoint_dir
+from lorekit.session import stage_path
 from lorekit.sources import adapters as A
 
-RUN_ID = uuid.uuid4().hex[:12]
 MATERIALIZED_KEYS = {"articles", "links", "frontmatter", "dailies", "state", "registry", "sections", "index_rows",
                      "findings"}
 _TABLES: dict[tuple, DataFrame] = {}
@@ -26,12 +25,20 @@ _TABLES: dict[tuple, DataFrame] = {}
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the checkpoint folder and read it back."""
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "lorekit-tables", RUN_ID, name)
-    df.write.mode("overwrite").parquet(path)
+    path = stage_path(spark, name)
+    df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def input_stamp(spark: SparkSession, sf_dir: str) -> int:
+    """A number that changes with the vault's input files: a sum of hashes of their paths, sizes and times, taken
+    from the listing alone."""
+    paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("documents", "events", "conversations")]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    one = F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")
+    return int(files.agg(F.sum(one)).first()[0] or 0)
+
+
 def _enabled() -> bool:
     return os.environ.get("LOREKIT_MATERIALIZE", "1") != "0"
 
@@ -42,6 +49,7 @@ class Vault(dict):
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
         self.spark, self.sf_dir = spark, sf_dir
+        self.stamp = input_stamp(spark, sf_dir)
         self._builders = {
             "documents": lambda: A.load(spark, sf_dir, "documents"),
             "events": lambda: A.load(spark, sf_dir, "events"),
@@ -64,7 +72,7 @@ class Vault(dict):
         }
 
     def _memo_key(self, key: str) -> tuple:
-        return (self.spark.sparkContext.applicationId, os.path.abspath(self.sf_dir), key)
+        return (self.spark.sparkContext.applicationId, self.sf_dir, self.stamp, key)
 
     def cached(self, key: str, build) -> DataFrame:
         """A shared table: built once per run, written, and read back afterwards."""
@@ -73,7 +81,7 @@ class Vault(dict):
         mk = self._memo_key(key)
         if _enabled():
             if mk not in _TABLES:
-                _TABLES[mk] = materialize(self.spark, build(), f"{abs(hash(mk[1])):x}-{key}")
+                _TABLES[mk] = materialize(self.spark, build(), key)
             df = _TABLES[mk]
         else:
             df = build()

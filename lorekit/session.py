@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -37,7 +38,8 @@ def get_spark(app: str = "lorekit", cores: int | str = "*", shuffle_partitions:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
-    Only when it is unset (local tests) do we pick a scratch folder of our own."""
+    Only a local master without the setting (tests) gets a scratch folder of our own: on a cluster every
+    executor would write to its own disk, so a missing setting is an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
@@ -46,20 +48,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001
             current = None
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="lorekit-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
 
 
+def stage_path(spark: SparkSession, name: str = "stage") -> str:
+    """A new folder for an intermediate table, in the application's own folder under the shared checkpoint folder.
+    Hadoop removes that folder when the application ends; results may read their stages until then."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lorekit-stages/{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(where)
+    store.deleteOnExit(where)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path (or a glob) names anything, in whatever store Spark reads it from."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 def cut_lineage(df):
     """Write ``df`` once as parquet under the shared checkpoint folder and read it
     back: lineage is cut (a lost executor re-reads instead of recomputing) and the
     plan is computed once, where ``DataFrame.checkpoint()`` on an uncached plan
     computes it twice (the action, then the checkpoint write)."""
-    import uuid
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/lorekit-stages/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    path = stage_path(spark)
+    df.write.parquet(path)
     return spark.read.parquet(path)

@@ -10,11 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekit.functions.text import py_lines, SECRET, sha_hex
-
-TABLES = ("region nation customer supplier part orders lineitem events documents "
-          "embeddings pages benchmark labels conversations").split()
-
+from lorekit.functions.text import SECRET, py_lines, sha_hex
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -129,7 +125,9 @@ def dailies_from_events(events: DataFrame) -> DataFrame:
 
     A log is one file, so its text is assembled per date from the per-user
     sections (already aggregated, one short line block per active user). Every
-    10th day ends with an alert heading that carries no project tag."""
+    10th day ends with an alert heading that carries no project tag. The files of
+    every 6th day have CRLF line ends: ``sha16`` is over the raw file, ``content``
+    is the text with LF."""
     s = daily_sections_from_events(events)
     per_day = s.groupBy("date").agg(
         F.array_join(F.transform(
@@ -139,10 +137,13 @@ def dailies_from_events(events: DataFrame) -> DataFrame:
     alert = F.when(F.dayofmonth("date") % 10 == 0,
                    F.lit("\n### AgentShield Alert (23:59)\n\n- **Secret in config** (secrets) — settings.json:3\n")
                    ).otherwise(F.lit(""))
+    text = F.concat(header, F.col("body"), alert)
+    raw = F.when(F.dayofmonth("date") % 6 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
     return per_day.select(
         F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(".md")).alias("name"),
         F.col("date"),
-        F.concat(header, F.col("body"), alert).alias("content"),
+        text.alias("content"),
+        F.substring(F.sha2(raw, 256), 1, 16).alias("sha16"),
     )
 
 
@@ -152,7 +153,7 @@ def state_from_dailies(dailies: DataFrame) -> DataFrame:
     day = F.dayofmonth("date")
     h = (F.when(day.isin(7, 14, 21), F.lit("0000000000000000"))
          .when(day == 28, F.lit(None).cast("string"))
-         .otherwise(sha_hex("content", 16)))
+         .otherwise(F.col("sha16")))
     return dailies.where(day != 5).select("name", h.alias("hash"))
 
 
@@ -224,20 +225,18 @@ def candidates_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def documents_lines(documents: DataFrame, only_secret_docs: bool = True) -> DataFrame:
-    d = documents.select("doc_id", "source", "text")
-    if only_secret_docs:
-        d = d.where(F.col("text").rlike(SECRET))
-    return d.select("doc_id", "source", F.posexplode(py_lines("text")).alias("pos", "line"))
-
-
 def findings_from_documents(documents: DataFrame) -> DataFrame:
-    """Security findings, one per secret match: file, 1-based line, title,
-    category, severity by doc_id mod 4 (the fourth has none)."""
-    lines = documents_lines(documents).where(F.col("line").rlike(SECRET))
-    hits = lines.select(
-        "doc_id", "source", "pos",
-        F.posexplode(F.regexp_extract_all("line", F.lit(SECRET), 1)).alias("hit_pos", "keyword"))
+    """Security findings, one per secret match of a whole text (a match may span
+    lines): file, 1-based line of its start, title, category, severity by doc_id
+    mod 4 (the fourth has none), and its number in the file."""
+    d = documents.where(F.col("text").rlike(SECRET)).select(
+        "doc_id", "source", "text", F.split("text", SECRET, -1).alias("between"),
+        F.regexp_extract_all("text", F.lit(SECRET), 0).alias("matches"),
+        F.posexplode(F.regexp_extract_all("text", F.lit(SECRET), 1)).alias("hit_pos", "keyword"))
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+    start = length(F.slice("between", F.lit(1), F.col("hit_pos") + 1)) + length(F.slice("matches", F.lit(1), F.col("hit_pos")))
+    upto = F.concat(F.substring("text", F.lit(1), start), F.lit("x"))
+    hits = d.select("doc_id", "source", "hit_pos", "keyword", (F.size(py_lines(upto)) - 1).alias("pos"))
     sev = (F.when(F.col("doc_id") % 4 == 0, "critical").when(F.col("doc_id") % 4 == 1, "high")
            .when(F.col("doc_id") % 4 == 2, "medium"))
     return hits.select(
@@ -318,16 +317,13 @@ def wiki_lines_from_pages(pages: DataFrame) -> DataFrame:
 
 
 def qa_from_conversations(conversations: DataFrame) -> DataFrame:
-    """Questions for file-back: the first user turn of each conversation and the
-    first assistant turn after it; filed at 2024-02-01 + conv_id seconds."""
+    """Questions for file-back: every user turn that the next turn, an assistant's,
+    answers; filed at 2024-02-01 + conv_id minutes + turn seconds."""
     c = conversations
-    q = c.where(F.col("role") == "user").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"),
-                                                               F.min("turn").alias("qt"))
-    a = c.where(F.col("role") == "assistant").select("conv_id", F.col("turn").alias("at"), F.col("text").alias("atext"))
-    j = q.join(a, "conv_id").where(F.col("at") > F.col("qt"))
-    j = j.groupBy("conv_id", "question").agg(F.min_by("atext", "at").alias("answer"))
-    ts = F.expr("timestamp'2024-02-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, conv_id)")
-    return j.select("conv_id", "question", "answer", ts.alias("ts"))
+    q = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    ts = F.expr("timestamp'2024-02-01 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(conv_id AS INT), turn)")
+    return q.join(a, ["conv_id", "turn"]).select("conv_id", "question", "answer", ts.alias("ts"))
 
 
 def transcript_lines_from_conversations(conversations: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekit.functions.text import normalize_newlines, py_lines
+from lorekit.session import path_exists
 
-LAYERS = ("daily", "knowledge/concepts", "knowledge/connections", "knowledge/qa", "knowledge/instincts", "wiki", "raw")
+LAYERS = ("daily", "knowledge", "knowledge/concepts", "knowledge/connections", "knowledge/qa", "knowledge/instincts", "wiki", "raw")
 
 OBSERVATION_SCHEMA = ("ts string, ts_ms long, session_id string, project string, event string, tool string, "
                       "input_summary string, tool_call_num int, success boolean, error string")
@@ -24,24 +25,33 @@ BUILD_LOG_HEAD = r"^## \[([^\]]+)\] (\S+) \| (.*)$"
 def scan_vault(spark: SparkSession, root: str, layers=LAYERS) -> DataFrame:
     """Every ``.md`` file directly inside each layer folder:
     (path, layer, kind, slug, name, content, sha16). ``sha16`` is over the raw
-    bytes; ``content`` is decoded UTF-8 with CRLF/CR turned into LF."""
+    bytes; ``content`` is decoded UTF-8 with CRLF/CR turned into LF. The files of
+    ``knowledge`` itself are the index and the build log (slugs ``index`` and
+    ``log``, kind ``root``). A missing or empty layer gives no rows."""
     root = root.rstrip("/")
-    out = None
+    out = spark.createDataFrame([], "path string, layer string, kind string, slug string, name string, content string, sha16 string")
     for layer in layers:
+        if not path_exists(spark, f"{root}/{layer}"):
+            continue
         df = (spark.read.format("binaryFile").option("pathGlobFilter", "*.md")
               .option("recursiveFileLookup", "false").load(f"{root}/{layer}"))
         name = F.element_at(F.split("path", "/"), -1)
-        kind = F.lit(layer.split("/")[-1])
-        rel = F.concat(F.lit(layer.split("/", 1)[-1] + "/") if layer.startswith("knowledge/") else F.lit(layer + "/"), name)
+        kind = F.lit("root" if layer == "knowledge" else layer.split("/")[-1])
+        rel = name if layer == "knowledge" else F.concat(F.lit(layer.split("/", 1)[-1] + "/") if layer.startswith("knowledge/") else F.lit(layer + "/"), name)
         df = df.select(
             "path", F.lit(layer).alias("layer"), kind.alias("kind"),
             F.regexp_replace(rel, r"\.md$", "").alias("slug"), name.alias("name"),
             normalize_newlines(F.decode("content", "UTF-8")).alias("content"),
             F.substring(F.sha2("content", 256), 1, 16).alias("sha16"))
-        out = df if out is None else out.unionByName(df)
+        out = out.unionByName(df)
     return out
 
 
+def _whole_text(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of each file; no rows where there is none."""
+    return spark.read.text(path, wholetext=True) if path_exists(spark, path) else spark.createDataFrame([], "value string")
+
+
 def scan_observations(spark: SparkSession, path: str) -> DataFrame:
     """Observation JSONL: bad JSON lines and unparsable ``ts`` are dropped."""
     raw = spark.read.schema(OBSERVATION_SCHEMA + ", _corrupt string").option(
@@ -54,7 +64,7 @@ def scan_observations(spark: SparkSession, path: str) -> DataFrame:
 def scan_registry(spark: SparkSession, path: str) -> DataFrame:
     """The registry JSON object keyed by id, as rows in file order (``ord``);
     a missing or malformed file gives no rows."""
-    t = spark.read.text(path, wholetext=True)
+    t = _whole_text(spark, path)
     m = F.from_json("value", f"map<string,{REGISTRY_ENTRY}>")
     e = t.select(F.posexplode(F.map_entries(m)).alias("ord", "e"))
     return e.select(F.col("ord").cast("int").alias("ord"), F.coalesce("e.value.id", "e.key").alias("id"),
@@ -63,9 +73,9 @@ def scan_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_compile_state(spark: SparkSession, path: str) -> DataFrame:
-    """``ingested`` records of the compile state: (name, hash NULL when the record
+    """``ingested`` records of the compile state, none if the file is missing: (name, hash NULL when the record
     is not an object or has none, compiled_at)."""
-    t = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    t = _whole_text(spark, path).select(F.try_parse_json("value").alias("v"))
     m = F.try_variant_get("v", "$.ingested", "map<string,variant>")
     e = t.select(F.explode(m).alias("name", "r"))
     is_obj = F.schema_of_variant("r").startswith("OBJECT")
