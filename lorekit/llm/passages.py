@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lorekit.llm.textblocks import (BYTE_VALUES, MIX1, mix, prefix_hash, range_hash, sliding_argmin, text_blocks,
                                     word_hashes, word_spans)
-from lorekit.session import cut_lineage, ensure_checkpoint_dir
+from lorekit.session import cut_lineage, stage_path
 
 CHUNK_BYTES, MAX_SMALL_CHUNKS, LARGE_CHUNK_BYTES = 16 << 20, 4096, 256 << 20
 NO_ID = -(2**63)
@@ -49,7 +49,7 @@ def chunk_table(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     n = chunk_count(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     d = d.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n)).cast("int"))
     name = f"lorekit_chunks_{uuid.uuid4().hex}"
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lorekit-stages/{name}"
+    path = stage_path(spark, "chunks")
     (d.repartition(n, "chunk").write.option("path", path).option("compression", "zstd")
      .bucketBy(n, "chunk").format("parquet").saveAsTable(name))
     return spark.table(name), n

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorekit.llm.textblocks import text_blocks
-from lorekit.session import ensure_checkpoint_dir
+from lorekit.session import stage_path
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -143,9 +143,8 @@ def document_token_counts(docs: DataFrame, key: str = "doc_id", text: str = "tex
                           block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, n_tokens) per row of ``docs``: encoded to token files under the shared checkpoint folder, counted by
     the scan, and matched with the documents' order. Null and empty texts count 0; rows may share an id."""
-    import uuid
     spark = docs.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lorekit-stages/tokens-{uuid.uuid4().hex}"
+    path = stage_path(spark, "tokens")
     write_token_files(docs, path, key, text, tokenizer, eod, block_tokens)
     files = spark.read.parquet(path)
     names = files.select(F.col("file").alias("f"), "first_doc", F.posexplode("ids").alias("nth", "doc_id"))
