@@ -5,13 +5,11 @@ Parquet under the shared checkpoint folder and rereads them. All stages but the
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekit.llm import line_dedup, ngram_join, quality_classifier, sentencepiece_viterbi, source_mix
-from lorekit.session import ensure_checkpoint_dir
+from lorekit.session import stage_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their cross-site boilerplate lines."""
-    return line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    rows = line_dedup.line_dedup(docs)
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +49,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lorekit-stages/pipeline-{uuid.uuid4().hex}"
+        path = stage_path(spark, "pipeline")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
