@@ -17,8 +17,10 @@ def attribute_articles(articles: DataFrame, sources: DataFrame, sections: DataFr
     daily logs an article lists as ``daily/…`` sources (the file name is the
     source's base name)."""
     s = sources.where(F.col("source").startswith("daily/")).select("slug", basename("source").alias("name"))
-    p = s.join(sections.select("name", "project").distinct(), "name").select("slug", "project").distinct()
-    d = p.groupBy("slug").agg(F.array_sort(F.collect_list("project")).alias("derived"))
+    # one array per daily first, so a source brings one row, not one per project of its day
+    per_daily = sections.groupBy("name").agg(F.collect_set("project").alias("projects"))
+    d = s.distinct().join(per_daily, "name").groupBy("slug").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("projects")))).alias("derived"))
     return articles.select("slug").join(d, "slug", "left").select(
         "slug", F.coalesce("derived", F.array().cast("array<string>")).alias("derived"))
 
@@ -26,17 +28,23 @@ def attribute_articles(articles: DataFrame, sources: DataFrame, sections: DataFr
 def narrow_by_mention(articles: DataFrame, derived: DataFrame, registry: DataFrame) -> DataFrame:
     """(slug, narrowed): with more than one candidate, keep those whose alias occurs
     as a whole word in the lower-cased body (sorted); none found → all candidates.
-    Only the (article, candidate alias) pairs are tested — one regex per pair, so
-    the work is bounded by candidates × aliases per project, never body × registry."""
+    The aliases of an article's candidates meet its body in one row: an alias of word
+    characters only is a whole word exactly if it is one of the body's words (a set
+    intersection); the others take a substring test, then a word-boundary regex."""
     look = alias_map_last_wins(registry, skip_shared=True)
-    d = derived.join(articles.select("slug", F.lower("body").alias("body_lc")), "slug")
-    many = d.where(F.size("derived") > 1)
-    pairs = (many.select("slug", "body_lc", F.explode("derived").alias("canonical"))
-             .join(look, "canonical"))
-    pat = F.concat(F.lit(r"(?U)\b\Q"), F.col("alias_lc"), F.lit(r"\E\b"))
-    # cheap substring test first; the word-boundary regex only runs where the alias occurs at all
-    hit = pairs.where((F.instr("body_lc", F.col("alias_lc")) > 0) & F.regexp_like(F.col("body_lc"), pat))
-    mentioned = hit.groupBy("slug").agg(F.array_sort(F.collect_set("canonical")).alias("mentioned"))
+    pairs = derived.where(F.size("derived") > 1).select("slug", F.explode("derived").alias("canonical")).join(look, "canonical")
+    per_article = pairs.groupBy("slug").agg(F.collect_list(F.struct("canonical", "alias_lc")).alias("pairs"))
+    d = per_article.join(articles.select("slug", F.lower("body").alias("body_lc")), "slug")
+    d = d.withColumn("words", F.array_intersect(F.transform("pairs", lambda p: p["alias_lc"]),
+                                                F.regexp_extract_all("body_lc", F.lit(r"(?U)(\w+)"), 1)))
+
+    def occurs(p):
+        a = p["alias_lc"]
+        pat = F.concat(F.lit(r"(?U)\b\Q"), a, F.lit(r"\E\b"))
+        return F.when(a.rlike(r"(?U)^\w+$"), F.array_contains("words", a)).otherwise(
+            (F.instr("body_lc", a) > 0) & F.regexp_like(F.col("body_lc"), pat))
+    found = F.array_sort(F.array_distinct(F.transform(F.filter("pairs", occurs), lambda p: p["canonical"])))
+    mentioned = d.select("slug", found.alias("mentioned")).where(F.size("mentioned") > 0)
     out = derived.join(mentioned, "slug", "left")
     return out.select("slug", F.when(F.size("derived") > 1, F.coalesce("mentioned", "derived"))
                       .otherwise(F.col("derived")).alias("narrowed"))

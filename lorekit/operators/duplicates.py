@@ -1,9 +1,9 @@
 """Exact and near-duplicate detection.
 
-Near duplicates: MinHash over word shingles (native array expressions), LSH
-band keys, then connected components by iterative min-label propagation over
-(row, band) edges. No candidate pair is ever materialised, so a band shared
-by a third of all rows is just one partially-aggregated group."""
+Near duplicates: MinHash over word shingles (native array expressions) and LSH
+band keys. Each row of a band is held against the band's smallest row: they are
+linked if enough of their signatures agree. So a band shared by a third of all
+rows gives one pair a row. Groups are the connected components of the links."""
 
 from __future__ import annotations
 
@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekit.functions.text import sha_hex
-from lorekit.session import cut_lineage, ensure_checkpoint_dir
+from lorekit.operators.components import components
+from lorekit.session import cut_lineage
 
 PRIME = 2147483647          # 2^31 - 1
 NUM_BANDS, ROWS_PER_BAND = 16, 4
 SHINGLE = 3
+MIN_AGREEMENT = 0.6         # share of equal signature values, an estimate of the Jaccard similarity
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -30,50 +32,41 @@ def _coeffs(n: int, seed: int) -> list[tuple[int, int]]:
     return [(rnd.randrange(1, PRIME), rnd.randrange(0, PRIME)) for _ in range(n)]
 
 
-def minhash_bands(docs: DataFrame, key: str, text: str, bands: int = NUM_BANDS, rows: int = ROWS_PER_BAND,
-                  shingle: int = SHINGLE, seed: int = 7) -> DataFrame:
-    """(key, band) edges: one LSH band key per band of the MinHash signature of
-    the lower-cased word ``shingle``-grams (whole text; texts shorter than a
-    shingle use their whole word list).
+def minhash_signatures(docs: DataFrame, key: str, text: str, size: int = NUM_BANDS * ROWS_PER_BAND,
+                       shingle: int = SHINGLE, seed: int = 7) -> DataFrame:
+    """(k, sig): MinHash signature of the lower-cased word ``shingle``-grams (whole
+    text; texts shorter than a shingle use their whole word list).
 
-    Shingle hashes are exploded to rows and the signature is ``bands × rows``
-    ``min`` aggregates: codegen'd arithmetic with partial aggregation, and a
-    document's rows stay in its partition (explode does not shuffle)."""
+    Shingle hashes are exploded to rows and the signature is ``size`` ``min``
+    aggregates: codegen'd arithmetic with partial aggregation, and a document's
+    rows stay in its partition (explode does not shuffle)."""
     words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda x: x != "")
     d = docs.select(F.col(key).alias("k"), words.alias("w")).where(F.size("w") > 0)
     n = F.greatest(F.size("w") - shingle + 1, F.lit(1))
     sh = d.select("k", F.explode(F.sequence(F.lit(1), n)).alias("i"), "w")
     sh = sh.select("k", F.pmod(F.xxhash64(F.concat_ws(" ", F.slice("w", F.col("i"), shingle))), F.lit(PRIME)).alias("h"))
-    coeffs = _coeffs(bands * rows, seed)
     sig = sh.groupBy("k").agg(*[F.min(F.pmod(F.col("h") * a + b, F.lit(PRIME))).alias(f"m{j}")
-                                for j, (a, b) in enumerate(coeffs)])
-    band_keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
-    return sig.select("k", F.explode(band_keys).alias("band"))
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(k, label): smallest key reachable through shared bands. Each round is two
-    aggregations (per band, per key) and is checkpointed to cut lineage; rounds
-    run until no label changes (at most the component diameter)."""
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = cut_lineage(edges.select("k", "band").distinct())
-    # round one needs no join: a band's smallest member, then each key's smallest band minimum
-    bmin0 = e.groupBy("band").agg(F.min("k").alias("bl"))
-    labels = cut_lineage(e.join(bmin0, "band").groupBy("k").agg(F.min("bl").alias("label")))
-    while True:
-        bmin = e.join(labels, "k").groupBy("band").agg(F.min("label").alias("bl"))
-        new = (e.join(bmin, "band").groupBy("k").agg(F.min("bl").alias("nl"))
-               .join(labels, "k").select("k", F.least("label", "nl").alias("label"), (F.col("nl") < F.col("label")).alias("ch")))
-        new = cut_lineage(new)
-        if new.where("ch").isEmpty():
-            return new.select("k", "label")
-        labels = new.select("k", "label")
+                                for j, (a, b) in enumerate(_coeffs(size, seed))])
+    return sig.select("k", F.array(*[f"m{j}" for j in range(size)]).alias("sig"))
+
+
+def near_links(signatures: DataFrame, bands: int = NUM_BANDS, rows: int = ROWS_PER_BAND,
+               min_agreement: float = MIN_AGREEMENT) -> DataFrame:
+    """(a, b): each row b of a band with the band's smallest row a, if at least
+    ``min_agreement`` of their signatures agree. Bands of one row give nothing."""
+    sigs = cut_lineage(signatures)
+    keys = F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)) for b in range(bands)])
+    edges = sigs.select("k", F.explode(keys).alias("band"))
+    first = edges.groupBy("band").agg(F.min("k").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
+    pairs = edges.join(first, "band").where("k <> a").select("a", F.col("k").alias("b")).distinct()
+    of = lambda c: sigs.select(F.col("k").alias(c), F.col("sig").alias("sig_" + c))
+    j = pairs.join(of("a"), "a").join(of("b"), "b")
+    same = F.size(F.filter(F.arrays_zip("sig_a", "sig_b"), lambda x: x["sig_a"] == x["sig_b"]))
+    return j.where(same >= min_agreement * bands * rows).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """(key, cluster, size) for rows in a near-duplicate cluster of two or more."""
-    comp = connected_components(minhash_bands(docs, key, text, **kw))
-    sizes = comp.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    out = comp.join(sizes.where(F.col("size") >= 2), "label")
-    return out.select(F.col("k").alias(key), F.col("label").alias("cluster"), "size")
+    comp = cut_lineage(components(near_links(minhash_signatures(docs, key, text, **kw))))
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return comp.join(sizes, "component").select(F.col("node").alias(key), F.col("component").alias("cluster"), "size")

@@ -131,18 +131,28 @@ def observation_tail(obs: DataFrame, k: int = TAIL_K) -> DataFrame:
 
 # ── Greedy throttle ───────────────────────────────────────────────────
 
-def _next_allowed(e: DataFrame, interval_seconds: int) -> DataFrame:
+SPAN_SECONDS = 3600          # width of the time spans that split a hot key
+
+def _next_allowed(e: DataFrame, interval_seconds: int, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     """For each event, the first event of the same key at or after ts + interval:
     events and probes merged in descending time order with a running
-    ``last(ignorenulls)`` (an O(n) frame that spills, never a collect)."""
+    ``last(ignorenulls)`` (an O(n) frame that spills, never a collect). The window
+    runs within spans of time, so a hot key is many small partitions; a probe with
+    no event after it in its span takes the first event of the next span that has
+    one, from a table of one row per key and span."""
     probes = e.select("k", (F.col("ts") + F.expr(f"INTERVAL {int(interval_seconds)} SECONDS")).alias("t"),
                       F.lit(0).alias("kind"), F.col("seq").alias("src"), F.lit(None).cast("long").alias("ev"))
     evs = e.select("k", F.col("ts").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("src"),
                    F.col("seq").cast("long").alias("ev"))
-    w = (Window.partitionBy("k").orderBy(F.col("t").desc(), F.col("kind").desc(), F.col("ev").desc())
+    u = probes.unionByName(evs).withColumn("span", F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / span_seconds))
+    w = (Window.partitionBy("k", "span").orderBy(F.col("t").desc(), F.col("kind").desc(), F.col("ev").desc())
          .rowsBetween(Window.unboundedPreceding, 0))
-    u = probes.unionByName(evs).withColumn("j", F.last("ev", ignorenulls=True).over(w))
-    return u.where("kind = 0").select(F.col("src").cast("long").alias("seq"), "j")
+    spans = u.groupBy("k", "span").agg(F.min_by("ev", F.when(F.col("kind") == 1, F.struct("t", "ev"))).alias("head"))
+    later = Window.partitionBy("k").orderBy(F.col("span").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(F.col("k").alias("sk"), F.col("span").alias("s"), F.last("head", ignorenulls=True).over(later).alias("carry"))
+    u = u.withColumn("j", F.last("ev", ignorenulls=True).over(w)).where("kind = 0")
+    u = u.join(spans, F.col("k").eqNullSafe(F.col("sk")) & F.col("span").eqNullSafe(F.col("s")), "left")
+    return u.select(F.col("src").cast("long").alias("seq"), F.coalesce("j", "carry").alias("j"))
 
 
 def throttle(events: DataFrame, key: str, interval_seconds: int, ts: str = "ts", seq: str = "seq") -> DataFrame:
