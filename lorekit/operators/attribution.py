@@ -131,8 +131,8 @@ def backfill_projects_ordered(articles: DataFrame, narrowed: DataFrame, default:
 
     empty = F.array().cast("array<string>")
 
-    def unions(inherited: DataFrame | None) -> DataFrame:
-        b = base if inherited is None else base.join(inherited, "slug", "left")
+    def unions(inherited: DataFrame | None, only: DataFrame | None = None) -> DataFrame:
+        b = base if inherited is None else base.join(only, "slug", "left_semi").join(inherited, "slug", "left")
         inh = F.coalesce(F.col("inherited"), empty) if inherited is not None else empty
         cand = F.when(F.size(inh) > 0, inh).otherwise(F.coalesce("narrowed", empty))
         u = _ordered_distinct_ci(F.concat(F.coalesce("projects", empty), cand))
@@ -145,13 +145,13 @@ def backfill_projects_ordered(articles: DataFrame, narrowed: DataFrame, default:
     delta = cur.where("changed").select(F.col("slug").alias("target"))
     while True:
         # semi-naive round: only articles linking to something that changed last round are recomputed
-        affected = edges.join(delta, "target", "left_semi").select("slug").distinct()
+        affected = cut_lineage(edges.join(delta, "target", "left_semi").select("slug").distinct())
         donors = cur.where("changed").select(F.col("slug").alias("target"), F.posexplode("u").alias("k", "p"))
         j = (edges.join(affected, "slug", "left_semi").join(donors, "target")
              .where(F.lower("p") != "shared"))
         inh = j.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "p"))).alias("s")).select(
             "slug", _ordered_distinct_ci(F.transform("s", lambda x: x["p"])).alias("inherited"))
-        new = unions(inh).join(affected, "slug", "left_semi")
+        new = unions(inh, affected)
         prev = cur.select("slug", F.col("u").alias("pu"), F.col("changed").alias("pc"))
         chg = cut_lineage(new.join(prev, "slug").where((F.col("u") != F.col("pu")) | (F.col("changed") != F.col("pc")))
                .select("slug", "kind", "projects", "u", "changed"))

@@ -7,7 +7,7 @@ over the exploded line table, never a per-row Python loop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekit.functions.text import (
@@ -33,11 +33,11 @@ def extract_links(articles: DataFrame, src_col: str = "slug", content_col: str =
 
 # ── Frontmatter, dialect 1 (generic) ──────────────────────────────────
 
-def _frontmatter_lines(files: DataFrame, key_col: str) -> DataFrame:
-    """Exploded lines of the ``---`` block at offset 0 (only files that have one)."""
-    fm = files.where(F.col("content").rlike(FRONTMATTER)).select(
-        F.col(key_col).alias("slug"), F.regexp_extract("content", FRONTMATTER, 1).alias("block"))
-    return fm.select("slug", F.posexplode(py_lines("block")).alias("pos", "line"))
+def _typed(value: F.Column, ddl: str) -> F.Column:
+    return value.cast(ddl)
+
+
+FM_ENTRIES = "array<struct<pos: int, key: string, value: string, is_list: boolean, items: array<string>>>"
 
 
 def extract_frontmatter(files: DataFrame, key_col: str = "slug") -> DataFrame:
@@ -46,46 +46,41 @@ def extract_frontmatter(files: DataFrame, key_col: str = "slug") -> DataFrame:
     Scalars are 1-element arrays. ``key:`` with an empty value opens a dash list;
     blank and ``#`` lines are skipped and do not close it; any other line closes
     it. Inline lists split on every comma. The last duplicate key wins.
-    """
-    lines = _frontmatter_lines(files, key_col)
-    lstripped = py_lstrip("line")
-    lines = lines.where(~((py_strip("line") == "") | lstripped.startswith("#")))
-    is_item = lstripped.startswith("- ")
-    is_kv = F.col("line").rlike(FM_KEY_LINE_U)
-    lines = lines.select(
-        "slug", "pos", "line", is_item.alias("is_item"), is_kv.alias("is_kv"),
-        F.regexp_extract("line", FM_KEY_LINE_U, 1).alias("key"),
-        py_strip(F.regexp_extract("line", FM_KEY_LINE_U, 2)).alias("value"))
-    # every non-item line is an anchor; an item belongs to the nearest anchor before it
-    w = Window.partitionBy("slug").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("anchor", F.max(F.when(~F.col("is_item"), F.col("pos"))).over(w))
-    keys = lines.where(~F.col("is_item") & F.col("is_kv")).select(
-        "slug", "pos", "key", "value", (F.col("value") == "").alias("is_list"))
-    items = lines.where(F.col("is_item")).select(
-        "slug", F.col("anchor").alias("pos"), F.col("pos").alias("item_pos"),
-        strip_quotes(py_strip(F.substring(py_lstrip("line"), 3, 1 << 30))).alias("item"))
-    list_vals = (keys.where("is_list").join(items, ["slug", "pos"], "left")
-                 .groupBy("slug", "pos", "key")
-                 .agg(F.array_sort(F.collect_list(F.when(F.col("item_pos").isNotNull(),
-                                                         F.struct("item_pos", "item")))).alias("its"))
-                 .select("slug", "pos", "key", F.lit(True).alias("is_list"),
-                         F.transform("its", lambda s: s["item"]).alias("vals")))
+
+    The header of a file is one bounded row, so its lines are folded within the
+    row: nothing is shuffled."""
+    fm = files.where(F.col("content").rlike(FRONTMATTER)).select(
+        F.col(key_col).alias("slug"), py_lines(F.regexp_extract("content", FRONTMATTER, 1)).alias("lines"))
+    kept = F.filter(F.transform("lines", lambda line, i: F.struct(i.alias("pos"), line.alias("line"))),
+                    lambda x: (py_strip(x["line"]) != "") & ~py_lstrip(x["line"]).startswith("#"))
+
+    def step(acc, x):
+        line, open_, none = x["line"], F.try_element_at(acc, F.lit(-1)), F.array().cast("array<string>")
+        value = py_strip(F.regexp_extract(line, FM_KEY_LINE_U, 2))
+        is_key = line.rlike(FM_KEY_LINE_U)
+        entry = F.struct(x["pos"].alias("pos"), F.when(is_key, F.regexp_extract(line, FM_KEY_LINE_U, 1)).alias("key"), value.alias("value"),
+                         (is_key & (value == "")).alias("is_list"), none.alias("items"))
+        item = strip_quotes(py_strip(F.substring(py_lstrip(line), 3, 1 << 30)))
+        longer = F.struct(*[open_[c].alias(c) for c in ("pos", "key", "value", "is_list")], F.concat(open_["items"], F.array(item)).alias("items"))
+        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))
+        return _typed(F.when(~py_lstrip(line).startswith("- "), F.concat(acc, F.array(entry)))
+                      .when(F.coalesce(open_["is_list"], F.lit(False)), grown).otherwise(acc), FM_ENTRIES)
+
+    entries = fm.select("slug", F.filter(F.aggregate(kept, _typed(F.array(), FM_ENTRIES), step), lambda e: e["key"].isNotNull()).alias("es"))
+    last = F.filter("es", lambda e, i: ~F.exists(F.slice("es", i + 2, F.size("es")), lambda f: f["key"] == e["key"]))
+    e = entries.select("slug", F.explode(last).alias("e")).select("slug", "e.*")
     v = F.col("value")
     inner = py_strip(F.regexp_extract(v, r"(?s)^\[(.*)\]$", 1))
-    scalar = (
-        F.when(v.rlike(r"(?s)^\[.*\]$"),
-               F.when(inner == "", F.array().cast("array<string>"))
-               .otherwise(F.transform(F.split(inner, ",", -1), lambda s: strip_quotes(py_strip(s)))))
+    inline = v.rlike(r"(?s)^\[.*\]$")
+    vals = (
+        F.when(F.col("is_list"), F.col("items"))
+        .when(inline, F.when(inner == "", F.array().cast("array<string>"))
+              .otherwise(F.transform(F.split(inner, ",", -1), lambda s: strip_quotes(py_strip(s)))))
         .when((v.startswith('"') & v.endswith('"')) | (v.startswith("'") & v.endswith("'")),
-              F.array(F.substring(v, 2, F.greatest(F.length(v) - 2, F.lit(0)))))
+              F.array(F.substring(v, F.lit(2), F.greatest(F.length(v) - 2, F.lit(0)))))
         .otherwise(F.array(v))
     )
-    scalars = keys.where(~F.col("is_list")).select(
-        "slug", "pos", "key", (v.rlike(r"(?s)^\[.*\]$")).alias("is_list"), scalar.alias("vals"))
-    allv = scalars.unionByName(list_vals)
-    last = allv.groupBy("slug", "key").agg(F.max_by(F.struct("pos", "is_list", "vals"), "pos").alias("s"))
-    return last.select("slug", "key", F.col("s.pos").alias("pos"), F.col("s.is_list").alias("is_list"),
-                       F.col("s.vals").alias("vals"))
+    return e.select("slug", "key", "pos", (F.col("is_list") | inline).alias("is_list"), vals.alias("vals"))
 
 
 def split_body(content) -> "F.Column":
@@ -115,36 +110,35 @@ def projects_field(content) -> "F.Column":
 
 # ── Frontmatter, dialect 5 (sources for attribution) ──────────────────
 
+SOURCE_FOLD = "struct<open: boolean, out: array<struct<line: bigint, k: bigint, source: string>>>"
+
+
 def extract_sources(articles: DataFrame) -> DataFrame:
     """``sources`` as inline or dash list inside content[3:find('\\n---', 3)]:
-    (slug, pos, source). A block ends at the first non-blank line that is not indented."""
+    (slug, line, k, source). A block ends at the first non-blank line that is not
+    indented. The header's lines are folded within the row; nothing is shuffled."""
     c = F.col("content")
     end = F.locate("\n---", c, 4)
-    fm = articles.where(c.startswith("---") & (end > 0)).select(
-        "slug", F.substring(c, F.lit(4), end - 4).alias("fm"))
-    lines = fm.select("slug", F.posexplode(py_lines("fm")).alias("pos", "line"))
-    is_head = F.col("line").startswith("sources:")
-    after = py_strip(F.substring_index(F.substring(F.col("line"), 9, 1 << 30), "\n", 1))
-    closes = (F.col("line") != "") & ~F.col("line").startswith(" ") & ~F.col("line").startswith("\t")
-    lines = lines.select(
-        "slug", "pos", "line", is_head.alias("is_head"), after.alias("after"),
-        (is_head & ~after.startswith("[")).alias("opens"),
-        py_strip("line").startswith("- ").alias("is_item"),
-        closes.alias("closes"))
-    w = Window.partitionBy("slug").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    # the list is open on a line when the last header-or-closing line before it opened a block
-    anchor = F.col("is_head") | (F.col("closes") & ~F.col("is_item"))
-    lines = lines.withColumn("state", F.last(F.when(anchor, F.col("opens")), ignorenulls=True).over(w))
-    inline = lines.where(F.col("is_head") & F.col("after").startswith("[")).select(
-        "slug", "pos",
-        F.posexplode(F.regexp_extract_all("after", F.lit("['\"]?([^,\\[\\]'\"]+)['\"]?"), 1)).alias("k", "s"))
-    inline = inline.select("slug", "pos", "k", py_strip("s").alias("source"))
-    block = lines.where(F.coalesce("state", F.lit(False)) & ~F.col("is_head") & F.col("is_item")).select(
-        "slug", "pos", F.lit(0).alias("k"),
-        strip_quotes(py_strip(F.substring(py_strip("line"), 3, 1 << 30))).alias("source"))
-    out = inline.unionByName(block).where(F.col("source") != "")
-    return out.select("slug", F.col("pos").cast("bigint").alias("line"), F.col("k").cast("bigint").alias("k"),
-                      "source")
+    fm = articles.where(c.startswith("---") & (end > 0)).select("slug", py_lines(F.substring(c, F.lit(4), end - 4)).alias("lines"))
+    lines = F.transform("lines", lambda line, i: F.struct(i.cast("bigint").alias("pos"), line.alias("line")))
+
+    def step(acc, x):
+        line, pos = x["line"], x["pos"]
+        is_head, is_item = line.startswith("sources:"), py_strip(line).startswith("- ")
+        after = py_strip(F.substring_index(F.substring(line, 9, 1 << 30), "\n", 1))
+        inline = F.transform(F.regexp_extract_all(after, F.lit("['\"]?([^,\\[\\]'\"]+)['\"]?"), F.lit(1)),
+                             lambda s, k: F.struct(pos.alias("line"), k.cast("bigint").alias("k"), py_strip(s).alias("source")))
+        item = strip_quotes(py_strip(F.substring(py_strip(line), 3, 1 << 30)))
+        block = F.array(F.struct(pos.alias("line"), F.lit(0).cast("bigint").alias("k"), item.alias("source")))
+        out = (F.when(is_head & after.startswith("["), F.concat(acc["out"], inline))
+               .when(acc["open"] & ~is_head & is_item, F.concat(acc["out"], block)).otherwise(acc["out"]))
+        closes = (line != "") & ~line.startswith(" ") & ~line.startswith("\t") & ~is_item
+        now = F.when(is_head, ~after.startswith("[")).when(closes, F.lit(False)).otherwise(acc["open"])
+        return _typed(F.struct(now.alias("open"), out.alias("out")), SOURCE_FOLD)
+
+    zero = _typed(F.struct(F.lit(False).alias("open"), F.array().alias("out")), SOURCE_FOLD)
+    found = fm.select("slug", F.explode(F.aggregate(lines, zero, step)["out"]).alias("s")).select("slug", "s.*")
+    return found.where(F.col("source") != "")
 
 
 # ── Articles ──────────────────────────────────────────────────────────
