@@ -215,6 +215,39 @@ def render_instincts(instincts: DataFrame) -> DataFrame:
     return instincts.select("key", text.alias("text"))
 
 
+INSTINCT_FRONTMATTER = r"(?s)\A---\n(.*?)\n---"
+
+
+def parse_instinct_files(files: DataFrame) -> DataFrame:
+    """Instinct rows (key, trigger, action, domain, confidence, source,
+    evidence_count, created, last_seen, updated, projects) of the markdown files
+    of the instincts layer (name, content).
+
+    Each header line with a colon that is no comment is a pair, whatever its
+    indent; values lose spaces and quotes, ``[a, b]`` is a list, the last
+    duplicate wins. A file without a header, or without a pair in it, is no
+    instinct. ``key`` is the ``id``, else the file's stem; numbers and dates that
+    do not parse are null. Each file's header is parsed within its row."""
+    head = F.regexp_extract("content", INSTINCT_FRONTMATTER, 1)
+    lines = F.filter(py_lines(head), lambda x: x.contains(":") & ~py_strip(x).startswith("#"))
+    pairs = F.transform(lines, lambda x: F.struct(py_strip(F.substring_index(x, ":", 1)).alias("k"),
+                                                  strip_quotes(py_strip(F.substring(x, F.instr(x, ":") + 1, F.length(x)))).alias("v")))
+    p = files.where(F.col("content").rlike(INSTINCT_FRONTMATTER)).select("name", pairs.alias("pairs")).where(F.size("pairs") > 0)
+
+    def get(key):
+        return F.try_element_at(F.filter("pairs", lambda x: x["k"] == key), F.lit(-1))["v"]
+    listed = get("projects")
+    is_list = listed.startswith("[") & listed.endswith("]")
+    items = F.transform(F.filter(F.split(F.substring(listed, F.lit(2), F.length(listed) - 2), ",", -1), lambda x: py_strip(x) != ""),
+                        lambda x: strip_quotes(py_strip(x)))
+    return p.select(
+        F.coalesce(F.nullif(get("id"), F.lit("")), F.regexp_replace("name", r"\.md$", "")).alias("key"),
+        *[get(c).alias(c) for c in ("trigger", "action", "domain")], get("confidence").try_cast(CONF).alias("confidence"),
+        get("source").alias("source"), get("evidence_count").try_cast("bigint").alias("evidence_count"),
+        *[get(c).try_cast("date").alias(c) for c in ("created", "last_seen", "updated")],
+        F.when(listed.isNotNull(), F.when(is_list, items).otherwise(F.array(listed))).alias("projects"))
+
+
 # ── Clusters ──────────────────────────────────────────────────────────
 
 CLUSTER_SCHEMA = ("struct<clusters: array<struct<canonical_id: string, duplicate_ids: array<string>, "

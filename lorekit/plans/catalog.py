@@ -404,6 +404,18 @@ def q_render_instincts(spark, sf):
     return render_instincts(inst)
 
 
+@query("parse_instinct_files")
+def q_parse_instinct_files(spark, sf):
+    """Rendered files parsed back: the round trip of every instinct."""
+    from lorekit.operators.instincts import parse_instinct_files, render_instincts
+    inst, _ = _instincts(Vault(spark, sf))
+    files = render_instincts(inst).select(F.concat("key", F.lit(".md")).alias("name"), F.col("text").alias("content"))
+    out = parse_instinct_files(files).select(
+        "key", "trigger", "action", "domain", "confidence", "source", "evidence_count", "created", "last_seen", "updated",
+        F.array_join("projects", " | ").alias("projects_list"))
+    return _fmt_dates(out, "created", "last_seen", "updated")
+
+
 def _clusters(v: Vault):
     from lorekit.operators.instincts import parse_cluster_json
     from lorekit.sources.adapters import cluster_proposals_from_instincts

@@ -728,6 +728,10 @@ SELECT key, concat_ws(chr(10), '---', 'id: ' || {_scalar('key')}, 'type: instinc
   'created: ' || strftime(created, '%Y-%m-%d'), 'last_seen: ' || strftime(last_seen, '%Y-%m-%d'),
   'updated: ' || strftime(updated, '%Y-%m-%d'), '---', '# ' || {initcap("replace(key, '-', ' ')")}) AS text
 FROM inst""")
+oracle("parse_instinct_files", INST + """
+SELECT key, trigger, action, domain, confidence, source, evidence_count, strftime(created, '%Y-%m-%d') AS created,
+       strftime(last_seen, '%Y-%m-%d') AS last_seen, strftime(updated, '%Y-%m-%d') AS updated, 'shared' AS projects_list
+FROM inst""")
 oracle("parse_cluster_json", INST + """
 SELECT response_id, cluster, canonical_id, array_to_string(duplicate_ids, ' | ') AS duplicate_ids_list,
        CAST(len(duplicate_ids) AS BIGINT) AS n_duplicate_ids, merged_trigger, merged_action, merged_domain

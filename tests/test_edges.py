@@ -150,3 +150,14 @@ def test_new_data_under_an_old_path(spark, tmp_dir):
         for t in ("events", "conversations"):
             spark.range(1).write.mode("overwrite").parquet(f"{tmp_dir}/{t}.parquet")
         assert Vault(spark, tmp_dir)["articles"].count() == n
+
+
+def test_instinct_files(spark):
+    files = [("a.md", '---\nid: "k: 1"\ntrigger: \'t\'\n  action: a: b\n# note: x\nprojects: [Alpha, "b", ]\nconfidence: 0.4\n'
+              'confidence: 0.75\ncreated: 2024-01-02\nlast_seen: soon\n---\n# Title\nid: other\n'),
+             ("stem.md", "---\ntrigger: t\nprojects: solo\n---\n"), ("c.md", "no header"), ("d.md", "---\nplain\n---\n")]
+    got = {r.key: r for r in instincts.parse_instinct_files(spark.createDataFrame(files, "name string, content string")).collect()}
+    assert set(got) == {"k: 1", "stem"}
+    k = got["k: 1"]
+    assert (k.trigger, k.action, k.projects, str(k.confidence), str(k.created), k.last_seen) == ("t", "a: b", ["Alpha", "b"], "0.75", "2024-01-02", None)
+    assert got["stem"].projects == ["solo"] and got["stem"].confidence is None
