@@ -67,11 +67,15 @@ def stage_path(spark: SparkSession, name: str = "stage") -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path (or a glob) names anything, in whatever store Spark reads it from."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a path or glob names, in whatever store Spark reads it from."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
-    return found is not None and len(found) > 0
+    return [f.getPath().toString() for f in found or []]
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return bool(list_paths(spark, path))
 
 
 def cut_lineage(df):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekit.functions.text import normalize_newlines, py_lines
-from lorekit.session import path_exists
+from lorekit.session import list_paths, path_exists
 
 LAYERS = ("daily", "knowledge", "knowledge/concepts", "knowledge/connections", "knowledge/qa", "knowledge/instincts", "wiki", "raw")
 
@@ -133,6 +133,15 @@ def write_version(df: DataFrame, table_root: str, version: int) -> str:
     return path
 
 
+def read_version(spark: SparkSession, table_root: str, schema: str, below: int | None = None) -> DataFrame:
+    """The highest complete version of a table (below a number, if given); no rows
+    of ``schema`` where there is none."""
+    root = table_root.rstrip("/")
+    numbers = sorted(int(p.rsplit("/v=", 1)[1].split("/")[0]) for p in list_paths(spark, f"{root}/v=*/_SUCCESS"))
+    numbers = [n for n in numbers if below is None or n < below]
+    return spark.read.schema(schema).parquet(f"{root}/v={numbers[-1]:08d}") if numbers else spark.createDataFrame([], schema)
+
+
 def upsert_by_key(current: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """New full table: current rows whose key is not in ``changes``, plus ``changes``."""
     return current.join(changes.select(*key), key, "left_anti").unionByName(changes, allowMissingColumns=True)

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorekit.functions.text import redact
-from lorekit.operators.observations import COMPACT_INTERVAL, COMPACT_THRESHOLD
+from lorekit.operators.observations import COMPACT_INTERVAL, COMPACT_THRESHOLD, classify_tool_results, summarize_tool_events
+from lorekit.session import path_exists
 from lorekit.sources.adapters import observations_from_events
+from lorekit.sources.scan import read_version, write_version
 
 WATERMARK = "10 minutes"
 
@@ -37,6 +39,20 @@ def stream_observations(events: DataFrame) -> DataFrame:
     return obs.withWatermark("ts", WATERMARK).withColumn("date", F.to_date("ts"))
 
 
+def stream_hook_observations(hooks: DataFrame) -> DataFrame:
+    """Observations of raw hook payloads (ts, seq, session_id, project, event, tool,
+    tool_input and tool_response as JSON text): the input is summarised and
+    redacted on ``pre`` events, the response classified on ``post`` events, with the
+    watermark and ``date`` column of ``stream_observations``."""
+    h = hooks.withColumn("tool_input", F.try_parse_json("tool_input")).withColumn("tool_response", F.try_parse_json("tool_response"))
+    h = classify_tool_results(summarize_tool_events(h))
+    pre, post = F.col("event") == "pre", F.col("event") == "post"
+    obs = h.select(F.col("ts").cast("timestamp").alias("ts"), "seq", "session_id", "project", "event", "tool",
+                   F.when(pre, F.col("input_summary")).alias("input_summary"), F.when(post, F.col("success")).alias("success"),
+                   F.when(post, redact("error")).alias("error"))
+    return obs.withWatermark("ts", WATERMARK).withColumn("date", F.to_date("ts"))
+
+
 def sink_observations(obs: DataFrame, path: str, checkpoint: str):
     """Append to a date-partitioned parquet table (file sink, exactly-once through
     the checkpoint). Partitions replace the reference's size-based rotation."""
@@ -114,34 +130,45 @@ def stream_recent_window(obs: DataFrame, hours: int = 24, slide: str = "1 hour",
 
 # ── foreachBatch upserts ──────────────────────────────────────────────
 
-def register_projects_batch(registry_path: str, as_of_date: str):
-    """foreachBatch body: insert-if-absent of detected projects into the registry
-    table (a new version directory per batch; a single writer replaces the lock)."""
+REGISTRY_ROWS = ("ord int, id string, name string, canonical string, aliases array<string>, root string, remote string, "
+                 "auto_registered string, notes string")
+STATE_ROWS = "name string, hash string, epoch long"
+
+
+def register_projects_batch(table_root: str, as_of_date: str):
+    """foreachBatch body: insert-if-absent of detected projects. Batch n writes
+    version n + 1 of the registry from the newest version below it (none on a first
+    run), so a replayed batch rewrites its own version from the same input; a
+    single writer replaces the lock."""
     from lorekit.operators.scope import register_projects
 
     def fn(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        cur = spark.read.parquet(registry_path)
-        out = register_projects(cur.drop("auto_registered", "notes"), batch, as_of_date)
-        new = out.join(cur.select("id"), "id", "left_anti")
-        new.select(*cur.columns).write.mode("append").parquet(registry_path)
+        cur = read_version(batch.sparkSession, table_root, REGISTRY_ROWS, below=epoch_id + 1)
+        old = cur.select("id", F.col("auto_registered").alias("old_auto"), F.col("notes").alias("old_notes"))
+        out = register_projects(cur.drop("auto_registered", "notes"), batch, as_of_date).join(old, "id", "left")
+        out = out.withColumn("auto_registered", F.coalesce("auto_registered", "old_auto")).withColumn("notes", F.coalesce("notes", "old_notes"))
+        write_version(out.select(*cur.columns), table_root, epoch_id + 1)
     return fn
 
 
 def incremental_compile_batch(state_path: str):
-    """foreachBatch body: dailies whose hash changed get a new state record."""
-    from lorekit.functions.text import sha_hex
-
+    """foreachBatch body: dailies (name, sha16) whose hash differs from the newest
+    record of an earlier batch get a record. Each batch has its own ``epoch``
+    partition, which a replay overwrites."""
     def fn(batch: DataFrame, epoch_id: int) -> None:
-        cur = latest_state(batch.sparkSession, state_path)
-        d = batch.select("name", sha_hex("content", 16).alias("hash"))
+        cur = latest_state(batch.sparkSession, state_path, below=epoch_id)
+        d = batch.select("name", F.col("sha16").alias("hash"))
         changed = d.join(cur.select("name", F.col("hash").alias("recorded")), "name", "left").where(
             ~F.col("recorded").eqNullSafe(F.col("hash"))).select("name", "hash")
-        changed.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("append").parquet(state_path)
+        changed.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/epoch={epoch_id}")
     return fn
 
 
-def latest_state(spark: SparkSession, state_path: str) -> DataFrame:
-    """The compile state as of the last batch: the newest record per daily."""
-    s = spark.read.parquet(state_path)
+def latest_state(spark: SparkSession, state_path: str, below: int | None = None) -> DataFrame:
+    """The compile state (name, hash): the newest record per daily, of the batches
+    before ``below``; no rows where there is no state yet."""
+    found = path_exists(spark, f"{state_path.rstrip('/')}/epoch=*")
+    s = spark.read.schema(STATE_ROWS).parquet(state_path) if found else spark.createDataFrame([], STATE_ROWS)
+    if below is not None:
+        s = s.where(F.col("epoch") < below)
     return s.groupBy("name").agg(F.max_by("hash", "epoch").alias("hash"))
