@@ -6,25 +6,33 @@ fixed). Two sets with Jaccard >= t share at least l shingles among the first n -
 Each document takes the l (up to ``MAX_MATCHES``) with the least estimated cost: the postings of the longer prefix
 against the candidates left when l shared shingles are asked for. A pair needs the smaller l of its two documents.
 
-Candidates are found in two steps, so that a group of near copies never becomes all its pairs: every class is first
-verified against the smallest class that shares its prefix best, and linked classes are contracted; then pairs of
-classes that still lie in different components are verified. Links within a component cannot change it."""
+No group becomes all its pairs. Documents that share a frequent prefix shingle are compared in blocks in memory.
+Through the others every class is first verified against the smallest class that shares its prefix best, and linked
+classes are contracted; then pairs of classes that still lie in different components are verified. Links within a
+component cannot change it."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekit.llm.components import components
-from lorekit.llm.textblocks import MIX2, mix, prefix_hash, range_hash, text_blocks, word_hashes, word_spans
-from lorekit.session import cut_lineage
+from lorekit.llm.embedding_dedup import spanning
+from lorekit.llm.passages import chunk_count
+from lorekit.llm.textblocks import MIX2, mix, prefix_hash, ragged, range_hash, text_blocks, word_hashes, word_spans
+from lorekit.session import cut_lineage, stage_path
 
 SHINGLE, PERCENT = 3, 90
 MAX_MATCHES = 4
 VERIFY_COST = 20.0               # a verification against a posting read
 SKETCH_BITS, SKETCH_PARTS = 22, 64
+HOT = 64                         # documents behind a prefix token that are compared in blocks
+BLOCK, BLOCK_CODE, COLUMNS = 1024, 1 << 20, 2048
+LOT_ROWS = 4096
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
@@ -157,6 +165,64 @@ def similar_rows(percent: int = PERCENT):
     return f
 
 
+def block_links(percent: int = PERCENT):
+    """Links between the rows of each (group, pair of blocks), by matrix products over the shingles they share."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def f(table: pa.Table) -> pa.Table:
+        ids, group, other, block = (table[c].to_numpy() for c in ("doc_id", "group", "other", "block"))
+        parts = [(row + lo, h) for lo, o, raw in text_blocks(table["text"]) for row, h in [row_sets(o, raw)]]
+        row, h = (np.concatenate(c) for c in zip(*parts))
+        begin = np.searchsorted(row, np.arange(len(ids) + 1))
+        order = np.lexsort((ids, other, group))
+        edge = np.flatnonzero(np.append(True, (group[order][1:] != group[order][:-1]) | (other[order][1:] != other[order][:-1])))
+        out = []
+        for lo, hi in zip(edge, np.append(edge[1:], len(order))):
+            rows = order[lo:hi]
+            a, b = divmod(int(other[rows[0]]), BLOCK_CODE)
+            one, two = np.flatnonzero(block[rows] == a), np.flatnonzero(block[rows] == b)
+            size = begin[rows + 1] - begin[rows]
+            who = np.repeat(np.arange(len(rows)), size)
+            _, col, count = np.unique(h[ragged(begin[rows], size)], return_inverse=True, return_counts=True)
+            who, col = who[count[col] > 1], (np.cumsum(count > 1) - 1)[col[count[col] > 1]]
+            by_col = np.argsort(col, kind="stable")
+            who, col = who[by_col], col[by_col]
+            shared = np.zeros((len(one), len(two)), np.float32)
+            for c in range(0, int((count > 1).sum()), COLUMNS):
+                x, y = np.searchsorted(col, [c, c + COLUMNS])
+                m = np.zeros((len(rows), COLUMNS), np.float32)
+                m[who[x:y], col[x:y] - c] = 1
+                shared += m[one] @ m[two].T
+            i, j = np.nonzero(100 * shared >= percent * (size[one][:, None] + size[two][None, :] - shared))
+            i, j = one[i], two[j]
+            root = spanning(i, j, len(rows))
+            hit = np.flatnonzero(root != np.arange(len(rows)))
+            out.append((ids[rows][hit], ids[rows][root[hit]]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2
+        return pa.table([pa.array(c, pa.int64()) for c in cols], schema)
+    return f
+
+
+def hot_links(posts: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between documents that share a hot prefix token, as a spanning set.
+
+    Hot tokens that meet in a document form a group, so a document is in one group. A group is cut into blocks by a
+    hash of the id; each pair of blocks is compared in memory, and no pair of documents becomes a row."""
+    tokens = posts.select("token", "doc_id")
+    least = tokens.groupBy("doc_id").agg(F.min("token").alias("a"))
+    groups = components(tokens.join(least, "doc_id").select("a", F.col("token").alias("b")).distinct())
+    members = least.join(groups.select(F.col("node").alias("a"), "component"), "a", "left")
+    members = cut_lineage(members.select("doc_id", F.coalesce("component", "a").alias("group")))
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    m = members.join(sizes, "group").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    m = m.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    pair = lambda o: F.least("block", o) * F.lit(BLOCK_CODE) + F.greatest("block", o)
+    m = cut_lineage(m.select("doc_id", "group", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("other")))
+    lots = max(1, -(-m.count() // LOT_ROWS))
+    m = m.join(texts, "doc_id").withColumn("lot", F.pmod(F.xxhash64("group", "other"), F.lit(lots)))
+    return m.groupBy("lot").applyInArrow(lambda table: block_links(percent)(table.drop_columns(["lot"])), "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar enough by their whole texts."""
     of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias("text_" + c))
@@ -164,30 +230,53 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(similar_rows(percent), "a long, b long")
 
 
+def text_table(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, text) of the wanted ids, bucketed by id, so that joins by id do not shuffle the texts again."""
+    spark = docs.sparkSession
+    name = f"lorekit_texts_{uuid.uuid4().hex}"
+    path = stage_path(spark, "texts")
+    rows = docs.repartition(parts, "doc_id").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    rows.write.option("path", path).option("compression", "zstd").bucketBy(parts, "doc_id").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def similar_edges(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Verified (a, b) links that give the components of the classes in ``sets`` (doc_id, n, matches, prefix)."""
-    posts = sets.select("doc_id", "n", "matches", F.explode("prefix").alias("token"))
-    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("first")).where("df > 1")
+    """Verified (a, b) links that give the components of the classes in ``sets`` (doc_id, n, matches, prefix).
+
+    Documents that share a hot token are compared in blocks. The others are compared through their cold tokens, at
+    most ``HOT`` documents each: first every document with the smallest that shares most with it, then the pairs that
+    still lie in different components, if they share enough prefix tokens at places that leave enough overlap."""
+    posts = sets.select("doc_id", F.posexplode("prefix").alias("pos", "token"))
+    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     posts = cut_lineage(posts.join(shared, "token"))
-    texts = cut_lineage(docs.join(posts.select("doc_id").distinct(), "doc_id", "left_semi"))
-    votes = posts.where("doc_id <> first").groupBy("doc_id", "first").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("doc_id").agg(F.max(F.struct("votes", -F.col("first"))).alias("best"))
-    stars = best.select((-F.col("best")["col2"]).alias("a"), F.col("doc_id").alias("b"))
-    links = cut_lineage(verified(stars, texts, percent))
+    ids = cut_lineage(posts.select("doc_id").distinct())
+    texts = text_table(docs, ids, chunk_count(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
+    hot = cut_lineage(hot_links(posts.where(F.col("df") > HOT), texts, percent))
+
+    cold = posts.where(F.col("df") <= HOT)
+    first = cold.groupBy("token").agg(F.min("doc_id").alias("first"))
+    votes = cold.join(first, "token").where("doc_id <> first").groupBy("doc_id", "first").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("doc_id").agg(F.max(F.struct("votes", (-F.col("first")).alias("first"))).alias("best"))
+    stars = best.select((-F.col("best.first")).alias("a"), F.col("doc_id").alias("b"))
+    links = hot.unionAll(cut_lineage(verified(stars, texts, percent)))
 
     labels = components(links).withColumnRenamed("node", "doc_id")
-    posts = posts.drop("df", "first").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    posts = cut_lineage(posts)
-    open_tokens = (posts.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    about = sets.select("doc_id", "n", "matches").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    cold = cut_lineage(cold.select("token", "doc_id", "pos").join(about, "doc_id"))
+    open_tokens = (cold.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"))
                    .where("x <> y").select("token"))
-    posts = cut_lineage(posts.join(open_tokens, "token", "left_semi"))
-    other = posts.select(*[F.col(c).alias(c + "_b") for c in posts.columns])
+    cold = cut_lineage(cold.join(open_tokens, "token", "left_semi"))
+    other = cold.select(*[F.col(c).alias(c + "_b") for c in cold.columns])
+    enough = lambda overlap: (100 + percent) * overlap >= percent * (F.col("n") + F.col("n_b"))
+    reach = F.least("pos", "pos_b") + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
     near = ((F.col("token") == F.col("token_b")) & (F.col("doc_id") < F.col("doc_id_b")) & (F.col("component") != F.col("component_b"))
-            & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
-    pairs = (posts.join(other, near).groupBy(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b"))
-             .agg(F.count(F.lit(1)).alias("met"), F.min(F.least("matches", "matches_b")).alias("asked")).where("met >= asked"))
-    more = verified(pairs, texts, percent)
-    return links.unionAll(cut_lineage(more))
+            & enough(F.least("n", "n_b")) & enough(reach))
+    pairs = cold.join(other, near).groupBy(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b"), "n", "n_b").agg(
+        F.count(F.lit(1)).alias("met"), F.min(F.least("matches", "matches_b")).alias("asked"),
+        F.max("pos").alias("pos"), F.max("pos_b").alias("pos_b"))
+    left = F.least(F.col("n") - F.col("pos") - 1, F.col("n_b") - F.col("pos_b") - 1)
+    pairs = pairs.where((F.col("met") >= F.col("asked")) & enough(F.col("met") + left))
+    return links.unionAll(cut_lineage(verified(pairs, texts, percent)))
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -205,7 +294,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     usable = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = cut_lineage(usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
     reps = usable.join(classes.select("h1", "h2", "n", F.col("rep").alias("doc_id")), ["h1", "h2", "n", "doc_id"], "left_semi")
-    labels = components(similar_edges(d, reps.dropDuplicates(["h1", "h2", "n"]), percent))
+    labels = components(similar_edges(d, reps, percent))
     classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n").alias("cn"), F.coalesce("component", "rep").alias("component"))
     out = sets.drop("prefix").join(classes, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("n") == F.col("cn"))

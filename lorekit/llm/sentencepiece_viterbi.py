@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekit.llm.textblocks import mix, prefix_hash, range_hash, text_blocks
+from lorekit.llm.textblocks import mix, prefix_hash, ragged, range_hash, text_blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, ESCAPED = 0x2581, 0x110000
@@ -78,11 +78,6 @@ def load_pieces(model: str = MODEL) -> Pieces:
     return Pieces([(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())])
 
 
-def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indexes start[i]..start[i]+size[i] of all i, one after the other."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
 def segment(prefix: np.ndarray, codes: np.ndarray, start: np.ndarray, length: int, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """(tokens per word, tokens) of words of one length; a token below 0 stands for the character -1 - token."""
     n = len(start)

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from lorekit.llm import ngram_join
 from lorekit.llm.components import components
@@ -48,8 +49,11 @@ def test_components_of_messy_rows(spark, messy_rows):
     assert {10, 1, 2, 17} <= set(ids) and not {6, 11, 12, 13} & set(ids) and ids.count(None) == 2
 
 
-def test_chains_and_borders(spark):
+@pytest.mark.parametrize("hot,block", [(64, 1024), (3, 8)])
+def test_chains_and_borders(spark, monkeypatch, hot, block):
     """Chains of edits (ends not similar to each other), and pairs just above and below the border."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rnd, rows = random.Random(5), []
     for g in range(6):
         w = prose(900 + g, 120 + 20 * g).split()
