@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekit.llm.components import components
 from lorekit.llm.embedding_dedup import spanning
 from lorekit.llm.passages import chunk_count
 from lorekit.llm.textblocks import MIX2, mix, prefix_hash, ragged, range_hash, text_blocks, word_hashes, word_spans
+from lorekit.operators.components import components
 from lorekit.session import cut_lineage, stage_path
 
 SHINGLE, PERCENT = 3, 90
@@ -58,7 +58,7 @@ def row_sets(offsets: np.ndarray, raw: np.ndarray, shingle: int = SHINGLE) -> tu
 
 
 def count_sketch(batches):
-    """(part, counters) of how many documents have a shingle of each counter."""
+    """(part, counters) of how many documents of the task have a shingle of each counter, 65,535 at most."""
     total = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in batches:
         for _, offsets, raw in text_blocks(batch.column(0)):
@@ -66,12 +66,13 @@ def count_sketch(batches):
             at, n = np.unique(h >> np.uint64(64 - SKETCH_BITS), return_counts=True)
             total[at] += n.astype(np.uint32)
     size = len(total) // SKETCH_PARTS
+    total = np.minimum(total, 2**16 - 1).astype(np.uint16)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(
         [total[i * size:(i + 1) * size].tobytes() for i in range(SKETCH_PARTS)], pa.binary())], ["part", "counters"])
 
 
 def add_sketches(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for x in table["counters"])
+    total = sum(np.frombuffer(x.as_buffer(), np.uint16).astype(np.uint64) for x in table["counters"])
     total = np.minimum(total, 2**32 - 1).astype(np.uint32)
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counters": pa.array([total.tobytes()], pa.binary())})
 
@@ -244,39 +245,45 @@ def similar_edges(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     """Verified (a, b) links that give the components of the classes in ``sets`` (doc_id, n, matches, prefix).
 
     Documents that share a hot token are compared in blocks. The others are compared through their cold tokens, at
-    most ``HOT`` documents each: first every document with the smallest that shares most with it, then the pairs that
-    still lie in different components, if they share enough prefix tokens at places that leave enough overlap."""
+    most ``HOT`` documents each: first every document with the smallest that shares most with it, if that looks
+    similar enough; then the pairs that still lie in different components. A pair is verified if it shares enough
+    prefix tokens, at places that leave enough overlap."""
     posts = sets.select("doc_id", F.posexplode("prefix").alias("pos", "token"))
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    posts = cut_lineage(posts.join(shared, "token"))
+    posts = cut_lineage(posts.join(shared, "token").join(sets.select("doc_id", "n", "matches"), "doc_id"))
     ids = cut_lineage(posts.select("doc_id").distinct())
     texts = text_table(docs, ids, chunk_count(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
     hot = cut_lineage(hot_links(posts.where(F.col("df") > HOT), texts, percent))
 
-    cold = posts.where(F.col("df") <= HOT)
-    first = cold.groupBy("token").agg(F.min("doc_id").alias("first"))
-    votes = cold.join(first, "token").where("doc_id <> first").groupBy("doc_id", "first").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("doc_id").agg(F.max(F.struct("votes", (-F.col("first")).alias("first"))).alias("best"))
-    stars = best.select((-F.col("best.first")).alias("a"), F.col("doc_id").alias("b"))
+    def enough(overlap):
+        return (100 + percent) * overlap >= percent * (F.col("n") + F.col("n_b"))
+
+    def candidates(rows: DataFrame) -> DataFrame:
+        """(a, b, met) of rows (doc_id, pos, n, matches, and the same of the other with _b), one per shared token."""
+        pairs = rows.groupBy(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b"), "n", "n_b").agg(
+            F.count(F.lit(1)).alias("met"), F.min(F.least("matches", "matches_b")).alias("asked"),
+            F.max("pos").alias("pos"), F.max("pos_b").alias("pos_b"))
+        left = F.least(F.col("n") - F.col("pos") - 1, F.col("n_b") - F.col("pos_b") - 1)
+        return pairs.where((F.col("met") >= F.col("asked")) & enough(F.col("met") + left)).select("a", "b", "met")
+
+    cold = posts.where(F.col("df") <= HOT).drop("df")
+    fields = ["doc_id", "pos", "n", "matches"]
+    first = cold.groupBy("token").agg(F.min(F.struct(*fields)).alias("f")).select("token", *[F.col("f")[c].alias(c + "_b") for c in fields])
+    met = candidates(cold.join(first, "token").where("doc_id <> doc_id_b"))
+    best = met.groupBy("a").agg(F.max(F.struct("met", (-F.col("b")).alias("b"))).alias("best"))
+    stars = best.select("a", (-F.col("best.b")).alias("b"))
     links = hot.unionAll(cut_lineage(verified(stars, texts, percent)))
 
     labels = components(links).withColumnRenamed("node", "doc_id")
-    about = sets.select("doc_id", "n", "matches").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    cold = cut_lineage(cold.select("token", "doc_id", "pos").join(about, "doc_id"))
+    cold = cut_lineage(cold.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     open_tokens = (cold.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"))
                    .where("x <> y").select("token"))
     cold = cut_lineage(cold.join(open_tokens, "token", "left_semi"))
     other = cold.select(*[F.col(c).alias(c + "_b") for c in cold.columns])
-    enough = lambda overlap: (100 + percent) * overlap >= percent * (F.col("n") + F.col("n_b"))
     reach = F.least("pos", "pos_b") + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
     near = ((F.col("token") == F.col("token_b")) & (F.col("doc_id") < F.col("doc_id_b")) & (F.col("component") != F.col("component_b"))
             & enough(F.least("n", "n_b")) & enough(reach))
-    pairs = cold.join(other, near).groupBy(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b"), "n", "n_b").agg(
-        F.count(F.lit(1)).alias("met"), F.min(F.least("matches", "matches_b")).alias("asked"),
-        F.max("pos").alias("pos"), F.max("pos_b").alias("pos_b"))
-    left = F.least(F.col("n") - F.col("pos") - 1, F.col("n_b") - F.col("pos_b") - 1)
-    pairs = pairs.where((F.col("met") >= F.col("asked")) & enough(F.col("met") + left))
-    return links.unionAll(cut_lineage(verified(pairs, texts, percent)))
+    return links.unionAll(cut_lineage(verified(candidates(cold.join(other, near)), texts, percent)))
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
