@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -67,6 +68,14 @@ def stage_path(spark: SparkSession, name: str = "stage") -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more. Its cleaner waits for garbage
+    collection in the driver, which may be long in coming; call this between the steps of a long job, after their
+    tables are written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def list_paths(spark: SparkSession, pattern: str) -> list[str]:
     """The paths that a path or glob names, in whatever store Spark reads it from."""
     where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
