@@ -24,7 +24,7 @@ from lorekit.llm.embedding_dedup import spanning
 from lorekit.llm.passages import chunk_count
 from lorekit.llm.textblocks import MIX2, mix, prefix_hash, ragged, range_hash, text_blocks, word_hashes, word_spans
 from lorekit.operators.components import components
-from lorekit.session import cut_lineage, stage_path
+from lorekit.session import cut_lineage, free_shuffles, stage_path
 
 SHINGLE, PERCENT = 3, 90
 MAX_MATCHES = 4
@@ -252,7 +252,9 @@ def similar_edges(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     posts = cut_lineage(posts.join(shared, "token").join(sets.select("doc_id", "n", "matches"), "doc_id"))
     ids = cut_lineage(posts.select("doc_id").distinct())
+    free_shuffles(docs.sparkSession)
     texts = text_table(docs, ids, chunk_count(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
+    free_shuffles(docs.sparkSession)
     hot = cut_lineage(hot_links(posts.where(F.col("df") > HOT), texts, percent))
 
     def enough(overlap):
@@ -273,6 +275,7 @@ def similar_edges(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     best = met.groupBy("a").agg(F.max(F.struct("met", (-F.col("b")).alias("b"))).alias("best"))
     stars = best.select("a", (-F.col("best.b")).alias("b"))
     links = hot.unionAll(cut_lineage(verified(stars, texts, percent)))
+    free_shuffles(docs.sparkSession)
 
     labels = components(links).withColumnRenamed("node", "doc_id")
     cold = cut_lineage(cold.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
