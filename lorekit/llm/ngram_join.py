@@ -1,6 +1,6 @@
 """Similarity join on word shingles with adaptive multi-match prefixes.
 
-A document's set is its distinct ``SHINGLE``-word shingles (64-bit hashes); equal sets are one class. Shingles are
+A document's set is its distinct shingles of ``shingle`` words (64-bit hashes); equal sets are one class. Shingles are
 ordered from rare to frequent by a counting sketch of all documents (2^22 counters, so its broadcast size is
 fixed). Two sets with Jaccard >= t share at least l shingles among the first n - ceil(t n) + l of each, for any l.
 Each document takes the l (up to ``MAX_MATCHES``) with the least estimated cost: the postings of the longer prefix
@@ -57,18 +57,20 @@ def row_sets(offsets: np.ndarray, raw: np.ndarray, shingle: int = SHINGLE) -> tu
     return row[new], h[new]
 
 
-def count_sketch(batches):
+def count_sketch(shingle: int = SHINGLE):
     """(part, counters) of how many documents of the task have a shingle of each counter, 65,535 at most."""
-    total = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for batch in batches:
-        for _, offsets, raw in text_blocks(batch.column(0)):
-            _, h = row_sets(offsets, raw)
-            at, n = np.unique(h >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-            total[at] += n.astype(np.uint32)
-    size = len(total) // SKETCH_PARTS
-    total = np.minimum(total, 2**16 - 1).astype(np.uint16)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(
-        [total[i * size:(i + 1) * size].tobytes() for i in range(SKETCH_PARTS)], pa.binary())], ["part", "counters"])
+    def f(batches):
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        for batch in batches:
+            for _, offsets, raw in text_blocks(batch.column(0)):
+                _, h = row_sets(offsets, raw, shingle)
+                at, n = np.unique(h >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                total[at] += n.astype(np.uint32)
+        size = len(total) // SKETCH_PARTS
+        total = np.minimum(total, 2**16 - 1).astype(np.uint16)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(
+            [total[i * size:(i + 1) * size].tobytes() for i in range(SKETCH_PARTS)], pa.binary())], ["part", "counters"])
+    return f
 
 
 def add_sketches(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -77,9 +79,9 @@ def add_sketches(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counters": pa.array([total.tobytes()], pa.binary())})
 
 
-def document_counts(texts: DataFrame) -> np.ndarray:
+def document_counts(texts: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """Counters over all documents: 16 MB, whatever the input."""
-    parts = (texts.mapInArrow(count_sketch, "part int, counters binary").groupBy("part")
+    parts = (texts.mapInArrow(count_sketch(shingle), "part int, counters binary").groupBy("part")
              .applyInArrow(add_sketches, "part int, counters binary").collect())
     by = {r.part: np.frombuffer(r.counters, np.uint32) for r in parts}
     empty = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint32)
@@ -112,14 +114,14 @@ def prefixes(row: np.ndarray, h: np.ndarray, counts: np.ndarray, percent: int =
     return rows, n, matches, size, h[take]
 
 
-def set_rows(counts, percent: int = PERCENT):
+def set_rows(counts, percent: int = PERCENT, shingle: int = SHINGLE):
     """(doc_id, n, h1, h2, matches, prefix) of every document."""
     def f(batches):
         names = ["doc_id", "n", "h1", "h2", "matches", "prefix"]
         for batch in batches:
             for lo, offsets, raw in text_blocks(batch.column("text")):
                 k = len(offsets) - 1
-                row, h = row_sets(offsets, raw)
+                row, h = row_sets(offsets, raw, shingle)
                 n, m = np.bincount(row, minlength=k).astype(np.int64), np.ones(k, np.int32)
                 h1, h2, length = np.zeros(k, np.uint64), np.zeros(k, np.uint64), np.zeros(k, np.int64)
                 flat = np.zeros(0, np.uint64)
@@ -136,7 +138,7 @@ def set_rows(counts, percent: int = PERCENT):
     return f
 
 
-def similar_rows(percent: int = PERCENT):
+def similar_rows(percent: int = PERCENT, shingle: int = SHINGLE):
     """The pairs (a, b) of rows (a, b, text_a, text_b) whose whole sets are similar enough."""
     def f(batches):
         for batch in batches:
@@ -148,7 +150,7 @@ def similar_rows(percent: int = PERCENT):
             pending: list = []
             size, shared = np.zeros(2 * n, np.int64), np.zeros(n, np.int64)
             for lo, offsets, raw in text_blocks(both):
-                row, h = row_sets(offsets, raw)
+                row, h = row_sets(offsets, raw, shingle)
                 row = row + lo
                 size += np.bincount(row, minlength=2 * n)
                 if pending:                                    # a pair may begin in the block before
@@ -166,13 +168,13 @@ def similar_rows(percent: int = PERCENT):
     return f
 
 
-def block_links(percent: int = PERCENT):
+def block_links(percent: int = PERCENT, shingle: int = SHINGLE):
     """Links between the rows of each (group, pair of blocks), by matrix products over the shingles they share."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def f(table: pa.Table) -> pa.Table:
         ids, group, other, block = (table[c].to_numpy() for c in ("doc_id", "group", "other", "block"))
-        parts = [(row + lo, h) for lo, o, raw in text_blocks(table["text"]) for row, h in [row_sets(o, raw)]]
+        parts = [(row + lo, h) for lo, o, raw in text_blocks(table["text"]) for row, h in [row_sets(o, raw, shingle)]]
         row, h = (np.concatenate(c) for c in zip(*parts))
         begin = np.searchsorted(row, np.arange(len(ids) + 1))
         order = np.lexsort((ids, other, group))
@@ -204,7 +206,7 @@ def block_links(percent: int = PERCENT):
     return f
 
 
-def hot_links(posts: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def hot_links(posts: DataFrame, texts: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
     """Links between documents that share a hot prefix token, as a spanning set.
 
     Hot tokens that meet in a document form a group, so a document is in one group. A group is cut into blocks by a
@@ -221,14 +223,14 @@ def hot_links(posts: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     m = cut_lineage(m.select("doc_id", "group", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("other")))
     lots = max(1, -(-m.count() // LOT_ROWS))
     m = m.join(texts, "doc_id").withColumn("lot", F.pmod(F.xxhash64("group", "other"), F.lit(lots)))
-    return m.groupBy("lot").applyInArrow(lambda table: block_links(percent)(table.drop_columns(["lot"])), "a long, b long")
+    return m.groupBy("lot").applyInArrow(lambda table: block_links(percent, shingle)(table.drop_columns(["lot"])), "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) that are similar enough by their whole texts."""
     of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias("text_" + c))
     joined = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(similar_rows(percent), "a long, b long")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(similar_rows(percent, shingle), "a long, b long")
 
 
 def text_table(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
@@ -241,7 +243,7 @@ def text_table(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
     return spark.table(name)
 
 
-def similar_edges(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def similar_edges(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """Verified (a, b) links that give the components of the classes in ``sets`` (doc_id, n, matches, prefix).
 
     Documents that share a hot token are compared in blocks. The others are compared through their cold tokens, at
@@ -255,7 +257,7 @@ def similar_edges(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     free_shuffles(docs.sparkSession)
     texts = text_table(docs, ids, chunk_count(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
     free_shuffles(docs.sparkSession)
-    hot = cut_lineage(hot_links(posts.where(F.col("df") > HOT), texts, percent))
+    hot = cut_lineage(hot_links(posts.where(F.col("df") > HOT), texts, percent, shingle))
 
     def enough(overlap):
         return (100 + percent) * overlap >= percent * (F.col("n") + F.col("n_b"))
@@ -274,7 +276,7 @@ def similar_edges(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     met = candidates(cold.join(first, "token").where("doc_id <> doc_id_b"))
     best = met.groupBy("a").agg(F.max(F.struct("met", (-F.col("b")).alias("b"))).alias("best"))
     stars = best.select("a", (-F.col("best.b")).alias("b"))
-    links = hot.unionAll(cut_lineage(verified(stars, texts, percent)))
+    links = hot.unionAll(cut_lineage(verified(stars, texts, percent, shingle)))
     free_shuffles(docs.sparkSession)
 
     labels = components(links).withColumnRenamed("node", "doc_id")
@@ -286,25 +288,26 @@ def similar_edges(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     reach = F.least("pos", "pos_b") + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
     near = ((F.col("token") == F.col("token_b")) & (F.col("doc_id") < F.col("doc_id_b")) & (F.col("component") != F.col("component_b"))
             & enough(F.least("n", "n_b")) & enough(reach))
-    return links.unionAll(cut_lineage(verified(candidates(cold.join(other, near)), texts, percent)))
+    return links.unionAll(cut_lineage(verified(candidates(cold.join(other, near)), texts, percent, shingle)))
 
 
-def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
+                    shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document; component_id is the smallest id reachable over links
-    between documents with Jaccard similarity of at least ``percent`` / 100.
+    between documents with Jaccard similarity of at least ``percent`` / 100 over shingles of ``shingle`` words.
 
-    A-Z is lower-cased. A text of one or two words is one shingle; a null or empty text has none, links with
+    A-Z is lower-cased. A text of fewer words than a shingle is one shingle; a null or empty text has none, links with
     nothing and is its own component. Rows of one id are one node. A row without id links with nothing and has no
     component. Other columns are not read."""
     spark = docs.sparkSession
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = spark.sparkContext.broadcast(document_counts(d.select("text")))
-    sets = cut_lineage(d.mapInArrow(set_rows(counts, percent),
+    counts = spark.sparkContext.broadcast(document_counts(d.select("text"), shingle))
+    sets = cut_lineage(d.mapInArrow(set_rows(counts, percent, shingle),
                                     "doc_id long, n long, h1 long, h2 long, matches int, prefix array<long>"))
     usable = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = cut_lineage(usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
     reps = usable.join(classes.select("h1", "h2", "n", F.col("rep").alias("doc_id")), ["h1", "h2", "n", "doc_id"], "left_semi")
-    labels = components(similar_edges(d, reps, percent))
+    labels = components(similar_edges(d, reps, percent, shingle))
     classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n").alias("cn"), F.coalesce("component", "rep").alias("component"))
     out = sets.drop("prefix").join(classes, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("n") == F.col("cn"))
@@ -312,8 +315,8 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, and rows without id, with all columns."""
-    found = near_components(docs, key, text, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_later_id")).distinct()
+    found = near_components(docs, key, text, percent, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_later_id")).distinct()
     rows = docs.select(F.struct("*").alias("row"))
     return rows.join(found, F.col("row")[key] == F.col("_later_id"), "left_anti").select("row.*")
