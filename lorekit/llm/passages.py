@@ -9,7 +9,9 @@ cut into *segments* (a run of windows with one anchor) of which only two hashes
    chunk as a whole, and which grams have several segments (pre-aggregated, so a passage in a third of all
    documents costs one entry a chunk);
 3. the tokens of those few segments that share a gram but differ go to a *resolver* (a suffix automaton, or a
-   column-wise BWT), the first copy of each only;
+   column-wise BWT), the first copy of each only. A passage between words of its own in each document gives a kind a
+   document at its edges, so a gram of many kinds is cut into blocks by the segments' hash; each pair of blocks is a
+   group of its own, resolved in a task of its own, and what the pairs find is joined;
 4. windows found come back to the chunks as intervals.
 
 Chunks join their answers by bucket, so the texts are not shuffled again. A gram or segment is compared by 64
@@ -144,12 +146,14 @@ def entry_rows(unit: str, window: int, gram: int, buckets: int):
     return f
 
 
-ELSEWHERE, SHIP = 1, 2
+ELSEWHERE, SHIP, BLOCK_BITS = 1, 2, 2
+SHARD_KINDS = {"word": 8192, "byte": 2048}    # kinds of a gram in a block, on average at most
 
 
-def owner_rows(earlier: bool):
+def owner_rows(earlier: bool, shard_kinds: int):
     """Flags for the entries of a bucket: ELSEWHERE, the segment also occurs in another chunk (with ``earlier``: in
-    an earlier document); SHIP, it is the first of its kind and its gram has several kinds."""
+    an earlier document); SHIP, it is the first of its kind and its gram has several kinds; from bit ``BLOCK_BITS``
+    on, the binary logarithm of the number of blocks the gram is cut into."""
     schema = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("flags", pa.binary())])
 
     def f(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -169,8 +173,10 @@ def owner_rows(earlier: bool):
         again = np.bincount(kind) > 1
         gram_no = np.cumsum(np.append(0, g[1:] != g[:-1]))
         kinds = np.bincount(gram_no[first])
+        bits = np.ceil(np.log2(np.maximum(kinds / shard_kinds, 1))).astype(np.int64)
+        ship = is_first & (kinds[gram_no] > 1)
         flags = np.zeros(len(g), np.uint8)
-        flags[o] = ELSEWHERE * (~is_first if earlier else again[kind]) + SHIP * (is_first & (kinds[gram_no] > 1))
+        flags[o] = ELSEWHERE * (~is_first if earlier else again[kind]) + ship * (SHIP + (bits[gram_no] << BLOCK_BITS))
         cut = np.cumsum([0, *lens])
         out = [flags[cut[i]:cut[i + 1]] for i in range(len(lens))]
         keep = [i for i, x in enumerate(out) if x.any()]
@@ -189,12 +195,13 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: What goes back to a chunk (bucket -1) or on to a resolver (bucket of the gram): rows, windows from first to
-#: last, the anchor relative to first, the gram, and the tokens.
+#: last, the anchor relative to first, the gram, and the tokens. A gram cut into blocks has rows (shard, block) of its
+#: own; shard is its hash.
 PIECES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("row", pa.binary()), ("first", pa.binary()),
                     ("last", pa.binary()), ("anchor", pa.binary()), ("gram", pa.binary()), ("doc", pa.binary()),
-                    ("tokens", pa.binary())])
+                    ("tokens", pa.binary()), ("shard", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32())])
 PIECES_DDL = ("bucket int, chunk int, row binary, first binary, last binary, anchor binary, gram binary, doc binary, "
-              "tokens binary")
+              "tokens binary, shard long, block int, blocks int")
 SHIP_BYTES = 4 << 20
 
 
@@ -225,24 +232,28 @@ def piece_rows(unit: str, window: int, gram: int, buckets: int, earlier: bool):
         else:
             again |= count[entry] > 1
         out = [(-1, chunk, row[again].astype(np.int32).tobytes(), first[again].tobytes(), last[again].tobytes(),
-                b"", b"", b"", b"")] if again.any() else []
+                b"", b"", b"", b"", 0, 0, 1)] if again.any() else []
         ship = np.flatnonzero(flag & SHIP)
         if len(ship):
-            ship = ship[np.argsort(b[ship], kind="stable")]
+            blocks_of = np.int64(1) << (flag >> BLOCK_BITS).astype(np.int64)
+            shard = np.where(blocks_of > 1, g[e].view(np.int64), 0)
+            part = (mix(s[e]) % blocks_of.astype(np.uint64)).astype(np.int64)
+            ship = ship[np.lexsort((part[ship], shard[ship], b[ship]))]
+            shard, part, blocks_of = shard[ship], part[ship], blocks_of[ship]
             starts = np.array([x[0] for x in blocks])
             at, size, bucket = e[ship], last[e[ship]] - first[e[ship]] + window, b[ship]
             block = np.searchsorted(starts, row[at], side="right") - 1
             texts_of = [blocks[k][2][p:p + m] for k, p, m in zip(
                 block, first[at] + np.array([blocks[k][1][r - starts[k]] for k, r in zip(block, row[at])], np.int64), size)]
             width = 8 if unit == "word" else 1
-            lot = np.cumsum(np.append(0, bucket[1:] != bucket[:-1]) + 0)
+            lot = np.cumsum(np.append(0, (bucket[1:] != bucket[:-1]) | (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])))
             lot = lot * (1 << 32) + np.cumsum(size * width) // SHIP_BYTES
             edge = np.append(np.flatnonzero(np.append(True, lot[1:] != lot[:-1])), len(at))
             for lo, hi in zip(edge[:-1], edge[1:]):
                 x = at[lo:hi]
                 out.append((int(bucket[lo]), chunk, row[x].astype(np.int32).tobytes(), first[x].tobytes(),
                             last[x].tobytes(), (anchor[x] - first[x]).astype(np.int32).tobytes(), g[x].tobytes(),
-                            ids[row[x]].tobytes(), np.concatenate(texts_of[lo:hi]).tobytes()))
+                            ids[row[x]].tobytes(), np.concatenate(texts_of[lo:hi]).tobytes(), int(shard[lo]), int(part[lo]), int(blocks_of[lo])))
         if not out:
             return PIECES.empty_table()
         return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out), PIECES)], PIECES)
@@ -276,12 +287,20 @@ def resolver_rows(resolve, unit: str, window: int):
         if not at:
             return PIECES.empty_table()
         at, lo, hi = np.array(at), np.array(lo, np.int64), np.array(hi, np.int64)
-        out = [(-1, int(c), row[at[m]].astype(np.int32).tobytes(), lo[m].tobytes(), hi[m].tobytes(), b"", b"", b"", b"")
+        out = [(-1, int(c), row[at[m]].astype(np.int32).tobytes(), lo[m].tobytes(), hi[m].tobytes(), b"", b"", b"", b"", 0, 0, 1)
                for c in np.unique(chunk[at]) for m in [chunk[at] == c]]
         return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out), PIECES)], PIECES)
     return f
 
 
+def block_pairs(pieces: DataFrame) -> DataFrame:
+    """The shipped pieces with their group (bucket, shard, pair): a block goes to its pair with each other block of
+    its gram, so two segments of a gram meet in at least one group; a gram of one block has one group a bucket."""
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("block")) | (F.col("blocks") == 1))
+    rows = pieces.where("bucket >= 0").select("*", F.explode(others).alias("other"))
+    return rows.withColumn("pair", F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other"))
+
+
 def repeated_windows(docs: DataFrame, key: str, text: str, unit: str, window: int, gram: int, earlier: bool, resolve,
                      finish, finish_schema: str) -> DataFrame:
     """``finish(ids, texts, marks)`` of every chunk, where marks has for each row (first, last) arrays of windows
@@ -290,10 +309,10 @@ def repeated_windows(docs: DataFrame, key: str, text: str, unit: str, window: in
     by_chunk = chunks.groupBy("chunk")
     entries = by_chunk.applyInArrow(entry_rows(unit, window, gram, n),
                                     "bucket int, chunk int, gram binary, seg binary, doc binary")
-    flags = entries.groupBy("bucket").applyInArrow(owner_rows(earlier), "chunk int, bucket int, flags binary")
+    flags = entries.groupBy("bucket").applyInArrow(owner_rows(earlier, SHARD_KINDS[unit]), "chunk int, bucket int, flags binary")
     pieces = cut_lineage(by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(
         piece_rows(unit, window, gram, n, earlier), PIECES_DDL))
-    resolved = (pieces.where("bucket >= 0").groupBy("bucket")
+    resolved = (block_pairs(pieces).groupBy("bucket", "shard", "pair")
                 .applyInArrow(resolver_rows(resolve, unit, window), PIECES_DDL))
     marks = pieces.where("bucket < 0").unionAll(resolved).select("chunk", "row", "first", "last")
 
