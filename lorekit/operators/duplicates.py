@@ -1,12 +1,16 @@
 """Exact and near-duplicate detection.
 
 Near duplicates: MinHash over word shingles (native array expressions) and LSH
-band keys. Each row of a band is held against the band's smallest row: they are
-linked if enough of their signatures agree. So a band shared by a third of all
-rows gives one pair a row. Groups are the connected components of the links."""
+band keys. Rows with one signature are one class. Each class of a band is first
+held against the band's smallest: they are linked if enough of their signatures
+agree. Bands that still hold several components are then compared in full, in
+pairs of blocks in memory, so a band shared by a third of all rows never becomes
+its pairs. Groups are the connected components of the links."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,7 @@ PRIME = 2147483647          # 2^31 - 1
 NUM_BANDS, ROWS_PER_BAND = 16, 4
 SHINGLE = 3
 MIN_AGREEMENT = 0.6         # share of equal signature values, an estimate of the Jaccard similarity
+BLOCK, BLOCK_CODE, LOT_ROWS = 2048, 1 << 20, 8192
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,19 +55,71 @@ def minhash_signatures(docs: DataFrame, key: str, text: str, size: int = NUM_BAN
     return sig.select("k", F.array(*[f"m{j}" for j in range(size)]).alias("sig"))
 
 
+def _block_links(least: float, block_code: int):
+    """(a, b) of the rows (k, band, other, block, sig) of a lot: a spanning set of the links within each (band,
+    pair of blocks). Everything it uses is in the closure, so executors need no copy of this module."""
+    def f(table: pa.Table) -> pa.Table:
+        band, other, block = (table[c].to_numpy() for c in ("band", "other", "block"))
+        sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(len(band), -1)
+        order = np.lexsort((other, band))
+        edge = np.flatnonzero(np.append(True, (band[order][1:] != band[order][:-1]) | (other[order][1:] != other[order][:-1])))
+        ends: list = [[], []]
+        for lo, hi in zip(edge, np.append(edge[1:], len(order))):
+            rows = order[lo:hi]
+            x, y = divmod(int(other[rows[0]]), block_code)
+            one, two = np.flatnonzero(block[rows] == x), np.flatnonzero(block[rows] == y)
+            left, right = sig[rows[one]].T, sig[rows[two]].T
+            same = np.zeros((len(one), len(two)), np.int16)
+            for c in range(len(left)):
+                same += left[c][:, None] == right[c][None, :]
+            i, j = np.nonzero(same >= least)
+            i, j = one[i], two[j]
+            root = np.arange(len(rows))
+            while (root[i] != root[j]).any():
+                low = np.minimum(root[i], root[j])
+                top = np.maximum(root[i], root[j])
+                np.minimum.at(root, top, low)
+                while (root[root] != root).any():
+                    root = root[root]
+            hit = np.flatnonzero(root != np.arange(len(rows)))
+            ends[0].append(rows[root[hit]])
+            ends[1].append(rows[hit])
+        keys = table["k"].combine_chunks()
+        return pa.table({n: keys.take(pa.array(np.concatenate([np.zeros(0, np.int64), *e]))) for n, e in zip("ab", ends)})
+    return f
+
+
 def near_links(signatures: DataFrame, bands: int = NUM_BANDS, rows: int = ROWS_PER_BAND,
                min_agreement: float = MIN_AGREEMENT) -> DataFrame:
-    """(a, b): each row b of a band with the band's smallest row a, if at least
-    ``min_agreement`` of their signatures agree. Bands of one row give nothing."""
+    """(a, b): links that connect what pairs of one band with at least ``min_agreement`` of their signatures in
+    agreement connect; links within a component that is known already are left out. Bands of one row give nothing."""
     sigs = cut_lineage(signatures)
+    least = min_agreement * bands * rows
+    classes = cut_lineage(sigs.groupBy("sig").agg(F.min("k").alias("k")))
+    equal = sigs.join(classes.withColumnRenamed("k", "a"), "sig").where("k <> a").select("a", F.col("k").alias("b"))
     keys = F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)) for b in range(bands)])
-    edges = sigs.select("k", F.explode(keys).alias("band"))
+    edges = classes.select("k", F.explode(keys).alias("band"))
     first = edges.groupBy("band").agg(F.min("k").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
-    pairs = edges.join(first, "band").where("k <> a").select("a", F.col("k").alias("b")).distinct()
-    of = lambda c: sigs.select(F.col("k").alias(c), F.col("sig").alias("sig_" + c))
+    edges = cut_lineage(edges.join(first, "band"))
+    pairs = edges.where("k <> a").select("a", F.col("k").alias("b")).distinct()
+    of = lambda c: classes.select(F.col("k").alias(c), F.col("sig").alias("sig_" + c))
     j = pairs.join(of("a"), "a").join(of("b"), "b")
     same = F.size(F.filter(F.arrays_zip("sig_a", "sig_b"), lambda x: x["sig_a"] == x["sig_b"]))
-    return j.where(same >= min_agreement * bands * rows).select("a", "b")
+    links = cut_lineage(equal.unionAll(j.where(same >= least).select("a", "b")))
+
+    rest = edges.join(components(links).withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+    rest = cut_lineage(rest.select("k", "band", "component"))
+    mixed = rest.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
+    m = rest.join(mixed.where("x <> y"), "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    m = m.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    pair = lambda o: F.least("block", o) * F.lit(BLOCK_CODE) + F.greatest("block", o)
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)
+    m = cut_lineage(m.select("k", "band", "block", F.explode(others).alias("other")))
+    lots = max(1, -(-m.count() // LOT_ROWS))
+    m = m.join(classes, "k").withColumn("lot", F.pmod(F.xxhash64("band", "other"), F.lit(lots)))
+    kind = classes.schema["k"].dataType.simpleString()
+    found = m.groupBy("lot").applyInArrow(_block_links(least, BLOCK_CODE), f"a {kind}, b {kind}")
+    return links.unionAll(cut_lineage(found))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
