@@ -1,8 +1,12 @@
+import os
 import random
 import re
+import sys
 
 import pytest
 
+sys.path.append(os.path.dirname(os.path.abspath(__file__)))      # the tests import each other's helpers
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = ("doc_id long, text string, source string, lang string, n_chars long, row string, chunk int, h long, n int, token string, "
           "component string, plan string, bucket int, size string, target string, copies string")
