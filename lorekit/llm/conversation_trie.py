@@ -267,15 +267,15 @@ def conversation_trie(turns: DataFrame, lot_bytes: int = LOT_BYTES) -> DataFrame
 
 #: Rebuilt conversations as lists of turns; each prefix is a list, and a subtree is what starts with it.
 ORACLE = r"""
-WITH codes AS MATERIALIZED (SELECT list_transform(range(256), i -> list_reduce(list_concat([i], range(8)),
-    (a, k) -> xor(a >> 1, (a & 1) * 3988292384))) AS code),
+WITH codes AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda a, k: xor(a >> 1, (a & 1) * 3988292384))) AS code),
 t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
     length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS x,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS w FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT conv_id, list(md5(x) ORDER BY pos) AS xs, list(w ORDER BY pos) AS ws FROM t GROUP BY conv_id),
 h AS (SELECT conv_id, xs, ws, conv_id - conv_id % 20 AS donor, xor(list_reduce(list_concat([4294967295],
-    list_transform(string_split(conv_id::VARCHAR, ''), z -> ascii(z)::BIGINT)),
-    (a, b) -> xor(a >> 8, code[xor(a & 255, b) + 1])), 4294967295) % 4 AS h FROM c, codes),
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda z: ascii(z)::BIGINT)),
+    lambda a, b: xor(a >> 8, code[xor(a & 255, b) + 1])), 4294967295) % 4 AS h FROM c, codes),
 r AS (SELECT h.conv_id, list_concat(coalesce(d.xs[1:h.h], []), h.xs[h.h + 1:]) AS xs, list_concat(coalesce(d.ws[1:h.h], []), h.ws[h.h + 1:]) AS ws
     FROM h LEFT JOIN c d ON d.conv_id = h.donor),
 p AS (SELECT conv_id, d, xs[1:d] AS pre, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w, d = len(xs) AS at_end
