@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorekit.llm import (conversation_trie, line_dedup, ngram_join, quality_classifier, quality_rules, sentencepiece_viterbi, source_mix,
+from lorekit.llm import (conversation_trie, hard_negatives, line_dedup, ngram_join, quality_classifier, quality_rules, sentencepiece_viterbi, source_mix,
                          token_counts)
 from lorekit.llm.embedding_dedup import embedding_links
 from lorekit.llm.substring_dedup import substring_dedup
@@ -57,14 +58,20 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_line_dedup, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_quality_classifier,
-    op7_source_mix, op8_ngram_join, op9_sentencepiece_viterbi, op10_embedding_dedup, op12_conversation_trie)}
+    op7_source_mix, op8_ngram_join, op9_sentencepiece_viterbi, op10_embedding_dedup, op11_hard_negatives,
+    op12_conversation_trie)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 ORACLE = {"op2_line_dedup": line_dedup.ORACLE, "op7_source_mix": source_mix.ORACLE,
-          "op12_conversation_trie": conversation_trie.ORACLE}
+          "op11_hard_negatives": hard_negatives.ORACLE, "op12_conversation_trie": conversation_trie.ORACLE}
