@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekit.llm import (conversation_trie, hard_negatives, line_dedup, ngram_join, quality_classifier, quality_rules, sentencepiece_viterbi, source_mix,
+from lorekit.llm import (conversation_trie, hard_negatives, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, sentencepiece_viterbi, source_mix,
                          token_counts)
 from lorekit.llm.embedding_dedup import embedding_links
 from lorekit.llm.substring_dedup import substring_dedup
@@ -67,10 +67,15 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_line_dedup, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_quality_classifier,
     op7_source_mix, op8_ngram_join, op9_sentencepiece_viterbi, op10_embedding_dedup, op11_hard_negatives,
-    op12_conversation_trie)}
+    op12_conversation_trie, op13_language_id)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 ORACLE = {"op2_line_dedup": line_dedup.ORACLE, "op7_source_mix": source_mix.ORACLE,
