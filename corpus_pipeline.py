@@ -19,14 +19,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their cross-site boilerplate lines."""
-    rows = line_dedup.line_dedup(docs)
+    """Documents without their cross-site boilerplate lines; one that has nothing else goes, as each line has its home."""
+    rows = line_dedup.line_dedup(docs, keep_emptied=False)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; rows without id stay."""
-    return ngram_join.keep_first(docs)
+    """One document of each group of near duplicates (five words, 0.8), the one with the smallest id; rows without id stay."""
+    return ngram_join.keep_first(docs, percent=80, shingle=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
