@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lorekit.functions.text import basename, py_strip
 from lorekit.operators.extract import alias_map_last_wins
+from lorekit.operators.inheritance import given_lists
+from lorekit.operators.inheritance import ordered_distinct_ci as _ordered_distinct_ci
 
 DEFAULT_PROJECT = "shared"
 
@@ -50,13 +52,6 @@ def narrow_by_mention(articles: DataFrame, derived: DataFrame, registry: DataFra
                       .otherwise(F.col("derived")).alias("narrowed"))
 
 
-def _ordered_distinct_ci(arr_col) -> F.Column:
-    """Case-insensitive distinct keeping the first spelling, in order."""
-    return F.aggregate(arr_col, F.array().cast("array<string>"),
-                       lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc)
-                       .otherwise(F.concat(acc, F.array(x))))
-
-
 def inherit_projects(articles: DataFrame, links: DataFrame, donors: DataFrame) -> DataFrame:
     """(slug, inherited): projects of linked donor articles in link order,
     case-insensitive distinct, ``shared`` skipped. Links are read from the body
@@ -106,20 +101,34 @@ def backfill_projects(articles: DataFrame, derived: DataFrame, narrowed: DataFra
 KIND_ORDER = {"concepts": 0, "connections": 1, "qa": 2}
 
 
+def with_projects_field(content: F.Column, projects: F.Column) -> F.Column:
+    """``content`` with ``projects: [a, b]`` as the last line of its frontmatter, in place of any line of that name;
+    a text without frontmatter stays as it is. The items of an old dash list are lines of their own and stay."""
+    end = F.locate("\n---", content, 4)
+    kept = F.filter(F.split(F.substring(content, F.lit(1), end - 1), "\n", -1), lambda line: ~line.startswith("projects:"))
+    field = F.concat(F.lit("projects: ["), F.array_join(projects, ", "), F.lit("]"))
+    new = F.concat(F.array_join(F.concat(kept, F.array(field)), "\n"), F.substring(content, end, F.length(content)))
+    return F.when(content.startswith("---") & (end > 0), new).otherwise(content)
+
+
 def backfill_projects_ordered(articles: DataFrame, narrowed: DataFrame, default: str = DEFAULT_PROJECT) -> DataFrame:
-    """``backfill_projects`` with the reference's full order semantics.
+    """(slug, kind, existing, projects, content): ``backfill_projects`` with the reference's full order semantics and
+    the rewritten article.
 
     Articles are processed concepts, then connections, then qa, each in name
     order; an article that changed becomes a donor for every later article that
-    links to it, so inheritance follows chains. The links to earlier articles form
-    a DAG, which is solved by rounds: each round recomputes every union from the
-    previous round's donors (one join and one aggregate, checkpointed) until no
-    union changes; after round r every article at depth ≤ r is final."""
+    links to it, so inheritance follows chains. What each article hands on comes
+    from ``inheritance.given_lists`` in logarithmically many rounds; one join then
+    gives every union."""
     from lorekit.session import cut_lineage
     kind_ord = F.create_map(*[F.lit(x) for kv in KIND_ORDER.items() for x in kv])
     a = articles.where(F.col("content").startswith("---") & (F.locate("\n---", F.col("content"), 4) > 0))
-    a = a.select("slug", "kind", kind_ord[F.col("kind")].alias("ko"), "projects", "body")
-    base = cut_lineage(a.select("slug", "kind", "ko", "projects").join(narrowed, "slug", "left"))
+    a = a.select("slug", "kind", kind_ord[F.col("kind")].alias("ko"), "projects", "body", "content")
+    empty = F.array().cast("array<string>")
+    existing, lowered = F.coalesce("projects", empty), lambda c: F.transform(c, F.lower)
+    base = a.select("slug", "kind", "ko", "projects").join(narrowed, "slug", "left").select(
+        "slug", "kind", "ko", "projects", existing.alias("e"), lowered(existing).alias("s"), F.coalesce("narrowed", empty).alias("narrowed"))
+    base = cut_lineage(base.withColumn("static", F.col("projects").isNull() | (F.size("e") == 0) | (F.size(F.array_distinct("s")) < F.size("s"))))
     links = (a.select("slug", "ko", F.posexplode(F.regexp_extract_all("body", F.lit(r"\[\[([^\]]+)\]\]"), 1)).alias("pos", "raw"))
              .select("slug", "ko", "pos", py_strip(F.substring_index("raw", "|", 1)).alias("target"))
              .where(~F.col("target").startswith("daily/")))
@@ -127,36 +136,16 @@ def backfill_projects_ordered(articles: DataFrame, narrowed: DataFrame, default:
     # only links to articles processed earlier can donate
     edges = cut_lineage(links.join(tgt, "target")
              .where((F.col("tko") < F.col("ko")) | ((F.col("tko") == F.col("ko")) & (F.col("target") < F.col("slug"))))
-             .select("slug", "pos", "target"))
-
-    empty = F.array().cast("array<string>")
-
-    def unions(inherited: DataFrame | None, only: DataFrame | None = None) -> DataFrame:
-        b = base if inherited is None else base.join(only, "slug", "left_semi").join(inherited, "slug", "left")
-        inh = F.coalesce(F.col("inherited"), empty) if inherited is not None else empty
-        cand = F.when(F.size(inh) > 0, inh).otherwise(F.coalesce("narrowed", empty))
-        u = _ordered_distinct_ci(F.concat(F.coalesce("projects", empty), cand))
-        u = F.when(F.size(u) > 0, u).otherwise(F.array(F.lit(default)))
-        old = F.array_sort(F.transform(F.coalesce("projects", empty), F.lower))
-        changed = F.col("projects").isNull() | (old != F.array_sort(F.transform(u, F.lower)))
-        return b.select("slug", "kind", "projects", u.alias("u"), changed.alias("changed"))
-
-    cur = cut_lineage(unions(None))
-    delta = cur.where("changed").select(F.col("slug").alias("target"))
-    while True:
-        # semi-naive round: only articles linking to something that changed last round are recomputed
-        affected = cut_lineage(edges.join(delta, "target", "left_semi").select("slug").distinct())
-        donors = cur.where("changed").select(F.col("slug").alias("target"), F.posexplode("u").alias("k", "p"))
-        j = (edges.join(affected, "slug", "left_semi").join(donors, "target")
-             .where(F.lower("p") != "shared"))
-        inh = j.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "p"))).alias("s")).select(
-            "slug", _ordered_distinct_ci(F.transform("s", lambda x: x["p"])).alias("inherited"))
-        new = unions(inh, affected)
-        prev = cur.select("slug", F.col("u").alias("pu"), F.col("changed").alias("pc"))
-        chg = cut_lineage(new.join(prev, "slug").where((F.col("u") != F.col("pu")) | (F.col("changed") != F.col("pc")))
-               .select("slug", "kind", "projects", "u", "changed"))
-        if chg.isEmpty():
-            break
-        cur = cut_lineage(cur.join(chg.select("slug"), "slug", "left_anti").unionByName(chg))
-        delta = chg.select(F.col("slug").alias("target"))
-    return cur.where("changed").select("slug", "kind", F.col("projects").alias("existing"), F.col("u").alias("projects"))
+             .groupBy("slug", "target").agg(F.min("pos").alias("pos")))
+
+    donors, _ = given_lists(base.select("slug", "e", "s", "narrowed", "static"), edges)
+    inherited = edges.join(donors.where("gives").select(F.col("slug").alias("target"), "list"), "target").groupBy("slug").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "list"))).alias("given"))
+    b = base.join(inherited, "slug", "left")
+    cand = F.when(F.col("given").isNull(), F.col("narrowed")).otherwise(F.flatten(F.transform("given", lambda x: x["list"])))
+    u = _ordered_distinct_ci(F.concat("e", cand))
+    b = b.withColumn("u", F.when(F.size(u) > 0, u).otherwise(F.array(F.lit(default))))
+    changed = b.where(F.col("projects").isNull() | (F.array_sort("s") != F.array_sort(lowered(F.col("u"))))).select("slug", "kind", "projects", "u")
+    changed = cut_lineage(changed)
+    return changed.join(a.select("slug", "content"), "slug").select(
+        "slug", "kind", F.col("projects").alias("existing"), F.col("u").alias("projects"), with_projects_field(F.col("content"), F.col("u")).alias("content"))

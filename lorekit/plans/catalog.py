@@ -680,10 +680,10 @@ def q_parse_issue_json(spark, sf):
 
 @query("backfill_projects")
 def q_backfill_projects(spark, sf):
-    """The reference's order-dependent rule (chains of inheritance), solved by DAG rounds;
-    the oracle is a recursive CTE, and a test runs the rules by brute force."""
+    """The reference's order-dependent rule (chains of inheritance), solved by pointer jumping, with the rewritten
+    article; the oracle is a recursive CTE, and a test runs the rules by brute force."""
     from lorekit.operators.attribution import backfill_projects_ordered
     v = Vault(spark, sf)
     _, n = _attribution(v)
     b = backfill_projects_ordered(v["articles"], n)
-    return b.select("slug", "kind", *_list_cols("existing"), *_list_cols("projects"))
+    return b.select("slug", "kind", *_list_cols("existing"), *_list_cols("projects"), "content")

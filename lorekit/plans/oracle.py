@@ -1148,6 +1148,9 @@ rounds(r, slug, u, changed, done) AS (
   WHERE NOT w.done
 )
 SELECT o.slug, o.kind, array_to_string(o.projects, ' | ') AS existing_list, CAST(len(o.projects) AS BIGINT) AS n_existing,
-       array_to_string(f.u, ' | ') AS projects_list, CAST(len(f.u) AS BIGINT) AS n_projects
-FROM rounds f JOIN ob o USING (slug)
+       array_to_string(f.u, ' | ') AS projects_list, CAST(len(f.u) AS BIGINT) AS n_projects,
+       array_to_string(list_filter(string_split(substr(a.content, 1, x.at - 1), {NL}), lambda l: NOT starts_with(l, 'projects:')), {NL})
+       || {NL} || 'projects: [' || array_to_string(f.u, ', ') || ']' || substr(a.content, x.at) AS content
+FROM rounds f JOIN ob o USING (slug) JOIN articles a USING (slug),
+     LATERAL (SELECT 3 + strpos(substr(a.content, 4), {NL} || '---') AS at) x
 WHERE f.r = (SELECT max(r) FROM rounds) AND f.changed""")
