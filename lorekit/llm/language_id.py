@@ -81,8 +81,8 @@ def log_table(documents: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
     """{langs, prior, table} from all documents of the learning folds that have a language and a letter. More languages
     mean fewer buckets; more than TABLE / FEWEST distinct ones are no languages and raise an error."""
-    rows = docs.where(learning_fold(F.col(key)) & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), plain(F.col(text)).alias("text"))
-    rows = rows.where(F.col("text").isNotNull())
+    rows = docs.where(learning_fold(F.col(key)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     most = TABLE // FEWEST
     found = rows.groupBy("lang").count().limit(most + 1).collect()
     if len(found) > most:
@@ -93,7 +93,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return {"langs": [], "prior": np.zeros(0), "table": np.zeros((0, FEWEST))}
     buckets = min(BUCKETS, 1 << (TABLE // len(langs)).bit_length() - 1)
     codes = docs.sparkSession.createDataFrame([(x, i) for i, x in enumerate(langs)], "lang string, code int")
-    counted = rows.join(F.broadcast(codes), "lang").select("code", "text").mapInArrow(_counted(len(langs), buckets), "cell int, n long")
+    counted = rows.join(F.broadcast(codes), "lang").select("code", plain(F.col("text")).alias("text")).mapInArrow(_counted(len(langs), buckets), "cell int, n long")
     sums = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(langs) * buckets)
     counts[sums["cell"].to_numpy()] = sums["n"].to_numpy()
