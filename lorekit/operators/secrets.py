@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lorekit.functions.text import SECRET
+from lorekit.session import cut_lineage
 
 # ── Fixed values ──────────────────────────────────────────────────────
 IGNORE_GLOBS = ("plugins/marketplaces/*",)
@@ -57,9 +58,8 @@ def glob_to_regex(glob: str) -> str:
     return "(?s)" + "".join(out)
 
 
-def ignore_findings(findings: DataFrame, globs=IGNORE_GLOBS, root: str = "") -> DataFrame:
-    """Drop findings whose path relative to ``root`` matches any glob; rows without
-    a file are kept. Returns kept rows plus an ``ignored`` flag column set to false."""
+def is_ignored(globs=IGNORE_GLOBS, root: str = "") -> F.Column:
+    """Whether the path of ``file`` relative to ``root`` matches any glob; never for a row without a file."""
     f = F.coalesce(F.col("file"), F.lit(""))
     prefix = root.rstrip("/") + "/" if root else None
     rel = (F.when(F.lit(prefix is not None) & f.startswith(prefix or "\u0000"), F.substring(f, len(prefix or "") + 1, 1 << 30))
@@ -67,7 +67,26 @@ def ignore_findings(findings: DataFrame, globs=IGNORE_GLOBS, root: str = "") ->
     hit = F.lit(False)
     for g in globs:
         hit = hit | rel.rlike(glob_to_regex(g))
-    return findings.where((f == "") | ~hit)
+    return (f != "") & hit
+
+
+def ignore_findings(findings: DataFrame, globs=IGNORE_GLOBS, root: str = "", observation: Observation | None = None) -> DataFrame:
+    """Findings without those whose path relative to ``root`` matches any glob; rows without a file are kept.
+
+    An ``observation`` gets ``n_seen`` and ``n_dropped`` in the pass that reads the kept rows; both can be taken from it
+    once that has run."""
+    hit = is_ignored(globs, root)
+    if observation is not None:
+        findings = findings.observe(observation, F.count(F.lit(1)).alias("n_seen"), F.count_if(hit).alias("n_dropped"))
+    return findings.where(~hit)
+
+
+def ignored_report(findings: DataFrame, globs=IGNORE_GLOBS, root: str = "") -> DataFrame:
+    """The kept findings, each with ``n_dropped``: how many were ignored. Findings are read once; the kept ones are
+    written, and that pass counts the others."""
+    seen = Observation("ignored findings")
+    kept = cut_lineage(ignore_findings(findings, globs, root, seen))
+    return kept.withColumn("n_dropped", F.lit(seen.get["n_dropped"]).cast("long"))
 
 
 def critical_alerts(findings: DataFrame, scan_col: str = "scan", k: int = CRITICAL_SHOWN) -> DataFrame:

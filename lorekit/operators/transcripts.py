@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekit.functions.text import py_strip
+from lorekit.session import path_exists
 
 # ── Fixed values ──────────────────────────────────────────────────────
 MAX_TURNS = 30
@@ -23,12 +24,23 @@ def repair_json(raw) -> F.Column:
 
 
 def scan_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """JSONL transcripts, one file per session: (session_id, seq, line). Files are
-    read whole so that line order is kept; a transcript is bounded by its file."""
-    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    sid = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.jsonl$", "")
-    return raw.select(sid.alias("session_id"),
-                      F.posexplode(F.split("value", "\n", -1)).alias("seq", "line"))
+    """JSONL transcripts, one file per session: (session_id, seq, line), no rows where the path is missing.
+
+    A file is read in byte ranges, so a large one is many tasks. A line's ``seq`` is its number within its range, in
+    the order of the task that reads it, plus the line counts of the file's earlier ranges (a prefix sum over one row
+    a range). Both scans cut and pack the same files alike; a range that does not find its count is an error."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "session_id string, seq int, line string")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("start"),
+        F.spark_partition_id().alias("task"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at"), F.col("value").alias("line"))
+    ranges = lines.groupBy("file", "start", "task").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("file", "start", "task", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    seq = F.coalesce(F.col("shift"), F.raise_error(F.lit("a transcript changed while it was read")).cast("long")) + F.col("at")
+    name = F.url_decode(F.replace(F.col("name"), F.lit("+"), F.lit("%2B")))       # Spark gives it as part of a URI
+    return lines.join(ranges, ["file", "start", "task"], "left").select(
+        F.regexp_replace(name, r"\.jsonl$", "").alias("session_id"), seq.cast("int").alias("seq"), "line")
 
 
 def _is(kind: str, v) -> F.Column:

@@ -274,6 +274,13 @@ def q_ignore_findings(spark, sf):
     return ignore_findings(_findings(Vault(spark, sf)), FINDING_GLOBS)
 
 
+@query("ignored_findings_report")
+def q_ignored_findings_report(spark, sf):
+    """The kept findings with the number of ignored ones, which the same pass observes."""
+    from lorekit.operators.secrets import ignored_report
+    return ignored_report(_findings(Vault(spark, sf)), FINDING_GLOBS)
+
+
 @query("critical_alerts")
 def q_critical_alerts(spark, sf):
     from lorekit.operators.secrets import critical_alerts

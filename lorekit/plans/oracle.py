@@ -556,6 +556,10 @@ SELECT coalesce(severity, 'unknown') AS severity, count(*) AS n FROM findings GR
 oracle("ignore_findings", with_(FINDINGS_CTE) + """
 SELECT * FROM findings WHERE coalesce(file, '') = ''
    OR NOT (regexp_matches(ltrim(file, '/'), '^docs/src1/.*$') OR regexp_matches(ltrim(file, '/'), '^docs/src1./.*$'))""")
+oracle("ignored_findings_report", with_(FINDINGS_CTE) + """,
+g AS (SELECT *, coalesce(file, '') <> '' AND (regexp_matches(ltrim(file, '/'), '^docs/src1/.*$') OR regexp_matches(ltrim(file, '/'), '^docs/src1./.*$')) AS gone
+      FROM findings)
+SELECT * EXCLUDE (gone), (SELECT count(*) FROM g WHERE gone) AS n_dropped FROM g WHERE NOT gone""")
 oracle("critical_alerts", with_(FINDINGS_CTE) + """,
 c AS (SELECT *, regexp_extract(file, '^(docs/[^/]+)/', 1) AS scan,
              row_number() OVER (PARTITION BY regexp_extract(file, '^(docs/[^/]+)/', 1) ORDER BY file, line, hit_pos) AS rank,

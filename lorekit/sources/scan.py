@@ -53,9 +53,10 @@ def _whole_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_observations(spark: SparkSession, path: str) -> DataFrame:
-    """Observation JSONL: bad JSON lines and unparsable ``ts`` are dropped."""
-    raw = spark.read.schema(OBSERVATION_SCHEMA + ", _corrupt string").option(
-        "columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
+    """Observation JSONL: bad JSON lines and unparsable ``ts`` are dropped; a missing path gives no rows."""
+    schema = OBSERVATION_SCHEMA + ", _corrupt string"
+    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path) if path_exists(
+        spark, path) else spark.createDataFrame([], schema)
     ts = F.try_to_timestamp(F.regexp_replace("ts", "Z$", "+00:00"), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
     return (raw.where(F.col("_corrupt").isNull()).withColumn("ts", ts).where(F.col("ts").isNotNull())
             .drop("_corrupt"))
@@ -103,17 +104,19 @@ def scan_build_log(files: DataFrame) -> DataFrame:
 
 
 def scan_findings(spark: SparkSession, path: str) -> DataFrame:
-    """Security scan reports (one JSON document per file): one row per finding."""
-    t = spark.read.text(path, wholetext=True).withColumn("report", F.input_file_name())
+    """Security scan reports (one JSON document per file): one row per finding; a missing path gives no rows."""
+    t = _whole_text(spark, path).withColumn("report", F.input_file_name())
     j = t.select("report", F.from_json("value", f"struct<findings: array<{FINDING}>>").alias("j"))
     return j.select("report", F.posexplode("j.findings").alias("idx", "f")).select("report", "idx", "f.*")
 
 
 def write_issues(issues: DataFrame, path: str, fmt: str = "json") -> None:
-    """Issues as JSON lines or parquet; ``markdown`` takes ``lint_report`` rows and
-    writes them in report order as text part files."""
+    """Issues as JSON lines or parquet; ``document`` writes one JSON document ``{"issues": [...], "count": n}`` and
+    ``markdown`` takes ``lint_report`` rows, both in report order as text part files to be joined in name order."""
     if fmt == "json":
         issues.write.mode("overwrite").json(path)
+    elif fmt == "document":
+        issue_document(issues).orderBy("part", "check_ord", "file", "pos", "rest", "copy").select("line").write.mode("overwrite").text(path)
     elif fmt == "parquet":
         issues.write.mode("overwrite").parquet(path)
     elif fmt == "markdown":
@@ -125,6 +128,27 @@ def write_issues(issues: DataFrame, path: str, fmt: str = "json") -> None:
         raise ValueError(fmt)
 
 
+def issue_document(issues: DataFrame) -> DataFrame:
+    """The lines of ``{"issues": [...], "count": n}`` (part, check_ord, file, pos, rest, copy, line), in document order
+    when sorted by all but the last: a head, one line an issue, a tail. Nothing is collected; the first issue, which
+    alone has no comma before it, and the count are scalars."""
+    from lorekit.operators.lint import CHECK_ORDER
+    order = F.array_position(F.array(*[F.lit(c) for c in CHECK_ORDER]), F.col("check"))
+    body = F.to_json(F.struct("severity", "check", "file", "detail"), {"ignoreNullFields": "false"})
+    i = issues.select(F.coalesce(F.when(order > 0, order), F.lit(len(CHECK_ORDER) + 1)).alias("check_ord"), F.coalesce("file", F.lit("")).alias("file"),
+                      F.coalesce("pos", F.lit(0)).alias("pos"), body.alias("rest"))
+    i = i.groupBy("check_ord", "file", "pos", "rest").agg(F.count(F.lit(1)).alias("n"))
+    key = F.struct("check_ord", "file", "pos", "rest")
+    first, count = i.agg(F.min(key).alias("k")).scalar(), i.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    rows = i.select(F.lit(1).alias("part"), "check_ord", "file", "pos", "rest", F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
+    comma = F.when((key == first) & (F.col("copy") == 1), "").otherwise(",")
+    rows = rows.withColumn("line", F.concat(comma, F.col("rest")))
+    ends = issues.sparkSession.createDataFrame([(0,), (2,)], "part int").select(
+        "part", F.lit(0).cast("long").alias("check_ord"), F.lit("").alias("file"), F.lit(0).alias("pos"), F.lit("").alias("rest"), F.lit(0).cast("long").alias("copy"),
+        F.when(F.col("part") == 0, '{"issues": [').otherwise(F.concat(F.lit('], "count": '), count.cast("string"), F.lit("}"))).alias("line"))
+    return rows.unionByName(ends)
+
+
 def write_version(df: DataFrame, table_root: str, version: int) -> str:
     """Keyed rewrite without MERGE: the new full table goes to its own version
     directory; readers take the highest complete version."""
