@@ -19,15 +19,29 @@ SYNTH_MIN_OBS, SYNTH_WINDOW_HOURS, TAIL_K = 20, 24, 200
 
 # ── Raw hook events (VARIANT) ─────────────────────────────────────────
 
+def _in_document_order(text: F.Column) -> F.Column:
+    """(key, value) entries of a JSON object as text, in the order of the text; null for anything else. A repeated key
+    keeps its first place and takes its last value."""
+    es = F.map_entries(F.from_json(text, "map<string,variant>"))
+    keys = F.transform(es, lambda e: e["key"])
+    last = F.transform(F.array_distinct(keys), lambda k: F.element_at(F.filter(es, lambda e: e["key"] == k), -1))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), last).otherwise(es)
+
+
 def summarize_tool_events(raw: DataFrame, input_col: str = "tool_input") -> DataFrame:
     """input_summary: listed keys first in fixed order (strings cut to 120, numbers
-    and booleans verbatim, lists ``[n items]``), then the other scalar keys in key
-    order cut to 60; joined by spaces, cut to 500, then redacted. A non-object input
-    becomes its text, redacted, cut to 500."""
-    m = F.try_variant_get(F.col(input_col), "$", "map<string,variant>")
+    and booleans verbatim, lists ``[n items]``), then the other scalar keys
+    cut to 60; joined by spaces, cut to 500, then redacted. A non-object input
+    becomes its text, redacted, cut to 500.
+
+    The other keys come in the order of the document where the input is JSON text; a
+    VARIANT has lost that order, so there they come in key order."""
+    c, is_text = F.col(input_col), dict(raw.dtypes)[input_col] == "string"
+    es = _in_document_order(c) if is_text else F.map_entries(F.try_variant_get(c, "$", "map<string,variant>"))
+    value = F.try_parse_json(c) if is_text else c
     # type each entry once; the formatting below only reads the cached type string
-    entries = F.transform(F.map_entries(m), lambda e: F.struct(
-        e["key"].alias("key"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("t")))
+    entries = F.transform(es, lambda e, i: F.struct(
+        e["key"].alias("key"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("t"), i.alias("i")))
     order = F.array(*[F.lit(k) for k in KEY_ORDER])
 
     def scalar_text(v, t, cut):
@@ -46,14 +60,13 @@ def summarize_tool_events(raw: DataFrame, input_col: str = "tool_input") -> Data
                       F.concat(k, F.lit("=["), F.size(F.try_variant_get(v, "$", "array<variant>")).cast("string"),
                                F.lit(" items]")))
                 .when(~listed & is_scalar, F.concat(k, F.lit("="), scalar_text(v, t, OTHER_CUT))))
-        rank = F.when(listed, pos).otherwise(F.lit(len(KEY_ORDER) + 1))
+        rank = F.when(listed, pos - len(KEY_ORDER) - 1).otherwise(e["i"])
         return F.struct(rank.alias("r"), k.alias("k"), text.alias("t"))
 
     parts = F.filter(F.transform(entries, part), lambda p: p["t"].isNotNull())
     joined = F.array_join(F.transform(F.array_sort(parts), lambda p: p["t"]), " ")
-    is_obj = F.schema_of_variant(F.col(input_col)).startswith("OBJECT")
-    summary = F.when(is_obj, redact(F.substring(joined, 1, SUMMARY_CUT))).otherwise(
-        F.substring(redact(F.coalesce(F.try_variant_get(F.col(input_col), "$", "string"), F.lit(""))), 1, SUMMARY_CUT))
+    summary = F.when(es.isNotNull(), redact(F.substring(joined, 1, SUMMARY_CUT))).otherwise(
+        F.substring(redact(F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))), 1, SUMMARY_CUT))
     return raw.withColumn("input_summary", summary)
 
 

@@ -1084,8 +1084,8 @@ SELECT event_id,
   regexp_replace(substr('path=/work/u' || CAST(user_id AS VARCHAR) || ' command='
     || substr(CASE WHEN event_id % 11 = 0 THEN 'export token=abcdefghij'
                    ELSE event_type || ' ' || json_extract_string(props, '$.k') END, 1, 120)
-    || ' pattern=[2 items] flag=' || CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END
-    || ' k=' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS VARCHAR), 1, 500),
+    || ' pattern=[2 items] k=' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS VARCHAR)
+    || ' flag=' || CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END, 1, 500),
     {rx(SECRET)}, '\\1\\2\\3[REDACTED]', 'g') AS input_summary,
   event_type <> 'error' AS success,
   CASE WHEN event_type = 'error' THEN substr('failed k=' || json_extract_string(props, '$.k'), 1, 160) END AS error

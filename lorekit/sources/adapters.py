@@ -341,16 +341,16 @@ def transcript_lines_from_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def hook_events_from_events(events: DataFrame) -> DataFrame:
-    """Raw tool hook payloads: tool_input object (listed and unlisted keys, a list,
-    a boolean, a secret every 11th event) and tool_response (error events fail,
+    """Raw tool hook payloads: tool_input object as JSON text (listed and unlisted keys, a list,
+    a boolean, a secret every 11th event; not in key order) and tool_response (error events fail,
     every 13th other event answers with a bare string)."""
     k = F.get_json_object("props", "$.k")
     cmd = F.when(F.col("event_id") % 11 == 0, F.lit("export token=abcdefghij")).otherwise(
         F.concat(F.col("event_type"), F.lit(" "), k))
     tin = F.to_json(F.struct(cmd.alias("command"), F.concat(F.lit("/work/u"), F.col("user_id").cast("string")).alias("path"),
-                             F.array(F.lit("a"), F.lit("b")).alias("pattern"), (F.col("event_id") % 2 == 0).alias("flag"),
-                             k.cast("int").alias("k")))
+                             F.array(F.lit("a"), F.lit("b")).alias("pattern"), k.cast("int").alias("k"),
+                             (F.col("event_id") % 2 == 0).alias("flag")))
     err = F.col("event_type") == "error"
     tout = F.when(~err & (F.col("event_id") % 13 == 0), F.lit('"ok"')).otherwise(F.to_json(F.struct(
         err.alias("isError"), F.when(err, F.concat(F.lit("failed k="), k)).alias("error"))))
-    return events.select("event_id", F.parse_json(tin).alias("tool_input"), F.parse_json(tout).alias("tool_response"))
+    return events.select("event_id", tin.alias("tool_input"), F.parse_json(tout).alias("tool_response"))

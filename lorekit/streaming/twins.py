@@ -44,7 +44,7 @@ def stream_hook_observations(hooks: DataFrame) -> DataFrame:
     tool_input and tool_response as JSON text): the input is summarised and
     redacted on ``pre`` events, the response classified on ``post`` events, with the
     watermark and ``date`` column of ``stream_observations``."""
-    h = hooks.withColumn("tool_input", F.try_parse_json("tool_input")).withColumn("tool_response", F.try_parse_json("tool_response"))
+    h = hooks.withColumn("tool_response", F.try_parse_json("tool_response"))
     h = classify_tool_results(summarize_tool_events(h))
     pre, post = F.col("event") == "pre", F.col("event") == "post"
     obs = h.select(F.col("ts").cast("timestamp").alias("ts"), "seq", "session_id", "project", "event", "tool",
