@@ -9,6 +9,8 @@ its pairs. Groups are the connected components of the links."""
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,16 +33,18 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return g.where(F.col("n") >= 2)
 
 
-def _coeffs(n: int, seed: int) -> list[tuple[int, int]]:
-    import random
+def coefficients(n: int = NUM_BANDS * ROWS_PER_BAND, seed: int = 7) -> list[tuple[int, int]]:
+    """(a, b) of the hash functions h -> (a h + b) mod PRIME of a signature."""
     rnd = random.Random(seed)
     return [(rnd.randrange(1, PRIME), rnd.randrange(0, PRIME)) for _ in range(n)]
 
 
 def minhash_signatures(docs: DataFrame, key: str, text: str, size: int = NUM_BANDS * ROWS_PER_BAND,
-                       shingle: int = SHINGLE, seed: int = 7) -> DataFrame:
+                       shingle: int = SHINGLE, seed: int = 7, md5_hash: bool = False) -> DataFrame:
     """(k, sig): MinHash signature of the lower-cased word ``shingle``-grams (whole
-    text; texts shorter than a shingle use their whole word list).
+    text; texts shorter than a shingle use their whole word list). With ``md5_hash``
+    shingles are hashed by the first 32 bits of their MD5, which other engines
+    compute too; else by xxhash64, which is faster.
 
     Shingle hashes are exploded to rows and the signature is ``size`` ``min``
     aggregates: codegen'd arithmetic with partial aggregation, and a document's
@@ -49,9 +53,11 @@ def minhash_signatures(docs: DataFrame, key: str, text: str, size: int = NUM_BAN
     d = docs.select(F.col(key).alias("k"), words.alias("w")).where(F.size("w") > 0)
     n = F.greatest(F.size("w") - shingle + 1, F.lit(1))
     sh = d.select("k", F.explode(F.sequence(F.lit(1), n)).alias("i"), "w")
-    sh = sh.select("k", F.pmod(F.xxhash64(F.concat_ws(" ", F.slice("w", F.col("i"), shingle))), F.lit(PRIME)).alias("h"))
+    gram = F.concat_ws(" ", F.slice("w", F.col("i"), shingle))
+    h = F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long") if md5_hash else F.xxhash64(gram)
+    sh = sh.select("k", F.pmod(h, F.lit(PRIME)).alias("h"))
     sig = sh.groupBy("k").agg(*[F.min(F.pmod(F.col("h") * a + b, F.lit(PRIME))).alias(f"m{j}")
-                                for j, (a, b) in enumerate(_coeffs(size, seed))])
+                                for j, (a, b) in enumerate(coefficients(size, seed))])
     return sig.select("k", F.array(*[f"m{j}" for j in range(size)]).alias("sig"))
 
 

@@ -455,6 +455,13 @@ def q_merge_clusters_deleted(spark, sf):
     return deleted.select("key")
 
 
+@query("merged_evidence")
+def q_merged_evidence(spark, sf):
+    from lorekit.operators.instincts import merge_clusters, merged_evidence
+    inst, ev, c = _clusters(Vault(spark, sf))
+    return merged_evidence(ev, *merge_clusters(inst, ev, c))
+
+
 # ── Daily logs ────────────────────────────────────────────────────────
 
 POINTER_AS_OF = "2024-01-31 10:00:00"
@@ -620,7 +627,7 @@ def q_exact_duplicates(spark, sf):
 
 @query("near_duplicate_documents")
 def q_near_duplicate_documents(spark, sf):
-    """Approximate (MinHash LSH) clusters: checked rows-only and by a brute-force test."""
+    """Approximate (MinHash LSH) clusters: checked rows-only and by tests of links and recall."""
     from lorekit.operators.duplicates import near_duplicates
     return near_duplicates(Vault(spark, sf)["documents"])
 
@@ -629,7 +636,8 @@ def q_near_duplicate_documents(spark, sf):
 def q_near_duplicate_instincts(spark, sf):
     from lorekit.operators.duplicates import near_duplicates
     inst, _ = _instincts(Vault(spark, sf))
-    return near_duplicates(inst.select("key", "trigger"), key="key", text="trigger", shingle=2)
+    rows = inst.select("key", F.concat_ws(" ", "trigger", "action").alias("text"))
+    return near_duplicates(rows, key="key", text="text", shingle=2, md5_hash=True)
 
 
 # ── Raw records derived from the tables ───────────────────────────────

@@ -639,7 +639,7 @@ cand AS (
          CASE WHEN (b + day(date)) % 3 = 0 THEN NULL
               ELSE CAST(((b * 13 + day(date) * 7) % 100) / 100 AS DECIMAL(4,2)) END AS confidence,
          'seen ' || CAST(n AS VARCHAR) || ' events' AS evidence, ts, date
-  FROM (SELECT event_type, user_id % 20 AS b, CAST(ts AS DATE) AS date, min(ts) AS ts, count(*) AS n
+  FROM (SELECT event_type, user_id AS b, CAST(ts AS DATE) AS date, min(ts) AS ts, count(*) AS n
         FROM events GROUP BY 1, 2, 3)
 ),
 ck AS (
@@ -666,13 +666,14 @@ inst AS (
   FROM ig
 ),
 cgroups AS (
-  SELECT domain, g3, list(key ORDER BY key) AS keys,
-         row_number() OVER (PARTITION BY domain ORDER BY g3) - 1 AS cluster
-  FROM (SELECT key, domain, CAST(regexp_extract(key, '-(\\d+)$', 1) AS INTEGER) % 3 AS g3 FROM inst)
-  GROUP BY domain, g3
+  SELECT domain, users, g3, list(key ORDER BY key) AS keys,
+         row_number() OVER (PARTITION BY domain, users ORDER BY g3) - 1 AS cluster
+  FROM (SELECT key, domain, CAST(regexp_extract(key, '-(\\d+)$', 1) AS INTEGER) // 20 AS users,
+               CAST(regexp_extract(key, '-(\\d+)$', 1) AS INTEGER) % 3 AS g3 FROM inst)
+  GROUP BY domain, users, g3
 ),
 clusters AS (
-  SELECT domain AS response_id, CAST(cluster AS BIGINT) AS cluster, keys[1] AS canonical_id,
+  SELECT domain || '-' || CAST(users AS VARCHAR) AS response_id, CAST(cluster AS BIGINT) AS cluster, keys[1] AS canonical_id,
          list_concat(CASE WHEN g3 = 1 THEN [keys[1]] ELSE []::VARCHAR[] END, keys[2:],
                      CASE WHEN g3 = 2 THEN ['ghost-' || domain] ELSE []::VARCHAR[] END) AS duplicate_ids,
          CASE WHEN g3 = 0 THEN 'merged ' || domain END AS merged_trigger, NULL::VARCHAR AS merged_action,
@@ -694,8 +695,8 @@ okc AS (
 INST = with_(INSTINCT_CTE)
 
 oracle("parse_yaml_blocks", INST + """
-SELECT strftime(date, '%Y-%m-%d') AS response_id,
-       CAST(row_number() OVER (PARTITION BY date ORDER BY id) - 1 AS BIGINT) AS block,
+SELECT strftime(date, '%Y-%m-%d') || '-u' || split_part(id, '-', -1) AS response_id,
+       CAST(row_number() OVER (PARTITION BY date, split_part(id, '-', -1) ORDER BY id) - 1 AS BIGINT) AS block,
        id, trigger, action, domain, CAST(confidence AS DECIMAL(6,2)) AS confidence, evidence
 FROM cand""")
 oracle("upsert_instincts", INST + """
@@ -753,6 +754,33 @@ JOIN (SELECT m.response_id, m.cluster, max(i.confidence) AS confidence, CAST(sum
       FROM members m JOIN inst i ON i.key = m.key GROUP BY m.response_id, m.cluster) agg USING (response_id, cluster)""")
 oracle("merge_clusters_deleted", INST + """
 SELECT m.key FROM members m JOIN okc o USING (response_id, cluster) WHERE m.m > 0""")
+oracle("merged_evidence", INST + """
+SELECT v.canonical_id AS key, '- ' || strftime(c.date, '%Y-%m-%d') || ': ' || c.note AS line, min(c.ts) AS ts
+FROM valid v JOIN okc o USING (response_id, cluster) JOIN members m USING (response_id, cluster) JOIN ck c ON c.key = m.key GROUP BY ALL""")
+
+
+from lorekit.operators import duplicates as _DUP  # noqa: E402  (fixed sizes and hash coefficients)
+
+
+def _near_duplicates(rows: str, shingle: int) -> str:
+    """Clusters of (k, t) rows: signatures, then the pairs of each band, then components."""
+    coeffs = ", ".join(f"({j}, {a}, {b})" for j, (a, b) in enumerate(_DUP.coefficients()))
+    return f"""WITH RECURSIVE {rows[len('WITH '):]},
+w AS (SELECT k, list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> '') AS w FROM nd),
+sh AS (SELECT DISTINCT k, CAST('0x' || substr(md5(array_to_string(w[i:i + {shingle - 1}], ' ')), 1, 8) AS BIGINT) % {_DUP.PRIME} AS h
+       FROM w, unnest(range(1, greatest(len(w) - {shingle - 1}, 1) + 1)) AS u(i) WHERE len(w) > 0),
+sg AS (SELECT k, j, min((h * a + b) % {_DUP.PRIME}) AS m FROM sh, (VALUES {coeffs}) c(j, a, b) GROUP BY k, j),
+bands AS (SELECT k, j // {_DUP.ROWS_PER_BAND} AS band, list(m ORDER BY j) AS ms FROM sg GROUP BY 1, 2),
+pairs AS (SELECT DISTINCT x.k AS a, y.k AS b FROM bands x JOIN bands y ON x.band = y.band AND x.ms = y.ms AND x.k < y.k),
+lk AS (SELECT a, b FROM pairs p JOIN sg x ON x.k = a JOIN sg y ON y.k = b AND y.j = x.j GROUP BY a, b
+       HAVING count(*) FILTER (WHERE x.m = y.m) >= {_DUP.MIN_AGREEMENT * _DUP.NUM_BANDS * _DUP.ROWS_PER_BAND}),
+ways AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
+reach(k, c) AS (SELECT DISTINCT a, a FROM ways UNION SELECT w.b, r.c FROM reach r JOIN ways w ON w.a = r.k),
+comp AS (SELECT k, min(c) AS cluster FROM reach GROUP BY k)
+SELECT k AS key, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM comp"""
+
+
+oracle("near_duplicate_instincts", _near_duplicates(INST + ", nd AS (SELECT key AS k, trigger || ' ' || action AS t FROM inst)", 2))
 
 
 # ── Daily logs ────────────────────────────────────────────────────────

@@ -205,9 +205,9 @@ def observations_from_events(events: DataFrame) -> DataFrame:
 
 
 def candidates_from_events(events: DataFrame) -> DataFrame:
-    """Instinct proposals, one per (event type, user bucket, day); a third have no
-    confidence, a quarter of the buckets no domain."""
-    b = F.col("user_id") % 20
+    """Instinct proposals, one per (event type, user, day), so their number grows with the events and that of the
+    instincts with the users; a third have no confidence, a quarter of the users no domain."""
+    b = F.col("user_id")
     g = (events.groupBy(F.col("event_type"), b.alias("b"), F.to_date("ts").alias("date"))
          .agg(F.min("ts").alias("ts"), F.count(F.lit(1)).alias("n")))
     day = F.dayofmonth("date")
@@ -264,9 +264,8 @@ def sessions_from_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def proposals_from_candidates(candidates: DataFrame) -> DataFrame:
-    """One model response per day holding a fenced yaml block per proposal (in id
-    order); keys without a value are left out. Bounded: at most one block per
-    (event type, bucket) a day."""
+    """One model response per day and user holding a fenced yaml block per proposal (in id
+    order); keys without a value are left out. Bounded: at most one block per event type."""
     def kv(k, v, quote=False):
         val = F.concat(F.lit('"'), v, F.lit('"')) if quote else v
         return F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), val, F.lit("\n"))).otherwise(F.lit(""))
@@ -275,33 +274,33 @@ def proposals_from_candidates(candidates: DataFrame) -> DataFrame:
         kv("action", F.col("action"), True), kv("domain", F.col("domain")),
         kv("confidence", F.col("confidence").cast("string")), kv("evidence", F.col("evidence"), True),
         F.lit("# end\n```"))
-    g = candidates.groupBy("date").agg(
+    g = candidates.groupBy("date", F.regexp_extract("id", r"-(\d+)$", 1).alias("user")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", block.alias("b")))), lambda x: x["b"]),
                      "\n\n").alias("blocks"))
-    return g.select(F.date_format("date", "yyyy-MM-dd").alias("response_id"),
+    return g.select(F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("-u"), F.col("user")).alias("response_id"),
                     F.concat(F.lit("Patterns found:\n\n"), F.col("blocks"), F.lit("\n")).alias("text"))
 
 
 def cluster_proposals_from_instincts(instincts: DataFrame) -> DataFrame:
-    """One clustering response per domain: members grouped by (domain, bucket mod 3);
+    """One clustering response per domain and twenty users: members grouped by (domain, users, user mod 3);
     canonical = smallest key; group 1 also lists the canonical among its duplicates,
-    group 2 an unknown id. Bounded by the instincts of one domain."""
-    g3 = F.regexp_extract("key", r"-(\d+)$", 1).cast("int") % 3
-    x = instincts.select("key", "domain", g3.alias("g3"))
-    grp = x.groupBy("domain", "g3").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    group 2 an unknown id. Bounded by twenty users' instincts."""
+    user = F.regexp_extract("key", r"-(\d+)$", 1).cast("int")
+    x = instincts.select("key", "domain", F.floor(user / 20).alias("users"), (user % 3).alias("g3"))
+    grp = x.groupBy("domain", "users", "g3").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     canon = F.element_at("keys", 1)
     dups = F.concat(
         F.when(F.col("g3") == 1, F.array(canon)).otherwise(F.array().cast("array<string>")),
         F.slice("keys", 2, 1 << 20),
         F.when(F.col("g3") == 2, F.array(F.concat(F.lit("ghost-"), F.col("domain")))).otherwise(F.array().cast("array<string>")))
-    c = grp.select("domain", "g3", F.struct(
+    c = grp.select("domain", "users", "g3", F.struct(
         canon.alias("canonical_id"), dups.alias("duplicate_ids"),
         F.when(F.col("g3") == 0, F.concat(F.lit("merged "), F.col("domain"))).alias("merged_trigger"),
         F.lit(None).cast("string").alias("merged_action"),
         F.when(F.col("g3") == 0, F.lit("merged")).alias("merged_domain")).alias("c"))
-    r = c.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("g3", "c"))).alias("cs"))
+    r = c.groupBy("domain", "users").agg(F.array_sort(F.collect_list(F.struct("g3", "c"))).alias("cs"))
     body = F.to_json(F.struct(F.transform("cs", lambda s: s["c"]).alias("clusters")))
-    return r.select(F.col("domain").alias("response_id"),
+    return r.select(F.concat("domain", F.lit("-"), F.col("users").cast("string")).alias("response_id"),
                     F.concat(F.lit("Clusters:\n```json\n"), body, F.lit("\n```\nDone.")).alias("text"))
 
 
