@@ -2,11 +2,13 @@
 
 Lines with a word are labelled content or boilerplate from binned counts. The field is trained here by gradient
 ascent on its log-likelihood, on a bounded sample of labelled documents (``SAMPLE`` documents, ``SAMPLE_LINES`` lines
-each): lines of good documents count as content, but for repeated ones; lines of bad documents as boilerplate.
+each, as windows over the whole of a longer one): lines of good documents count as content, but for repeated ones; lines of bad documents as boilerplate.
 A document stays if it passes the base rules and content lines hold at least ``CONTENT_SHARE`` of its words."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from lorekit.llm.text_features import block_counts
 from lorekit.llm.textblocks import text_blocks
 
-SAMPLE, SAMPLE_LINES = 2000, 64
+SAMPLE, SAMPLE_LINES, WINDOW_LINES = 2000, 64, 16
 CONTENT_SHARE = 0.5
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
 CONTENT = 1
@@ -113,6 +115,17 @@ def sample_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, n: int)
     return docs.join(F.broadcast(known), docs[key] == F.col("known_id")).select(docs[text].alias("text"), "quality")
 
 
+def sample_windows(n: int, seed: int) -> list[np.ndarray]:
+    """The lines of a document of n lines to learn from: all of them as one chain, or ``SAMPLE_LINES`` as windows, one
+    in each of as many equal parts of the whole document, at a place given by ``seed``."""
+    if n <= SAMPLE_LINES:
+        return [np.arange(n)]
+    parts = SAMPLE_LINES // WINDOW_LINES
+    edge = np.arange(parts + 1) * n // parts
+    place = np.random.default_rng(seed).integers(0, edge[1:] - edge[:-1] - WINDOW_LINES + 1)
+    return [np.arange(x, x + WINDOW_LINES) for x in edge[:-1] + place]
+
+
 def sample_lines(batches):
     for batch in batches:
         for lo, offsets, raw in text_blocks(batch.column("text")):
@@ -120,11 +133,11 @@ def sample_lines(batches):
             _, lines = block_counts(offsets, raw)
             bins, use = line_bins(lines), lines["words"] > 0
             for i in range(k):
-                at = np.flatnonzero(use & (lines["row"] == i))[:SAMPLE_LINES]
+                own = np.flatnonzero(use & (lines["row"] == i))
                 good = bool(batch.column("quality")[lo + i].as_py())
-                y = (good & ~lines["dup"][at]).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array([bins[at].astype(np.int16).tobytes()], pa.binary()),
-                                                  pa.array([y.tobytes()], pa.binary())], ["bins", "y"])
+                at = [own[w] for w in sample_windows(len(own), zlib.crc32(raw[offsets[i]:offsets[i + 1]]))]
+                yield pa.RecordBatch.from_arrays([pa.array([bins[w].astype(np.int16).tobytes() for w in at], pa.binary()),
+                                                  pa.array([(good & ~lines["dup"][w]).astype(np.int8).tobytes() for w in at], pa.binary())], ["bins", "y"])
 
 
 def train_field(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> dict:

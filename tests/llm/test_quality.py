@@ -106,3 +106,28 @@ def test_empty_tables(spark, tables):
     field, model = Q.train_field(none, labels), C.train(none, labels)
     assert Q.quality_rules(none, field).count() == 0 and C.quality_scores(none, model).count() == 0
     assert C.quality_scores(make(spark, [(1, "a", "s")]), model).first().score == 0.5
+
+
+def test_training_windows_lie_all_over_a_document():
+    assert [w.tolist() for w in Q.sample_windows(40, 1)] == [list(range(40))] and [w.tolist() for w in Q.sample_windows(0, 1)] == [[]]
+    seen = set()
+    for seed in range(300):
+        at = Q.sample_windows(1000, seed)
+        assert len(at) == 4 and all(len(w) == 16 and 250 * i <= w[0] and w[-1] < 250 * (i + 1) for i, w in enumerate(at))
+        seen |= {int(x) for w in at for x in w}
+    assert len(seen) > 950 and {0, 999} & seen
+    assert all(w[-1] < 65 for w in Q.sample_windows(65, 3))
+
+
+def test_scores_are_sums_of_table_entries(tables):
+    """The additive model's score by looking up each feature and pair one after the other."""
+    docs, labels = tables
+    model = C.train(docs, labels)
+    got = {r.doc_id: r.score for r in C.quality_scores(docs, model).collect()}
+    assert model["pairs"] and len(got) == 1000
+    for r in docs.limit(150).collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        x = C.features(C.block_counts(np.array([0, len(raw)]), raw, windows=False)[0])[0]
+        b = [sum(float(v) >= e for e in edges) for v, edges in zip(x, model["edges"])]
+        s = model["base"] + sum(t[i] for t, i in zip(model["tables"], b)) + sum(v[b[i] * 16 // 64][b[j] * 16 // 64] for i, j, v in model["pairs"])
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-s))) < 1e-9
