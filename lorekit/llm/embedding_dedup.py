@@ -19,7 +19,7 @@ from lorekit.session import cut_lineage
 COSINE = 0.93
 TABLES, PROJECTIONS, CELL, SEED = 12, 6, 1.5, 20240917
 BLOCK = 2048                     # classes of a bucket compared with each other at once
-LOT_ROWS = 50_000                # rows of many buckets in one Python call
+LOT_BYTES = 24 << 20             # of the rows of many buckets in one Python call
 
 
 def projections(dim: int, tables: int = TABLES, width: int = PROJECTIONS) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +152,10 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         "class_id", "n", "v", "tab", "bucket_no", "block",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
                               lambda o: F.least("block", o) * wide + F.greatest("block", o))).alias("other"))
-    lots = max(8, -(-classes.count() * TABLES // LOT_ROWS))
+    blocks = F.ceil(F.col("size") / BLOCK)                              # a row goes to each block of its bucket
+    sent = sizes.agg(F.sum(F.col("size") * blocks)).first()[0] or 0
+    width = classes.agg(F.max(F.size("v"))).first()[0] or 0
+    lots = max(8, -(-sent * (8 * width + 64) // LOT_BYTES))
     placed = placed.withColumn("lot", F.pmod(F.xxhash64("bucket_no", "other"), F.lit(lots)))
     found = cut_lineage(placed.groupBy("lot").applyInArrow(lambda table: pair_lots(cosine)(table.drop_columns(["lot"])),
                                                             "class_id long, links long, root long"))
