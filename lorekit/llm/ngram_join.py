@@ -13,6 +13,7 @@ component cannot change it."""
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -31,8 +32,9 @@ MAX_MATCHES = 4
 VERIFY_COST = 20.0               # a verification against a posting read
 SKETCH_BITS, SKETCH_PARTS = 22, 64
 HOT = 64                         # documents behind a prefix token that are compared in blocks
-BLOCK, BLOCK_CODE, COLUMNS = 1024, 1 << 20, 2048
-LOT_ROWS = 4096
+BLOCK, BLOCK_BYTES, COLUMNS = 1024, 8 << 20, 2048
+LEVEL_CODE, BLOCK_CODE = 1 << 20, 1 << 31
+LOT_ROWS, LOT_BYTES = 4096, 24 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
@@ -206,23 +208,43 @@ def block_links(percent: int = PERCENT, shingle: int = SHINGLE):
     return f
 
 
+def block_places(members: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, group, bytes, block, other): every pair of blocks that each member (doc_id, group, n, bytes) belongs to.
+
+    A group is cut by the sets' size n first: sets that are similar enough lie in one level or in two neighbouring ones.
+    A level is cut into blocks of at most ``BLOCK`` members or ``BLOCK_BYTES`` on average, by a hash of the id. Blocks of
+    levels further apart never meet, so a group's work is that of its levels, not the square of the group."""
+    step = math.log(1.001 * 100 / percent)
+    m = cut_lineage(members.withColumn("level", F.floor(F.log("n") / step)))
+    cells = m.groupBy("group", "level").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("sum"))
+    cells = cut_lineage(cells.select("group", "level", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("sum") / BLOCK_BYTES), F.lit(1)).alias("blocks")))
+    near = lambda up: cells.select("group", (F.col("level") - up).alias("level"), F.col("blocks").alias(f"at{up + 1}"))
+    for up in (-1, 0, 1):
+        m = m.join(near(up), ["group", "level"], "left")
+    m = m.withColumn("block", F.col("level") * LEVEL_CODE + F.pmod(F.xxhash64("doc_id"), F.col("at1")))
+
+    def others(up: int):
+        count = F.col(f"at{up + 1}")
+        block = lambda i: (F.col("level") + up) * LEVEL_CODE + i
+        pair = lambda i: F.least("block", block(i)) * F.lit(BLOCK_CODE) + F.greatest("block", block(i))
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), pair)).otherwise(F.array().cast("array<bigint>"))
+    return m.select("doc_id", "group", "bytes", "block", F.explode(F.concat(*[others(up) for up in (-1, 0, 1)])).alias("other"))
+
+
 def hot_links(posts: DataFrame, texts: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
     """Links between documents that share a hot prefix token, as a spanning set.
 
-    Hot tokens that meet in a document form a group, so a document is in one group. A group is cut into blocks by a
-    hash of the id; each pair of blocks is compared in memory, and no pair of documents becomes a row."""
-    tokens = posts.select("token", "doc_id")
-    least = tokens.groupBy("doc_id").agg(F.min("token").alias("a"))
-    groups = components(tokens.join(least, "doc_id").select("a", F.col("token").alias("b")).distinct())
-    members = least.join(groups.select(F.col("node").alias("a"), "component"), "a", "left")
-    members = cut_lineage(members.select("doc_id", F.coalesce("component", "a").alias("group")))
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    m = members.join(sizes, "group").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    m = m.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    pair = lambda o: F.least("block", o) * F.lit(BLOCK_CODE) + F.greatest("block", o)
-    m = cut_lineage(m.select("doc_id", "group", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("other")))
-    lots = max(1, -(-m.count() // LOT_ROWS))
-    m = m.join(texts, "doc_id").withColumn("lot", F.pmod(F.xxhash64("group", "other"), F.lit(lots)))
+    Hot tokens that meet in a document form a group, so a document is in one group. ``block_places`` deals a group's
+    members to pairs of blocks; each pair is compared in memory, and no pair of documents becomes a row. Lots of pairs
+    are sized by the bytes that are sent."""
+    tokens = posts.select("token", "doc_id", "n")
+    least = tokens.groupBy("doc_id").agg(F.min("token").alias("a"), F.min("n").alias("n"))
+    groups = components(tokens.join(least.select("doc_id", "a"), "doc_id").select("a", F.col("token").alias("b")).distinct())
+    members = least.join(groups.select(F.col("node").alias("a"), "component"), "a", "left").join(texts.select("doc_id", "bytes"), "doc_id")
+    m = cut_lineage(block_places(members.select("doc_id", F.coalesce("component", "a").alias("group"), "n", "bytes"), percent))
+    sent, rows = m.agg(F.sum("bytes"), F.count(F.lit(1))).first()
+    lots = max(1, -(-rows // LOT_ROWS), -(-(sent or 0) // LOT_BYTES))
+    m = m.drop("bytes").join(texts.select("doc_id", "text"), "doc_id").withColumn("lot", F.pmod(F.xxhash64("group", "other"), F.lit(lots)))
     return m.groupBy("lot").applyInArrow(lambda table: block_links(percent, shingle)(table.drop_columns(["lot"])), "a long, b long")
 
 
@@ -234,11 +256,12 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int = SH
 
 
 def text_table(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, text) of the wanted ids, bucketed by id, so that joins by id do not shuffle the texts again."""
+    """(doc_id, text, bytes) of the wanted ids, bucketed by id, so that joins by id do not shuffle the texts again."""
     spark = docs.sparkSession
     name = f"lorekit_texts_{uuid.uuid4().hex}"
     path = stage_path(spark, "texts")
     rows = docs.repartition(parts, "doc_id").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    rows = rows.withColumn("bytes", F.octet_length("text").cast("long"))
     rows.write.option("path", path).option("compression", "zstd").bucketBy(parts, "doc_id").format("parquet").saveAsTable(name)
     return spark.table(name)
 

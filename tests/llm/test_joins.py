@@ -137,3 +137,34 @@ def test_blocks_of_a_hot_bucket(spark, monkeypatch):
     rows = [(i, (centre + 0.02 * rng.standard_normal(16)).tolist(), 1) for i in range(90)]
     got = embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(89, 0)}
+
+
+def test_a_hot_group_is_cut_by_size(spark, monkeypatch):
+    """A third of the rows behind one token, of many sizes: few of the block pairs are needed, and none that matters is left out."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rnd = random.Random(3)
+    sizes = [int(10 ** rnd.uniform(1, 4)) for _ in range(600)]
+    members = spark.createDataFrame([(i, i % 3 and i + 10, n, 100) for i, n in enumerate(sizes)], "doc_id long, group long, n long, bytes long")
+    places = ngram_join.block_places(members, 90).collect()
+    assert len([p for p in places if p.group == 0]) < 200 * 13 / 3                  # 13 blocks, each with each, without levels
+    met = {}
+    for p in places:
+        met.setdefault((p.group, p.other), []).append((p.doc_id, p.block))
+    pairs = {(a, b) for rows in met.values() for a, x in rows for b, y in rows if a < b and (x != y or len({z for _, z in rows}) == 1)}
+    hot = range(0, 600, 3)
+    assert all((a, b) in pairs for a in hot for b in hot if a < b and 10 * min(sizes[a], sizes[b]) >= 9 * max(sizes[a], sizes[b]))
+
+
+@pytest.mark.parametrize("block,volume", [(8, 8 << 20), (1024, 20_000)])
+def test_a_template_in_a_third_of_the_documents(spark, monkeypatch, block, volume):
+    """Pages of one long template with few words of their own, cut by count and by bytes: the same as brute force."""
+    monkeypatch.setattr(ngram_join, "HOT", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", volume)
+    template, rnd, rows = prose(77, 300), random.Random(8), []
+    for i in range(150):
+        own = prose(5000 + i, rnd.choice([4, 12, 30, 60, 400]))
+        rows.append((i, f"{template} {own}" if i % 3 == 0 else own, "a"))
+    rows += [(200 + i, rows[3 * i][1] + " more", "b") for i in range(20)]
+    got = sorted(map(tuple, ngram_join.near_components(make(spark, rows)).collect()), key=str)
+    assert got == expected_components(rows)
