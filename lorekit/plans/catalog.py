@@ -702,3 +702,11 @@ def q_backfill_projects(spark, sf):
     _, n = _attribution(v)
     b = backfill_projects_ordered(v["articles"], n)
     return b.select("slug", "kind", *_list_cols("existing"), *_list_cols("projects"), "content")
+
+
+# ── The same through SQL ──────────────────────────────────────────────
+
+from lorekit.plans.views import SQL_QUERIES, run_sql  # noqa: E402
+
+for _name in SQL_QUERIES:
+    query(_name)(run_sql(_name))

@@ -1186,3 +1186,25 @@ SELECT o.slug, o.kind, array_to_string(o.projects, ' | ') AS existing_list, CAST
 FROM rounds f JOIN ob o USING (slug) JOIN articles a USING (slug),
      LATERAL (SELECT 3 + strpos(substr(a.content, 4), {NL} || '---') AS at) x
 WHERE f.r = (SELECT max(r) FROM rounds) AND f.changed""")
+
+
+# ── The queries through SQL views ─────────────────────────────────────
+
+oracle("sql_issue_counts", FULL + f"""
+SELECT severity, "check", count(*) AS n, count(DISTINCT file) AS n_files FROM ({LINT_ALL}) q GROUP BY ALL""")
+oracle("sql_links_to_hubs", FULL + """
+SELECT target AS slug, count(DISTINCT src) FILTER (WHERE src <> target) AS n_inbound, count(*) AS n_mentions, min(src) AS first_src
+FROM links WHERE NOT is_daily AND target IN (SELECT slug FROM articles WHERE kind = 'concepts')
+GROUP BY target HAVING count(DISTINCT src) FILTER (WHERE src <> target) >= 4""")
+oracle("sql_project_sections", FULL2 + """
+SELECT r.canonical AS project, count(*) AS n, count(DISTINCT s.name) AS n_dailies FROM registry r JOIN sections s ON lower(s.project) = lower(r.canonical)
+GROUP BY r.canonical""")
+oracle("sql_session_calls", with_(OBS_CTE) + """
+SELECT o.project, count(DISTINCT o.session_id) AS n_sessions, max(c.tool_call_num) AS most_calls
+FROM obs o JOIN calls c ON c.session_id = o.session_id AND c.seq = o.seq GROUP BY o.project""")
+oracle("sql_turn_sizes", with_(TURNS_CTE) + """
+SELECT role, count(*) AS n, count(DISTINCT session_id) AS n_sessions, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM turns GROUP BY role""")
+oracle("sql_finding_files", with_(FINDINGS_CTE) + """
+SELECT title, coalesce(severity, 'unknown') AS severity, count(DISTINCT file) AS n_files, min(line) AS first_line FROM findings GROUP BY 1, 2""")
+oracle("sql_instinct_domains", INST + """
+SELECT domain, count(*) AS n, max(confidence) AS confidence, CAST(sum(evidence_count) AS BIGINT) AS evidence_count FROM inst GROUP BY domain""")
