@@ -53,11 +53,15 @@ def stream_hook_observations(hooks: DataFrame) -> DataFrame:
     return obs.withWatermark("ts", WATERMARK).withColumn("date", F.to_date("ts"))
 
 
-def sink_observations(obs: DataFrame, path: str, checkpoint: str):
+def sink_observations(obs: DataFrame, path: str, checkpoint: str, rows_per_file: int | None = None):
     """Append to a date-partitioned parquet table (file sink, exactly-once through
-    the checkpoint). Partitions replace the reference's size-based rotation."""
-    return (obs.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-            .partitionBy("date").outputMode("append").trigger(availableNow=True).start(path))
+    the checkpoint), in files of at most ``rows_per_file`` rows. Small files of past
+    days are rotated out by ``archive.archive_observations``."""
+    writer = (obs.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+              .partitionBy("date").outputMode("append").trigger(availableNow=True))
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
+    return writer.start(path)
 
 
 # ── Keyed state: running tool-call counts and compact hints ───────────
