@@ -86,11 +86,12 @@ def render_daily(flushes: DataFrame, tz: str = "UTC", existing: DataFrame | None
 
 
 def latest_daily_pointer(dailies: DataFrame, registry: DataFrame, as_of: str) -> DataFrame:
-    """Per registry project: today's daily if it exists, else yesterday's; the
+    """Per registry project: today's daily (the one named by the date) if it exists, else yesterday's; the
     number of sessions scoped to the project and the last such header."""
     today = F.to_date(F.lit(as_of))
     names = dailies.select("name", F.col("date")).where(
-        (F.col("date") == today) | (F.col("date") == F.date_sub(today, 1)))
+        ((F.col("date") == today) | (F.col("date") == F.date_sub(today, 1)))
+        & (F.col("name") == F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(".md"))))
     pick_name = names.agg(F.max_by("name", "date")).scalar()
     pick_date = names.agg(F.max("date")).scalar()
     chosen = dailies.where(F.col("name") == pick_name)

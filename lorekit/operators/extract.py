@@ -214,13 +214,3 @@ def parse_index_rows(index_rows: DataFrame) -> DataFrame:
     return index_rows.select(
         "name", "pos", "raw", cells.alias("cells"),
         F.when(link != "", F.substring_index(link, "|", 1)).alias("slug"))
-
-
-def build_index(articles: DataFrame) -> DataFrame:
-    """The index file as rows, one per article: | [[slug]] | summary | projects | compiled from | updated |."""
-    summary = F.substring(F.regexp_replace(F.col("body"), r"\s+", " "), 1, 60)
-    projects = F.coalesce(F.array_join("projects", ", "), F.lit("-"))
-    raw = F.concat(F.lit("| [["), F.col("slug"), F.lit("]] | "), py_strip(summary), F.lit(" | "),
-                   projects, F.lit(" | daily | 2024-02-01 |"))
-    pos = F.coalesce(F.regexp_extract("slug", r"(\d+)$", 1).try_cast("long"), F.lit(0).cast("long"))
-    return articles.select(F.lit("index.md").alias("name"), pos.alias("pos"), F.col("slug"), raw.alias("raw"))

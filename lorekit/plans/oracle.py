@@ -146,13 +146,13 @@ sec2 AS (
 
 DAILIES = SECTIONS_SRC + f""",
 dailies AS (
-  SELECT strftime(date, '%Y-%m-%d') || '.md' AS name, date,
+  SELECT strftime(date, '%Y-%m-%d') || CASE WHEN user_id // 50 > 0 THEN '-' || CAST(user_id // 50 AS VARCHAR) ELSE '' END || '.md' AS name, date,
     '# Daily Log: ' || strftime(date, '%d.%m.%Y') || {NL} || {NL} || '## Sessions' || {NL}
     || string_agg(section, '' ORDER BY first_ts, user_id)
     || CASE WHEN day(date) % 10 = 0 THEN {NL} || '### AgentShield Alert (23:59)' || {NL} || {NL}
          || '- **Secret in config** (secrets) — settings.json:3' || {NL} ELSE '' END AS content,
     substr(sha256(CASE WHEN day(date) % 6 = 0 THEN replace(content, chr(10), chr(13) || chr(10)) ELSE content END), 1, 16) AS file_sha16
-  FROM sec2 GROUP BY date
+  FROM sec2 GROUP BY date, user_id // 50
 )"""
 
 STATE = """
@@ -833,7 +833,7 @@ SELECT strftime(ts, '%Y-%m-%d') || '.md', strftime(ts, '%Y-%m-%d %H:%M:%S.%f'),
 FROM f""")
 oracle("latest_daily_pointer", FULL3.replace("dlines AS (\n  SELECT name,", "dlines AS (\n  SELECT name,") + """,
 pick AS (SELECT arg_max(name, date) AS name, max(date) AS date FROM dailies
-         WHERE date IN (DATE '2024-01-31', DATE '2024-01-30')),
+         WHERE date IN (DATE '2024-01-31', DATE '2024-01-30') AND name = strftime(date, '%Y-%m-%d') || '.md'),
 sc AS (SELECT * FROM scoped WHERE name = (SELECT name FROM pick)),
 per AS (SELECT project, count(*) AS n, arg_max(header, pos) AS lh, max(pos) AS lp FROM sc WHERE project IS NOT NULL GROUP BY project),
 uni AS (SELECT count(*) AS n_u, arg_max(header, pos) AS uh, max(pos) AS up FROM sc WHERE project IS NULL)
@@ -976,7 +976,7 @@ oth AS (
   FROM dsc WHERE scope = 'other' HAVING count(*) > 40
 ),
 pick AS (SELECT arg_max(name, date) AS name, max(date) AS date FROM dailies
-         WHERE date IN (DATE '2024-01-31', DATE '2024-01-30')),
+         WHERE date IN (DATE '2024-01-31', DATE '2024-01-30') AND name = strftime(date, '%Y-%m-%d') || '.md'),
 psc AS (SELECT * FROM scoped WHERE name = (SELECT name FROM pick)),
 pper AS (SELECT project, count(*) AS n, arg_max(header, pos) AS lh, max(pos) AS lp FROM psc WHERE project IS NOT NULL GROUP BY project),
 puni AS (SELECT count(*) AS n_u, arg_max(header, pos) AS uh, max(pos) AS up FROM psc WHERE project IS NULL),

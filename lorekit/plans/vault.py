@@ -63,7 +63,7 @@ class Vault(dict):
             "state": lambda: A.state_from_dailies(self["dailies"]),
             "registry": lambda: A.registry_from_sources(self["documents"]),
             "sections": lambda: extract.extract_sections(self["dailies"], self["registry"]),
-            "index_rows": lambda: extract.build_index(self["articles"]),
+            "index_rows": lambda: A.index_from_articles(self["articles"]),
             "sessions": lambda: A.sessions_from_conversations(self["conversations"]),
             "turns": lambda: A.turns_from_conversations(self["conversations"]),
             "observations": lambda: A.observations_from_events(self["events"]),

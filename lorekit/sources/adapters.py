@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekit.functions.text import SECRET, py_lines, sha_hex
+from lorekit.functions.text import SECRET, py_lines, py_strip, sha_hex
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -104,6 +104,9 @@ def _session_tag(u, k, n):
     )
 
 
+USERS_PER_LOG = 50
+
+
 def daily_sections_from_events(events: DataFrame) -> DataFrame:
     """One session section per (date, user): pre-aggregated before any shuffle of text."""
     g = (events.groupBy(F.to_date("ts").alias("date"), F.col("user_id"))
@@ -121,15 +124,15 @@ def daily_sections_from_events(events: DataFrame) -> DataFrame:
 
 
 def dailies_from_events(events: DataFrame) -> DataFrame:
-    """One daily log per date: (name, date, content).
+    """One daily log per date and USERS_PER_LOG users: (name, date, content). The first users' log is named by its date,
+    the others by date and number, so the number of logs grows with the users and a log's text does not.
 
-    A log is one file, so its text is assembled per date from the per-user
-    sections (already aggregated, one short line block per active user). Every
+    A log is one file, so its text is assembled from at most USERS_PER_LOG sections. Every
     10th day ends with an alert heading that carries no project tag. The files of
     every 6th day have CRLF line ends: ``sha16`` is over the raw file, ``content``
     is the text with LF."""
-    s = daily_sections_from_events(events)
-    per_day = s.groupBy("date").agg(
+    s = daily_sections_from_events(events).withColumn("log", F.floor(F.col("user_id") / USERS_PER_LOG))
+    per_day = s.groupBy("date", "log").agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("first_ts", "user_id", "section"))),
             lambda x: x["section"]), "").alias("body"))
@@ -139,8 +142,9 @@ def dailies_from_events(events: DataFrame) -> DataFrame:
                    ).otherwise(F.lit(""))
     text = F.concat(header, F.col("body"), alert)
     raw = F.when(F.dayofmonth("date") % 6 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
+    number = F.when(F.col("log") > 0, F.concat(F.lit("-"), F.col("log").cast("string"))).otherwise(F.lit(""))
     return per_day.select(
-        F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(".md")).alias("name"),
+        F.concat(F.date_format("date", "yyyy-MM-dd"), number, F.lit(".md")).alias("name"),
         F.col("date"),
         text.alias("content"),
         F.substring(F.sha2(raw, 256), 1, 16).alias("sha16"),
@@ -353,3 +357,13 @@ def hook_events_from_events(events: DataFrame) -> DataFrame:
     tout = F.when(~err & (F.col("event_id") % 13 == 0), F.lit('"ok"')).otherwise(F.to_json(F.struct(
         err.alias("isError"), F.when(err, F.concat(F.lit("failed k="), k)).alias("error"))))
     return events.select("event_id", tin.alias("tool_input"), F.parse_json(tout).alias("tool_response"))
+
+
+def index_from_articles(articles: DataFrame) -> DataFrame:
+    """A stand-in index file as rows, one per article: | [[slug]] | summary | projects | compiled from | updated |."""
+    summary = F.substring(F.regexp_replace(F.col("body"), r"\s+", " "), 1, 60)
+    projects = F.coalesce(F.array_join("projects", ", "), F.lit("-"))
+    raw = F.concat(F.lit("| [["), F.col("slug"), F.lit("]] | "), py_strip(summary), F.lit(" | "),
+                   projects, F.lit(" | daily | 2024-02-01 |"))
+    pos = F.coalesce(F.regexp_extract("slug", r"(\d+)$", 1).try_cast("long"), F.lit(0).cast("long"))
+    return articles.select(F.lit("index.md").alias("name"), pos.alias("pos"), F.col("slug"), raw.alias("raw"))

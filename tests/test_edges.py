@@ -118,7 +118,7 @@ def test_missing_layers_and_files_give_no_rows(spark, tmp_dir):
 
 
 def test_slugs_without_a_number(spark):
-    from lorekit.operators.extract import build_index
+    from lorekit.sources.adapters import index_from_articles as build_index
     a = spark.createDataFrame([("concepts/plain", "text", ["A"])], "slug string, body string, projects array<string>")
     assert build_index(a).count() == 1
 
