@@ -704,6 +704,56 @@ def q_backfill_projects(spark, sf):
     return b.select("slug", "kind", *_list_cols("existing"), *_list_cols("projects"), "content")
 
 
+# ── Parsers of raw texts ──────────────────────────────────────────────
+
+@query("repair_json")
+def q_repair_json(spark, sf):
+    """Hook payloads, some with lone backslashes, some no JSON at all."""
+    from lorekit.operators.transcripts import repair_json
+    from lorekit.sources.adapters import broken_payloads_from_events
+    v = broken_payloads_from_events(Vault(spark, sf)["events"]).withColumn("v", repair_json("payload"))
+    return v.select("event_id", F.try_variant_get("v", "$.path", "string").alias("path"), F.try_variant_get("v", "$.k", "bigint").alias("k"))
+
+
+@query("extract_evidence")
+def q_extract_evidence(spark, sf):
+    from lorekit.operators.instincts import extract_evidence
+    from lorekit.sources.adapters import evidence_files_from_instincts
+    _, ev = _instincts(Vault(spark, sf))
+    return extract_evidence(evidence_files_from_instincts(ev)).select("key", F.col("pos").cast("bigint").alias("pos"), "line")
+
+
+@query("parse_registry")
+def q_parse_registry(spark, sf):
+    from lorekit.sources.adapters import registry_texts
+    from lorekit.sources.scan import parse_registry
+    r = parse_registry(registry_texts(Vault(spark, sf)["registry"]))
+    return r.select("team", "ord", "id", "name", "canonical", *_list_cols("aliases"), "root", "remote")
+
+
+@query("parse_compile_state")
+def q_parse_compile_state(spark, sf):
+    from lorekit.sources.adapters import state_texts
+    from lorekit.sources.scan import parse_compile_state
+    return parse_compile_state(state_texts(Vault(spark, sf)["state"]))
+
+
+@query("parse_findings")
+def q_parse_findings(spark, sf):
+    from lorekit.sources.adapters import finding_reports
+    from lorekit.sources.scan import parse_findings
+    f = parse_findings(finding_reports(_findings(Vault(spark, sf))))
+    return f.withColumn("idx", F.col("idx").cast("bigint"))
+
+
+@query("scan_build_log")
+def q_scan_build_log(spark, sf):
+    from lorekit.sources.adapters import build_logs_from_answers, qa_from_conversations
+    from lorekit.sources.scan import scan_build_log
+    b = scan_build_log(build_logs_from_answers(qa_from_conversations(Vault(spark, sf)["conversations"])))
+    return b.select("name", F.col("pos").cast("bigint").alias("pos"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "op", "description", *_list_cols("details"))
+
+
 # ── The same through SQL ──────────────────────────────────────────────
 
 from lorekit.plans.views import SQL_QUERIES, run_sql  # noqa: E402

@@ -1208,3 +1208,26 @@ oracle("sql_finding_files", with_(FINDINGS_CTE) + """
 SELECT title, coalesce(severity, 'unknown') AS severity, count(DISTINCT file) AS n_files, min(line) AS first_line FROM findings GROUP BY 1, 2""")
 oracle("sql_instinct_domains", INST + """
 SELECT domain, count(*) AS n, max(confidence) AS confidence, CAST(sum(evidence_count) AS BIGINT) AS evidence_count FROM inst GROUP BY domain""")
+
+
+# ── Parsers of raw texts: what was put into the texts ─────────────────
+
+oracle("repair_json", r"""
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'C:\' || event_type || '\' || json_extract_string(props, '$.k')
+                      ELSE '/x/' || event_type END AS path,
+       CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events""")
+oracle("extract_evidence", INST + """
+SELECT key, 3 + row_number() OVER (PARTITION BY key ORDER BY line) AS pos, line
+FROM (SELECT DISTINCT key, '- ' || strftime(date, '%Y-%m-%d') || ': ' || note AS line FROM ck)""")
+oracle("parse_registry", VAULT + """
+SELECT CAST(ord // 4 AS BIGINT) AS team, CAST(row_number() OVER (PARTITION BY ord // 4 ORDER BY ord) - 1 AS INTEGER) AS ord, id, name, canonical,
+       array_to_string(aliases, ' | ') AS aliases_list, CAST(len(aliases) AS BIGINT) AS n_aliases, root, remote FROM registry""")
+oracle("parse_compile_state", VAULT + """
+SELECT substr(name, 1, 10) AS day, name, hash, CASE WHEN hash IS NOT NULL THEN '2024-02-01T00:00:00 ' || name END AS compiled_at FROM state""")
+oracle("parse_findings", with_(FINDINGS_CTE) + """
+SELECT file AS report, row_number() OVER (PARTITION BY file ORDER BY hit_pos) - 1 AS idx, file, CAST(line AS INTEGER) AS line, title, category, severity
+FROM findings""")
+oracle("scan_build_log", with_(QA_CTE) + """
+SELECT 'log-' || CAST(conv_id // 10 AS VARCHAR) || '.md' AS name, 5 * row_number() OVER (PARTITION BY conv_id // 10 ORDER BY ts, conv_id) - 3 AS pos,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 'query' AS op, 'question of ' || CAST(conv_id AS VARCHAR) AS description,
+       'Chars: ' || CAST(length(answer) AS VARCHAR) || ' | Filed' AS details_list, CAST(2 AS BIGINT) AS n_details FROM qa""")

@@ -367,3 +367,55 @@ def index_from_articles(articles: DataFrame) -> DataFrame:
                    projects, F.lit(" | daily | 2024-02-01 |"))
     pos = F.coalesce(F.regexp_extract("slug", r"(\d+)$", 1).try_cast("long"), F.lit(0).cast("long"))
     return articles.select(F.lit("index.md").alias("name"), pos.alias("pos"), F.col("slug"), raw.alias("raw"))
+
+
+# ── Raw texts of the parsers ──────────────────────────────────────────
+
+def broken_payloads_from_events(events: DataFrame) -> DataFrame:
+    """Hook payloads as JSON text: every second has a Windows path with lone backslashes, every seventh is no JSON."""
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k")
+    path = F.concat(F.lit("C:" + "\\"), F.col("event_type"), F.lit("\\"), k)
+    good = F.concat(F.lit('{"path": "/x/'), F.col("event_type"), F.lit('", "k": '), k, F.lit("}"))
+    bad = F.concat(F.lit('{"path": "'), path, F.lit('", "k": '), k, F.lit("}"))
+    return events.select("event_id", F.when(i % 7 == 0, F.concat(F.lit("not json "), k)).when(i % 2 == 0, bad).otherwise(good).alias("payload"))
+
+
+def evidence_files_from_instincts(evidence: DataFrame) -> DataFrame:
+    """Instinct files with their evidence lines (indented every other day of the month, the first one repeated)."""
+    day = F.substring("line", 11, 2).cast("int")
+    line = F.concat(F.when(day % 2 == 0, F.lit("  ")).otherwise(F.lit("")), F.col("line"))
+    g = evidence.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", line.alias("shown")))).alias("ls"))
+    shown = F.transform("ls", lambda x: x["shown"])
+    return g.select("key", F.concat(F.lit("# "), F.col("key"), F.lit("\n\n## Evidence\n\n"), F.array_join(F.concat(shown, F.slice(shown, 1, 1)), "\n"), F.lit("\n")).alias("content"))
+
+
+def registry_texts(registry: DataFrame) -> DataFrame:
+    """Registry files (team, value), one per four entries, keyed by id in the order of ``ord``; without null fields."""
+    entry = F.struct("id", "name", "canonical", "aliases", "root", "remote")
+    g = registry.groupBy(F.floor(F.col("ord") / 4).alias("team")).agg(F.array_sort(F.collect_list(F.struct("ord", "id", F.to_json(entry).alias("e")))).alias("es"))
+    items = F.transform("es", lambda x: F.concat(F.lit('"'), x["id"], F.lit('": '), x["e"]))
+    return g.select(F.col("team").cast("long").alias("team"), F.concat(F.lit("{"), F.array_join(items, ", "), F.lit("}")).alias("value"))
+
+
+def state_texts(state: DataFrame) -> DataFrame:
+    """Compile-state files (day, value), one per day; a record without a hash is a bare string."""
+    record = F.when(F.col("hash").isNull(), F.lit('"pending"')).otherwise(F.to_json(F.struct("hash", F.concat(F.lit("2024-02-01T00:00:00 "), "name").alias("compiled_at"))))
+    item = F.concat(F.lit('"'), F.col("name"), F.lit('": '), record)
+    g = state.groupBy(F.substring("name", 1, 10).alias("day")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return g.select("day", F.concat(F.lit('{"ingested": {'), F.array_join("items", ", "), F.lit("}}")).alias("value"))
+
+
+def finding_reports(findings: DataFrame) -> DataFrame:
+    """Security reports (report, value), one per file of findings, in the order of the hits; without null fields."""
+    f = F.struct("file", F.col("line").cast("int").alias("line"), "title", "category", "severity")
+    g = findings.groupBy(F.col("file").alias("report")).agg(F.array_sort(F.collect_list(F.struct("hit_pos", F.to_json(f).alias("j")))).alias("js"))
+    return g.select("report", F.concat(F.lit('{"findings": ['), F.array_join(F.transform("js", lambda x: x["j"]), ", "), F.lit("]}")).alias("value"))
+
+
+def build_logs_from_answers(qa: DataFrame) -> DataFrame:
+    """Build-log files (name, content): an entry per answered question, a file per ten sessions."""
+    entry = F.concat(F.lit("## ["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("] query | question of "), F.col("conv_id").cast("string"),
+                     F.lit("\n- Chars: "), F.length("answer").cast("string"), F.lit("\n- Filed\nno detail\n"))
+    g = qa.groupBy(F.floor(F.col("conv_id") / 10).alias("log")).agg(F.array_sort(F.collect_list(F.struct("ts", "conv_id", entry.alias("e")))).alias("es"))
+    return g.select(F.concat(F.lit("log-"), F.col("log").cast("string"), F.lit(".md")).alias("name"),
+                    F.concat(F.lit("# Build Log\n\n"), F.array_join(F.transform("es", lambda x: x["e"]), "\n")).alias("content"))

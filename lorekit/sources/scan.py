@@ -63,24 +63,35 @@ def scan_observations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The registry JSON object keyed by id, as rows in file order (``ord``);
-    a missing or malformed file gives no rows."""
-    t = _whole_text(spark, path)
+    """``parse_registry`` of a file; a missing one gives no rows."""
+    return parse_registry(_whole_text(spark, path))
+
+
+def parse_registry(texts: DataFrame) -> DataFrame:
+    """The registry JSON object keyed by id (column ``value``), as rows in the order of the text (``ord``), with the
+    other columns; a malformed text gives no rows."""
+    rest = [c for c in texts.columns if c != "value"]
     m = F.from_json("value", f"map<string,{REGISTRY_ENTRY}>")
-    e = t.select(F.posexplode(F.map_entries(m)).alias("ord", "e"))
-    return e.select(F.col("ord").cast("int").alias("ord"), F.coalesce("e.value.id", "e.key").alias("id"),
+    e = texts.select(*rest, F.posexplode(F.map_entries(m)).alias("ord", "e"))
+    return e.select(*rest, F.col("ord").cast("int").alias("ord"), F.coalesce("e.value.id", "e.key").alias("id"),
                     "e.value.name", "e.value.canonical", "e.value.aliases", "e.value.root", "e.value.remote",
                     "e.value.auto_registered", "e.value.notes")
 
 
 def scan_compile_state(spark: SparkSession, path: str) -> DataFrame:
-    """``ingested`` records of the compile state, none if the file is missing: (name, hash NULL when the record
+    """``parse_compile_state`` of a file; a missing one gives no rows."""
+    return parse_compile_state(_whole_text(spark, path))
+
+
+def parse_compile_state(texts: DataFrame) -> DataFrame:
+    """``ingested`` records of compile states (column ``value``), with the other columns: (name, hash NULL when the record
     is not an object or has none, compiled_at)."""
-    t = _whole_text(spark, path).select(F.try_parse_json("value").alias("v"))
+    rest = [c for c in texts.columns if c != "value"]
+    t = texts.select(*rest, F.try_parse_json("value").alias("v"))
     m = F.try_variant_get("v", "$.ingested", "map<string,variant>")
-    e = t.select(F.explode(m).alias("name", "r"))
+    e = t.select(*rest, F.explode(m).alias("name", "r"))
     is_obj = F.schema_of_variant("r").startswith("OBJECT")
-    return e.select("name", F.when(is_obj, F.try_variant_get("r", "$.hash", "string")).alias("hash"),
+    return e.select(*rest, "name", F.when(is_obj, F.try_variant_get("r", "$.hash", "string")).alias("hash"),
                     F.when(is_obj, F.try_variant_get("r", "$.compiled_at", "string")).alias("compiled_at"))
 
 
@@ -105,8 +116,12 @@ def scan_build_log(files: DataFrame) -> DataFrame:
 
 def scan_findings(spark: SparkSession, path: str) -> DataFrame:
     """Security scan reports (one JSON document per file): one row per finding; a missing path gives no rows."""
-    t = _whole_text(spark, path).withColumn("report", F.input_file_name())
-    j = t.select("report", F.from_json("value", f"struct<findings: array<{FINDING}>>").alias("j"))
+    return parse_findings(_whole_text(spark, path).withColumn("report", F.input_file_name()))
+
+
+def parse_findings(reports: DataFrame) -> DataFrame:
+    """One row per finding of each report (report, value): (report, idx, file, line, title, category, severity)."""
+    j = reports.select("report", F.from_json("value", f"struct<findings: array<{FINDING}>>").alias("j"))
     return j.select("report", F.posexplode("j.findings").alias("idx", "f")).select("report", "idx", "f.*")
 
 
