@@ -112,3 +112,34 @@ def test_run_and_registration(spark, stages):
     assert Counter((r.doc_id, r.n_tokens) for r in got.collect()) == Counter((r.doc_id, r.n_tokens) for r in stages[-1][1].collect())
     names = [n for n in entry.queries() if n == "pipeline" or n.startswith("op") and n[2:3].isdigit()]
     assert len(names) == 14 and {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
+
+
+def stage_by_stage(spark, folder, rows, labels):
+    """Rows after each stage over documents of their own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(d, t, None, s, None if t is None else len(t)) for d, t, s in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs, out = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, folder).write.parquet(f"{folder}/stage{i}")
+        docs = spark.read.parquet(f"{folder}/stage{i}")
+        out.append(docs)
+    return out
+
+
+def test_empty_documents(spark, tmp_path):
+    assert [d.count() for d in stage_by_stage(spark, str(tmp_path), [], [])] == [0] * 5
+
+
+def test_messy_documents(spark, tmp_path, messy_rows):
+    """Nothing is learned from no labels, so no document goes for its quality; null ids, texts and sources go through."""
+    out = stage_by_stage(spark, str(tmp_path), messy_rows, [])
+    assert Counter(rows(out[0])) == Counter(messy_rows)
+    bad = boilerplate(messy_rows)
+    cut = [(d, t if t is None else "\n".join(x for x in t.split("\n") if bad.get(x, d) == d), s) for d, t, s in messy_rows]
+    assert Counter(rows(out[1])) == Counter(r for r, (_, t, _) in zip(cut, messy_rows) if r[1] == t or words(r[1]))
+    first = firsts([r for r in rows(out[1]) if r[0] is not None])
+    assert Counter(rows(out[2])) == Counter(r for r in rows(out[1]) if r[0] is None or r[0] in first)
+    texts = Counter(r[1] or "" for r in rows(out[3]))
+    got = out[4].collect()
+    assert len(got) == sum(texts.values()) and all(r.round_trip for r in got)
