@@ -26,10 +26,10 @@ SCALE = 256
 POSITIVES, NEGATIVES = 5, 3
 SAMPLE = 20_000                  # rows that the codebooks are fitted on
 CENTROIDS = 64                   # of a half at most, so a directory has 4,096 cells at most
-LOT_ROWS = 4096
+LOT_ROWS, SCORED = 4096, 512      # rows of a lot; rows of visited cells that are scored at once
 TASKS = 10_000
 SEED, LLOYD = 7, 8
-LOW, HIGH = -(1 << 63), (1 << 63) - 1
+LOW, HIGH = -(1 << 63) + 1, (1 << 63) - 1
 ROW = "uid long, vec_id long, label string, v array<double>"
 WINS = "wins array<struct<no: int, lo: long, hi: long, known: long>>"
 VISIT_NAMES = ["lot", "kind", "uid", "vec_id", "label", "v", "cell", "r1", "r2", "wins"]
@@ -193,31 +193,40 @@ class Lot:
         best = [[] for _ in wins]
         least = [max(w["lo"], w["known"]) for w in wins]
         widest = max(w["hi"] for w in wins)
-        heap = [(-(s1[0] + s2[0]), 0, 0)]
-        while heap:
-            bound, a, b = heapq.heappop(heap)
-            if -bound + slack < min(least):
-                break                                      # every window is certified
+
+        def score(spans: list[tuple[int, int]]) -> None:
+            own = np.concatenate([np.arange(lo, hi) for lo, hi in spans])
+            own = own[(self.code[own] == code) == same]
+            scores = products(self.x[own], q)
+            for n, w in enumerate(wins):
+                fits = np.flatnonzero((scores >= least[n]) & (scores <= w["hi"]))
+                if same:
+                    fits = fits[self.uid[own[fits]] != uid]
+                if len(fits):
+                    at, s = own[fits], scores[fits]
+                    first = np.lexsort((self.uid[at], self.vec_id[at], -s))[:k]
+                    best[n] = sorted([*best[n], *zip((-s[first]).tolist(), self.vec_id[at[first]].tolist(), self.uid[at[first]].tolist())])[:k]
+                    if len(best[n]) == k:
+                        least[n] = max(least[n], -best[n][-1][0])
+
+        heap, spans, size = [(-(s1[0] + s2[0]), 0, 0)], [], 0
+        while heap or spans:
+            certified = not heap or -heap[0][0] + slack < min(least)       # no cell to come can enter a window
+            if spans and (certified or size >= SCORED):
+                score(spans)
+                spans, size = [], 0
+                continue
+            if certified:
+                break
+            _, a, b = heapq.heappop(heap)
             if b + 1 < len(s2):
                 heapq.heappush(heap, (-(s1[a] + s2[b + 1]), a, b + 1))
             if b == 0 and a + 1 < len(s1):
                 heapq.heappush(heap, (-(s1[a + 1] + s2[0]), a + 1, 0))
             span = self.rows.get(i[a] * k2 + j[b])
-            if span is None or l1[a] + l2[b] - slack > widest:
-                continue
-            lo, hi = span
-            own = np.flatnonzero((self.code[lo:hi] == code) == same) + lo
-            score = products(self.x[own], q)
-            for n, w in enumerate(wins):
-                fits = np.flatnonzero((score >= least[n]) & (score <= w["hi"]))
-                if same:
-                    fits = fits[self.uid[own[fits]] != uid]
-                if not len(fits):
-                    continue
-                at, s = own[fits], score[fits]
-                best[n] = sorted([*best[n], *zip([-y for y in s.tolist()], self.vec_id[at].tolist(), self.uid[at].tolist())])[:k]
-                if len(best[n]) == k:
-                    least[n] = max(least[n], -best[n][-1][0])
+            if span is not None and l1[a] + l2[b] - slack <= widest:
+                spans.append(span)
+                size += span[1] - span[0]
         return best
 
 
