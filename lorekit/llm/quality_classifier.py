@@ -21,6 +21,7 @@ SAMPLE = 20_000
 BINS, COARSE, LEAVES = 64, 16, 4
 ROUNDS, PAIR_ROUNDS, RATE, PAIRS = 120, 40, 0.15, 6
 SMOOTH = 1.0
+KEEP_BYTES = 1 << 20             # of text at once where rows are passed on whole; a worker keeps what it once took
 FEATURES = ("words", "word_length", "symbols", "digits", "upper", "stops", "marks", "wide", "dup_lines", "line_words",
             "stutter", "distinct", "spaces")
 
@@ -150,7 +151,7 @@ def keep_good(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model accepts, with the columns of ``docs``."""
     def f(batches):
         for batch in batches:
-            good = [score(model, features(block_counts(o, raw, windows=False)[0])) >= 0.5 for _, o, raw in text_blocks(batch.column(text))]
+            good = [score(model, features(block_counts(o, raw, windows=False)[0])) >= 0.5 for _, o, raw in text_blocks(batch.column(text), KEEP_BYTES)]
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
     return docs.mapInArrow(f, docs.schema)
