@@ -60,10 +60,12 @@ def inherit_projects(articles: DataFrame, links: DataFrame, donors: DataFrame) -
                                   .alias("pos", "raw"))
                   .select("slug", "pos", py_strip(F.substring_index("raw", "|", 1)).alias("target"))
                   .where(~F.col("target").startswith("daily/")))
-    d = donors.select(F.col("slug").alias("target"), F.posexplode("projects").alias("k", "p"))
-    j = body_links.join(d, "target").where(F.lower("p") != "shared")
-    g = j.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "p"))).alias("s"))
-    return g.select("slug", _ordered_distinct_ci(F.transform("s", lambda x: x["p"])).alias("inherited"))
+    # lists stay whole in the joins, and no side is broadcast: a list that repeats is small on disk and large in memory
+    d = donors.select(F.col("slug").alias("target"), "projects").where(F.size("projects") > 0)
+    g = body_links.join(d.hint("merge"), "target").groupBy("slug").agg(F.collect_list(F.struct("pos", "projects")).alias("given"))
+    placed = F.flatten(F.transform("given", lambda x: F.transform(x["projects"], lambda p, k: F.struct(x["pos"], k.alias("k"), p.alias("p")))))
+    in_order = F.transform(F.array_sort(F.filter(placed, lambda x: F.lower(x["p"]) != "shared")), lambda x: x["p"])
+    return g.select("slug", _ordered_distinct_ci(in_order).alias("inherited")).where(F.size("inherited") > 0)
 
 
 def backfill_projects(articles: DataFrame, derived: DataFrame, narrowed: DataFrame, links: DataFrame,
@@ -76,7 +78,7 @@ def backfill_projects(articles: DataFrame, derived: DataFrame, narrowed: DataFra
     no inherited projects; connections and qa inherit from changed concepts (the
     reference processes concepts first, so those are the donors it can see)."""
     a = articles.where(F.col("content").startswith("---") & (F.locate("\n---", F.col("content"), 4) > 0))
-    base = a.select("slug", "kind", "projects").join(narrowed, "slug", "left")
+    base = a.select("slug", "kind", "projects").join(narrowed.hint("merge"), "slug", "left")
 
     def union(inh):
         cand = F.when(F.size(F.coalesce(inh, F.array().cast("array<string>"))) > 0, inh).otherwise(
@@ -126,7 +128,7 @@ def backfill_projects_ordered(articles: DataFrame, narrowed: DataFrame, default:
     a = a.select("slug", "kind", kind_ord[F.col("kind")].alias("ko"), "projects", "body", "content")
     empty = F.array().cast("array<string>")
     existing, lowered = F.coalesce("projects", empty), lambda c: F.transform(c, F.lower)
-    base = a.select("slug", "kind", "ko", "projects").join(narrowed, "slug", "left").select(
+    base = a.select("slug", "kind", "ko", "projects").join(narrowed.hint("merge"), "slug", "left").select(
         "slug", "kind", "ko", "projects", existing.alias("e"), lowered(existing).alias("s"), F.coalesce("narrowed", empty).alias("narrowed"))
     base = cut_lineage(base.withColumn("static", F.col("projects").isNull() | (F.size("e") == 0) | (F.size(F.array_distinct("s")) < F.size("s"))))
     links = (a.select("slug", "ko", F.posexplode(F.regexp_extract_all("body", F.lit(r"\[\[([^\]]+)\]\]"), 1)).alias("pos", "raw"))

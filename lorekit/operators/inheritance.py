@@ -22,11 +22,16 @@ TESTS = "array<struct<s: array<string>, gives: boolean, r: array<string>>>"
 DONE = "slug string, gives boolean, list array<string>"
 
 
+def let(value, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ordered_distinct_ci(arr) -> Column:
     """Case-insensitive distinct keeping the first spelling, in order."""
-    return F.aggregate(arr, F.array().cast("array<string>"),
-                       lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc)
-                       .otherwise(F.concat(acc, F.array(x))))
+    def firsts(a, low):
+        return F.transform(F.array_distinct(low), lambda x: F.get(a, F.array_position(low, x).cast("int") - 1))
+    return let(arr, lambda a: let(F.transform(a, F.lower), lambda low: firsts(a, low)))
 
 
 def no_shared(arr) -> Column:
