@@ -10,6 +10,7 @@ from lorekit.functions.text import basename, py_strip
 from lorekit.operators.extract import alias_map_last_wins
 from lorekit.operators.inheritance import given_lists
 from lorekit.operators.inheritance import ordered_distinct_ci as _ordered_distinct_ci
+from lorekit.session import cut_lineage
 
 DEFAULT_PROJECT = "shared"
 
@@ -20,34 +21,44 @@ def attribute_articles(articles: DataFrame, sources: DataFrame, sections: DataFr
     source's base name)."""
     s = sources.where(F.col("source").startswith("daily/")).select("slug", basename("source").alias("name"))
     # one array per daily first, so a source brings one row, not one per project of its day
-    per_daily = sections.groupBy("name").agg(F.collect_set("project").alias("projects"))
+    per_daily = sections.join(s.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.collect_set("project").alias("projects"))
     d = s.distinct().join(per_daily, "name").groupBy("slug").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("projects")))).alias("derived"))
     return articles.select("slug").join(d, "slug", "left").select(
         "slug", F.coalesce("derived", F.array().cast("array<string>")).alias("derived"))
 
 
+WORDS = r"(?U)(\w+)"
+
+
 def narrow_by_mention(articles: DataFrame, derived: DataFrame, registry: DataFrame) -> DataFrame:
     """(slug, narrowed): with more than one candidate, keep those whose alias occurs
     as a whole word in the lower-cased body (sorted); none found → all candidates.
-    The aliases of an article's candidates meet its body in one row: an alias of word
-    characters only is a whole word exactly if it is one of the body's words (a set
-    intersection); the others take a substring test, then a word-boundary regex."""
-    look = alias_map_last_wins(registry, skip_shared=True)
-    pairs = derived.where(F.size("derived") > 1).select("slug", F.explode("derived").alias("canonical")).join(look, "canonical")
-    per_article = pairs.groupBy("slug").agg(F.collect_list(F.struct("canonical", "alias_lc")).alias("pairs"))
-    d = per_article.join(articles.select("slug", F.lower("body").alias("body_lc")), "slug")
-    d = d.withColumn("words", F.array_intersect(F.transform("pairs", lambda p: p["alias_lc"]),
-                                                F.regexp_extract_all("body_lc", F.lit(r"(?U)(\w+)"), 1)))
-
-    def occurs(p):
-        a = p["alias_lc"]
-        pat = F.concat(F.lit(r"(?U)\b\Q"), a, F.lit(r"\E\b"))
-        return F.when(a.rlike(r"(?U)^\w+$"), F.array_contains("words", a)).otherwise(
-            (F.instr("body_lc", a) > 0) & F.regexp_like(F.col("body_lc"), pat))
-    found = F.array_sort(F.array_distinct(F.transform(F.filter("pairs", occurs), lambda p: p["canonical"])))
-    mentioned = d.select("slug", found.alias("mentioned")).where(F.size("mentioned") > 0)
-    out = derived.join(mentioned, "slug", "left")
+    Each body's words meet the words of the aliases, and only what meets leaves the scan of the bodies: an alias of
+    word characters only is a whole word exactly if it is one of the body's words; any other alias has all its words
+    among them, and those few pairs take a substring test, then a word-boundary regex."""
+    look = alias_map_last_wins(registry, skip_shared=True).select(
+        "alias_lc", "canonical", F.col("alias_lc").rlike(r"(?U)^\w+$").alias("plain"),
+        F.array_distinct(F.regexp_extract_all("alias_lc", F.lit(WORDS), 1)).alias("parts"))
+    body, version = F.lower("body"), F.xxhash64("body").alias("version")      # rows of one slug may differ in their text
+    words = articles.select("slug", version, F.explode(F.regexp_extract_all(body, F.lit(WORDS), 1)).alias("part"))
+    alias = ["alias_lc", "canonical", "plain"]
+    met = (words.join(look.select(*alias, F.size("parts").alias("n"), F.explode("parts").alias("part")), "part")
+           .groupBy("slug", "version", *alias, "n").agg(F.collect_set("part").alias("found")))
+    met = cut_lineage(met.where(F.size("found") == F.col("n")).select("slug", "version", *alias))
+    several = derived.where(F.size("derived") > 1)
+    wordless = several.select("slug", F.explode("derived").alias("canonical")).join(
+        look.where(F.size("parts") == 0).select("alias_lc", "canonical"), "canonical")
+    unsure = cut_lineage(met.where(~F.col("plain")).select("slug", "canonical", "alias_lc")
+                         .unionByName(wordless.select("slug", "canonical", "alias_lc")).distinct())
+    pattern = F.concat(F.lit(r"(?U)\b\Q"), F.col("alias_lc"), F.lit(r"\E\b"))
+    seen = unsure.join(articles.select("slug", version, body.alias("body_lc")), "slug").where(
+        (F.instr("body_lc", F.col("alias_lc")) > 0) & F.regexp_like(F.col("body_lc"), pattern))
+    hits = met.where("plain").select("slug", "version", "canonical").unionByName(seen.select("slug", "version", "canonical"))
+    hits = hits.join(several.hint("merge"), "slug").where(F.array_contains("derived", F.col("canonical")))
+    mentioned = hits.groupBy("slug", "version").agg(F.array_sort(F.collect_set("canonical")).alias("mentioned"))
+    mentioned = mentioned.join(articles.select("slug", version), ["slug", "version"]).select("slug", "mentioned")
+    out = derived.join(mentioned.hint("merge"), "slug", "left")
     return out.select("slug", F.when(F.size("derived") > 1, F.coalesce("mentioned", "derived"))
                       .otherwise(F.col("derived")).alias("narrowed"))
 
@@ -122,7 +133,6 @@ def backfill_projects_ordered(articles: DataFrame, narrowed: DataFrame, default:
     links to it, so inheritance follows chains. What each article hands on comes
     from ``inheritance.given_lists`` in logarithmically many rounds; one join then
     gives every union."""
-    from lorekit.session import cut_lineage
     kind_ord = F.create_map(*[F.lit(x) for kv in KIND_ORDER.items() for x in kv])
     a = articles.where(F.col("content").startswith("---") & (F.locate("\n---", F.col("content"), 4) > 0))
     a = a.select("slug", "kind", kind_ord[F.col("kind")].alias("ko"), "projects", "body", "content")

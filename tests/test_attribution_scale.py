@@ -1,5 +1,7 @@
 """Attribution where lists repeat: no side of a join is broadcast, and the rows are those of the plain rules."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from lorekit.operators import attribution
@@ -27,3 +29,25 @@ def test_spellings_of_a_list(spark):
     rows = [(["b", "A", "B", "a", "c"],), ([],), (None,)]
     got = spark.createDataFrame(rows, "x array<string>").select(ordered_distinct_ci(F.col("x")).alias("y")).collect()
     assert [r.y for r in got] == [["b", "A", "c"], [], None]
+
+
+def _mentions(body, alias):
+    return re.search(rf"(?<!\w){re.escape(alias)}(?!\w)" if re.fullmatch(r"\w+", alias) else rf"\b{re.escape(alias)}\b", body.lower()) is not None
+
+
+def test_mentions_are_found_from_the_words_of_a_body(spark, tmp_dir):
+    registry = [(1, "Alpha", ["al-pha", "x"], "alpha"), (2, "Beta", ["beta two", "(b)"], None), (3, "Gamma", ["--"], "g.m"), (4, "Delta", ["größe"], "Alpha-2")]
+    bodies = ["see Alpha", "al-pha", "al pha", "Beta two", "beta  two", "a(b)c", "(b)", "a--b", "-- g.m", "gxm", "die GRÖSSE und Größe", "alpha-2 x", "", "alphabet betatwo"]
+    rows = [(f"a{i}", b, ["Alpha", "Beta", "Delta", "Gamma"]) for i, b in enumerate(bodies)] + [("one", "alpha", ["Beta"]), ("a0", "beta two", ["Alpha", "Beta", "Delta", "Gamma"])]
+    reg = spark.createDataFrame(registry, "ord int, canonical string, aliases array<string>, name string")
+    arts = _stored(spark, spark.createDataFrame([r[:2] for r in rows], "slug string, body string"), f"{tmp_dir}/a")
+    derived = _stored(spark, spark.createDataFrame([(s, d) for s, _, d in rows[:-1]], "slug string, derived array<string>"), f"{tmp_dir}/d")
+    out = attribution.narrow_by_mention(arts, derived, reg)
+    names = {c: [x.lower() for x in [c, *a, *([n] if n else [])]] for _, c, a, n in registry}
+    names["Alpha"] = [x for x in names["Alpha"] if x != "alpha-2"]
+    want = []
+    for s, b, d in rows:
+        hit = [c for c in d if any(_mentions(b, x) for x in names[c])]
+        want.append((s, tuple(sorted(hit) if len(d) > 1 and hit else d)))
+    assert sorted((r.slug, tuple(r.narrowed)) for r in out.collect()) == sorted(want)
+    assert "regexp_extract_all" not in out._jdf.queryExecution().executedPlan().toString()      # the bodies' words are taken once, not an alias at a time
