@@ -16,17 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekit.functions.text import let
 from lorekit.session import cut_lineage, stage_path
 
 TESTS = "array<struct<s: array<string>, gives: boolean, r: array<string>>>"
 DONE = "slug string, gives boolean, list array<string>"
 
 
-def let(value, body) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def ordered_distinct_ci(arr) -> Column:
     """Case-insensitive distinct keeping the first spelling, in order."""
     def firsts(a, low):
