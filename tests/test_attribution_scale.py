@@ -51,3 +51,15 @@ def test_mentions_are_found_from_the_words_of_a_body(spark, tmp_dir):
         want.append((s, tuple(sorted(hit) if len(d) > 1 and hit else d)))
     assert sorted((r.slug, tuple(r.narrowed)) for r in out.collect()) == sorted(want)
     assert "regexp_extract_all" not in out._jdf.queryExecution().executedPlan().toString()      # the bodies' words are taken once, not an alias at a time
+
+
+def test_the_vault_writes_a_body_once(spark, tmp_dir):
+    from lorekit.operators.extract import build_articles
+    from lorekit.plans import vault
+    docs = spark.createDataFrame([(i, f"  \u00e4 text {i}\n---\n", f"src{i}") for i in range(1, 9)] + [(9, None, "src9")], "doc_id long, text string, source string")
+    for name in ("documents", "events", "conversations"):
+        docs.write.parquet(f"{tmp_dir}/{name}.parquet")
+    v = vault.Vault(spark, tmp_dir)
+    want = build_articles(v["files"])
+    assert v["articles"].columns == want.columns and sorted(map(tuple, v["articles"].collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert "body" not in v["article_files"].columns
