@@ -3,9 +3,10 @@
 Near duplicates: MinHash over word shingles (native array expressions) and LSH
 band keys. Rows with one signature are one class. Each class of a band is first
 held against the band's smallest: they are linked if enough of their signatures
-agree. Bands that still hold several components are then compared in full, in
-pairs of blocks in memory, so a band shared by a third of all rows never becomes
-its pairs. Groups are the connected components of the links."""
+agree. Large bands that still hold several components are held against some of
+their rows, and then the rows outside a band's largest component against all its
+rows, in pairs of blocks in memory, so a band shared by a third of all rows never
+becomes its pairs. Groups are the connected components of the links."""
 
 from __future__ import annotations
 
@@ -25,6 +26,7 @@ NUM_BANDS, ROWS_PER_BAND = 16, 4
 SHINGLE = 3
 MIN_AGREEMENT = 0.6         # share of equal signature values, an estimate of the Jaccard similarity
 BLOCK, BLOCK_CODE, LOT_ROWS = 2048, 1 << 20, 8192
+PIVOTS = 256                # rows of a large band that all its rows meet first
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,19 +115,37 @@ def near_links(signatures: DataFrame, bands: int = NUM_BANDS, rows: int = ROWS_P
     same = F.size(F.filter(F.arrays_zip("sig_a", "sig_b"), lambda x: x["sig_a"] == x["sig_b"]))
     links = cut_lineage(equal.unionAll(j.where(same >= least).select("a", "b")))
 
-    rest = edges.join(components(links).withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
-    rest = cut_lineage(rest.select("k", "band", "component"))
-    mixed = rest.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
-    m = rest.join(mixed.where("x <> y"), "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    m = m.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
-    pair = lambda o: F.least("block", o) * F.lit(BLOCK_CODE) + F.greatest("block", o)
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)
-    m = cut_lineage(m.select("k", "band", "block", F.explode(others).alias("other")))
-    lots = max(1, -(-m.count() // LOT_ROWS))
-    m = m.join(classes, "k").withColumn("lot", F.pmod(F.xxhash64("band", "other"), F.lit(lots)))
-    kind = classes.schema["k"].dataType.simpleString()
-    found = m.groupBy("lot").applyInArrow(_block_links(least, BLOCK_CODE), f"a {kind}, b {kind}")
-    return links.unionAll(cut_lineage(found))
+    def apart(known):
+        """Rows (k, band, component, n, main) of the bands that hold several components; main is the largest."""
+        rest = edges.join(components(known).withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+        rest = cut_lineage(rest.select("k", "band", "component"))
+        shares = rest.groupBy("band", "component").agg(F.count(F.lit(1)).alias("share"))
+        bands = shares.groupBy("band").agg(F.sum("share").alias("n"), F.max(F.struct("share", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+        return rest.join(bands.where("parts > 1").drop("parts"), "band")
+
+    def compared(m, last_other):
+        """Links of rows (k, band, block) with the blocks 0 .. ``last_other`` of their bands."""
+        pair = lambda o: F.least("block", o) * F.lit(BLOCK_CODE) + F.greatest("block", o)
+        m = cut_lineage(m.select("k", "band", "block", F.explode(F.transform(F.sequence(F.lit(0), last_other), pair)).alias("other")))
+        lots = max(1, -(-m.count() // LOT_ROWS))
+        m = m.join(classes, "k").withColumn("lot", F.pmod(F.xxhash64("band", "other"), F.lit(lots)))
+        kind = classes.schema["k"].dataType.simpleString()
+        return cut_lineage(m.groupBy("lot").applyInArrow(_block_links(least, BLOCK_CODE), f"a {kind}, b {kind}"))
+
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    number = lambda n: F.pmod(F.xxhash64("k"), n)
+    # about PIVOTS rows of each band, taken by hash, meet all its rows: as many comparisons as the band has rows
+    m = apart(links).where(F.col("n") > 4 * PIVOTS).withColumn("mains", blocks(F.col("n"), BLOCK))
+    m = m.withColumn("block", F.when(number(blocks(F.col("n"), PIVOTS)) == 0, 0).otherwise(1 + F.pmod(F.xxhash64("k", F.lit(1)), F.col("mains"))))
+    links = links.unionAll(compared(m, F.when(F.col("block") == 0, F.col("mains")).otherwise(0)))
+
+    # a link still missing has an end outside its band's largest component: those rows meet each other and the rest,
+    # the rest not itself
+    n_main = F.col("main.share")
+    m = apart(links).select("k", "band", (F.col("component") != F.col("main.component")).alias("odd"),
+                            blocks(F.col("n") - n_main, BLOCK).alias("odds"), blocks(n_main, BLOCK).alias("mains"))
+    m = m.withColumn("block", F.when(F.col("odd"), number(F.col("odds"))).otherwise(F.col("odds") + number(F.col("mains"))))
+    return links.unionAll(compared(m, F.col("odds") + F.when(F.col("odd"), F.col("mains")).otherwise(0) - 1))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
