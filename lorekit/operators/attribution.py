@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekit.functions.text import basename, py_strip
+from lorekit.functions.text import basename, let, py_strip
 from lorekit.operators.extract import alias_map_last_wins
 from lorekit.operators.inheritance import given_lists
 from lorekit.operators.inheritance import ordered_distinct_ci as _ordered_distinct_ci
@@ -76,7 +76,8 @@ def inherit_projects(articles: DataFrame, links: DataFrame, donors: DataFrame) -
     g = body_links.join(d.hint("merge"), "target").groupBy("slug").agg(F.collect_list(F.struct("pos", "projects")).alias("given"))
     placed = F.flatten(F.transform("given", lambda x: F.transform(x["projects"], lambda p, k: F.struct(x["pos"], k.alias("k"), p.alias("p")))))
     in_order = F.transform(F.array_sort(F.filter(placed, lambda x: F.lower(x["p"]) != "shared")), lambda x: x["p"])
-    return g.select("slug", _ordered_distinct_ci(in_order).alias("inherited")).where(F.size("inherited") > 0)
+    g = g.where(F.exists("given", lambda x: F.exists(x["projects"], lambda p: F.lower(p) != "shared")))
+    return g.select("slug", _ordered_distinct_ci(in_order).alias("inherited"))
 
 
 def backfill_projects(articles: DataFrame, derived: DataFrame, narrowed: DataFrame, links: DataFrame,
@@ -95,18 +96,21 @@ def backfill_projects(articles: DataFrame, derived: DataFrame, narrowed: DataFra
         cand = F.when(F.size(F.coalesce(inh, F.array().cast("array<string>"))) > 0, inh).otherwise(
             F.coalesce("narrowed", F.array().cast("array<string>")))
         u = _ordered_distinct_ci(F.concat(F.coalesce("projects", F.array().cast("array<string>")), cand))
-        return F.when(F.size(u) > 0, u).otherwise(F.array(F.lit(default)))
+        return let(u, lambda u: F.when(F.size(u) > 0, u).otherwise(F.array(F.lit(default))))
+
+    def with_union(rows, inh):
+        # written before the filter, which would else be pushed down and work every union out again
+        return cut_lineage(rows.select("slug", "kind", "projects", union(inh).alias("u"))).where(changed(F.col("u")))
 
     def changed(u):
         old = F.array_sort(F.transform(F.coalesce("projects", F.array().cast("array<string>")), F.lower))
         return F.col("projects").isNull() | (old != F.array_sort(F.transform(u, F.lower)))
 
-    concepts = base.where(F.col("kind") == "concepts").withColumn("u", union(F.lit(None).cast("array<string>")))
-    concepts = concepts.where(changed(F.col("u")))
+    concepts = with_union(base.where(F.col("kind") == "concepts"), F.lit(None).cast("array<string>"))
     donors = concepts.select("slug", F.col("u").alias("projects"))
     others = base.where(F.col("kind") != "concepts").join(
-        inherit_projects(a.where(F.col("kind") != "concepts"), links, donors), "slug", "left")
-    others = others.withColumn("u", union(F.col("inherited"))).where(changed(F.col("u"))).drop("inherited")
+        inherit_projects(a.where(F.col("kind") != "concepts"), links, donors).hint("merge"), "slug", "left")
+    others = with_union(others, F.col("inherited"))
     return concepts.unionByName(others).select("slug", "kind", F.col("projects").alias("existing"),
                                                F.col("u").alias("projects"))
 

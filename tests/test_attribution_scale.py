@@ -63,3 +63,42 @@ def test_the_vault_writes_a_body_once(spark, tmp_dir):
     want = build_articles(v["files"])
     assert v["articles"].columns == want.columns and sorted(map(tuple, v["articles"].collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert "body" not in v["article_files"].columns
+
+
+def _plans(monkeypatch):
+    """The plans of all tables that are written on the way."""
+    from lorekit.operators import inheritance
+    from lorekit.session import cut_lineage
+    seen = []
+
+    def noted(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_lineage(df)
+    monkeypatch.setattr(attribution, "cut_lineage", noted)
+    monkeypatch.setattr(inheritance, "cut_lineage", noted)
+    return seen
+
+
+def _vault(spark, tmp_dir):
+    head = "---\ntitle: x\n---\n"
+    rows = [(f"concepts/c{i:02d}", "concepts", f"[[concepts/c{i // 2:02d}]] [[concepts/c{i // 3:02d}]]") for i in range(40)]
+    rows += [(f"qa/q{i}", "qa", f"[[concepts/c{i:02d}]] [[qa/q{i // 2}]]") for i in range(10)]
+    arts = spark.createDataFrame([(s, k, b, head + b, None if i % 3 else ["Own"]) for i, (s, k, b) in enumerate(rows)], ARTICLES)
+    narrowed = spark.createDataFrame([(s, ["b", "A", "B"] if i % 2 else []) for i, (s, _, _) in enumerate(rows)], "slug string, narrowed array<string>")
+    return _stored(spark, arts, f"{tmp_dir}/arts"), _stored(spark, narrowed, f"{tmp_dir}/narrowed")
+
+
+def test_unions_of_one_hop_are_worked_out_once(spark, tmp_dir, monkeypatch):
+    arts, narrowed = _vault(spark, tmp_dir)
+    out = attribution.backfill_projects(arts, None, narrowed, None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "array_distinct" not in plan and "Broadcast" not in plan
+    got = {r.slug: list(r.projects) for r in out.collect()}
+    assert got["concepts/c01"] == ["b", "A"] and got["qa/q1"] == ["b", "A"]
+
+
+def test_words_are_counted_as_python_does(spark):
+    texts = ["a\x1cb", "a b c", "　a b​", "plain words here", "grüße é", "", None]
+    from lorekit.functions.text import word_count
+    got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(word_count("t").alias("n")).collect()]
+    assert got == [None if t is None else len(t.split()) for t in texts]
