@@ -149,19 +149,18 @@ def backfill_projects_ordered(articles: DataFrame, narrowed: DataFrame, default:
              .select("slug", "ko", "pos", py_strip(F.substring_index("raw", "|", 1)).alias("target"))
              .where(~F.col("target").startswith("daily/")))
     tgt = base.select(F.col("slug").alias("target"), F.col("ko").alias("tko"))
-    # only links to articles processed earlier can donate
-    edges = cut_lineage(links.join(tgt, "target")
+    # only links to articles processed earlier can donate; no table that grows with the articles is broadcast
+    edges = cut_lineage(links.join(tgt.hint("merge"), "target")
              .where((F.col("tko") < F.col("ko")) | ((F.col("tko") == F.col("ko")) & (F.col("target") < F.col("slug"))))
              .groupBy("slug", "target").agg(F.min("pos").alias("pos")))
 
     donors, _ = given_lists(base.select("slug", "e", "s", "narrowed", "static"), edges)
-    inherited = edges.join(donors.where("gives").select(F.col("slug").alias("target"), "list"), "target").groupBy("slug").agg(
+    inherited = edges.join(donors.where("gives").select(F.col("slug").alias("target"), "list").hint("merge"), "target").groupBy("slug").agg(
         F.array_sort(F.collect_list(F.struct("pos", "list"))).alias("given"))
-    b = base.join(inherited, "slug", "left")
+    b = base.join(inherited.hint("merge"), "slug", "left")
     cand = F.when(F.col("given").isNull(), F.col("narrowed")).otherwise(F.flatten(F.transform("given", lambda x: x["list"])))
-    u = _ordered_distinct_ci(F.concat("e", cand))
-    b = b.withColumn("u", F.when(F.size(u) > 0, u).otherwise(F.array(F.lit(default))))
+    u = let(_ordered_distinct_ci(F.concat("e", cand)), lambda u: F.when(F.size(u) > 0, u).otherwise(F.array(F.lit(default))))
+    b = cut_lineage(b.select("slug", "kind", "projects", "s", u.alias("u")))          # before the filter, so that each union is worked out once
     changed = b.where(F.col("projects").isNull() | (F.array_sort("s") != F.array_sort(lowered(F.col("u"))))).select("slug", "kind", "projects", "u")
-    changed = cut_lineage(changed)
-    return changed.join(a.select("slug", "content"), "slug").select(
+    return changed.hint("merge").join(a.select("slug", "content"), "slug").select(
         "slug", "kind", F.col("projects").alias("existing"), F.col("u").alias("projects"), with_projects_field(F.col("content"), F.col("u")).alias("content"))

@@ -76,11 +76,11 @@ def _reachable(tests) -> Column:
 
 def _functions(waiting: DataFrame, done: DataFrame, base: DataFrame) -> DataFrame:
     """(slug, open, donor, function) of the waiting articles with at most one unknown donor."""
-    e = waiting.join(done.withColumnRenamed("slug", "target"), "target", "left")
+    e = waiting.join(done.withColumnRenamed("slug", "target").hint("merge"), "target", "left")
     unknown = F.col("gives").isNull()
     g = e.groupBy("slug").agg(F.count(F.when(unknown, 1)).alias("open"), F.min(F.when(unknown, F.struct("pos", "target"))).alias("hole"),
                               F.array_sort(F.collect_list(F.when(F.col("gives"), F.struct("pos", "list")))).alias("given"))
-    g = g.where("open <= 1").join(base, "slug")
+    g = g.where("open <= 1").join(base.hint("merge"), "slug")
     side = lambda keep: F.flatten(F.transform(F.filter("given", keep), lambda x: x["list"]))
     at = F.col("hole.pos")
     g = g.withColumn("left", side(lambda x: at.isNull() | (x["pos"] < at))).withColumn("right", side(lambda x: x["pos"] > at))
@@ -95,7 +95,8 @@ def _functions(waiting: DataFrame, done: DataFrame, base: DataFrame) -> DataFram
 
 def given_lists(base: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     """((slug, gives, list), rounds). base: (slug, e, narrowed: lists; s: e in lower case; static: the field changes
-    whatever is inherited). edges: distinct (slug, target) with the link's first place ``pos``; they form a DAG."""
+    whatever is inherited). edges: distinct (slug, target) with the link's first place ``pos``; they form a DAG.
+    The joins of a round broadcast nothing: lists that repeat are small on disk and large in memory."""
     spark = base.sparkSession
     path = stage_path(spark, "given")
     done = lambda: spark.read.schema(DONE).parquet(path)
@@ -105,14 +106,14 @@ def given_lists(base: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
         rows.write.mode("append").parquet(path)
 
     own = no_shared(ordered_distinct_ci(F.concat("e", "narrowed")))
-    alone = base.join(edges.select("slug").distinct(), "slug", "left_anti")
+    alone = base.join(edges.select("slug").distinct().hint("merge"), "slug", "left_anti")
     settle(alone.select("slug", ((F.col("static") | ~within(F.col("narrowed"), F.col("s"))) & (F.size(own) > 0)).alias("gives"), own.alias("list")))
     waiting, chained, rounds = edges, None, 0
     while True:
         rounds += 1
         more = cut_lineage(_functions(waiting, done(), base))
         settle(more.where("open = 0").select("slug", F.col("k_gives").alias("gives"), F.col("k").alias("list")))
-        waiting = cut_lineage(waiting.join(more.select("slug"), "slug", "left_anti"))
+        waiting = cut_lineage(waiting.join(more.select("slug").hint("merge"), "slug", "left_anti"))
         fresh = more.where("open = 1").select("slug", "donor", *fields)
         chained = fresh if chained is None else chained.unionByName(fresh)
 
@@ -121,8 +122,8 @@ def given_lists(base: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
         known = done().select(F.col("slug").alias("d_slug"), F.col("gives").alias("d_gives"), F.col("list").alias("d_list"))
         y = _applied(F.col("d_gives"), F.coalesce("d_list", empty()), outer)
         jumped = _composed(outer, inner)
-        step = (chained.alias("a").join(known.alias("d"), F.col("a.donor") == F.col("d.d_slug"), "left")
-                .join(chained.alias("b"), F.col("a.donor") == F.col("b.slug"), "left"))
+        step = (chained.alias("a").join(known.alias("d").hint("merge"), F.col("a.donor") == F.col("d.d_slug"), "left")
+                .join(chained.alias("b").hint("merge"), F.col("a.donor") == F.col("b.slug"), "left"))
         over = F.col("b.slug").isNotNull()
         step = cut_lineage(step.select("a.slug", F.when(over, F.col("b.donor")).otherwise(F.col("a.donor")).alias("donor"),
                                        *[F.when(over, c).otherwise(F.col(f"a.{n}")).alias(n) for n, c in zip(fields, jumped)],

@@ -88,6 +88,15 @@ def _vault(spark, tmp_dir):
     return _stored(spark, arts, f"{tmp_dir}/arts"), _stored(spark, narrowed, f"{tmp_dir}/narrowed")
 
 
+def test_rounds_broadcast_nothing(spark, tmp_dir, monkeypatch):
+    seen = _plans(monkeypatch)
+    out = attribution.backfill_projects_ordered(*_vault(spark, tmp_dir))
+    seen.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(seen) > 5 and not [p for p in seen if "Broadcast" in p]
+    got = {r.slug: list(r.projects) for r in out.collect()}
+    assert got["concepts/c01"] == ["b", "A"] and got["qa/q9"] == ["Own", "b", "A"]
+
+
 def test_unions_of_one_hop_are_worked_out_once(spark, tmp_dir, monkeypatch):
     arts, narrowed = _vault(spark, tmp_dir)
     out = attribution.backfill_projects(arts, None, narrowed, None)
