@@ -1,12 +1,14 @@
 """Exact and near-duplicate detection.
 
 Near duplicates: MinHash over word shingles (native array expressions) and LSH
-band keys. Rows with one signature are one class. Each class of a band is first
-held against the band's smallest: they are linked if enough of their signatures
-agree. Large bands that still hold several components are held against some of
-their rows, and then the rows outside a band's largest component against all its
-rows, in pairs of blocks in memory, so a band shared by a third of all rows never
-becomes its pairs. Groups are the connected components of the links."""
+band keys. Rows with one signature are one class. The classes of a small band are
+all held against each other; they are linked if enough of their signatures agree.
+In a large band all classes first meet some of its own: those that share bands with
+the most rows, and some taken by hash. Where several components are left, the rows
+outside the band's largest meet all its rows, in pairs of blocks in memory, so a
+band shared by a third of all rows never becomes its pairs. Blocks are compared by
+codes of a byte, and rows that have too few values in common with the whole other
+block are left out. Groups are the connected components of the links."""
 
 from __future__ import annotations
 
@@ -14,7 +16,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekit.functions.text import sha_hex
@@ -25,8 +27,8 @@ PRIME = 2147483647          # 2^31 - 1
 NUM_BANDS, ROWS_PER_BAND = 16, 4
 SHINGLE = 3
 MIN_AGREEMENT = 0.6         # share of equal signature values, an estimate of the Jaccard similarity
-BLOCK, BLOCK_CODE, LOT_ROWS = 2048, 1 << 20, 8192
-PIVOTS = 256                # rows of a large band that all its rows meet first
+BLOCK, BLOCK_CODE, LOT_ROWS = 16384, 1 << 20, 16384
+PIVOTS = 256                # rows of a large band, of each of two kinds, that all its rows meet first
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,34 +68,81 @@ def minhash_signatures(docs: DataFrame, key: str, text: str, size: int = NUM_BAN
 def _block_links(least: float, block_code: int):
     """(a, b) of the rows (k, band, other, block, sig) of a lot: a spanning set of the links within each (band,
     pair of blocks). Everything it uses is in the closure, so executors need no copy of this module."""
+    few, tile, wide, least = 16, 64, 4096, int(np.ceil(least))
+
+    def coded(left, right, alone):
+        """Codes of two blocks (a row a column of the signature), equal where the values are, and how many values of
+        each row the other block has; a value that only one of the blocks has is never equal to another."""
+        found = []
+        for x, y in zip(left, right):
+            kinds, at, times = np.unique(x, return_inverse=True, return_counts=True)
+            if alone:
+                there, hit, used = at, times[at] > 1, times > 1
+            else:
+                there = np.minimum(np.searchsorted(kinds, y), len(kinds) - 1)
+                hit, used = kinds[there] == y, np.zeros(len(kinds), bool)
+                used[there[hit]] = True
+            number = np.cumsum(used) - 1
+            found.append((number[at], used[at], number[there], hit, used.sum()))
+        kind = np.min_scalar_type(max(n for *_, n in found) + 1)
+        one, two = np.iinfo(kind).max - 1, np.iinfo(kind).max
+        codes = [np.stack([np.where(hit, n, miss).astype(kind) for n, hit in ((r[i], r[i + 1]) for r in found)]) for i, miss in ((0, one), (2, two))]
+        return codes[0], sum(r[1].astype(np.int32) for r in found), codes[1], sum(r[3].astype(np.int32) for r in found)
+
     def f(table: pa.Table) -> pa.Table:
-        band, other, block = (table[c].to_numpy() for c in ("band", "other", "block"))
-        sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(len(band), -1)
-        order = np.lexsort((other, band))
-        edge = np.flatnonzero(np.append(True, (band[order][1:] != band[order][:-1]) | (other[order][1:] != other[order][:-1])))
-        ends: list = [[], []]
-        for lo, hi in zip(edge, np.append(edge[1:], len(order))):
-            rows = order[lo:hi]
-            x, y = divmod(int(other[rows[0]]), block_code)
-            one, two = np.flatnonzero(block[rows] == x), np.flatnonzero(block[rows] == y)
-            left, right = sig[rows[one]].T, sig[rows[two]].T
-            same = np.zeros((len(one), len(two)), np.int16)
-            for c in range(len(left)):
-                same += left[c][:, None] == right[c][None, :]
-            i, j = np.nonzero(same >= least)
-            i, j = one[i], two[j]
-            root = np.arange(len(rows))
-            while (root[i] != root[j]).any():
-                low = np.minimum(root[i], root[j])
-                top = np.maximum(root[i], root[j])
-                np.minimum.at(root, top, low)
-                while (root[root] != root).any():
-                    root = root[root]
-            hit = np.flatnonzero(root != np.arange(len(rows)))
-            ends[0].append(rows[root[hit]])
-            ends[1].append(rows[hit])
+        order = np.lexsort([table[c].to_numpy() for c in ("block", "other", "band")])
+        band, other, block = (table[c].to_numpy()[order] for c in ("band", "other", "block"))
+        sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
+        edge = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (other[1:] != other[:-1])))
+        sizes = np.diff(np.append(edge, len(order)))
+        root = np.arange(len(order))
+
+        def link(up, i, j):
+            while len(i):
+                top, low = np.maximum(up[i], up[j]), np.minimum(up[i], up[j])
+                apart = top != low
+                i, j = i[apart], j[apart]
+                np.minimum.at(up, top[apart], low[apart])
+                while (up[up] != up).any():
+                    up[:] = up[up]
+
+        # groups of a few rows, all at once: each row against the next, the one after it, ...
+        group, size = np.repeat(np.arange(len(edge)), sizes), np.repeat(sizes, sizes)
+        x, y = np.divmod(other, block_code)
+        for d in range(1, few):
+            i = np.flatnonzero((size[:-d] <= few) & (group[:-d] == group[d:]))
+            i = i[(block[i] == x[i]) & (block[i + d] == y[i])]
+            i = i[(sig[i] == sig[i + d]).sum(axis=1) >= least]
+            link(root, i, i + d)
+
+        for lo, hi in zip(edge[sizes > few], (edge + sizes)[sizes > few]):
+            mid, alone = lo + np.searchsorted(block[lo:hi], x[lo], side="right"), x[lo] == y[lo]
+            if not alone and mid in (lo, hi):
+                continue
+            one, two = (sig[lo:hi], sig[lo:hi]) if alone else (sig[lo:mid], sig[mid:hi])
+            left, n_left, right, n_right = coded(one.T, two.T, alone)
+            # a row needs as many values in common with the whole other block as with a row of it
+            i_left, i_right = np.flatnonzero(n_left >= least), np.flatnonzero(n_right >= least)
+            left, right = left[:, i_left, None], np.ascontiguousarray(right[:, i_right])
+            i_right, up = i_right + (0 if alone else mid - lo), np.arange(hi - lo)
+            for r in range(0, len(i_left), tile):
+                for c in range(r - r % wide if alone else 0, len(i_right), wide):
+                    equal = np.empty((min(tile, len(i_left) - r), min(wide, len(i_right) - c)), bool)
+                    same = np.zeros(equal.shape, np.min_scalar_type(len(left)))
+                    for p, q in zip(left, right):
+                        np.equal(p[r:r + tile], q[None, c:c + wide], out=equal)
+                        np.add(same, equal.view(np.uint8), out=same)
+                    near = same >= least
+                    mine, its = i_left[r:r + tile], i_right[c:c + wide]
+                    some = np.flatnonzero(near.any(axis=0))
+                    if len(some):
+                        link(up, mine[near[:, some].argmax(axis=0)], its[some])
+                        i, j = np.nonzero(near & (up[mine][:, None] != up[its]))
+                        link(up, mine[i], its[j])
+            root[lo:hi] = lo + up
+        hit = np.flatnonzero(root != np.arange(len(root)))
         keys = table["k"].combine_chunks()
-        return pa.table({n: keys.take(pa.array(np.concatenate([np.zeros(0, np.int64), *e]))) for n, e in zip("ab", ends)})
+        return pa.table({"a": keys.take(pa.array(order[root[hit]])), "b": keys.take(pa.array(order[hit]))})
     return f
 
 
@@ -107,20 +156,15 @@ def near_links(signatures: DataFrame, bands: int = NUM_BANDS, rows: int = ROWS_P
     equal = sigs.join(classes.withColumnRenamed("k", "a"), "sig").where("k <> a").select("a", F.col("k").alias("b"))
     keys = F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)) for b in range(bands)])
     edges = classes.select("k", F.explode(keys).alias("band"))
-    first = edges.groupBy("band").agg(F.min("k").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
-    edges = cut_lineage(edges.join(first, "band"))
-    pairs = edges.where("k <> a").select("a", F.col("k").alias("b")).distinct()
-    of = lambda c: classes.select(F.col("k").alias(c), F.col("sig").alias("sig_" + c))
-    j = pairs.join(of("a"), "a").join(of("b"), "b")
-    same = F.size(F.filter(F.arrays_zip("sig_a", "sig_b"), lambda x: x["sig_a"] == x["sig_b"]))
-    links = cut_lineage(equal.unionAll(j.where(same >= least).select("a", "b")))
+    edges = cut_lineage(edges.join(edges.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
+    large = edges.where(F.col("n") > 4 * PIVOTS)
 
     def apart(known):
-        """Rows (k, band, component, n, main) of the bands that hold several components; main is the largest."""
-        rest = edges.join(components(known).withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
-        rest = cut_lineage(rest.select("k", "band", "component"))
+        """Rows (k, band, n, component, main) of the large bands that hold several components; main is the largest."""
+        rest = large.join(components(known).withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+        rest = cut_lineage(rest.select("k", "band", "n", "component"))
         shares = rest.groupBy("band", "component").agg(F.count(F.lit(1)).alias("share"))
-        bands = shares.groupBy("band").agg(F.sum("share").alias("n"), F.max(F.struct("share", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+        bands = shares.groupBy("band").agg(F.max(F.struct("share", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
         return rest.join(bands.where("parts > 1").drop("parts"), "band")
 
     def compared(m, last_other):
@@ -134,10 +178,17 @@ def near_links(signatures: DataFrame, bands: int = NUM_BANDS, rows: int = ROWS_P
 
     blocks = lambda n, size: F.ceil(n / size).cast("int")
     number = lambda n: F.pmod(F.xxhash64("k"), n)
-    # about PIVOTS rows of each band, taken by hash, meet all its rows: as many comparisons as the band has rows
-    m = apart(links).where(F.col("n") > 4 * PIVOTS).withColumn("mains", blocks(F.col("n"), BLOCK))
-    m = m.withColumn("block", F.when(number(blocks(F.col("n"), PIVOTS)) == 0, 0).otherwise(1 + F.pmod(F.xxhash64("k", F.lit(1)), F.col("mains"))))
-    links = links.unionAll(compared(m, F.when(F.col("block") == 0, F.col("mains")).otherwise(0)))
+    # small bands are compared whole. In a large one all rows meet its hubs, the PIVOTS rows that share bands with the
+    # most rows, and about PIVOTS rows taken by hash: as many comparisons as the band has rows
+    met = large.groupBy("k").agg(F.sum("n").alias("met"))
+    place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("met"), "k"))
+    hubs = large.join(met, "k").withColumn("place", place).where(F.col("place") <= PIVOTS).select("k", "band", F.lit(True).alias("hub"))
+    m = edges.join(hubs, ["k", "band"], "left").withColumn("mains", F.when(F.col("n") > 4 * PIVOTS, blocks(F.col("n"), BLOCK)).otherwise(0))
+    pivot = (F.col("mains") == 0) | F.col("hub").isNotNull() | (number(blocks(F.col("n"), PIVOTS)) == 0)
+    m = m.withColumn("block", F.when(pivot, 0).otherwise(1 + F.pmod(F.xxhash64("k", F.lit(1)), F.col("mains"))))
+    links = cut_lineage(equal).unionAll(compared(m, F.when(F.col("block") == 0, F.col("mains")).otherwise(0)))
+    if large.isEmpty():
+        return links
 
     # a link still missing has an end outside its band's largest component: those rows meet each other and the rest,
     # the rest not itself
@@ -150,6 +201,7 @@ def near_links(signatures: DataFrame, bands: int = NUM_BANDS, rows: int = ROWS_P
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """(key, cluster, size) for rows in a near-duplicate cluster of two or more."""
-    comp = cut_lineage(components(near_links(minhash_signatures(docs, key, text, **kw))))
+    sigs = minhash_signatures(docs, key, text, **kw).withColumn("sig", F.col("sig").cast("array<int>"))      # all below PRIME
+    comp = cut_lineage(components(near_links(sigs)))
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     return comp.join(sizes, "component").select(F.col("node").alias(key), F.col("component").alias("cluster"), "size")
